@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profitloom.functions.money import as_double, money_out, ratio_out
+from profitloom.functions.money import as_double, money_out, ratio_out, sum_units
 from profitloom.functions.text import parse_currency, parse_fixed_amount, strip
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
@@ -37,8 +37,13 @@ def _sold(shop: ShopTables, customer: bool = False) -> DataFrame:
 
 
 def _all_orders(shop: ShopTables, customer: bool = False) -> DataFrame:
-    weights, fits = shop.weights()
-    return O.order_table(shop.headers(customer), shop.lines(), shop.cfg, weights, fits)
+    return O.order_table(shop.headers(customer), shop.lines(), shop.cfg, shop.cost_lookup())
+
+
+def _all_orders_and_first_line(shop: ShopTables) -> DataFrame:
+    return O.order_table(
+        shop.headers(customer=True), shop.lines(), shop.cfg, shop.cost_lookup(), first_line=True
+    )
 
 
 def _earned(shop: ShopTables, customer: bool = False) -> DataFrame:
@@ -79,15 +84,16 @@ def _allocated(shop: ShopTables, customer: bool = False) -> DataFrame:
 
 def _priced(shop: ShopTables) -> DataFrame:
     """Lines with revenue and VAT."""
-    return L.vat_split(L.line_revenue(_allocated(shop)), shop.cfg)
+    return L.vat_split(L.line_revenue(L.line_table(_allocated(shop))), shop.cfg)
 
 
 def _lines(shop: ShopTables, customer: bool = False) -> DataFrame:
-    return L.enriched_lines(_allocated(shop, customer), shop.costs(), shop.cfg)
+    return L.enriched_lines(L.line_table(_allocated(shop, customer)), shop.costs(), shop.cfg)
 
 
 def _product_sums(shop: ShopTables) -> DataFrame:
-    return products.product_sums(L.active(_priced(shop), shop.cfg), shop.weights()[0])
+    lines = L.active(_allocated(shop), shop.cfg)
+    return products.product_sums(lines, shop.cost_lookup(), shop.cfg)
 
 
 def _titles(shop: ShopTables) -> DataFrame:
@@ -133,14 +139,14 @@ def _amounts(lines: DataFrame, *names: str) -> DataFrame:
 
 
 def line_items(shop: ShopTables) -> DataFrame:
-    return _line_fields(_allocated(shop, customer=True))
+    return _line_fields(L.line_table(_allocated(shop, customer=True)))
 
 
 def line_items_nested(shop: ShopTables) -> DataFrame:
     """From documents; orders too long for a document come from the flat tables."""
     nested = _line_fields(L.line_items(shop.documents(), shop.cfg))
     headers = shop.headers(customer=True)
-    flat = _line_fields(L.allocate(headers, shop.oversized_lines(), shop.cfg))
+    flat = _line_fields(L.line_table(L.allocate(headers, shop.oversized_lines(), shop.cfg)))
     return nested.unionByName(flat)
 
 
@@ -156,7 +162,7 @@ def orders_source(shop: ShopTables) -> DataFrame:
         F.coalesce(F.size("line_items"), F.lit(0)).cast("long").alias("n_lines"),
     )
     own = shop.oversized_lines().groupBy("order_number").agg(
-        F.sum("item_discount").alias("own"), F.count(F.lit(1)).alias("n_lines")
+        sum_units(F.col("discount_units")).alias("own"), F.count(F.lit(1)).alias("n_lines")
     )
     flat = shop.headers().join(own, "order_number").select(
         "order_number",
@@ -171,10 +177,11 @@ def orders_source(shop: ShopTables) -> DataFrame:
 
 def order_fields(shop: ShopTables) -> DataFrame:
     """Order-level fields taken from each document."""
-    docs = L.order_headers(shop.documents(), shop.cfg)
-    value = F.col("unit_price") * F.col("quantity")
+    docs = L.order_headers(shop.documents(), shop.cfg).withColumn(
+        "items_value", L.document_items_value()
+    )
     long_values = shop.oversized_lines().groupBy("order_number").agg(
-        F.sum(value).cast("decimal(28,4)").alias("items_value")
+        sum_units(L.value_units()).alias("items_value")
     )
     flat = shop.headers(customer=True).join(long_values, "order_number")
     both = docs.drop("line_items").unionByName(flat)
@@ -221,7 +228,7 @@ def order_totals(shop: ShopTables) -> DataFrame:
 
 
 def order_table(shop: ShopTables) -> DataFrame:
-    return _all_orders(shop, customer=True).select(
+    return _all_orders_and_first_line(shop).select(
         "order_number",
         "order_date",
         "is_refunded",
@@ -326,10 +333,10 @@ def incremental_orders(shop: ShopTables) -> DataFrame:
         shop.spark, shop.document_feed(), table, new_folder(shop.spark, "order-progress"), 8
     )
     docs = L.order_headers(S.current_orders(shop.spark, table), shop.cfg)
-    weights, fits = shop.weights()
-    nested = O.order_table(docs.drop("items_value", "line_items"), L.raw_lines(docs), shop.cfg, weights, fits)
+    costs = shop.cost_lookup()
+    nested = O.order_table(docs.drop("line_items"), L.raw_lines(docs), shop.cfg, costs)
     flat = O.order_table(
-        shop.headers(customer=True), shop.oversized_lines(), shop.cfg, weights, fits
+        shop.headers(customer=True), shop.oversized_lines(), shop.cfg, costs
     )
     return trends.weekly_profit(L.active(nested.unionByName(flat), shop.cfg))
 
@@ -392,7 +399,7 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "line_items_nested": line_items_nested,
         "order_fields": order_fields,
         "line_revenue": lambda s: _amounts(
-            L.line_revenue(_allocated(s)), "item_revenue", "revenue"
+            L.line_revenue(L.line_table(_allocated(s))), "item_revenue", "revenue"
         ),
         "vat_split": lambda s: _amounts(
             _priced(s), "revenue_excl_mva", "mva_collected", "shipping_revenue_excl_mva"
@@ -451,7 +458,9 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "payment_summary": lambda s: customers.payment_summary(_sold(s)),
         "city_top": lambda s: customers.city_top(_sold(s, True), s.cfg),
         # discounts and shipping
-        "discount_usage": lambda s: discounts.discount_usage(_earned(s, True)),
+        "discount_usage": lambda s: discounts.discount_usage(
+            L.active(_all_orders_and_first_line(s), s.cfg)
+        ),
         "discount_profitability": lambda s: discounts.discount_profitability(_sold(s, True)),
         "discount_baseline": lambda s: discounts.discount_baseline(_sold(s, True)),
         "shipping_result": lambda s: discounts.shipping_result(_sold(s), ship(s)),

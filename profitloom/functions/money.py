@@ -1,4 +1,9 @@
-"""Money as exact decimals, rounded only where a figure leaves the engine."""
+"""Exact money, rounded only where a figure leaves the engine.
+
+Tables hold decimals. While lines are summed, amounts are whole numbers: units of
+1/10000 for amounts as they arrive, and of 1e-9 for discount shares. Whole numbers
+stay in long registers, where wide decimals would be objects.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +31,34 @@ def total(col: Column) -> Column:
     return F.coalesce(F.sum(col), F.lit(0))
 
 
+UNITS = 4
+SHARE_UNITS = 9
+_LOW_BITS = 20
+
+
+def to_units(amount: Column) -> Column:
+    """A decimal(18,4) amount as a whole number of 1/10000."""
+    return (amount * F.lit(10**UNITS)).cast("long")
+
+
+def from_units(units: Column, scale: int = UNITS, dtype: str = MONEY) -> Column:
+    return (units.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(dtype)
+
+
+def sum_units(units: Column, scale: int = UNITS) -> Column:
+    """Exact decimal sum of whole-number amounts; 0 when all are missing.
+
+    High and low bits are summed apart, so neither long can overflow even for the
+    lines of a whole shop.
+    """
+    low_mask = F.lit((1 << _LOW_BITS) - 1).cast("long")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(units.bitwiseAND(low_mask)).cast("decimal(19,0)")
+    whole = (high * F.lit(1 << _LOW_BITS) + low).cast("decimal(28,0)")
+    exact = (whole * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(28,{scale})")
+    return F.coalesce(exact, F.lit(0).cast(f"decimal(28,{scale})"))
+
+
 def without_vat(col: Column, vat_rate: Decimal) -> Column:
     """Amount excluding VAT. 25 % is exactly a factor of 0.8 in decimals."""
     gross = 1 + vat_rate

@@ -1,7 +1,8 @@
 """Order documents to priced, costed lines.
 
-Two inputs lead to the same line table: nested order documents, flattened row by
-row without a shuffle, and flat header and line tables, joined on the order.
+Two inputs lead to the same lines: nested order documents, flattened row by row
+without a shuffle, and flat header and line tables, joined on the order. Until a
+line table is asked for, amounts are whole-number units (see functions.money).
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from profitloom import config as C
 from profitloom.config import ProfitConfig
 from profitloom.functions.money import (
     AMOUNT,
-    MONEY,
     SHARE,
+    SHARE_UNITS,
+    from_units,
     margin_pct,
     money,
+    sum_units,
+    to_units,
     without_vat,
     zero,
 )
 from profitloom.functions.time import wall_date
 from profitloom.operators.skew import join_group_rows, left_join_lookup
+from profitloom.sources.sheets import CostLookup
 
 _SUM = "decimal(28,4)"
 
@@ -41,10 +46,6 @@ def _filled(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def line_value(price: Column, quantity: Column) -> Column:
-    return (price * quantity).cast(MONEY)
-
-
 def discount_code(code: Column, order_number: Column, cfg: ProfitConfig) -> Column:
     """The code credited with an order: a set override, else its own, else none."""
     code = F.coalesce(code, F.lit(C.NO_DISCOUNT))
@@ -70,10 +71,7 @@ def active(df: DataFrame, cfg: ProfitConfig) -> DataFrame:
 
 def order_headers(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """One row per document: order fields, shipping and discount left to allocate."""
-    price_of = lambda li: line_value(
-        _text_money(li["price"]), F.coalesce(li["quantity"], F.lit(0))
-    )
-    own_discounts = _sum_of("line_items", lambda li: _text_money(li["total_discount"]))
+    left_over = _text_money(F.col("total_discounts")) - document_discounts()
     return docs.select(
         "order_number",
         F.col("id").alias("order_id"),
@@ -99,14 +97,24 @@ def order_headers(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
         money(_sum_of("shipping_lines", lambda s: _text_money(s["price"]))).alias(
             "order_shipping"
         ),
-        money(
-            F.greatest(zero(), _text_money(F.col("total_discounts")) - own_discounts)
-        ).alias("undistributed_discount"),
-        _sum_of("line_items", price_of).alias("items_value"),
+        money(F.greatest(zero(), left_over)).alias("undistributed_discount"),
         "line_items",
     )
 
 
+def document_discounts() -> Column:
+    """Discount already given on a document's lines."""
+    return _sum_of("line_items", lambda li: _text_money(li["total_discount"]))
+
+
+def document_items_value() -> Column:
+    """Price times quantity summed over a document's lines."""
+    return _sum_of(
+        "line_items",
+        lambda li: money(_text_money(li["price"]) * F.coalesce(li["quantity"], F.lit(0))),
+    )
+
+
 def raw_lines(headers: DataFrame, *keep: str) -> DataFrame:
     """One row per line of each document, in document order."""
     opened = headers.select(
@@ -122,8 +130,8 @@ def raw_lines(headers: DataFrame, *keep: str) -> DataFrame:
         title.alias("product_title"),
         variant.alias("variant_title"),
         F.coalesce("li.quantity", F.lit(0)).alias("quantity"),
-        _text_money(F.col("li.price")).alias("unit_price"),
-        _text_money(F.col("li.total_discount")).alias("item_discount"),
+        to_units(_text_money(F.col("li.price"))).alias("price_units"),
+        to_units(_text_money(F.col("li.total_discount"))).alias("discount_units"),
         F.col("li.product_id").alias("product_id"),
         F.col("li.variant_id").alias("variant_id"),
     )
@@ -134,27 +142,29 @@ def product_key(title: Column, variant: Column) -> Column:
     return F.when(_filled(variant).isNotNull(), F.concat_ws(" ", title, variant)).otherwise(title)
 
 
-def line_items(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    """Documents to lines with allocated discount and shipping; narrow, no shuffle."""
-    headers = order_headers(docs, cfg)
+def allocate_documents(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
+    """Lines of documents with allocated discount and shipping; narrow, no shuffle."""
+    headers = order_headers(docs, cfg).withColumn("items_value", document_items_value())
     fields = [c for c in headers.columns if c not in ("order_number", "line_items")]
-    first = F.col("line_pos") == 0
-    return _allocated(raw_lines(headers, *fields), first)
+    return _allocated(raw_lines(headers, *fields), F.col("line_pos") == 0)
 
 
 # --- flat header and line tables ----------------------------------------------
 
 
+def value_units() -> Column:
+    return F.col("price_units") * F.col("quantity")
+
+
 def allocate(headers: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    """Flat headers and lines to the same line table.
+    """Flat headers and lines to the same allocated lines.
 
     The order's item value and first line come from an aggregate that combines
     before the shuffle, joined back to the lines. Unlike a window over the order,
     neither step needs all lines of a huge order in a single task.
     """
-    value = line_value(F.col("unit_price"), F.col("quantity"))
     per_order = lines.groupBy("order_number").agg(
-        F.sum(value).cast(_SUM).alias("items_value"),
+        sum_units(value_units()).alias("items_value"),
         F.min("line_pos").alias("first_pos"),
         F.count(F.lit(1)).alias("n_lines"),
     )
@@ -170,35 +180,54 @@ def allocate(headers: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFra
 # --- shared steps ---------------------------------------------------------------
 
 
-def discount_share(value: Column) -> Column:
-    """Part of the order's left-over discount that falls on ``value`` worth of items."""
-    left_over, items = F.col("undistributed_discount"), F.col("items_value")
-    part = left_over.cast("double") * (
-        value.cast("double") / F.nullif(items.cast("double"), F.lit(0.0))
-    )
-    return F.when((left_over > 0) & (items > 0), F.round(part, 9).cast(SHARE)).otherwise(
-        zero(SHARE)
-    )
+def share_units(value: Column) -> Column:
+    """Part of the order's left-over discount that falls on ``value`` (an amount as
+    double) worth of its items, in units of 1e-9."""
+    left_over = F.col("undistributed_discount").cast("double")
+    items = F.col("items_value").cast("double")
+    part = left_over * (value / F.nullif(items, F.lit(0.0)))
+    units = F.rint(part * F.lit(float(10**SHARE_UNITS))).cast("long")
+    return F.when((left_over > 0) & (items > 0), units).otherwise(F.lit(0).cast("long"))
 
 
 def _allocated(lines: DataFrame, is_first: Column) -> DataFrame:
-    value = line_value(F.col("unit_price"), F.col("quantity"))
-    shipping = F.when(is_first & (F.col("order_shipping") > 0), F.col("order_shipping"))
+    value = value_units()
+    shipping = F.when(is_first & (F.col("order_shipping") > 0), to_units(F.col("order_shipping")))
+    return lines.withColumns(
+        {
+            "value_units": value,
+            "share_units": share_units(value / F.lit(1e4)),
+            "shipping_units": F.coalesce(shipping, F.lit(0).cast("long")),
+        }
+    ).drop("order_shipping", "undistributed_discount", "items_value")
+
+
+def line_table(allocated: DataFrame) -> DataFrame:
+    """Allocated lines with their amounts as decimals."""
+    share = from_units(F.col("share_units"), SHARE_UNITS, SHARE)
+    units = ["price_units", "discount_units", "value_units", "share_units", "shipping_units"]
     return (
-        lines.withColumns(
+        allocated.withColumns(
             {
-                "order_discount_share": discount_share(value),
-                "shipping_revenue": shipping.otherwise(zero()),
+                "unit_price": from_units(F.col("price_units")),
+                "item_discount": from_units(F.col("discount_units")),
+                "order_discount_share": share,
+                "shipping_revenue": from_units(F.col("shipping_units")),
             }
         )
         .withColumn("total_discount", F.col("item_discount") + F.col("order_discount_share"))
-        .drop("order_shipping", "undistributed_discount", "items_value")
+        .drop(*units)
     )
 
 
+def line_items(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
+    """Documents to the line table."""
+    return line_table(allocate_documents(docs, cfg))
+
+
 def line_revenue(lines: DataFrame) -> DataFrame:
     """Item revenue, and revenue with shipping."""
-    items = line_value(F.col("unit_price"), F.col("quantity")) - F.col("total_discount")
+    items = money(F.col("unit_price") * F.col("quantity")) - F.col("total_discount")
     return lines.withColumn("item_revenue", items.cast(AMOUNT)).withColumn(
         "revenue", (F.col("item_revenue") + F.col("shipping_revenue")).cast(AMOUNT)
     )
@@ -227,9 +256,17 @@ def cost_join(lines: DataFrame, costs: DataFrame, dedupe: bool = False) -> DataF
     return lines.join(costs, "product_key", "left")
 
 
-def weigh_lines(lines: DataFrame, weights: DataFrame, fits: bool) -> DataFrame:
-    """Add cost and listing counts by product key, without repeating any line."""
-    return left_join_lookup(lines, weights, "product_key", "line_pos", fits)
+def weigh_lines(lines: DataFrame, costs: CostLookup) -> DataFrame:
+    """Add cost units and listing counts by product key, without repeating any line."""
+    weighed = left_join_lookup(lines, costs.weights, "product_key", "line_pos", costs.fits)
+    none = F.lit(0).cast("long")
+    return weighed.withColumns(
+        {
+            "copies": F.coalesce("copies", F.lit(1).cast("long")),
+            "priced": F.coalesce("priced", none),
+            "cost_units": F.coalesce("cost_units", none),
+        }
+    )
 
 
 def line_profit(lines: DataFrame) -> DataFrame:
@@ -247,9 +284,9 @@ def with_refund_flag(lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
 
 
 def enriched_lines(
-    allocated: DataFrame, costs: DataFrame, cfg: ProfitConfig, dedupe_costs: bool = False
+    lines: DataFrame, costs: DataFrame, cfg: ProfitConfig, dedupe_costs: bool = False
 ) -> DataFrame:
     """The full line table: revenue, VAT, cost, profit and refund flag."""
-    priced = vat_split(line_revenue(allocated), cfg)
+    priced = vat_split(line_revenue(lines), cfg)
     costed = line_profit(cost_join(priced, costs, dedupe_costs))
     return with_refund_flag(costed, cfg)

@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import AMOUNT, money, total, without_vat, zero
-from profitloom.operators.lines import discount_share, is_refunded, line_value, weigh_lines
-
-_SUM = "decimal(28,4)"
+from profitloom.functions.money import (
+    AMOUNT,
+    SHARE,
+    SHARE_UNITS,
+    from_units,
+    money,
+    sum_units,
+    total,
+    without_vat,
+    zero,
+)
+from profitloom.operators.lines import is_refunded, share_units, value_units, weigh_lines
+from profitloom.sources.sheets import CostLookup
 
 
 def _first(name: str) -> Column:
@@ -58,8 +67,8 @@ def order_table(
     headers: DataFrame,
     lines: DataFrame,
     cfg: ProfitConfig,
-    weights: DataFrame | None = None,
-    weights_fit: bool = False,
+    costs: CostLookup | None = None,
+    first_line: bool = False,
 ) -> DataFrame:
     """One row per order with every total the reports need.
 
@@ -68,57 +77,27 @@ def order_table(
     order's discount shares add up to its left-over discount and its shipping sits
     on its first line, so no line has to be allocated to know the order's totals.
 
-    ``weights`` is ``cost_weights`` of the cost sheet. Without it there are no cost
-    and profit columns, and every line counts once. ``weights_fit`` says that the
-    table was measured to fit a broadcast.
+    Without ``costs`` there are no cost and profit columns, and every line counts
+    once. ``first_line`` adds the discount on the first line alone.
     """
-    rows = lines.withColumn("value", line_value(F.col("unit_price"), F.col("quantity")))
-    costed = weights is not None
-    if costed:
-        rows = weigh_lines(rows, weights, weights_fit)
-        copies = F.coalesce("copies", F.lit(1))
-        priced = F.coalesce("priced", F.lit(0))
-    else:
-        copies, priced = F.lit(1), F.lit(0)
-    rows = rows.withColumns({"copies": copies, "priced": priced})
-
-    def summed(expr: Column, name: str) -> Column:
-        return F.sum(expr).cast(_SUM).alias(name)
-
-    def at_first_line(name: str) -> Column:
-        return F.min_by(name, "line_pos").alias(f"first_{name}")
-
-    sums = [
-        F.sum("copies").alias("n_lines"),
-        summed(F.col("value"), "items_value"),
-        summed(F.col("value") * F.col("copies"), "gross_sales"),
-        summed(F.col("item_discount") * F.col("copies"), "own_discount"),
-        at_first_line("copies"),
-        at_first_line("value"),
-        at_first_line("item_discount"),
-    ]
-    if costed:
-        sums += [
-            F.sum(F.col("copies") - F.col("priced")).alias("unpriced_lines"),
-            summed(F.col("value") * F.col("priced"), "priced_value"),
-            summed(F.col("item_discount") * F.col("priced"), "priced_discount"),
-            F.sum(F.coalesce(F.col("cost_price") * F.col("quantity"), zero()))
-            .cast(AMOUNT)
-            .alias("total_cost"),
-            at_first_line("priced"),
-        ]
-    joined = headers.join(rows.groupBy("order_number").agg(*sums), "order_number")
-
+    rows = lines.withColumn("value_units", value_units())
+    if costs is not None:
+        rows = weigh_lines(rows, costs)
+    per_order = rows.groupBy("order_number").agg(*_line_sums(costs, first_line))
+    orders = headers.join(per_order, "order_number").withColumn("is_refunded", is_refunded(cfg))
+    if costs is None or not costs.repeats:
+        orders = orders.withColumns(
+            {
+                "gross_sales": F.col("items_value"),
+                "own_discount": F.col("own_items_discount"),
+                "first_copies": F.lit(1),
+            }
+        )
     shipping = F.greatest(F.col("order_shipping"), zero())
-    discount = F.col("own_discount") + discount_share(F.col("gross_sales"))
-    orders = joined.withColumns(
+    orders = orders.withColumns(
         {
-            "is_refunded": is_refunded(cfg),
-            "total_discount": discount.cast(AMOUNT),
+            "total_discount": (F.col("own_discount") + _share("gross_sales")).cast(AMOUNT),
             "shipping_revenue": money(shipping * F.col("first_copies")),
-            "first_line_discount": (
-                F.col("first_item_discount") + discount_share(F.col("first_value"))
-            ).cast(AMOUNT),
         }
     )
     revenue = F.col("gross_sales") - F.col("total_discount") + F.col("shipping_revenue")
@@ -127,30 +106,78 @@ def order_table(
     orders = orders.withColumn(
         "mva_collected", (F.col("revenue") - F.col("revenue_excl_mva")).cast(AMOUNT)
     )
-    if costed:
-        priced_revenue = (
-            F.col("priced_value")
-            - F.col("priced_discount")
-            - discount_share(F.col("priced_value"))
-            + shipping * F.col("first_priced")
-        )
+    if first_line:
+        discount = F.col("first_discount") + _share("first_value")
+        orders = orders.withColumn("first_line_discount", discount.cast(AMOUNT))
+    if costs is not None:
+        priced = F.col("priced_value") - F.col("priced_discount") - _share("priced_value")
+        priced_revenue = (priced + shipping * F.col("first_priced")).cast(AMOUNT)
         orders = orders.withColumn(
-            "priced_revenue_excl_mva", without_vat(priced_revenue.cast(AMOUNT), cfg.vat_rate)
+            "priced_revenue_excl_mva", without_vat(priced_revenue, cfg.vat_rate)
         ).withColumn(
             "profit", (F.col("priced_revenue_excl_mva") - F.col("total_cost")).cast(AMOUNT)
         )
-    return orders.drop(
-        "own_discount",
-        "order_shipping",
-        "undistributed_discount",
-        "items_value",
-        "first_copies",
-        "first_value",
-        "first_item_discount",
-        "priced_value",
-        "priced_discount",
-        "first_priced",
-    )
+    return orders.drop(*_WORKING)
+
+
+_WORKING = [
+    "own_discount",
+    "own_items_discount",
+    "order_shipping",
+    "undistributed_discount",
+    "items_value",
+    "first_copies",
+    "first_priced",
+    "first_value",
+    "first_discount",
+    "priced_value",
+    "priced_discount",
+]
+
+
+def _share(value: str) -> Column:
+    units = share_units(F.col(value).cast("double"))
+    return from_units(units, SHARE_UNITS, SHARE)
+
+
+def _line_sums(costs: CostLookup | None, first_line: bool) -> list[Column]:
+    """Sums over an order's lines; weighted by listings only where a key repeats."""
+    value, discount = F.col("value_units"), F.col("discount_units")
+    sums = [
+        sum_units(value).alias("items_value"),
+        sum_units(discount).alias("own_items_discount"),
+    ]
+    first = []
+    if costs is None or not costs.repeats:
+        sums.append(F.count(F.lit(1)).alias("n_lines"))
+    else:
+        sums += [
+            F.sum("copies").alias("n_lines"),
+            sum_units(value * F.col("copies")).alias("gross_sales"),
+            sum_units(discount * F.col("copies")).alias("own_discount"),
+        ]
+        first.append("copies")
+    if costs is not None:
+        priced = F.col("priced")
+        listed = F.col("copies") if costs.repeats else F.lit(1)
+        sums += [
+            F.sum(listed - priced).alias("unpriced_lines"),
+            sum_units(value * priced).alias("priced_value"),
+            sum_units(discount * priced).alias("priced_discount"),
+            sum_units(F.col("cost_units") * F.col("quantity")).cast(AMOUNT).alias("total_cost"),
+        ]
+        first.append("priced")
+    if first_line:
+        first += ["value_units", "discount_units"]
+    if first:
+        # The smallest (position, values) pair is the first line with its values.
+        pair = F.min(F.struct("line_pos", *first))
+        names = {"value_units": "first_value", "discount_units": "first_discount"}
+        for name in first:
+            picked = pair[name]
+            amount = from_units(picked) if name in names else picked
+            sums.append(amount.alias(names.get(name, f"first_{name}")))
+    return sums
 
 
 def with_actual_fee(orders: DataFrame, card_fees: DataFrame) -> DataFrame:

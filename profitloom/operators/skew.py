@@ -5,22 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
-_FIXED_ROW_BYTES = 64
-
-
-def measured_bytes(df: DataFrame, *text_columns: str) -> int:
-    """Size of a table by its rows and texts; one aggregate, one row to the driver."""
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in text_columns]
-    row = F.lit(_FIXED_ROW_BYTES).cast("long")
-    for text in texts:
-        row = row + text
-    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("size")).first()["size"]
-
-
-def fits_broadcast(df: DataFrame, *text_columns: str) -> bool:
-    return measured_bytes(df, *text_columns) <= BROADCAST_BYTES
 
 
 def left_join_lookup(

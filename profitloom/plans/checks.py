@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profitloom.functions.money import guarded_ratio, money_out, ratio_out, total
+from profitloom.functions.money import (
+    SHARE_UNITS,
+    guarded_ratio,
+    money_out,
+    ratio_out,
+    sum_units,
+    total,
+)
 from profitloom.plans.pnl import totals
 
 
@@ -68,11 +75,10 @@ def allocation_check(lines: DataFrame, headers: DataFrame) -> DataFrame:
     ``lines`` are allocated lines. An order whose items are worth nothing has its
     discount left unallocated.
     """
-    value = F.col("unit_price") * F.col("quantity")
     per_order = lines.groupBy("order_number").agg(
-        F.sum("order_discount_share").alias("share"),
-        F.sum("shipping_revenue").alias("shipping"),
-        F.sum(value).alias("value"),
+        sum_units(F.col("share_units"), SHARE_UNITS).alias("share"),
+        sum_units(F.col("shipping_units")).alias("shipping"),
+        sum_units(F.col("value_units")).alias("value"),
         F.count(F.lit(1)).alias("n_lines"),
     )
     joined = headers.join(per_order, "order_number")

@@ -10,37 +10,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import margin_pct, money_out, total
-
-
-def product_sums(lines: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per product key and title: revenue and quantity, all and with a known cost."""
+from profitloom.functions.money import (
+    SHARE_UNITS,
+    from_units,
+    margin_pct,
+    money_out,
+    sum_units,
+    total,
+    without_vat,
+    zero,
+)
+from profitloom.sources.sheets import CostLookup
+
+
+def product_sums(lines: DataFrame, costs: CostLookup, cfg: ProfitConfig) -> DataFrame:
+    """Per product key and title: revenue and quantity, all and with a known cost.
+
+    ``lines`` are allocated lines. VAT is taken off the sums, which is the same as
+    taking it off each line.
+    """
+    gross = F.col("value_units") - F.col("discount_units") + F.col("shipping_units")
+    revenue = sum_units(gross) - sum_units(F.col("share_units"), SHARE_UNITS)
     summed = (
         lines.filter(F.col("product_title").isNotNull())
         .groupBy("product_key", "product_title")
         .agg(
-            F.sum("revenue_excl_mva").cast("decimal(30,10)").alias("sales"),
+            without_vat(revenue, cfg.vat_rate).alias("sales"),
             F.sum("quantity").alias("units"),
             F.count(F.lit(1)).alias("line_count"),
         )
     )
     copies, priced = F.coalesce("copies", F.lit(1)), F.coalesce("priced", F.lit(0))
-    cost = F.coalesce(F.col("cost_price") * F.col("units"), F.lit(0))
-    return (
-        summed.join(weights, "product_key", "left")
-        .select(
-            "product_key",
-            "product_title",
-            (F.col("sales") * copies).alias("sales"),
-            (F.col("units") * copies).alias("units"),
-            (F.col("sales") * priced).alias("priced_sales"),
-            (F.col("units") * priced).alias("priced_units"),
-            cost.alias("cost"),
-            priced.alias("priced"),
-            (F.col("sales") * (copies - priced)).alias("unpriced_sales"),
-            (F.col("units") * (copies - priced)).alias("unpriced_units"),
-            (F.col("line_count") * (copies - priced)).alias("unpriced_lines"),
-        )
+    unit_cost = F.coalesce(from_units(F.col("cost_units")), zero())
+    lookup = F.broadcast(costs.weights) if costs.fits else costs.weights
+    return summed.join(lookup, "product_key", "left").select(
+        "product_key",
+        "product_title",
+        (F.col("sales") * copies).alias("sales"),
+        (F.col("units") * copies).alias("units"),
+        (F.col("sales") * priced).alias("priced_sales"),
+        (F.col("units") * priced).alias("priced_units"),
+        (unit_cost * F.col("units")).alias("cost"),
+        priced.alias("priced"),
+        (F.col("sales") * (copies - priced)).alias("unpriced_sales"),
+        (F.col("units") * (copies - priced)).alias("unpriced_units"),
+        (F.col("line_count") * (copies - priced)).alias("unpriced_lines"),
     )
 
 

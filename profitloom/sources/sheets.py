@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom import config as C
-from profitloom.functions.money import MONEY, total
+from profitloom.functions.money import MONEY, to_units, total
 from profitloom.functions.text import (
     fee_fixed,
     fee_rate,
@@ -16,6 +18,9 @@ from profitloom.functions.text import (
 )
 from profitloom.schemas import COST_ROW
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_BYTES = 64  # generous size of a lookup row besides its key
+
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A sheet with its own header row, every cell as text."""
@@ -42,17 +47,33 @@ def product_costs(sheet: DataFrame) -> DataFrame:
     ).filter(F.length("product_key") > 0)
 
 
-def cost_weights(costs: DataFrame) -> DataFrame:
-    """The cost sheet with one row per key.
+@dataclass(frozen=True)
+class CostLookup:
+    """The cost sheet with one row per key, and what was measured of it.
 
     A key listed twice makes every matching line count twice. ``copies`` and
-    ``priced`` (rows with a cost) carry that weight, so sums over lines need no
-    row to be repeated.
+    ``priced`` (listings with a cost) carry that weight, so sums over lines need no
+    line to be repeated; ``cost_units`` is the sum of its costs.
     """
-    return costs.groupBy("product_key").agg(
+
+    weights: DataFrame
+    fits: bool  # small enough to broadcast
+    repeats: bool  # lists some key more than once
+
+
+def cost_lookup(costs: DataFrame, max_bytes: int = BROADCAST_BYTES) -> CostLookup:
+    """Group the sheet by key and measure it: one aggregate, one row to the driver."""
+    weights = costs.groupBy("product_key").agg(
         F.count(F.lit(1)).alias("copies"),
         F.count("cost_price").alias("priced"),
-        total(F.col("cost_price")).cast(MONEY).alias("cost_price"),
+        to_units(total(F.col("cost_price")).cast(MONEY)).alias("cost_units"),
+    )
+    size = F.sum(F.octet_length("product_key") + F.lit(_ROW_BYTES))
+    measured = weights.agg(size.alias("bytes"), F.max("copies").alias("copies")).first()
+    return CostLookup(
+        weights,
+        fits=(measured["bytes"] or 0) <= max_bytes,
+        repeats=(measured["copies"] or 0) > 1,
     )
 
 

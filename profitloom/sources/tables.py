@@ -15,12 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom.config import ProfitConfig, UNFULFILLED, UNKNOWN
-from profitloom.functions.money import money
+from profitloom.functions.money import from_units, sum_units
 from profitloom.functions.text import NBSP
 from profitloom.operators.lines import discount_code, product_key
 from profitloom.sources.orders import read_orders
-from profitloom.operators.skew import fits_broadcast
-from profitloom.sources.sheets import cost_weights, product_costs, read_cost_rows, read_sheet
+from profitloom.sources.sheets import (
+    CostLookup,
+    cost_lookup,
+    product_costs,
+    read_cost_rows,
+    read_sheet,
+)
 from profitloom.storage import new_folder
 
 DEFAULT_CONFIG = ProfitConfig(as_of=date(2000, 7, 1))
@@ -30,7 +35,7 @@ WALLET_START, WALLET_END = date(2024, 1, 1), date(2024, 3, 31)
 MAX_DOCUMENT_LINES = 100_000
 
 _landed: dict[tuple[str, str, str], str] = {}
-_fits: dict[str, bool] = {}
+_lookups: dict[str, CostLookup] = {}
 
 
 class ShopTables:
@@ -101,37 +106,33 @@ class ShopTables:
         return self.table("lineitem").select(F.col("l_orderkey").alias("order_number"))
 
     def lines(self) -> DataFrame:
-        """One row per line. ``line_pos`` orders the lines of an order without gaps mattering."""
-        price = F.col("p_retailprice").cast("decimal(10,2)")
+        """One row per line, amounts in units. ``line_pos`` is any value that orders them."""
         quantity = F.col("l_quantity").cast("int")
-        rebate = price * quantity * F.col("l_discount").cast("decimal(4,2)")
-        position = (
-            F.col("l_linenumber").cast("decimal(3,0)") * F.lit(Decimal(10**24))
-            + F.col("l_partkey").cast("decimal(12,0)") * F.lit(Decimal(10**12))
-            + F.col("l_suppkey").cast("decimal(12,0)")
-        )
+        percent = F.rint(F.col("l_discount") * 100).cast("long")
         joined = self.table("lineitem").join(
             self._products(), F.col("l_partkey") == F.col("p_partkey")
         )
         return joined.select(
             F.col("l_orderkey").alias("order_number"),
-            position.cast("decimal(30,0)").alias("line_pos"),
+            F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("line_pos"),
             "product_key",
             "product_title",
             "variant_title",
             quantity.alias("quantity"),
-            money(price).alias("unit_price"),
-            money(rebate).alias("item_discount"),
+            (F.col("price_cents") * 100).alias("price_units"),
+            (F.col("price_cents") * quantity * percent).alias("discount_units"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("variant_id"),
         )
 
     def _products(self) -> DataFrame:
         variant = F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand"))
+        cents = F.col("p_retailprice").cast("decimal(10,2)") * 100
         return self.table("part").select(
             "p_partkey",
             "p_retailprice",
             "p_brand",
+            cents.cast("long").alias("price_cents"),
             F.col("p_name").alias("product_title"),
             variant.alias("variant_title"),
             product_key(F.col("p_name"), variant).alias("product_key"),
@@ -250,13 +251,13 @@ class ShopTables:
     def costs(self) -> DataFrame:
         return product_costs(self.cost_sheet())
 
-    def weights(self) -> tuple[DataFrame, bool]:
-        """Cost weights, and whether the sheet was measured to fit a broadcast."""
-        weights = cost_weights(self.costs())
+    def cost_lookup(self) -> CostLookup:
+        """The cost sheet by key, measured once per landed sheet."""
+        costs = self.costs()
         path = self._landed_path("cost-sheet")
-        if path not in _fits:
-            _fits[path] = fits_broadcast(weights, "product_key")
-        return weights, _fits[path]
+        if path not in _lookups:
+            _lookups[path] = cost_lookup(costs)
+        return _lookups[path]
 
     def _write_rows(self, name, amount, path: str) -> None:
         self.table("supplier").select(
@@ -336,14 +337,14 @@ class ShopTables:
             F.col("product_title").alias("title"),
             "variant_title",
             "quantity",
-            F.col("unit_price").cast("string").alias("price"),
-            F.col("item_discount").cast("string").alias("total_discount"),
+            from_units(F.col("price_units")).cast("string").alias("price"),
+            from_units(F.col("discount_units")).cast("string").alias("total_discount"),
             "product_id",
             "variant_id",
         )
         nested = fits.groupBy("order_number").agg(
             F.sort_array(F.collect_list(line)).alias("items"),
-            F.sum("item_discount").alias("own_discount"),
+            sum_units(F.col("discount_units")).alias("own_discount"),
         )
         number = F.col("order_number")
         own = F.coalesce("own_discount", F.lit(0)).cast("decimal(18,4)")

@@ -11,7 +11,12 @@ from pyspark.sql.types import StructType
 from profitloom.config import ProfitConfig
 from profitloom.functions.money import AMOUNT, total, without_vat
 from profitloom.functions.time import wall_seconds
-from profitloom.operators.lines import active, order_headers
+from profitloom.operators.lines import (
+    active,
+    document_discounts,
+    document_items_value,
+    order_headers,
+)
 from profitloom.schemas import ORDER
 from profitloom.sources.orders import stream_orders
 from profitloom.storage import new_folder
@@ -73,16 +78,10 @@ def _sales_schema() -> StructType:
 def sales_events(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Event time and revenue of each order that has lines; one row stays one row."""
     headers = active(order_headers(docs, cfg), cfg).filter(F.size("line_items") > 0)
-    own = F.aggregate(
-        "line_items",
-        F.lit(0).cast("decimal(28,4)"),
-        lambda acc, li: (
-            acc + F.coalesce(li["total_discount"], F.lit("0")).cast("decimal(18,4)")
-        ).cast("decimal(28,4)"),
-    )
-    spread = F.when(F.col("items_value") > 0, F.col("undistributed_discount")).otherwise(F.lit(0))
+    items = document_items_value()
+    spread = F.when(items > 0, F.col("undistributed_discount")).otherwise(F.lit(0))
     shipping = F.greatest(F.col("order_shipping"), F.lit(0))
-    revenue = (F.col("items_value") - own - spread + shipping).cast(AMOUNT)
+    revenue = (items - document_discounts() - spread + shipping).cast(AMOUNT)
     return headers.select(
         F.timestamp_seconds(wall_seconds(F.col("order_created_at"))).alias("event_time"),
         revenue.alias("revenue"),
