@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profitloom.functions.money import as_double, money_out, ratio_out, sum_units
+from profitloom.functions.frames import grouped
+from profitloom.functions.money import as_double, money_out, rounded, sum_units
 from profitloom.functions.text import parse_currency, parse_fixed_amount, strip
+from profitloom.functions.time import week_start
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
 from profitloom.plans import checks, customers, discounts, lists, pnl, products, records, trends
@@ -105,10 +107,13 @@ def _titles(shop: ShopTables) -> DataFrame:
 _LINE_KEY = ["order_number", "product_id", "variant_id", "product_key"]
 
 
+def _doubles(*names: str) -> list[str]:
+    return [f"{as_double(name)} as {name}" for name in names]
+
+
 def _line_fields(lines: DataFrame) -> DataFrame:
     """The line table's columns in output form."""
-    amounts = ["unit_price", "item_discount", "total_discount", "shipping_revenue"]
-    text = [
+    return lines.selectExpr(
         "order_number",
         "order_id",
         "order_date",
@@ -126,16 +131,18 @@ def _line_fields(lines: DataFrame) -> DataFrame:
         "payment_method",
         "city",
         "customer_email",
-    ]
-    return lines.select(
-        *text,
-        *[as_double(F.col(c)).alias(c) for c in amounts],
-        as_double(F.col("order_discount_share")).alias("order_discount_share"),
+        *_doubles(
+            "unit_price",
+            "item_discount",
+            "total_discount",
+            "shipping_revenue",
+            "order_discount_share",
+        ),
     )
 
 
 def _amounts(lines: DataFrame, *names: str) -> DataFrame:
-    return lines.select(*_LINE_KEY, *[money_out(F.col(c)).alias(c) for c in names])
+    return lines.selectExpr(*_LINE_KEY, *rounded(*names))
 
 
 def line_items(shop: ShopTables) -> DataFrame:
@@ -152,24 +159,26 @@ def line_items_nested(shop: ShopTables) -> DataFrame:
 
 def orders_source(shop: ShopTables) -> DataFrame:
     """The landed documents as read, one row per order."""
-    docs = shop.documents()
-    listed = docs.select(
+    listed = shop.documents().selectExpr(
         "order_number",
-        F.col("id").alias("order_id"),
+        "id as order_id",
         "created_at",
         "financial_status",
-        F.col("total_discounts").cast("double").alias("total_discounts"),
-        F.coalesce(F.size("line_items"), F.lit(0)).cast("long").alias("n_lines"),
+        "cast(total_discounts as double) as total_discounts",
+        "cast(coalesce(size(line_items), 0) as bigint) as n_lines",
     )
-    own = shop.oversized_lines().groupBy("order_number").agg(
-        sum_units(F.col("discount_units")).alias("own"), F.count(F.lit(1)).alias("n_lines")
+    own = grouped(
+        shop.oversized_lines(),
+        ["order_number"],
+        f"{sum_units('discount_units')} as own",
+        "count(1) as n_lines",
     )
-    flat = shop.headers().join(own, "order_number").select(
+    flat = shop.headers().join(own, "order_number").selectExpr(
         "order_number",
         "order_id",
-        F.col("order_created_at").alias("created_at"),
+        "order_created_at as created_at",
         "financial_status",
-        (F.col("own") + F.col("undistributed_discount")).cast("double").alias("total_discounts"),
+        "cast(own + undistributed_discount as double) as total_discounts",
         "n_lines",
     )
     return listed.unionByName(flat)
@@ -177,16 +186,13 @@ def orders_source(shop: ShopTables) -> DataFrame:
 
 def order_fields(shop: ShopTables) -> DataFrame:
     """Order-level fields taken from each document."""
-    docs = L.order_headers(shop.documents(), shop.cfg).withColumn(
-        "items_value", L.document_items_value()
+    docs = L.order_headers(shop.documents(), shop.cfg)
+    docs = docs.selectExpr("*", f"{L.DOCUMENT_ITEMS_VALUE} as items_value").drop("line_items")
+    values = grouped(
+        shop.oversized_lines(), ["order_number"], f"{sum_units(L.VALUE_UNITS)} as items_value"
     )
-    long_values = shop.oversized_lines().groupBy("order_number").agg(
-        sum_units(L.value_units()).alias("items_value")
-    )
-    flat = shop.headers(customer=True).join(long_values, "order_number")
-    both = docs.drop("line_items").unionByName(flat)
-    amounts = ["order_shipping", "undistributed_discount", "items_value"]
-    return both.select(
+    both = docs.unionByName(shop.headers(customer=True).join(values, "order_number"))
+    return both.selectExpr(
         "order_number",
         "order_id",
         "order_date",
@@ -198,18 +204,14 @@ def order_fields(shop: ShopTables) -> DataFrame:
         "payment_method",
         "city",
         "discount_code",
-        *[as_double(F.col(c)).alias(c) for c in amounts],
+        *_doubles("order_shipping", "undistributed_discount", "items_value"),
     )
 
 
 def order_level(shop: ShopTables) -> DataFrame:
     active = L.active(_lines(shop), shop.cfg)
-    return O.order_level(active, shop.cfg).select(
-        "order_number",
-        "order_id",
-        "payment_method",
-        money_out(F.col("revenue")).alias("revenue"),
-        money_out(F.col("revenue_excl_mva")).alias("revenue_excl_mva"),
+    return O.order_level(active, shop.cfg).selectExpr(
+        "order_number", "order_id", "payment_method", *rounded("revenue", "revenue_excl_mva")
     )
 
 
@@ -218,17 +220,13 @@ _TOTALS = ["revenue_excl_mva", "total_cost", "total_discount", "shipping_revenue
 
 def order_totals(shop: ShopTables) -> DataFrame:
     totals = O.order_totals(L.active(_lines(shop, customer=True), shop.cfg))
-    return totals.select(
-        "order_number",
-        "order_date",
-        "discount_code",
-        "customer_email",
-        *[money_out(F.col(c)).alias(c) for c in _TOTALS],
+    return totals.selectExpr(
+        "order_number", "order_date", "discount_code", "customer_email", *rounded(*_TOTALS)
     )
 
 
 def order_table(shop: ShopTables) -> DataFrame:
-    return _all_orders_and_first_line(shop).select(
+    return _all_orders_and_first_line(shop).selectExpr(
         "order_number",
         "order_date",
         "is_refunded",
@@ -236,20 +234,20 @@ def order_table(shop: ShopTables) -> DataFrame:
         "customer_email",
         "n_lines",
         "unpriced_lines",
-        *[money_out(F.col(c)).alias(c) for c in [*_TOTALS, "profit", "first_line_discount"]],
+        *rounded(*_TOTALS, "profit", "first_line_discount"),
     )
 
 
 def actual_fee_lookup(shop: ShopTables) -> DataFrame:
     card_fees = fees.card_fees_by_order(shop.card_transactions())
-    return O.with_actual_fee(_placed(shop), card_fees).select(
-        "order_number", "order_id", money_out(F.col("actual_fee")).alias("actual_fee")
+    return O.with_actual_fee(_placed(shop), card_fees).selectExpr(
+        "order_number", "order_id", *rounded("actual_fee")
     )
 
 
 def txn_fee(shop: ShopTables) -> DataFrame:
-    return _with_fee(shop, _sold(shop)).select(
-        "order_number", "payment_method", money_out(F.col("txn_fee")).alias("txn_fee")
+    return _with_fee(shop, _sold(shop)).selectExpr(
+        "order_number", "payment_method", *rounded("txn_fee")
     )
 
 
@@ -257,55 +255,40 @@ def txn_fee(shop: ShopTables) -> DataFrame:
 
 
 def card_fees_by_order(shop: ShopTables) -> DataFrame:
-    return fees.card_fees_by_order(shop.card_transactions()).select(
-        "order_id", money_out(F.col("actual_fee")).alias("actual_fee")
+    return fees.card_fees_by_order(shop.card_transactions()).selectExpr(
+        "order_id", *rounded("actual_fee")
     )
 
 
 def wallet_fee_summary(shop: ShopTables) -> DataFrame:
-    return _wallet(shop).select(
-        "total_fees",
-        "total_captured",
-        ratio_out(F.col("avg_rate")).alias("avg_rate"),
-        "num_transactions",
+    return _wallet(shop).selectExpr(
+        "total_fees", "total_captured", *_doubles("avg_rate"), "num_transactions"
     )
 
 
 def _named_amounts(costs: DataFrame) -> DataFrame:
-    return costs.select("name", as_double(F.col("amount")).alias("amount"))
+    return costs.selectExpr("name", *_doubles("amount"))
 
 
 def product_costs(shop: ShopTables) -> DataFrame:
-    return shop.costs().select("product_key", as_double(F.col("cost_price")).alias("cost_price"))
+    return shop.costs().selectExpr("product_key", *_doubles("cost_price"))
 
 
-def parse_currency_cells(shop: ShopTables) -> DataFrame:
+def _parsed(rows: DataFrame, parse: Callable[[Column], Column]) -> DataFrame:
     cell = F.coalesce(strip(F.col("amount")), F.lit(""))
-    return shop.fixed_sheet().select(
-        "row_pos", as_double(parse_currency(cell)).alias("amount")
-    )
-
-
-def parse_fixed_cells(shop: ShopTables) -> DataFrame:
-    return shop.per_order_sheet().select(
-        "row_pos", as_double(parse_fixed_amount(F.col("amount"))).alias("amount")
+    return rows.select("row_pos", parse(cell).alias("amount")).selectExpr(
+        "row_pos", *_doubles("amount")
     )
 
 
 def fee_rules(shop: ShopTables) -> DataFrame:
-    return sheets.fee_rules(shop.per_order_sheet()).select(
-        "method",
-        as_double(F.col("rate")).alias("rate"),
-        as_double(F.col("fixed")).alias("fixed"),
+    return sheets.fee_rules(shop.per_order_sheet()).selectExpr(
+        "method", *_doubles("rate", "fixed")
     )
 
 
-def fixed_monthly_total(shop: ShopTables) -> DataFrame:
-    return sheets.total_amount(_fixed(shop)).select(money_out(F.col("total")).alias("total"))
-
-
-def per_order_total(shop: ShopTables) -> DataFrame:
-    return sheets.total_amount(_per_order(shop)).select(money_out(F.col("total")).alias("total"))
+def _sheet_total(costs: DataFrame) -> DataFrame:
+    return sheets.total_amount(costs).selectExpr(*rounded("total"))
 
 
 def sink_tables(shop: ShopTables) -> DataFrame:
@@ -315,12 +298,9 @@ def sink_tables(shop: ShopTables) -> DataFrame:
     write_table(_lines(shop), line_path, "order_number", "line_pos")
     write_table(_all_orders(shop), order_path, "order_number")
     orders = L.active(read_table(shop.spark, order_path), shop.cfg)
-    weeks = trends.weekly_profit(orders)
     lines = L.active(read_table(shop.spark, line_path), shop.cfg)
-    per_week = lines.groupBy(trends.week_start(F.col("order_date")).alias("week")).agg(
-        F.count(F.lit(1)).alias("n_lines")
-    )
-    return weeks.join(per_week, "week")
+    per_week = grouped(lines, [trends.WEEK], "count(1) as n_lines")
+    return trends.weekly_profit(orders).join(per_week, "week")
 
 
 # --- streaming ----------------------------------------------------------------------
@@ -335,9 +315,8 @@ def incremental_orders(shop: ShopTables) -> DataFrame:
     docs = L.order_headers(S.current_orders(shop.spark, table), shop.cfg)
     costs = shop.cost_lookup()
     nested = O.order_table(docs.drop("line_items"), L.raw_lines(docs), shop.cfg, costs)
-    flat = O.order_table(
-        shop.headers(customer=True), shop.oversized_lines(), shop.cfg, costs
-    )
+    headers = shop.headers(customer=True)
+    flat = O.order_table(headers, shop.oversized_lines(), shop.cfg, costs)
     return trends.weekly_profit(L.active(nested.unionByName(flat), shop.cfg))
 
 
@@ -353,15 +332,16 @@ def _streaming_sales(shop: ShopTables, period: str) -> DataFrame:
     )
     streamed = S.current_sales(shop.spark, table)
     oversized = O.order_table(shop.headers(), shop.oversized_lines(), shop.cfg)
-    day = F.col("order_date") if period == S.DAY else trends.week_start(F.col("order_date"))
-    flat = L.active(oversized, shop.cfg).select(
-        day.alias("period_start"), F.lit(1).cast("long").alias("orders"), "revenue", "revenue_excl_mva"
+    start = "order_date" if period == S.DAY else week_start("order_date")
+    flat = L.active(oversized, shop.cfg).selectExpr(
+        f"{start} as period_start", "1L as orders", "revenue", "revenue_excl_mva"
     )
-    merged = streamed.unionByName(flat).groupBy("period_start")
-    return merged.agg(
-        F.sum("orders").alias("orders"),
-        money_out(F.sum("revenue")).alias("revenue"),
-        money_out(F.sum("revenue_excl_mva")).alias("revenue_excl_mva"),
+    return grouped(
+        streamed.unionByName(flat),
+        ["period_start"],
+        "sum(orders) as orders",
+        f"{money_out('sum(revenue)')} as revenue",
+        f"{money_out('sum(revenue_excl_mva)')} as revenue_excl_mva",
     )
 
 
@@ -369,12 +349,7 @@ def _streaming_sales(shop: ShopTables, period: str) -> DataFrame:
 
 
 def _margin_lines(shop: ShopTables) -> DataFrame:
-    lines = _lines(shop)
-    return lines.select(
-        *_LINE_KEY,
-        *[money_out(F.col(c)).alias(c) for c in ("total_cost", "profit")],
-        "margin_pct",
-    )
+    return _lines(shop).selectExpr(*_LINE_KEY, *rounded("total_cost", "profit"), "margin_pct")
 
 
 def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
@@ -387,12 +362,12 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "wallet_fee_summary": wallet_fee_summary,
         "product_costs": product_costs,
         "fixed_monthly_costs": lambda s: _named_amounts(_fixed(s)),
-        "fixed_monthly_total": fixed_monthly_total,
-        "parse_currency": parse_currency_cells,
+        "fixed_monthly_total": lambda s: _sheet_total(_fixed(s)),
+        "parse_currency": lambda s: _parsed(s.fixed_sheet(), parse_currency),
         "per_order_costs": lambda s: _named_amounts(_per_order(s)),
-        "per_order_total": per_order_total,
+        "per_order_total": lambda s: _sheet_total(_per_order(s)),
         "parse_fee_rule": fee_rules,
-        "parse_fixed_amount": parse_fixed_cells,
+        "parse_fixed_amount": lambda s: _parsed(s.per_order_sheet(), parse_fixed_amount),
         "sink_tables": sink_tables,
         # lines
         "line_items": line_items,
@@ -404,13 +379,13 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "vat_split": lambda s: _amounts(
             _priced(s), "revenue_excl_mva", "mva_collected", "shipping_revenue_excl_mva"
         ),
-        "cost_join": lambda s: L.cost_join(s.lines(), s.costs()).select(
-            *_LINE_KEY, as_double(F.col("cost_price")).alias("cost_price")
+        "cost_join": lambda s: L.cost_join(s.lines(), s.costs()).selectExpr(
+            *_LINE_KEY, *_doubles("cost_price")
         ),
         "line_profit": _margin_lines,
-        "refund_flag": lambda s: L.with_refund_flag(O.with_lines(s.headers(), s.order_keys()), s.cfg).select(
-            "order_number", "financial_status", "is_refunded"
-        ),
+        "refund_flag": lambda s: L.with_refund_flag(
+            O.with_lines(s.headers(), s.order_keys()), s.cfg
+        ).select("order_number", "financial_status", "is_refunded"),
         "active_lines": lambda s: _amounts(L.active(_priced(s), s.cfg), "revenue_excl_mva"),
         # orders
         "order_level": order_level,

@@ -1,31 +1,27 @@
-"""Calendar expressions on shop wall-clock time; the session zone plays no part."""
+"""Calendar expressions on shop wall-clock time; the session zone plays no part.
 
-from __future__ import annotations
+All helpers take and return SQL expression text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def wall_date(created_at: Column) -> Column:
-    return F.to_date(F.left(created_at, F.lit(10)))
+def wall_date(created_at: str) -> str:
+    return f"to_date(left({created_at}, 10))"
 
 
-def wall_hour(created_at: Column) -> Column:
+def wall_hour(created_at: str) -> str:
     """Hour as the shop's clock showed it, whatever the offset in the text."""
-    return F.substring(created_at, 12, 2).cast("int")
+    return f"cast(substring({created_at}, 12, 2) as int)"
 
 
-def wall_seconds(created_at: Column) -> Column:
+def wall_seconds(created_at: str) -> str:
     """Wall-clock time as seconds, for event-time windows that follow shop days."""
-    days = F.datediff(wall_date(created_at), F.lit("1970-01-01").cast("date"))
-    seconds = (
-        F.substring(created_at, 12, 2).cast("long") * 3600
-        + F.substring(created_at, 15, 2).cast("long") * 60
-        + F.substring(created_at, 18, 2).cast("long")
-    )
-    return days.cast("long") * 86400 + seconds
+    part = lambda at, weight: f"cast(substring({created_at}, {at}, 2) as bigint) * {weight}"
+    days = f"cast(datediff({wall_date(created_at)}, date'1970-01-01') as bigint)"
+    return f"({days} * 86400 + {part(12, 3600)} + {part(15, 60)} + {part(18, 1)})"
 
 
-def week_start(day: Column) -> Column:
+def week_start(day: str) -> str:
     """Monday of the week."""
-    return F.date_sub(day, F.weekday(day))
+    return f"date_sub({day}, weekday({day}))"

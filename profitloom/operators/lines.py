@@ -7,155 +7,134 @@ line table is asked for, amounts are whole-number units (see functions.money).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import (
     AMOUNT,
+    MONEY,
     SHARE,
     SHARE_UNITS,
+    cast,
     from_units,
     margin_pct,
-    money,
+    quote,
     sum_units,
     to_units,
     without_vat,
-    zero,
 )
 from profitloom.functions.time import wall_date
 from profitloom.operators.skew import join_group_rows, left_join_lookup
 from profitloom.sources.sheets import CostLookup
 
 _SUM = "decimal(28,4)"
+VALUE_UNITS = "price_units * quantity"
 
 
-def _text_money(col: Column) -> Column:
-    return money(F.coalesce(col, F.lit("0")))
+def _text_money(x: str) -> str:
+    return cast(f"coalesce({x}, '0')", MONEY)
 
 
-def _sum_of(array: str, value) -> Column:
-    """Sum of an expression over an array; a missing array sums to 0."""
-    start = zero(_SUM)
-    added = F.aggregate(array, start, lambda acc, item: (acc + value(item)).cast(_SUM))
-    return F.coalesce(added, start)
+def _sum_of(array: str, value: str) -> str:
+    """Sum of an expression over the items ``x`` of an array; a missing array sums to 0."""
+    zero = f"cast(0 as {_SUM})"
+    return f"coalesce(aggregate({array}, {zero}, (acc, x) -> cast(acc + {value} as {_SUM})), 0)"
 
 
-def _filled(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
-
-
-def discount_code(code: Column, order_number: Column, cfg: ProfitConfig) -> Column:
+def discount_code(code: str, order_number: str, cfg: ProfitConfig) -> str:
     """The code credited with an order: a set override, else its own, else none."""
-    code = F.coalesce(code, F.lit(C.NO_DISCOUNT))
+    own = f"coalesce({code}, {quote(C.NO_DISCOUNT)})"
     if not cfg.discount_code_overrides:
-        return code
-    pairs = []
-    for number, override in cfg.discount_code_overrides.items():
-        pairs += [F.lit(number).cast("long"), F.lit(override)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), order_number.cast("long")), code)
+        return own
+    whens = " ".join(
+        f"when {int(number)} then {quote(override)}"
+        for number, override in cfg.discount_code_overrides.items()
+    )
+    return f"case {order_number} {whens} else {own} end"
 
 
-def is_refunded(cfg: ProfitConfig) -> Column:
-    return F.col("financial_status").isin(*cfg.refunded_statuses)
+def is_refunded(cfg: ProfitConfig) -> str:
+    listed = ", ".join(quote(status) for status in cfg.refunded_statuses)
+    return f"financial_status in ({listed})"
 
 
 def active(df: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Rows of orders that were not refunded."""
-    return df.filter(~is_refunded(cfg))
+    return df.filter(f"not ({is_refunded(cfg)})")
 
 
 # --- nested order documents ---------------------------------------------------
 
+# Sums over one document's lines.
+DOCUMENT_DISCOUNTS = _sum_of("line_items", _text_money("x.total_discount"))
+DOCUMENT_ITEMS_VALUE = _sum_of(
+    "line_items", cast(f"{_text_money('x.price')} * coalesce(x.quantity, 0)", MONEY)
+)
+
 
 def order_headers(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """One row per document: order fields, shipping and discount left to allocate."""
-    left_over = _text_money(F.col("total_discounts")) - document_discounts()
-    return docs.select(
+    unknown = quote(C.UNKNOWN)
+    shipping = _sum_of("shipping_lines", _text_money("x.price"))
+    left_over = f"greatest(0, {_text_money('total_discounts')} - {DOCUMENT_DISCOUNTS})"
+    code = discount_code("get(discount_codes, 0).code", "order_number", cfg)
+    return docs.selectExpr(
         "order_number",
-        F.col("id").alias("order_id"),
-        wall_date(F.col("created_at")).alias("order_date"),
-        F.col("created_at").alias("order_created_at"),
+        "id as order_id",
+        f"{wall_date('created_at')} as order_date",
+        "created_at as order_created_at",
         "currency",
-        F.coalesce("financial_status", F.lit("")).alias("financial_status"),
-        F.coalesce(_filled(F.col("fulfillment_status")), F.lit(C.UNFULFILLED)).alias(
-            "fulfillment_status"
-        ),
-        F.col("email").alias("customer_email"),
-        F.coalesce(F.get("payment_gateway_names", F.lit(0)), F.lit(C.UNKNOWN)).alias(
-            "payment_method"
-        ),
-        F.coalesce(
-            _filled(F.col("shipping_address.city")),
-            _filled(F.col("billing_address.city")),
-            F.lit(C.UNKNOWN),
-        ).alias("city"),
-        discount_code(
-            F.get("discount_codes", F.lit(0))["code"], F.col("order_number"), cfg
-        ).alias("discount_code"),
-        money(_sum_of("shipping_lines", lambda s: _text_money(s["price"]))).alias(
-            "order_shipping"
-        ),
-        money(F.greatest(zero(), left_over)).alias("undistributed_discount"),
+        "coalesce(financial_status, '') as financial_status",
+        f"coalesce(nullif(fulfillment_status, ''), {quote(C.UNFULFILLED)}) as fulfillment_status",
+        "email as customer_email",
+        f"coalesce(get(payment_gateway_names, 0), {unknown}) as payment_method",
+        "coalesce(nullif(shipping_address.city, ''), nullif(billing_address.city, ''), "
+        f"{unknown}) as city",
+        f"{code} as discount_code",
+        f"{cast(shipping, MONEY)} as order_shipping",
+        f"{cast(left_over, MONEY)} as undistributed_discount",
         "line_items",
     )
 
 
-def document_discounts() -> Column:
-    """Discount already given on a document's lines."""
-    return _sum_of("line_items", lambda li: _text_money(li["total_discount"]))
-
-
-def document_items_value() -> Column:
-    """Price times quantity summed over a document's lines."""
-    return _sum_of(
-        "line_items",
-        lambda li: money(_text_money(li["price"]) * F.coalesce(li["quantity"], F.lit(0))),
-    )
+def product_key(title: str, variant: str) -> str:
+    """Name under which the cost sheet lists a product."""
+    return f"case when {variant} <> '' then concat_ws(' ', {title}, {variant}) else {title} end"
 
 
 def raw_lines(headers: DataFrame, *keep: str) -> DataFrame:
     """One row per line of each document, in document order."""
-    opened = headers.select(
-        "order_number", *keep, F.posexplode("line_items").alias("line_pos", "li")
+    opened = headers.selectExpr(
+        "order_number", *keep, "posexplode(line_items) as (line_pos, li)"
     )
-    title = F.coalesce(F.col("li.title"), F.lit(""))
-    variant = F.col("li.variant_title")
-    return opened.select(
+    title = "coalesce(li.title, '')"
+    return opened.selectExpr(
         "order_number",
         *keep,
         "line_pos",
-        product_key(title, variant).alias("product_key"),
-        title.alias("product_title"),
-        variant.alias("variant_title"),
-        F.coalesce("li.quantity", F.lit(0)).alias("quantity"),
-        to_units(_text_money(F.col("li.price"))).alias("price_units"),
-        to_units(_text_money(F.col("li.total_discount"))).alias("discount_units"),
-        F.col("li.product_id").alias("product_id"),
-        F.col("li.variant_id").alias("variant_id"),
+        f"{product_key(title, 'li.variant_title')} as product_key",
+        f"{title} as product_title",
+        "li.variant_title as variant_title",
+        "coalesce(li.quantity, 0) as quantity",
+        f"{to_units(_text_money('li.price'))} as price_units",
+        f"{to_units(_text_money('li.total_discount'))} as discount_units",
+        "li.product_id as product_id",
+        "li.variant_id as variant_id",
     )
 
 
-def product_key(title: Column, variant: Column) -> Column:
-    """Name under which the cost sheet lists a product."""
-    return F.when(_filled(variant).isNotNull(), F.concat_ws(" ", title, variant)).otherwise(title)
-
-
 def allocate_documents(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Lines of documents with allocated discount and shipping; narrow, no shuffle."""
-    headers = order_headers(docs, cfg).withColumn("items_value", document_items_value())
+    headers = order_headers(docs, cfg).selectExpr("*", f"{DOCUMENT_ITEMS_VALUE} as items_value")
     fields = [c for c in headers.columns if c not in ("order_number", "line_items")]
-    return _allocated(raw_lines(headers, *fields), F.col("line_pos") == 0)
+    return _allocated(raw_lines(headers, *fields), "line_pos = 0")
 
 
 # --- flat header and line tables ----------------------------------------------
 
 
-def value_units() -> Column:
-    return F.col("price_units") * F.col("quantity")
-
-
 def allocate(headers: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Flat headers and lines to the same allocated lines.
 
@@ -163,61 +142,58 @@ def allocate(headers: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFra
     before the shuffle, joined back to the lines. Unlike a window over the order,
     neither step needs all lines of a huge order in a single task.
     """
-    per_order = lines.groupBy("order_number").agg(
-        sum_units(value_units()).alias("items_value"),
-        F.min("line_pos").alias("first_pos"),
-        F.count(F.lit(1)).alias("n_lines"),
+    per_order = grouped(
+        lines,
+        ["order_number"],
+        f"{sum_units(VALUE_UNITS)} as items_value",
+        "min(line_pos) as first_pos",
+        "count(1) as n_lines",
     )
-    orders = headers.join(per_order, "order_number")
     joined = join_group_rows(
-        lines, orders, "order_number", "line_pos", "n_lines", cfg.huge_order_lines
-    )
-    return _allocated(joined, F.col("line_pos") == F.col("first_pos")).drop(
-        "first_pos", "n_lines", "salt"
+        lines,
+        headers.join(per_order, "order_number"),
+        "order_number",
+        "line_pos",
+        "n_lines",
+        cfg.huge_order_lines,
     )
+    return _allocated(joined, "line_pos = first_pos").drop("first_pos", "n_lines", "salt")
 
 
 # --- shared steps ---------------------------------------------------------------
 
 
-def share_units(value: Column) -> Column:
+def share_units(value: str) -> str:
     """Part of the order's left-over discount that falls on ``value`` (an amount as
     double) worth of its items, in units of 1e-9."""
-    left_over = F.col("undistributed_discount").cast("double")
-    items = F.col("items_value").cast("double")
-    part = left_over * (value / F.nullif(items, F.lit(0.0)))
-    units = F.rint(part * F.lit(float(10**SHARE_UNITS))).cast("long")
-    return F.when((left_over > 0) & (items > 0), units).otherwise(F.lit(0).cast("long"))
-
-
-def _allocated(lines: DataFrame, is_first: Column) -> DataFrame:
-    value = value_units()
-    shipping = F.when(is_first & (F.col("order_shipping") > 0), to_units(F.col("order_shipping")))
-    return lines.withColumns(
-        {
-            "value_units": value,
-            "share_units": share_units(value / F.lit(1e4)),
-            "shipping_units": F.coalesce(shipping, F.lit(0).cast("long")),
-        }
+    part = f"cast(undistributed_discount as double) * ({value} / nullif(cast(items_value as double), 0d))"
+    return (
+        "case when undistributed_discount > 0 and items_value > 0 "
+        f"then cast(rint({part} * {float(10**SHARE_UNITS)}d) as bigint) else 0L end"
+    )
+
+
+def _allocated(lines: DataFrame, is_first: str) -> DataFrame:
+    shipping = to_units("order_shipping")
+    return lines.selectExpr(
+        "*",
+        f"{VALUE_UNITS} as value_units",
+        f"{share_units(f'({VALUE_UNITS}) / 10000d')} as share_units",
+        f"case when {is_first} and order_shipping > 0 then {shipping} else 0L end"
+        " as shipping_units",
     ).drop("order_shipping", "undistributed_discount", "items_value")
 
 
 def line_table(allocated: DataFrame) -> DataFrame:
     """Allocated lines with their amounts as decimals."""
-    share = from_units(F.col("share_units"), SHARE_UNITS, SHARE)
-    units = ["price_units", "discount_units", "value_units", "share_units", "shipping_units"]
-    return (
-        allocated.withColumns(
-            {
-                "unit_price": from_units(F.col("price_units")),
-                "item_discount": from_units(F.col("discount_units")),
-                "order_discount_share": share,
-                "shipping_revenue": from_units(F.col("shipping_units")),
-            }
-        )
-        .withColumn("total_discount", F.col("item_discount") + F.col("order_discount_share"))
-        .drop(*units)
-    )
+    return allocated.selectExpr(
+        "*",
+        f"{from_units('price_units')} as unit_price",
+        f"{from_units('discount_units')} as item_discount",
+        f"{from_units('share_units', SHARE_UNITS, SHARE)} as order_discount_share",
+        f"{from_units('shipping_units')} as shipping_revenue",
+        "item_discount + order_discount_share as total_discount",
+    ).drop("price_units", "discount_units", "value_units", "share_units", "shipping_units")
 
 
 def line_items(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
@@ -227,20 +203,22 @@ def line_items(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
 
 def line_revenue(lines: DataFrame) -> DataFrame:
     """Item revenue, and revenue with shipping."""
-    items = money(F.col("unit_price") * F.col("quantity")) - F.col("total_discount")
-    return lines.withColumn("item_revenue", items.cast(AMOUNT)).withColumn(
-        "revenue", (F.col("item_revenue") + F.col("shipping_revenue")).cast(AMOUNT)
+    items = f"{cast('unit_price * quantity', MONEY)} - total_discount"
+    return lines.selectExpr(
+        "*",
+        f"{cast(items, AMOUNT)} as item_revenue",
+        f"{cast('item_revenue + shipping_revenue', AMOUNT)} as revenue",
     )
 
 
 def vat_split(lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Revenue and shipping without VAT, and the VAT itself."""
-    return lines.withColumns(
-        {
-            "revenue_excl_mva": without_vat(F.col("revenue"), cfg.vat_rate),
-            "shipping_revenue_excl_mva": without_vat(F.col("shipping_revenue"), cfg.vat_rate),
-        }
-    ).withColumn("mva_collected", (F.col("revenue") - F.col("revenue_excl_mva")).cast(AMOUNT))
+    return lines.selectExpr(
+        "*",
+        f"{without_vat('revenue', cfg.vat_rate)} as revenue_excl_mva",
+        f"{without_vat('shipping_revenue', cfg.vat_rate)} as shipping_revenue_excl_mva",
+        f"{cast('revenue - revenue_excl_mva', AMOUNT)} as mva_collected",
+    )
 
 
 def cost_join(lines: DataFrame, costs: DataFrame, dedupe: bool = False) -> DataFrame:
@@ -252,35 +230,33 @@ def cost_join(lines: DataFrame, costs: DataFrame, dedupe: bool = False) -> DataF
     """
     costs = costs.select("product_key", "cost_price")
     if dedupe:
-        costs = costs.groupBy("product_key").agg(F.min("cost_price").alias("cost_price"))
+        costs = grouped(costs, ["product_key"], "min(cost_price) as cost_price")
     return lines.join(costs, "product_key", "left")
 
 
 def weigh_lines(lines: DataFrame, costs: CostLookup) -> DataFrame:
     """Add cost units and listing counts by product key, without repeating any line."""
     weighed = left_join_lookup(lines, costs.weights, "product_key", "line_pos", costs.fits)
-    none = F.lit(0).cast("long")
-    return weighed.withColumns(
-        {
-            "copies": F.coalesce("copies", F.lit(1).cast("long")),
-            "priced": F.coalesce("priced", none),
-            "cost_units": F.coalesce("cost_units", none),
-        }
+    return weighed.selectExpr(
+        *lines.columns,
+        "coalesce(copies, 1L) as copies",
+        "coalesce(priced, 0L) as priced",
+        "coalesce(cost_units, 0L) as cost_units",
     )
 
 
 def line_profit(lines: DataFrame) -> DataFrame:
     """Cost, profit and margin of each line; missing where the cost is."""
-    cost = (F.col("cost_price") * F.col("quantity")).cast(AMOUNT)
-    return (
-        lines.withColumn("total_cost", cost)
-        .withColumn("profit", (F.col("revenue_excl_mva") - F.col("total_cost")).cast(AMOUNT))
-        .withColumn("margin_pct", margin_pct(F.col("profit"), F.col("revenue_excl_mva")))
+    return lines.selectExpr(
+        "*",
+        f"{cast('cost_price * quantity', AMOUNT)} as total_cost",
+        f"{cast('revenue_excl_mva - total_cost', AMOUNT)} as profit",
+        f"{margin_pct('profit', 'revenue_excl_mva')} as margin_pct",
     )
 
 
 def with_refund_flag(lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    return lines.withColumn("is_refunded", is_refunded(cfg))
+    return lines.selectExpr("*", f"{is_refunded(cfg)} as is_refunded")
 
 
 def enriched_lines(

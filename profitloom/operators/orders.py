@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import (
     AMOUNT,
+    MONEY,
     SHARE,
     SHARE_UNITS,
+    cast,
     from_units,
-    money,
+    quote,
     sum_units,
     total,
     without_vat,
-    zero,
 )
-from profitloom.operators.lines import is_refunded, share_units, value_units, weigh_lines
+from profitloom.operators.lines import VALUE_UNITS, is_refunded, share_units, weigh_lines
 from profitloom.sources.sheets import CostLookup
 
 
-def _first(name: str) -> Column:
+def _first(name: str) -> str:
     """First value of the order that is not missing, in line order."""
-    present = F.when(F.col(name).isNotNull(), F.col("line_pos"))
-    return F.min_by(name, present).alias(name)
+    return f"min_by({name}, line_pos) filter (where {name} is not null) as {name}"
+
+
+def _summed(name: str) -> str:
+    return f"{cast(total(name), AMOUNT)} as {name}"
 
 
 # --- from enriched lines --------------------------------------------------------
@@ -33,20 +38,23 @@ def _first(name: str) -> Column:
 
 def order_level(lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Id, payment method and revenue per order."""
-    grouped = lines.groupBy("order_number").agg(
-        _first("order_id"),
-        _first("payment_method"),
-        total(F.col("revenue")).cast(AMOUNT).alias("revenue"),
+    per_order = grouped(
+        lines, ["order_number"], _first("order_id"), _first("payment_method"), _summed("revenue")
     )
-    return grouped.withColumn("revenue_excl_mva", without_vat(F.col("revenue"), cfg.vat_rate))
+    net = without_vat("revenue", cfg.vat_rate)
+    return per_order.selectExpr("*", f"{net} as revenue_excl_mva")
 
 
 def order_totals(lines: DataFrame) -> DataFrame:
     """Date, sums, code and customer per order."""
-    sums = ["revenue_excl_mva", "total_cost", "total_discount", "shipping_revenue"]
-    return lines.groupBy("order_number").agg(
-        F.min("order_date").alias("order_date"),
-        *[total(F.col(c)).cast(AMOUNT).alias(c) for c in sums],
+    return grouped(
+        lines,
+        ["order_number"],
+        "min(order_date) as order_date",
+        _summed("revenue_excl_mva"),
+        _summed("total_cost"),
+        _summed("total_discount"),
+        _summed("shipping_revenue"),
         _first("discount_code"),
         _first("customer_email"),
     )
@@ -80,103 +88,86 @@ def order_table(
     Without ``costs`` there are no cost and profit columns, and every line counts
     once. ``first_line`` adds the discount on the first line alone.
     """
-    rows = lines.withColumn("value_units", value_units())
+    rows = lines.selectExpr("*", f"{VALUE_UNITS} as value_units")
     if costs is not None:
         rows = weigh_lines(rows, costs)
-    per_order = rows.groupBy("order_number").agg(*_line_sums(costs, first_line))
-    orders = headers.join(per_order, "order_number").withColumn("is_refunded", is_refunded(cfg))
-    if costs is None or not costs.repeats:
-        orders = orders.withColumns(
-            {
-                "gross_sales": F.col("items_value"),
-                "own_discount": F.col("own_items_discount"),
-                "first_copies": F.lit(1),
-            }
-        )
-    shipping = F.greatest(F.col("order_shipping"), zero())
-    orders = orders.withColumns(
-        {
-            "total_discount": (F.col("own_discount") + _share("gross_sales")).cast(AMOUNT),
-            "shipping_revenue": money(shipping * F.col("first_copies")),
-        }
-    )
-    revenue = F.col("gross_sales") - F.col("total_discount") + F.col("shipping_revenue")
-    orders = orders.withColumn("revenue", revenue.cast(AMOUNT))
-    orders = orders.withColumn("revenue_excl_mva", without_vat(F.col("revenue"), cfg.vat_rate))
-    orders = orders.withColumn(
-        "mva_collected", (F.col("revenue") - F.col("revenue_excl_mva")).cast(AMOUNT)
-    )
+    per_order = grouped(rows, ["order_number"], *_line_sums(costs, first_line))
+    joined = headers.join(per_order, "order_number")
+
+    repeats = costs is not None and costs.repeats
+    gross = "gross_sales" if repeats else "items_value"
+    own = "own_discount" if repeats else "own_items_discount"
+    shipping = "greatest(order_shipping, 0)"
+    kept = [c for c in headers.columns if c not in ("order_shipping", "undistributed_discount")]
+    columns = [
+        *kept,
+        "n_lines",
+        f"{is_refunded(cfg)} as is_refunded",
+        gross if repeats else f"{gross} as gross_sales",
+        f"{cast(f'{own} + {_share(gross)}', AMOUNT)} as total_discount",
+        f"{cast(f'{shipping} * first_copies' if repeats else shipping, MONEY)} as shipping_revenue",
+        f"{cast(f'{gross} - total_discount + shipping_revenue', AMOUNT)} as revenue",
+        f"{without_vat('revenue', cfg.vat_rate)} as revenue_excl_mva",
+        f"{cast('revenue - revenue_excl_mva', AMOUNT)} as mva_collected",
+    ]
     if first_line:
-        discount = F.col("first_discount") + _share("first_value")
-        orders = orders.withColumn("first_line_discount", discount.cast(AMOUNT))
+        discount = f"first_discount + {_share('first_value')}"
+        columns.append(f"{cast(discount, AMOUNT)} as first_line_discount")
     if costs is not None:
-        priced = F.col("priced_value") - F.col("priced_discount") - _share("priced_value")
-        priced_revenue = (priced + shipping * F.col("first_priced")).cast(AMOUNT)
-        orders = orders.withColumn(
-            "priced_revenue_excl_mva", without_vat(priced_revenue, cfg.vat_rate)
-        ).withColumn(
-            "profit", (F.col("priced_revenue_excl_mva") - F.col("total_cost")).cast(AMOUNT)
+        priced = (
+            f"priced_value - priced_discount - {_share('priced_value')} "
+            f"+ {shipping} * first_priced"
         )
-    return orders.drop(*_WORKING)
-
-
-_WORKING = [
-    "own_discount",
-    "own_items_discount",
-    "order_shipping",
-    "undistributed_discount",
-    "items_value",
-    "first_copies",
-    "first_priced",
-    "first_value",
-    "first_discount",
-    "priced_value",
-    "priced_discount",
-]
+        columns += [
+            "unpriced_lines",
+            "total_cost",
+            f"{without_vat(cast(priced, AMOUNT), cfg.vat_rate)} as priced_revenue_excl_mva",
+            f"{cast('priced_revenue_excl_mva - total_cost', AMOUNT)} as profit",
+        ]
+    return joined.selectExpr(*columns)
 
 
-def _share(value: str) -> Column:
-    units = share_units(F.col(value).cast("double"))
-    return from_units(units, SHARE_UNITS, SHARE)
+def _share(value: str) -> str:
+    return from_units(share_units(f"cast({value} as double)"), SHARE_UNITS, SHARE)
 
 
-def _line_sums(costs: CostLookup | None, first_line: bool) -> list[Column]:
+def _line_sums(costs: CostLookup | None, first_line: bool) -> list[str]:
     """Sums over an order's lines; weighted by listings only where a key repeats."""
-    value, discount = F.col("value_units"), F.col("discount_units")
     sums = [
-        sum_units(value).alias("items_value"),
-        sum_units(discount).alias("own_items_discount"),
+        f"{sum_units('value_units')} as items_value",
+        f"{sum_units('discount_units')} as own_items_discount",
     ]
-    first = []
-    if costs is None or not costs.repeats:
-        sums.append(F.count(F.lit(1)).alias("n_lines"))
-    else:
+    repeats = costs is not None and costs.repeats
+    if repeats:
         sums += [
-            F.sum("copies").alias("n_lines"),
-            sum_units(value * F.col("copies")).alias("gross_sales"),
-            sum_units(discount * F.col("copies")).alias("own_discount"),
+            "sum(copies) as n_lines",
+            f"{sum_units('value_units * copies')} as gross_sales",
+            f"{sum_units('discount_units * copies')} as own_discount",
         ]
-        first.append("copies")
+    else:
+        sums.append("count(1) as n_lines")
+    # The smallest (position, values) pair is the first line with its values.
+    first = ["copies"] if repeats else []
     if costs is not None:
-        priced = F.col("priced")
-        listed = F.col("copies") if costs.repeats else F.lit(1)
         sums += [
-            F.sum(listed - priced).alias("unpriced_lines"),
-            sum_units(value * priced).alias("priced_value"),
-            sum_units(discount * priced).alias("priced_discount"),
-            sum_units(F.col("cost_units") * F.col("quantity")).cast(AMOUNT).alias("total_cost"),
+            f"sum({'copies' if repeats else '1L'} - priced) as unpriced_lines",
+            f"{sum_units('value_units * priced')} as priced_value",
+            f"{sum_units('discount_units * priced')} as priced_discount",
+            f"{cast(sum_units('cost_units * quantity'), AMOUNT)} as total_cost",
         ]
         first.append("priced")
     if first_line:
         first += ["value_units", "discount_units"]
-    if first:
-        # The smallest (position, values) pair is the first line with its values.
-        pair = F.min(F.struct("line_pos", *first))
-        names = {"value_units": "first_value", "discount_units": "first_discount"}
-        for name in first:
-            picked = pair[name]
-            amount = from_units(picked) if name in names else picked
-            sums.append(amount.alias(names.get(name, f"first_{name}")))
+    pair = f"min(struct(line_pos, {', '.join(first)}))"
+    if "copies" in first:
+        sums.append(f"{pair}.copies as first_copies")
+    if "priced" in first:
+        sums.append(f"{pair}.priced as first_priced")
+    if first_line:
+        sums += [
+            f"{from_units(f'{pair}.value_units')} as first_value",
+            f"{from_units(f'{pair}.discount_units')} as first_discount",
+        ]
     return sums
 
 
@@ -187,9 +178,8 @@ def with_actual_fee(orders: DataFrame, card_fees: DataFrame) -> DataFrame:
 
 def wallet_rate(wallet: DataFrame, cfg: ProfitConfig) -> Column:
     """Average wallet rate as a scalar, or the fallback without wallet data."""
-    rate = wallet.select("avg_rate").scalar()
-    fallback = F.lit(float(cfg.wallet_fallback_rate))
-    return F.when(F.coalesce(rate, F.lit(0.0)) > 0, rate).otherwise(fallback)
+    rate = f"case when avg_rate > 0 then avg_rate else {float(cfg.wallet_fallback_rate)}d end"
+    return wallet.selectExpr(f"{rate} as rate").scalar()
 
 
 def with_txn_fee(
@@ -200,16 +190,21 @@ def with_txn_fee(
     cfg: ProfitConfig,
 ) -> DataFrame:
     """Fee per order: the charged one, else the wallet rate, else the card rule."""
-    card_rule = rules.filter(F.col("method") == C.CARD_METHOD)
-    card_rate = card_rule.select("rate").scalar()
-    card_fixed = card_rule.select("fixed").scalar()
-    net = F.col("revenue_excl_mva").cast("double")
-    by_wallet = net * wallet_rate(wallet, cfg)
-    by_card = net * F.coalesce(card_rate, F.lit(0)).cast("double") + F.coalesce(
-        card_fixed, F.lit(0)
-    ).cast("double")
-    is_wallet = F.contains(F.lower("payment_method"), F.lit(C.WALLET_MARKER))
-    estimate = F.when(is_wallet, by_wallet).otherwise(by_card).cast("decimal(24,9)")
-    return with_actual_fee(orders, card_fees).withColumn(
-        "txn_fee", F.coalesce(F.col("actual_fee"), estimate).cast(AMOUNT)
+    card_rule = (
+        rules.filter(F.col("method") == C.CARD_METHOD)
+        .selectExpr("struct(cast(rate as double) as rate, cast(fixed as double) as fixed) as rule")
+        .scalar()
+    )
+    with_rules = with_actual_fee(orders, card_fees).withColumns(
+        {"wallet_rate": wallet_rate(wallet, cfg), "card_rule": card_rule}
+    )
+    net = "cast(revenue_excl_mva as double)"
+    estimate = (
+        f"case when contains(lower(payment_method), {quote(C.WALLET_MARKER)}) "
+        f"then {net} * wallet_rate "
+        f"else {net} * coalesce(card_rule.rate, 0d) + coalesce(card_rule.fixed, 0d) end"
+    )
+    fee = f"coalesce(actual_fee, {cast(estimate, 'decimal(24,9)')})"
+    return with_rules.selectExpr("*", f"{cast(fee, AMOUNT)} as txn_fee").drop(
+        "wallet_rate", "card_rule"
     )

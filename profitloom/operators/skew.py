@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
@@ -18,17 +18,11 @@ def left_join_lookup(
     """
     if fits:
         return rows.join(F.broadcast(lookup), key, "left")
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    copies = lookup.withColumn("salt", F.explode(salts))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    copies = lookup.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as salt")
+    salted = rows.selectExpr("*", f"cast(pmod(xxhash64({spread_by}), {SALTS}) as int) as salt")
     return salted.join(copies, [key, "salt"], "left").drop("salt")
 
 
-def pieces(n_rows: Column, limit: int) -> Column:
-    """Number of tasks a group of that many rows is split over."""
-    return F.greatest(F.ceil(n_rows / F.lit(limit)).cast("int"), F.lit(1))
-
-
 def join_group_rows(
     rows: DataFrame, groups: DataFrame, key: str, spread_by: str, n_rows: str, limit: int
 ) -> DataFrame:
@@ -38,14 +32,12 @@ def join_group_rows(
     such groups is broadcast: there are at most (all rows / limit) of them. A
     ``salt`` column, 0 for ordinary groups, stays on the result.
     """
-    count = pieces(F.col(n_rows), limit)
-    huge = groups.filter(F.col(n_rows) > limit).select(key, count.alias("pieces"))
-    salt = F.pmod(F.xxhash64(spread_by), F.col("pieces")).cast("int")
+    pieces = f"cast(ceil({n_rows} / {limit}) as int)"
+    huge = groups.filter(f"{n_rows} > {limit}").selectExpr(key, f"{pieces} as pieces")
+    salt = f"coalesce(cast(pmod(xxhash64({spread_by}), pieces) as int), 0)"
     salted = (
         rows.join(F.broadcast(huge), key, "left")
-        .withColumn("salt", F.coalesce(salt, F.lit(0)))
-        .drop("pieces")
+        .selectExpr(*rows.columns, f"{salt} as salt")
     )
-    opened = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1)))
+    opened = groups.selectExpr("*", f"explode(sequence(0, greatest({pieces}, 1) - 1)) as salt")
     return salted.join(opened, [key, "salt"])
-

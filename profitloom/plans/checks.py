@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import (
     SHARE_UNITS,
+    as_double,
+    cast,
     guarded_ratio,
     money_out,
-    ratio_out,
     sum_units,
     total,
 )
@@ -18,55 +19,40 @@ from profitloom.plans.pnl import totals
 
 def cost_coverage(orders: DataFrame) -> DataFrame:
     """Share of lines and of revenue that has a known cost."""
-    sums = orders.agg(
-        total(F.col("n_lines")).cast("long").alias("n_lines"),
-        total(F.col("n_lines") - F.col("unpriced_lines")).cast("long").alias("priced_lines"),
-        total(F.col("revenue_excl_mva")).alias("sales"),
-        total(F.col("priced_revenue_excl_mva")).alias("priced_sales"),
+    sums = orders.selectExpr(
+        f"{cast(total('n_lines'), 'bigint')} as n_lines",
+        f"{cast(total('n_lines - unpriced_lines'), 'bigint')} as priced_lines",
+        f"{total('revenue_excl_mva')} as sales",
+        f"{total('priced_revenue_excl_mva')} as priced_sales",
     )
-    return sums.select(
+    return sums.selectExpr(
         "n_lines",
         "priced_lines",
-        ratio_out(guarded_ratio(F.col("priced_lines"), F.col("n_lines"), 100)).alias(
-            "lines_pct"
-        ),
-        money_out(F.col("sales")).alias("revenue_excl_mva"),
-        money_out(F.col("priced_sales")).alias("priced_revenue_excl_mva"),
-        ratio_out(guarded_ratio(F.col("priced_sales"), F.col("sales"), 100)).alias(
-            "revenue_pct"
-        ),
+        f"{as_double(guarded_ratio('priced_lines', 'n_lines', 100))} as lines_pct",
+        f"{money_out('sales')} as revenue_excl_mva",
+        f"{money_out('priced_sales')} as priced_revenue_excl_mva",
+        f"{as_double(guarded_ratio('priced_sales', 'sales', 100))} as revenue_pct",
     )
 
 
 def duplicate_cost_keys(costs: DataFrame) -> DataFrame:
     """Keys listed more than once, each of which repeats its lines in the cost join."""
-    return (
-        costs.groupBy("product_key")
-        .agg(F.count(F.lit(1)).alias("listings"))
-        .filter(F.col("listings") > 1)
-    )
+    return grouped(costs, ["product_key"], "count(1) as listings").filter("listings > 1")
 
 
 def reconciliation(orders: DataFrame) -> DataFrame:
     """Do the books add up: one row per identity, both sides and their difference."""
-    row = totals(orders)
-    shop = F.col("gross_sales") - F.col("total_discount") + F.col("shipping_revenue")
-    vat = F.col("revenue_excl_mva") + F.col("mva_collected")
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("identity"),
-                        money_out(left).alias("left_side"),
-                        money_out(F.col("revenue")).alias("right_side"),
-                        money_out(left - F.col("revenue")).alias("difference"),
-                    )
-                    for name, left in (("sales", shop), ("vat", vat))
-                ]
-            )
-        )
+    sides = {
+        "sales": "gross_sales - total_discount + shipping_revenue",
+        "vat": "revenue_excl_mva + mva_collected",
+    }
+    rows = ", ".join(
+        f"struct('{name}' as identity, {money_out(left)} as left_side, "
+        f"{money_out('revenue')} as right_side, "
+        f"{money_out(f'{left} - revenue')} as difference)"
+        for name, left in sides.items()
     )
+    return totals(orders).selectExpr(f"inline(array({rows}))")
 
 
 def allocation_check(lines: DataFrame, headers: DataFrame) -> DataFrame:
@@ -75,20 +61,17 @@ def allocation_check(lines: DataFrame, headers: DataFrame) -> DataFrame:
     ``lines`` are allocated lines. An order whose items are worth nothing has its
     discount left unallocated.
     """
-    per_order = lines.groupBy("order_number").agg(
-        sum_units(F.col("share_units"), SHARE_UNITS).alias("share"),
-        sum_units(F.col("shipping_units")).alias("shipping"),
-        sum_units(F.col("value_units")).alias("value"),
-        F.count(F.lit(1)).alias("n_lines"),
+    per_order = grouped(
+        lines,
+        ["order_number"],
+        f"{sum_units('share_units', SHARE_UNITS)} as share",
+        f"{sum_units('shipping_units')} as shipping",
+        f"{sum_units('value_units')} as value",
+        "count(1) as n_lines",
     )
-    joined = headers.join(per_order, "order_number")
-    due = F.when(F.col("value") > 0, F.col("undistributed_discount")).otherwise(F.lit(0))
-    share_gap = F.abs(F.col("share") - due)
-    shipping_gap = F.abs(F.col("shipping") - F.col("order_shipping"))
-    return joined.agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.count_if(share_gap > F.col("n_lines") * F.lit(0.00001).cast("decimal(6,5)")).alias(
-            "orders_with_share_gap"
-        ),
-        F.count_if(shipping_gap > 0).alias("orders_with_shipping_gap"),
+    due = "if(value > 0, undistributed_discount, 0)"
+    return headers.join(per_order, "order_number").selectExpr(
+        "count(1) as orders",
+        f"count_if(abs(share - {due}) > n_lines * 0.00001) as orders_with_share_gap",
+        "count_if(abs(shipping - order_shipping) > 0) as orders_with_shipping_gap",
     )

@@ -7,63 +7,61 @@ from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import guarded_ratio, money_out, ratio_out, total
+from profitloom.functions.frames import grouped
+from profitloom.functions.money import as_double, guarded_ratio, money_out, quote, total
 
 
 def known_customers(orders: DataFrame) -> DataFrame:
     """Orders with an email; absent and empty ones do not make a customer."""
-    return orders.filter(F.coalesce("customer_email", F.lit("")) != "")
+    return orders.filter("coalesce(customer_email, '') <> ''")
 
 
 def _orders_per_customer(orders: DataFrame) -> DataFrame:
-    return known_customers(orders).groupBy("customer_email").agg(
-        F.count(F.lit(1)).alias("orders")
-    )
+    return grouped(known_customers(orders), ["customer_email"], "count(1) as orders")
 
 
 def repeat_customers(orders: DataFrame) -> DataFrame:
-    counts = _orders_per_customer(orders).agg(
-        F.count(F.lit(1)).alias("unique_customers"),
-        F.count_if(F.col("orders") >= 2).alias("repeat_customers"),
+    rate = guarded_ratio("count_if(orders >= 2)", "count(1)", 100)
+    return _orders_per_customer(orders).selectExpr(
+        "count(1) as unique_customers",
+        "count_if(orders >= 2) as repeat_customers",
+        f"{as_double(rate)} as repeat_rate_pct",
     )
-    rate = guarded_ratio(F.col("repeat_customers"), F.col("unique_customers"), 100)
-    return counts.select("*", ratio_out(rate).alias("repeat_rate_pct"))
 
 
 def order_frequency(orders: DataFrame) -> DataFrame:
     """Customers with one, two, and three or more orders; always three rows."""
     # The three labels.
-    labels = ("1 bestilling", "2 bestillinger", "3+ bestillinger")
-    n = F.col("orders")
-    counts = _orders_per_customer(orders).agg(
-        F.count_if(n == 1).alias(labels[0]),
-        F.count_if(n == 2).alias(labels[1]),
-        F.count_if(n >= 3).alias(labels[2]),
+    buckets = {"1 bestilling": "= 1", "2 bestillinger": "= 2", "3+ bestillinger": ">= 3"}
+    counts = _orders_per_customer(orders).selectExpr(
+        *[f"count_if(orders {size}) as `{label}`" for label, size in buckets.items()]
     )
-    return counts.unpivot([], list(labels), "order_frequency", "customers")
+    return counts.unpivot([], list(buckets), "order_frequency", "customers")
 
 
 def payment_summary(orders: DataFrame) -> DataFrame:
     """Orders and revenue per payment method, highest revenue first."""
-    names = F.create_map(*[F.lit(x) for pair in C.PAYMENT_NAMES.items() for x in pair])
-    method = F.col("payment_method")
-    summed = orders.groupBy("payment_method").agg(
-        F.count(F.lit(1)).alias("orders"), total(F.col("revenue_excl_mva")).alias("sales")
+    names = " ".join(f"when {quote(k)} then {quote(v)}" for k, v in C.PAYMENT_NAMES.items())
+    summed = grouped(
+        orders,
+        ["payment_method"],
+        "count(1) as orders",
+        f"{total('revenue_excl_mva')} as sales",
     )
-    return summed.orderBy(F.col("sales").desc(), "payment_method").select(
-        F.coalesce(F.try_element_at(names, method), method).alias("payment_method"),
+    return summed.orderBy(F.col("sales").desc(), "payment_method").selectExpr(
+        f"case payment_method {names} else payment_method end as payment_method",
         "orders",
-        money_out(F.col("sales")).alias("revenue_excl_mva"),
+        f"{money_out('sales')} as revenue_excl_mva",
     )
 
 
 def city_top(orders: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Cities with most orders."""
-    summed = orders.groupBy("city").agg(
-        F.count(F.lit(1)).alias("orders"), total(F.col("revenue_excl_mva")).alias("sales")
+    summed = grouped(
+        orders, ["city"], "count(1) as orders", f"{total('revenue_excl_mva')} as sales"
     )
     return (
         summed.orderBy(F.col("orders").desc(), "city")
         .limit(cfg.top_n)
-        .select("city", "orders", money_out(F.col("sales")).alias("revenue_excl_mva"))
+        .selectExpr("city", "orders", f"{money_out('sales')} as revenue_excl_mva")
     )

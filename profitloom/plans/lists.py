@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import as_double, margin_pct, money_out
+from profitloom.functions.frames import grouped
+from profitloom.functions.money import as_double, margin_pct, money_out, rounded
 from profitloom.operators.skew import join_group_rows
 
 
@@ -16,7 +17,7 @@ def open_orders(orders: DataFrame) -> DataFrame:
 
 
 def unfulfilled_count(orders: DataFrame) -> DataFrame:
-    return open_orders(orders).agg(F.count(F.lit(1)).alias("open_orders"))
+    return open_orders(orders).selectExpr("count(1) as open_orders")
 
 
 def unfulfilled_orders(orders: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
@@ -31,31 +32,31 @@ def unfulfilled_orders(orders: DataFrame, lines: DataFrame, cfg: ProfitConfig) -
     limit = cfg.huge_order_lines
     products = lines.select("order_number", "line_pos", "product_key")
     joined = join_group_rows(products, listed, "order_number", "line_pos", "n_lines", limit)
-    own_row = F.when(F.col("n_lines") > limit, F.col("line_pos"))
-    grouped = joined.groupBy(
-        "order_number", "salt", "order_date", "city", "revenue_excl_mva", own_row.alias("piece")
-    ).agg(
-        F.expr("listagg(product_key, ', ') WITHIN GROUP (ORDER BY line_pos)").alias("products")
+    texts = grouped(
+        joined,
+        [
+            "order_number",
+            "salt",
+            "order_date",
+            "city",
+            "revenue_excl_mva",
+            f"if(n_lines > {limit}, line_pos, null) as piece",
+        ],
+        "listagg(product_key, ', ') within group (order by line_pos) as products",
     )
-    return grouped.orderBy(F.col("order_date").desc(), "order_number", "piece").select(
-        "order_number",
-        "order_date",
-        "city",
-        money_out(F.col("revenue_excl_mva")).alias("revenue_excl_mva"),
-        "products",
+    return texts.orderBy(F.col("order_date").desc(), "order_number", "piece").selectExpr(
+        "order_number", "order_date", "city", *rounded("revenue_excl_mva"), "products"
     )
 
 
 def orders_summary(orders: DataFrame) -> DataFrame:
     """Every order with revenue, cost, profit and margin, newest first."""
-    return orders.orderBy(F.col("order_date").desc(), "order_number").select(
+    return orders.orderBy(F.col("order_date").desc(), "order_number").selectExpr(
         "order_number",
         "order_date",
         "financial_status",
-        money_out(F.col("revenue_excl_mva")).alias("revenue_excl_mva"),
-        money_out(F.col("total_cost")).alias("total_cost"),
-        money_out(F.col("profit")).alias("profit"),
-        margin_pct(F.col("profit"), F.col("revenue_excl_mva")).alias("margin_pct"),
+        *rounded("revenue_excl_mva", "total_cost", "profit"),
+        f"{margin_pct('profit', 'revenue_excl_mva')} as margin_pct",
     )
 
 
@@ -65,15 +66,15 @@ def line_detail(lines: DataFrame) -> DataFrame:
     The sort key goes on to order and line, so a very busy day is ranged over many
     tasks.
     """
-    return lines.orderBy(F.col("order_date").desc(), "order_number", "line_pos").select(
+    return lines.orderBy(F.col("order_date").desc(), "order_number", "line_pos").selectExpr(
         "order_number",
         "order_date",
         "product_key",
         "quantity",
-        as_double(F.col("unit_price")).alias("unit_price"),
-        money_out(F.col("revenue_excl_mva")).alias("revenue_excl_mva"),
-        as_double(F.col("cost_price")).alias("cost_price"),
-        money_out(F.col("total_cost")).alias("total_cost"),
-        money_out(F.col("profit")).alias("profit"),
+        f"{as_double('unit_price')} as unit_price",
+        f"{money_out('revenue_excl_mva')} as revenue_excl_mva",
+        f"{as_double('cost_price')} as cost_price",
+        f"{money_out('total_cost')} as total_cost",
+        f"{money_out('profit')} as profit",
         "margin_pct",
     )

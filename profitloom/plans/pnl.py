@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import (
     as_double,
+    cast,
     guarded_ratio,
     money_out,
-    ratio_out,
+    quote,
     total,
     without_vat,
 )
@@ -23,14 +25,28 @@ from profitloom.sources.sheets import total_amount
 
 DAYS_PER_MONTH = 30
 
-
-def _rows_to_lines(df: DataFrame, label: str, lines: Sequence[tuple[str, Column]]) -> DataFrame:
-    """One-row table to numbered (line_no, label, amount) rows."""
-    entries = [
-        F.struct(F.lit(no).cast("long").alias("line_no"), F.lit(name).alias(label), expr.alias("amount"))
-        for no, (name, expr) in enumerate(lines, start=1)
-    ]
-    return df.select(F.inline(F.array(*entries)))
+_SUMS = [
+    "gross_sales",
+    "total_discount",
+    "shipping_revenue",
+    "revenue",
+    "mva_collected",
+    "revenue_excl_mva",
+    "total_cost",
+    "profit",
+    "txn_fee",
+    "n_lines",
+]
+
+
+def _statement(df: DataFrame, lines: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """One-row table to numbered (line_no, post, amount) rows."""
+    rows = ", ".join(
+        f"struct({no}L as line_no, {quote(name)} as post, "
+        f"{money_out(f'{column} * {sign}')} as amount)"
+        for no, (name, column, sign) in enumerate(lines, start=1)
+    )
+    return df.selectExpr(f"inline(array({rows}))")
 
 
 def totals(orders: DataFrame) -> DataFrame:
@@ -39,100 +55,80 @@ def totals(orders: DataFrame) -> DataFrame:
     Everything comes from one pass with conditional sums. Each order is one row, so
     counting orders needs no distinct.
     """
-    kept = ~F.col("is_refunded")
+    present = set(orders.columns)
+    return orders.selectExpr(
+        "count_if(not is_refunded) as num_orders",
+        "count_if(is_refunded) as num_refunded",
+        *[f"{total(f'if(is_refunded, null, {c})')} as {c}" for c in _SUMS if c in present],
+        "min(if(is_refunded, null, order_date)) as first_day",
+        "max(if(is_refunded, null, order_date)) as last_day",
+    )
 
-    def summed(name: str) -> Column:
-        return total(F.when(kept, F.col(name))).alias(name)
 
-    sums = [
-        "gross_sales",
-        "total_discount",
-        "shipping_revenue",
+def headline_totals(orders: DataFrame) -> DataFrame:
+    names = [
         "revenue",
-        "mva_collected",
         "revenue_excl_mva",
+        "mva_collected",
         "total_cost",
-        "profit",
-        "txn_fee",
-        "n_lines",
+        "total_discount",
+        "shipping_revenue",
     ]
-    day = F.when(kept, F.col("order_date"))
-    return orders.agg(
-        F.count_if(kept).alias("num_orders"),
-        F.count_if(F.col("is_refunded")).alias("num_refunded"),
-        *[summed(c) for c in sums if c in orders.columns],
-        F.min(day).alias("first_day"),
-        F.max(day).alias("last_day"),
+    return totals(orders).selectExpr(
+        "num_orders",
+        "num_refunded",
+        f"{cast('n_lines', 'bigint')} as n_lines",
+        *[f"{money_out(c)} as {c}" for c in names],
+        f"{money_out('revenue_excl_mva - total_cost')} as gross_profit",
     )
 
 
-def headline_totals(orders: DataFrame) -> DataFrame:
-    return totals(orders).select(
-        F.col("num_orders").cast("long"),
-        F.col("num_refunded").cast("long"),
-        F.col("n_lines").cast("long"),
-        money_out(F.col("revenue")).alias("revenue"),
-        money_out(F.col("revenue_excl_mva")).alias("revenue_excl_mva"),
-        money_out(F.col("mva_collected")).alias("mva_collected"),
-        money_out(F.col("total_cost")).alias("total_cost"),
-        money_out(F.col("total_discount")).alias("total_discount"),
-        money_out(F.col("shipping_revenue")).alias("shipping_revenue"),
-        money_out(F.col("revenue_excl_mva") - F.col("total_cost")).alias("gross_profit"),
-    )
+_MONTHS = (
+    f"greatest(coalesce(datediff(last_day, first_day), 0) / {float(DAYS_PER_MONTH)}d, 1d)"
+    " as months"
+)
 
 
-def _months() -> Column:
-    days = F.coalesce(F.datediff("last_day", "first_day"), F.lit(0))
-    return F.greatest(days / F.lit(float(DAYS_PER_MONTH)), F.lit(1.0))
+def _with_sheet_totals(df: DataFrame, fixed: DataFrame, per_order: DataFrame | None) -> DataFrame:
+    scalars = {"monthly_overhead": total_amount(fixed).scalar().cast("double")}
+    if per_order is not None:
+        scalars["cost_per_order"] = total_amount(per_order).scalar().cast("double")
+    return df.withColumns(scalars)
 
 
 def overhead_for_period(orders: DataFrame, fixed: DataFrame) -> DataFrame:
     """Months covered by the active orders and the overhead that falls on them."""
-    monthly = total_amount(fixed).scalar().cast("double")
-    return (
-        totals(orders)
-        .select(_months().alias("months"), monthly.alias("monthly"))
-        .select(
-            ratio_out(F.col("months")).alias("months_covered"),
-            money_out(F.col("monthly")).alias("monthly_overhead"),
-            money_out(F.col("monthly") * F.col("months")).alias("total_overhead"),
-        )
+    row = _with_sheet_totals(totals(orders).selectExpr(_MONTHS), fixed, None)
+    return row.selectExpr(
+        f"{as_double('months')} as months_covered",
+        f"{money_out('monthly_overhead')} as monthly_overhead",
+        f"{money_out('monthly_overhead * months')} as total_overhead",
     )
 
 
 def profit_and_loss(orders: DataFrame, fixed: DataFrame, per_order: DataFrame) -> DataFrame:
     """One unrounded row from gross sales to net result."""
-    base = totals(orders).withColumns(
-        {
-            "months": _months(),
-            "monthly_overhead": total_amount(fixed).scalar().cast("double"),
-            "cost_per_order": total_amount(per_order).scalar().cast("double"),
-            "gross_profit": as_double(F.col("revenue_excl_mva") - F.col("total_cost")),
-            "fees": as_double(F.col("txn_fee")),
-            "net_sales": as_double(F.col("revenue_excl_mva")),
-        }
+    return _with_sheet_totals(totals(orders), fixed, per_order).selectExpr(
+        "*",
+        _MONTHS,
+        f"{as_double('revenue_excl_mva - total_cost')} as gross_profit",
+        f"{as_double('txn_fee')} as fees",
+        f"{as_double('revenue_excl_mva')} as net_sales",
+        "cost_per_order * num_orders as order_costs",
+        "monthly_overhead * months as overhead",
+        "gross_profit - (fees + order_costs) - overhead as net_profit",
     )
-    base = base.withColumns(
-        {
-            "order_costs": F.col("cost_per_order") * F.col("num_orders"),
-            "overhead": F.col("monthly_overhead") * F.col("months"),
-        }
-    )
-    net = F.col("gross_profit") - (F.col("fees") + F.col("order_costs")) - F.col("overhead")
-    return base.withColumn("net_profit", net)
 
 
 def net_result(pnl: DataFrame) -> DataFrame:
-    return pnl.select(
-        money_out(F.col("gross_profit")).alias("gross_profit"),
-        money_out(F.col("fees")).alias("total_txn_fees"),
-        money_out(F.col("order_costs")).alias("total_per_order_fixed"),
-        money_out(F.col("fees") + F.col("order_costs")).alias("total_per_order_costs"),
-        money_out(F.col("overhead")).alias("total_fixed_overhead"),
-        money_out(F.col("net_profit")).alias("net_profit"),
-        ratio_out(guarded_ratio(F.col("net_profit"), F.col("net_sales"), 100)).alias(
-            "net_margin_pct"
-        ),
+    return pnl.selectExpr(
+        f"{money_out('gross_profit')} as gross_profit",
+        f"{money_out('fees')} as total_txn_fees",
+        f"{money_out('order_costs')} as total_per_order_fixed",
+        f"{money_out('fees + order_costs')} as total_per_order_costs",
+        f"{money_out('overhead')} as total_fixed_overhead",
+        f"{money_out('net_profit')} as net_profit",
+        f"{as_double(guarded_ratio('net_profit', 'net_sales', 100))} as net_margin_pct",
     )
 
 
@@ -154,8 +150,7 @@ PNL_LINES = (
 
 
 def pnl_statement(pnl: DataFrame) -> DataFrame:
-    lines = [(name, money_out(F.col(c) * F.lit(sign))) for name, c, sign in PNL_LINES]
-    return _rows_to_lines(pnl, "post", lines)
+    return _statement(pnl, PNL_LINES)
 
 
 def fee_breakdown(orders: DataFrame, rate: Column) -> DataFrame:
@@ -164,48 +159,41 @@ def fee_breakdown(orders: DataFrame, rate: Column) -> DataFrame:
     ``shown_rate_pct`` is the rate to report: measured for charged fees, the wallet
     rate itself for estimates.
     """
-    source = F.when(F.col("actual_fee").isNotNull(), "actual").otherwise("estimated")
-    by_source = (
-        orders.groupBy(source.alias("fee_source"))
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            total(F.col("txn_fee")).alias("fees"),
-            total(F.col("revenue_excl_mva")).alias("sales"),
-        )
-        .withColumn("measured", guarded_ratio(F.col("fees"), F.col("sales"), 100))
-    )
-    shown = F.when(F.col("fee_source") == "actual", F.col("measured")).otherwise(
-        rate * F.lit(100.0)
-    )
-    return by_source.select(
+    by_source = grouped(
+        orders,
+        ["if(actual_fee is not null, 'actual', 'estimated') as fee_source"],
+        "count(1) as orders",
+        f"{total('txn_fee')} as fee_sum",
+        f"{total('revenue_excl_mva')} as sales",
+    ).withColumn("wallet_rate", rate)
+    return by_source.selectExpr(
         "fee_source",
         "orders",
-        money_out(F.col("fees")).alias("fees"),
-        money_out(F.col("sales")).alias("revenue_excl_mva"),
-        ratio_out(F.col("measured")).alias("measured_rate_pct"),
-        ratio_out(shown).alias("shown_rate_pct"),
+        f"{money_out('fee_sum')} as fees",
+        f"{money_out('sales')} as revenue_excl_mva",
+        f"{as_double(guarded_ratio('fee_sum', 'sales', 100))} as measured_rate_pct",
+        "if(fee_source = 'actual', measured_rate_pct, "
+        f"{as_double('wallet_rate * 100d')}) as shown_rate_pct",
     )
 
 
 def overall_fee_rate(orders: DataFrame) -> DataFrame:
     """All fees, and their share of sales in percent."""
-    return totals(orders).select(
-        money_out(F.col("txn_fee")).alias("total_txn_fees"),
-        ratio_out(guarded_ratio(F.col("txn_fee"), F.col("revenue_excl_mva"), 100)).alias(
-            "avg_fee_rate_pct"
-        ),
+    return totals(orders).selectExpr(
+        f"{money_out('txn_fee')} as total_txn_fees",
+        f"{as_double(guarded_ratio('txn_fee', 'revenue_excl_mva', 100))} as avg_fee_rate_pct",
     )
 
 
 def cost_table(costs: DataFrame, total_name: str) -> DataFrame:
     """The costs of a sheet with a total row (is_total tells it apart)."""
     rolled = costs.rollup("name").agg(
-        F.sum("amount").alias("amount"), F.grouping("name").cast("int").alias("is_total")
+        F.sum("amount").alias("amount"), F.grouping("name").alias("is_total")
     )
-    return rolled.select(
-        F.when(F.col("is_total") == 1, total_name).otherwise(F.col("name")).alias("cost_name"),
-        money_out(F.coalesce("amount", F.lit(0))).alias("amount"),
-        "is_total",
+    return rolled.selectExpr(
+        f"if(is_total = 1, {quote(total_name)}, name) as cost_name",
+        f"{money_out('coalesce(amount, 0)')} as amount",
+        "cast(is_total as int) as is_total",
     )
 
 
@@ -216,8 +204,12 @@ def fixed_cost_table(fixed: DataFrame) -> DataFrame:
 def order_cost_table(per_order: DataFrame, orders: DataFrame) -> DataFrame:
     """Per-order costs with total row, and what each comes to over all active orders."""
     count = totals(orders).select("num_orders").scalar()
-    return cost_table(per_order, C.PER_ORDER_TOTAL).withColumn(
-        "amount_all_orders", money_out(F.col("amount") * count)
+    listed = cost_table(per_order, C.PER_ORDER_TOTAL).withColumn("num_orders", count)
+    return listed.selectExpr(
+        "cost_name",
+        "amount",
+        "is_total",
+        f"{money_out('amount * num_orders')} as amount_all_orders",
     )
 
 
@@ -225,76 +217,50 @@ def year_forecast(
     orders: DataFrame, fixed: DataFrame, per_order: DataFrame, cfg: ProfitConfig
 ) -> DataFrame:
     """The year of ``as_of`` projected from its own daily averages; no row without orders."""
-    year = cfg.as_of.year
-    days_in_year = (date(year, 12, 31) - date(year, 1, 1)).days + 1
-    kept = ~F.col("is_refunded")
-    in_year = kept & F.col("order_date").between(
-        F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31))
-    )
-    day = F.when(in_year, F.col("order_date"))
-
-    def summed(name: str, when: Column, alias: str) -> Column:
-        return as_double(total(F.when(when, F.col(name)))).alias(alias)
-
-    sums = orders.agg(
-        F.min(day).alias("first_order_date"),
-        F.max(day).alias("last_order_date"),
-        F.count_if(in_year).alias("year_orders"),
-        summed("revenue_excl_mva", in_year, "year_revenue"),
-        summed("total_cost", in_year, "year_cost"),
-        summed("txn_fee", kept, "all_fees"),
-        summed("revenue_excl_mva", kept, "all_revenue"),
-    ).filter(F.col("year_orders") > 0)
-    days = F.datediff("last_order_date", "first_order_date") + 1
-    per_day = lambda c: F.col(c) / F.col("days_with_data").cast("double")
-    scaled = lambda c: F.col(c) * F.lit(float(days_in_year))
-    fee_share = guarded_ratio(F.col("all_fees"), F.col("all_revenue"))
-    row = (
-        sums.withColumn("days_with_data", days.cast("long"))
-        .withColumns(
-            {
-                "daily_revenue": per_day("year_revenue"),
-                "daily_cost": per_day("year_cost"),
-                "daily_orders": per_day("year_orders"),
-            }
-        )
-        .withColumns(
-            {
-                "projected_revenue": scaled("daily_revenue"),
-                "projected_cost": scaled("daily_cost"),
-                "projected_orders": scaled("daily_orders"),
-            }
-        )
-        .withColumns(
-            {
-                "projected_fees": F.col("projected_revenue") * fee_share,
-                "projected_order_costs": total_amount(per_order).scalar().cast("double")
-                * F.col("projected_orders"),
-                "projected_overhead": total_amount(fixed).scalar().cast("double") * 12,
-            }
-        )
+    first, last = date(cfg.as_of.year, 1, 1), date(cfg.as_of.year, 12, 31)
+    days_in_year = float((last - first).days + 1)
+    in_year = f"(not is_refunded and order_date between date'{first}' and date'{last}')"
+    summed = lambda name, when: as_double(total(f"if({when}, {name}, null)"))
+    sums = orders.selectExpr(
+        f"min(if({in_year}, order_date, null)) as first_order_date",
+        f"max(if({in_year}, order_date, null)) as last_order_date",
+        f"count_if({in_year}) as year_orders",
+        f"{summed('revenue_excl_mva', in_year)} as year_revenue",
+        f"{summed('total_cost', in_year)} as year_cost",
+        f"{summed('txn_fee', 'not is_refunded')} as all_fees",
+        f"{summed('revenue_excl_mva', 'not is_refunded')} as all_revenue",
+    ).filter("year_orders > 0")
+    days = "cast(days_with_data as double)"
+    return _with_sheet_totals(sums, fixed, per_order).selectExpr(
+        "*",
+        "cast(datediff(last_order_date, first_order_date) + 1 as bigint) as days_with_data",
+        f"year_revenue / {days} as daily_revenue",
+        f"year_cost / {days} as daily_cost",
+        f"year_orders / {days} as daily_orders",
+        f"daily_revenue * {days_in_year}d as projected_revenue",
+        f"daily_cost * {days_in_year}d as projected_cost",
+        f"daily_orders * {days_in_year}d as projected_orders",
+        "projected_revenue * if(all_revenue > 0, all_fees / nullif(all_revenue, 0d), 0d)"
+        " as projected_fees",
+        "cost_per_order * projected_orders as projected_order_costs",
+        "monthly_overhead * 12 as projected_overhead",
+        "projected_revenue - projected_cost - projected_fees - projected_order_costs"
+        " - projected_overhead as projected_net",
     )
-    net = (
-        F.col("projected_revenue")
-        - F.col("projected_cost")
-        - F.col("projected_fees")
-        - F.col("projected_order_costs")
-        - F.col("projected_overhead")
-    )
-    return row.withColumn("projected_net", net)
 
 
 def forecast_figures(forecast: DataFrame) -> DataFrame:
-    amounts = ["daily_revenue", "projected_revenue", "projected_net"]
-    return forecast.select(
+    margin = guarded_ratio("projected_net", "projected_revenue", 100)
+    return forecast.selectExpr(
         "first_order_date",
         "last_order_date",
         "days_with_data",
-        ratio_out(F.col("daily_orders")).alias("daily_orders"),
-        *[money_out(F.col(c)).alias(c) for c in amounts],
-        ratio_out(guarded_ratio(F.col("projected_net"), F.col("projected_revenue"), 100)).alias(
-            "projected_margin_pct"
-        ),
+        f"{as_double('daily_orders')} as daily_orders",
+        *[
+            f"{money_out(c)} as {c}"
+            for c in ("daily_revenue", "projected_revenue", "projected_net")
+        ],
+        f"{as_double(margin)} as projected_margin_pct",
     )
 
 
@@ -310,23 +276,20 @@ FORECAST_LINES = (
 
 
 def forecast_statement(forecast: DataFrame) -> DataFrame:
-    lines = [(name, money_out(F.col(c) * F.lit(sign))) for name, c, sign in FORECAST_LINES]
-    return _rows_to_lines(forecast, "post", lines)
+    return _statement(forecast, FORECAST_LINES)
 
 
 def break_even(pnl: DataFrame) -> DataFrame:
     """Contribution per order, orders a month to cover overhead, and orders a month now."""
-    contribution = guarded_ratio(
-        F.col("gross_profit") - (F.col("fees") + F.col("order_costs")), F.col("num_orders")
+    contribution = guarded_ratio("gross_profit - (fees + order_costs)", "num_orders")
+    row = pnl.selectExpr(
+        f"{contribution} as contribution", "monthly_overhead", "num_orders", "months"
     )
-    needed = F.when(
-        contribution > 0,
-        F.col("monthly_overhead") / F.nullif(contribution, F.lit(0.0)),
-    ).otherwise(F.lit(0.0))
-    return pnl.select(
-        money_out(contribution).alias("contribution_per_order"),
-        ratio_out(needed).alias("break_even_orders"),
-        ratio_out(F.col("num_orders") / F.col("months")).alias("orders_per_month"),
+    needed = "if(contribution > 0, monthly_overhead / nullif(contribution, 0d), 0d)"
+    return row.selectExpr(
+        f"{money_out('contribution')} as contribution_per_order",
+        f"{as_double(needed)} as break_even_orders",
+        f"{as_double('num_orders / months')} as orders_per_month",
     )
 
 
@@ -337,36 +300,35 @@ def price_scenario(
 
     Each product is opened into one row per factor of its price, inside its own row.
     """
-    cost, sell = as_double(F.col("cost_price")), F.col("scenario_price")
-    opened = products.select(
-        "product_key",
-        "cost_price",
-        F.explode(F.array(*[F.lit(f).cast("decimal(6,4)") for f in factors])).alias("factor"),
-        "sell_price",
-    ).withColumn("scenario_price", (F.col("sell_price") * F.col("factor")).cast("decimal(18,4)"))
-    net = without_vat(sell, cfg.vat_rate)
-    priced = opened.filter(sell > 0).select(
+    grid = ", ".join(f"cast({factor:f} as decimal(6,4))" for factor in factors)
+    opened = products.selectExpr(
+        "product_key", "cost_price", "sell_price", f"explode(array({grid})) as factor"
+    ).selectExpr(
         "product_key",
-        F.col("factor").cast("double").alias("price_factor"),
-        sell.alias("gross"),
-        as_double(net).alias("net"),
-        as_double(sell - net).alias("mva"),
-        (as_double(net) - cost).alias("gross_profit"),
+        "cast(factor as double) as price_factor",
+        f"{as_double('cost_price')} as cost",
+        "cast(sell_price * factor as decimal(18,4)) as gross",
     )
-    wallet_fee = F.col("net") * F.lit(float(cfg.scenario_wallet_rate))
-    card_fee = F.col("net") * F.lit(float(cfg.scenario_card_rate)) + F.lit(
-        float(cfg.scenario_card_fixed)
+    net = without_vat("gross", cfg.vat_rate)
+    wallet, card = float(cfg.scenario_wallet_rate), float(cfg.scenario_card_rate)
+    priced = opened.filter("gross > 0").selectExpr(
+        "*",
+        f"{as_double(net)} as net",
+        f"{as_double(f'gross - {net}')} as vat",
+        "net - cost as earned",
+        f"net * {wallet}d as by_wallet",
+        f"net * {card}d + {float(cfg.scenario_card_fixed)}d as by_card",
     )
-    return priced.select(
+    return priced.selectExpr(
         "product_key",
         "price_factor",
-        money_out(F.col("gross")).alias("sell_price"),
-        money_out(F.col("net")).alias("sell_price_excl_mva"),
-        money_out(F.col("mva")).alias("mva"),
-        money_out(F.col("gross_profit")).alias("gross_profit"),
-        ratio_out(guarded_ratio(F.col("gross_profit"), F.col("net"), 100)).alias("margin_pct"),
-        money_out(wallet_fee).alias("wallet_fee"),
-        money_out(F.col("gross_profit") - wallet_fee).alias("net_after_wallet_fee"),
-        money_out(card_fee).alias("card_fee"),
-        money_out(F.col("gross_profit") - card_fee).alias("net_after_card_fee"),
+        f"{money_out('gross')} as sell_price",
+        f"{money_out('net')} as sell_price_excl_mva",
+        f"{money_out('vat')} as mva",
+        f"{money_out('earned')} as gross_profit",
+        f"{as_double(guarded_ratio('earned', 'net', 100))} as margin_pct",
+        f"{money_out('by_wallet')} as wallet_fee",
+        f"{money_out('earned - by_wallet')} as net_after_wallet_fee",
+        f"{money_out('by_card')} as card_fee",
+        f"{money_out('earned - by_card')} as net_after_card_fee",
     )

@@ -6,19 +6,20 @@ between two tables of product size, and a best-selling product is one row of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profitloom.config import ProfitConfig
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import (
     SHARE_UNITS,
+    cast,
     from_units,
     margin_pct,
     money_out,
     sum_units,
     total,
     without_vat,
-    zero,
 )
 from profitloom.sources.sheets import CostLookup
 
@@ -29,96 +30,98 @@ def product_sums(lines: DataFrame, costs: CostLookup, cfg: ProfitConfig) -> Data
     ``lines`` are allocated lines. VAT is taken off the sums, which is the same as
     taking it off each line.
     """
-    gross = F.col("value_units") - F.col("discount_units") + F.col("shipping_units")
-    revenue = sum_units(gross) - sum_units(F.col("share_units"), SHARE_UNITS)
-    summed = (
-        lines.filter(F.col("product_title").isNotNull())
-        .groupBy("product_key", "product_title")
-        .agg(
-            without_vat(revenue, cfg.vat_rate).alias("sales"),
-            F.sum("quantity").alias("units"),
-            F.count(F.lit(1)).alias("line_count"),
-        )
+    gross = sum_units("value_units - discount_units + shipping_units")
+    revenue = f"{gross} - {sum_units('share_units', SHARE_UNITS)}"
+    summed = grouped(
+        lines.filter("product_title is not null"),
+        ["product_key", "product_title"],
+        f"{without_vat(revenue, cfg.vat_rate)} as sales",
+        "sum(quantity) as units",
+        "count(1) as line_count",
     )
-    copies, priced = F.coalesce("copies", F.lit(1)), F.coalesce("priced", F.lit(0))
-    unit_cost = F.coalesce(from_units(F.col("cost_units")), zero())
     lookup = F.broadcast(costs.weights) if costs.fits else costs.weights
-    return summed.join(lookup, "product_key", "left").select(
+    weighed = summed.join(lookup, "product_key", "left").selectExpr(
+        "product_key",
+        "product_title",
+        "sales as one_sales",
+        "units as one_units",
+        "line_count",
+        "coalesce(copies, 1L) as copies",
+        "coalesce(priced, 0L) as priced",
+        f"coalesce({from_units('cost_units')}, 0) as unit_cost",
+    )
+    return weighed.selectExpr(
         "product_key",
         "product_title",
-        (F.col("sales") * copies).alias("sales"),
-        (F.col("units") * copies).alias("units"),
-        (F.col("sales") * priced).alias("priced_sales"),
-        (F.col("units") * priced).alias("priced_units"),
-        (unit_cost * F.col("units")).alias("cost"),
-        priced.alias("priced"),
-        (F.col("sales") * (copies - priced)).alias("unpriced_sales"),
-        (F.col("units") * (copies - priced)).alias("unpriced_units"),
-        (F.col("line_count") * (copies - priced)).alias("unpriced_lines"),
+        "priced",
+        "one_sales * copies as sales",
+        "one_units * copies as units",
+        "one_sales * priced as priced_sales",
+        "one_units * priced as priced_units",
+        "unit_cost * one_units as cost",
+        "one_sales * (copies - priced) as unpriced_sales",
+        "one_units * (copies - priced) as unpriced_units",
+        "line_count * (copies - priced) as unpriced_lines",
     )
 
 
 def by_title(sums: DataFrame) -> DataFrame:
     names = ["sales", "units", "priced_sales", "priced_units", "cost", "priced"]
-    titles = sums.groupBy("product_title").agg(*[total(F.col(c)).alias(c) for c in names])
-    return titles.withColumn(
-        "profit", (F.col("priced_sales") - F.col("cost")).cast("decimal(32,10)")
-    )
+    titles = grouped(sums, ["product_title"], *[f"{total(c)} as {c}" for c in names])
+    return titles.selectExpr("*", f"{cast('priced_sales - cost', 'decimal(32,10)')} as profit")
 
 
-def _top(df: DataFrame, metric: Column, cfg: ProfitConfig) -> DataFrame:
-    return df.orderBy(metric.desc(), F.col("product_title").asc()).limit(cfg.top_n)
+def _top(df: DataFrame, metric: str, cfg: ProfitConfig) -> DataFrame:
+    return df.orderBy(F.expr(metric).desc(), "product_title").limit(cfg.top_n)
 
 
 def top_products_profit(titles: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    return _top(titles, F.col("profit"), cfg).select(
+    return _top(titles, "profit", cfg).selectExpr(
         "product_title",
-        money_out(F.col("profit")).alias("profit"),
-        money_out(F.col("sales")).alias("revenue_excl_mva"),
-        F.col("units").cast("long").alias("quantity"),
+        f"{money_out('profit')} as profit",
+        f"{money_out('sales')} as revenue_excl_mva",
+        "cast(units as bigint) as quantity",
     )
 
 
 def product_margin(titles: DataFrame) -> DataFrame:
     """Products with a known cost, best margin first."""
     return (
-        titles.filter(F.col("priced") > 0)
-        .select(
+        titles.filter("priced > 0")
+        .selectExpr(
             "product_title",
-            money_out(F.col("priced_sales")).alias("revenue_excl_mva"),
-            money_out(F.col("cost")).alias("total_cost"),
-            money_out(F.col("profit")).alias("profit"),
-            F.col("priced_units").cast("long").alias("quantity"),
-            margin_pct(F.col("profit"), F.col("priced_sales")).alias("margin_pct"),
+            f"{money_out('priced_sales')} as revenue_excl_mva",
+            f"{money_out('cost')} as total_cost",
+            f"{money_out('profit')} as profit",
+            "cast(priced_units as bigint) as quantity",
+            f"{margin_pct('profit', 'priced_sales')} as margin_pct",
         )
         .orderBy(F.col("margin_pct").desc(), "product_title")
     )
 
 
 def best_sellers(titles: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    return _top(titles, F.col("units"), cfg).select(
+    return _top(titles, "units", cfg).selectExpr(
         "product_title",
-        F.col("units").cast("long").alias("quantity"),
-        money_out(F.col("sales")).alias("revenue_excl_mva"),
+        "cast(units as bigint) as quantity",
+        f"{money_out('sales')} as revenue_excl_mva",
     )
 
 
 def contribution_margin(titles: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Sales less unit cost times quantity, for products with a known cost."""
-    return _top(titles.filter(F.col("priced") > 0), F.col("profit"), cfg).select(
+    return _top(titles.filter("priced > 0"), "profit", cfg).selectExpr(
         "product_title",
-        money_out(F.col("profit")).alias("contribution"),
-        money_out(F.col("priced_sales")).alias("revenue_excl_mva"),
-        F.col("priced_units").cast("long").alias("quantity"),
+        f"{money_out('profit')} as contribution",
+        f"{money_out('priced_sales')} as revenue_excl_mva",
+        "cast(priced_units as bigint) as quantity",
     )
 
 
 def _unmatched(sums: DataFrame) -> DataFrame:
     names = ["unpriced_sales", "unpriced_units", "unpriced_lines"]
-    return (
-        sums.groupBy("product_key")
-        .agg(*[total(F.col(c)).alias(c) for c in names])
-        .filter(F.col("unpriced_lines") > 0)
+    return grouped(sums, ["product_key"], *[f"{total(c)} as {c}" for c in names]).filter(
+        "unpriced_lines > 0"
     )
 
 
@@ -127,36 +130,33 @@ def unmatched_products(sums: DataFrame) -> DataFrame:
     return (
         _unmatched(sums)
         .orderBy(F.col("unpriced_sales").desc(), "product_key")
-        .select(
+        .selectExpr(
             "product_key",
-            F.col("unpriced_units").cast("long").alias("quantity"),
-            money_out(F.col("unpriced_sales")).alias("revenue_excl_mva"),
+            "cast(unpriced_units as bigint) as quantity",
+            f"{money_out('unpriced_sales')} as revenue_excl_mva",
         )
     )
 
 
 def unmatched_headline(sums: DataFrame) -> DataFrame:
-    return _unmatched(sums).agg(
-        F.count(F.lit(1)).alias("products"),
-        total(F.col("unpriced_lines")).cast("long").alias("n_lines"),
+    return _unmatched(sums).selectExpr(
+        "count(1) as products", f"{cast(total('unpriced_lines'), 'bigint')} as n_lines"
     )
 
 
 def best_product(titles: DataFrame) -> DataFrame:
     """Product with most revenue, profit and quantity; first by name among equals."""
-
-    def best(metric: str) -> Column:
-        key = F.struct((-F.col(metric)).alias("neg"), F.col("product_title"))
-        return F.min(key)
-
-    row = titles.agg(
-        best("sales").alias("sales"), best("profit").alias("profit"), best("units").alias("units")
+    row = titles.selectExpr(
+        *[
+            f"min(struct(-{metric} as neg, product_title)) as {metric}"
+            for metric in ("sales", "profit", "units")
+        ]
     )
-    return row.select(
-        F.col("sales.product_title").alias("revenue_product"),
-        money_out(-F.col("sales.neg")).alias("revenue_excl_mva"),
-        F.col("profit.product_title").alias("profit_product"),
-        money_out(-F.col("profit.neg")).alias("profit"),
-        F.col("units.product_title").alias("quantity_product"),
-        (-F.col("units.neg")).cast("long").alias("quantity"),
+    return row.selectExpr(
+        "sales.product_title as revenue_product",
+        f"{money_out('-sales.neg')} as revenue_excl_mva",
+        "profit.product_title as profit_product",
+        f"{money_out('-profit.neg')} as profit",
+        "units.product_title as quantity_product",
+        "cast(-units.neg as bigint) as quantity",
     )

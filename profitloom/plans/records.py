@@ -6,77 +6,68 @@ A record is the largest value; among equals the smallest key wins. The smallest
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import money_out, total
-from profitloom.functions.time import week_start
 from profitloom.plans.customers import known_customers
+from profitloom.plans.trends import WEEK
 
+_SALES = f"{total('revenue_excl_mva')} as sales"
+_PROFIT = f"{total('profit')} as profit"
+_ORDERS = "count(1) as orders"
 
-def _record(metric: str, key: str, *also: str) -> Column:
-    return F.min(F.struct((-F.col(metric)).alias("neg"), F.col(key).alias("key"), *also))
 
-
-def _value(record: str) -> Column:
-    return -F.col(f"{record}.neg")
+def _record(metric: str, key: str, name: str, *also: str) -> str:
+    values = ", ".join([f"-{metric} as neg", f"{key} as key", *also])
+    return f"min(struct({values})) as {name}"
 
 
 def best_day(orders: DataFrame) -> DataFrame:
     """Day with most revenue, and day with most orders."""
-    days = orders.groupBy("order_date").agg(
-        total(F.col("revenue_excl_mva")).alias("sales"), F.count(F.lit(1)).alias("orders")
-    )
-    row = days.agg(
-        _record("sales", "order_date").alias("s"), _record("orders", "order_date").alias("o")
+    row = grouped(orders, ["order_date"], _SALES, _ORDERS).selectExpr(
+        _record("sales", "order_date", "s"), _record("orders", "order_date", "o")
     )
-    return row.select(
-        F.col("s.key").alias("revenue_day"),
-        money_out(_value("s")).alias("revenue_excl_mva"),
-        F.col("o.key").alias("orders_day"),
-        _value("o").alias("orders"),
+    return row.selectExpr(
+        "s.key as revenue_day",
+        f"{money_out('-s.neg')} as revenue_excl_mva",
+        "o.key as orders_day",
+        "-o.neg as orders",
     )
 
 
 def best_week(orders: DataFrame) -> DataFrame:
     """Weeks with most revenue, profit and orders."""
-    weeks = orders.groupBy(week_start(F.col("order_date")).alias("week")).agg(
-        total(F.col("revenue_excl_mva")).alias("sales"),
-        total(F.col("profit")).alias("profit"),
-        F.count(F.lit(1)).alias("orders"),
+    row = grouped(orders, [WEEK], _SALES, _PROFIT, _ORDERS).selectExpr(
+        _record("sales", "week", "s"),
+        _record("profit", "week", "p"),
+        _record("orders", "week", "o"),
     )
-    row = weeks.agg(
-        _record("sales", "week").alias("s"),
-        _record("profit", "week").alias("p"),
-        _record("orders", "week").alias("o"),
-    )
-    return row.select(
-        F.col("s.key").alias("revenue_week"),
-        money_out(_value("s")).alias("revenue_excl_mva"),
-        F.col("p.key").alias("profit_week"),
-        money_out(_value("p")).alias("profit"),
-        F.col("o.key").alias("orders_week"),
-        _value("o").alias("orders"),
+    return row.selectExpr(
+        "s.key as revenue_week",
+        f"{money_out('-s.neg')} as revenue_excl_mva",
+        "p.key as profit_week",
+        f"{money_out('-p.neg')} as profit",
+        "o.key as orders_week",
+        "-o.neg as orders",
     )
 
 
 def biggest_order(orders: DataFrame) -> DataFrame:
-    row = orders.agg(_record("revenue_excl_mva", "order_number", "order_date").alias("r"))
-    return row.filter(F.col("r").isNotNull()).select(
-        F.col("r.key").alias("order_number"),
-        F.col("r.order_date").alias("order_date"),
-        money_out(_value("r")).alias("revenue_excl_mva"),
+    row = orders.selectExpr(_record("revenue_excl_mva", "order_number", "r", "order_date"))
+    return row.filter("r is not null").selectExpr(
+        "r.key as order_number",
+        "r.order_date as order_date",
+        f"{money_out('-r.neg')} as revenue_excl_mva",
     )
 
 
 def best_customer(orders: DataFrame) -> DataFrame:
     """Customer with most orders; no row when no order has an email."""
-    customers = known_customers(orders).groupBy("customer_email").agg(
-        F.count(F.lit(1)).alias("orders"), total(F.col("revenue_excl_mva")).alias("sales")
-    )
-    row = customers.agg(_record("orders", "customer_email", "sales").alias("r"))
-    return row.filter(F.col("r").isNotNull()).select(
-        F.col("r.key").alias("customer_email"),
-        _value("r").alias("orders"),
-        money_out(F.col("r.sales")).alias("revenue_excl_mva"),
+    customers = grouped(known_customers(orders), ["customer_email"], _ORDERS, _SALES)
+    row = customers.selectExpr(_record("orders", "customer_email", "r", "sales"))
+    return row.filter("r is not null").selectExpr(
+        "r.key as customer_email",
+        "-r.neg as orders",
+        f"{money_out('r.sales')} as revenue_excl_mva",
     )

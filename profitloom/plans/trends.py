@@ -6,130 +6,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profitloom import config as C
-from profitloom.functions.money import as_double, guarded_ratio, money_out, total
+from profitloom.functions.frames import grouped
+from profitloom.functions.money import as_double, guarded_ratio, money_out, quote, total
 from profitloom.functions.time import wall_date, wall_hour, week_start
 
-
-def _week() -> Column:
-    return week_start(F.col("order_date")).alias("week")
+WEEK = f"{week_start('order_date')} as week"
+_WEEKDAY = f"weekday({wall_date('order_created_at')}) as weekday"
+_HOUR = f"{wall_hour('order_created_at')} as hour"
+_WEEKDAY_NAME = f"element_at(array({', '.join(quote(d) for d in C.WEEKDAYS)}), weekday + 1)"
 
 
 def weekly_profit(orders: DataFrame) -> DataFrame:
-    sums = ["revenue_excl_mva", "total_cost", "profit"]
-    return (
-        orders.groupBy(_week())
-        .agg(*[money_out(total(F.col(c))).alias(c) for c in sums])
-        .orderBy("week")
-    )
+    sums = [
+        f"{money_out(total(c))} as {c}" for c in ("revenue_excl_mva", "total_cost", "profit")
+    ]
+    return grouped(orders, [WEEK], *sums).orderBy("week")
 
 
 def overall_aov(orders: DataFrame) -> DataFrame:
     """Average order value."""
-    sums = orders.agg(
-        total(F.col("revenue_excl_mva")).alias("sales"), F.count(F.lit(1)).alias("orders")
+    return orders.selectExpr(
+        f"{money_out(guarded_ratio(total('revenue_excl_mva'), 'count(1)'))} as aov"
     )
-    return sums.select(money_out(guarded_ratio(F.col("sales"), F.col("orders"))).alias("aov"))
 
 
 def weekly_aov(orders: DataFrame) -> DataFrame:
-    sums = orders.groupBy(_week()).agg(
-        total(F.col("revenue_excl_mva")).alias("sales"), F.count(F.lit(1)).alias("orders")
-    )
-    return sums.select(
-        "week",
-        money_out(F.col("sales")).alias("revenue_excl_mva"),
-        "orders",
-        money_out(as_double(F.col("sales")) / F.col("orders")).alias("aov"),
+    mean = f"{as_double(total('revenue_excl_mva'))} / count(1)"
+    return grouped(
+        orders,
+        [WEEK],
+        f"{money_out(total('revenue_excl_mva'))} as revenue_excl_mva",
+        "count(1) as orders",
+        f"{money_out(mean)} as aov",
     ).orderBy("week")
 
 
 def daily_orders(orders: DataFrame) -> DataFrame:
     """Orders per day; days without orders have no row."""
-    return orders.groupBy("order_date").agg(F.count(F.lit(1)).alias("orders")).orderBy("order_date")
+    return grouped(orders, ["order_date"], "count(1) as orders").orderBy("order_date")
 
 
 def orders_per_day(orders: DataFrame) -> DataFrame:
     """Average over all calendar days of the period."""
-    sums = orders.agg(
-        F.count(F.lit(1)).alias("orders"),
-        (F.datediff(F.max("order_date"), F.min("order_date")) + 1).cast("long").alias("days"),
-    )
-    average = F.when(F.col("days") > 0, F.col("orders") / F.col("days").cast("double"))
-    return sums.select(
-        "orders",
-        F.coalesce("days", F.lit(0)).alias("calendar_days"),
-        money_out(F.coalesce(average, F.lit(0.0))).alias("orders_per_day"),
-    )
-
-
-def _by_weekday(orders: DataFrame) -> DataFrame:
-    day = wall_date(F.col("order_created_at"))
-    return orders.groupBy(F.weekday(day).alias("weekday")).agg(
-        F.count(F.lit(1)).alias("orders")
+    days = "cast(datediff(max(order_date), min(order_date)) + 1 as bigint)"
+    average = f"case when {days} > 0 then count(1) / cast({days} as double) else 0d end"
+    return orders.selectExpr(
+        "count(1) as orders",
+        f"coalesce({days}, 0L) as calendar_days",
+        f"{money_out(average)} as orders_per_day",
     )
 
 
-def _weekday_name(weekday: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in C.WEEKDAYS]), weekday + 1)
-
-
 def weekday_pattern(orders: DataFrame) -> DataFrame:
-    return (
-        _by_weekday(orders)
-        .select("weekday", _weekday_name(F.col("weekday")).alias("weekday_name"), "orders")
-        .orderBy("weekday")
-    )
-
-
-def _by_hour(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(wall_hour(F.col("order_created_at")).alias("hour")).agg(
-        F.count(F.lit(1)).alias("orders")
+    counts = grouped(orders, [_WEEKDAY], "count(1) as orders")
+    return counts.selectExpr("weekday", f"{_WEEKDAY_NAME} as weekday_name", "orders").orderBy(
+        "weekday"
     )
 
 
 def hour_pattern(orders: DataFrame) -> DataFrame:
     """Orders per hour of the day, all 24 hours."""
-    hours = orders.sparkSession.range(0, 24, 1, 1).select(F.col("id").cast("int").alias("hour"))
+    hours = orders.sparkSession.range(0, 24, 1, 1).selectExpr("cast(id as int) as hour")
+    counts = grouped(orders, [_HOUR], "count(1) as orders")
     return (
-        hours.join(_by_hour(orders), "hour", "left")
-        .select(
+        hours.join(counts, "hour", "left")
+        .selectExpr(
             "hour",
-            F.format_string("%02d:00", "hour").alias("hour_label"),
-            F.coalesce("orders", F.lit(0)).alias("orders"),
+            "format_string('%02d:00', hour) as hour_label",
+            "coalesce(orders, 0L) as orders",
         )
         .orderBy("hour")
     )
 
 
-def _busiest(counts: DataFrame, key: str) -> DataFrame:
+def _busiest(slots: DataFrame, key: str) -> DataFrame:
     """Key with most orders; the smallest key among equals."""
-    return counts.agg(F.max_by(key, F.struct("orders", -F.col(key))).alias(key))
+    counts = grouped(slots, [key], "sum(orders) as orders")
+    return counts.selectExpr(f"max_by({key}, struct(orders, -{key})) as {key}")
 
 
 def peak_times(orders: DataFrame) -> DataFrame:
-    """Weekday and hour with most orders."""
-    # One small table by weekday and hour feeds both.
-    slots = orders.groupBy(
-        F.weekday(wall_date(F.col("order_created_at"))).alias("weekday"),
-        wall_hour(F.col("order_created_at")).alias("hour"),
-    ).agg(F.count(F.lit(1)).alias("orders"))
-    day = _busiest(slots.groupBy("weekday").agg(F.sum("orders").alias("orders")), "weekday")
-    hour = _busiest(slots.groupBy("hour").agg(F.sum("orders").alias("orders")), "hour")
-    return day.select(
-        _weekday_name(F.col("weekday")).alias("peak_weekday"),
-        hour.scalar().alias("peak_hour"),
+    """Weekday and hour with most orders, both from one small table of slots."""
+    slots = grouped(orders, [_WEEKDAY, _HOUR], "count(1) as orders")
+    return (
+        _busiest(slots, "weekday")
+        .selectExpr(f"{_WEEKDAY_NAME} as peak_weekday")
+        .withColumn("peak_hour", _busiest(slots, "hour").scalar())
     )
 
 
 def weekly_shipping(orders: DataFrame, shipping_cost: Column) -> DataFrame:
     """Shipping income and estimated cost per week, one row per week and kind."""
-    weeks = orders.groupBy(_week()).agg(
-        total(F.col("shipping_revenue")).alias("income"), F.count(F.lit(1)).alias("orders")
-    )
-    wide = weeks.select(
+    weeks = grouped(
+        orders, [WEEK], f"{total('shipping_revenue')} as income", "count(1) as orders"
+    ).withColumn("shipping_cost", shipping_cost)
+    wide = weeks.selectExpr(
         "week",
-        money_out(F.col("income")).alias("Fraktinntekter"),
-        money_out(F.col("orders") * shipping_cost).alias("Estimert fraktkostnad"),
+        f"{money_out('income')} as Fraktinntekter",
+        f"{money_out('orders * shipping_cost')} as `Estimert fraktkostnad`",
     )
     return wide.unpivot(
         "week", ["Fraktinntekter", "Estimert fraktkostnad"], "kind", "amount"

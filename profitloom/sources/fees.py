@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import money, total
+from profitloom.functions.money import MONEY, cast, total
 from profitloom.schemas import CARD_TRANSACTION, WALLET_ENTRY
 
 
@@ -27,11 +27,10 @@ def read_wallet_ledger(spark: SparkSession, path: str | None) -> DataFrame:
 
 def card_fees_by_order(transactions: DataFrame) -> DataFrame:
     """Fee per order id, summed over the order's charges (order_id, actual_fee)."""
-    charges = transactions.filter(
-        (F.col("type") == "charge") & (F.coalesce("source_order_id", F.lit(0)) != 0)
-    )
-    return charges.groupBy(F.col("source_order_id").alias("order_id")).agg(
-        total(money(F.col("fee"))).alias("actual_fee")
+    return (
+        transactions.filter("type = 'charge' and coalesce(source_order_id, 0) <> 0")
+        .groupBy(F.col("source_order_id").alias("order_id"))
+        .agg(F.expr(f"{total(cast('fee', MONEY))} as actual_fee"))
     )
 
 
@@ -44,22 +43,18 @@ def wallet_window(cfg: ProfitConfig, start: date | None = None, end: date | None
 def wallet_fee_summary(ledger: DataFrame, start: date, end: date) -> DataFrame:
     """One row: fees, captured amount, average rate and number of captures."""
     wanted = ledger.filter(
-        F.col("ledger_date").between(F.lit(start), F.lit(end))
-        & F.col("entryType").isin("capture", "capture-fee")
+        f"ledger_date between date'{start}' and date'{end}' "
+        "and entryType in ('capture', 'capture-fee')"
     )
-    amount = F.col("amount")
-    sums = wanted.agg(
-        total(F.when(F.col("entryType") == "capture-fee", F.abs(amount))).alias("fees"),
-        total(F.when(F.col("entryType") == "capture", amount)).alias("captured"),
-        F.count_if(F.col("entryType") == "capture").alias("num_transactions"),
+    sums = wanted.selectExpr(
+        "coalesce(sum(abs(amount)) filter (where entryType = 'capture-fee'), 0) as fees",
+        "coalesce(sum(amount) filter (where entryType = 'capture'), 0) as captured",
+        "count_if(entryType = 'capture') as num_transactions",
     )
-    fees = F.col("fees") / F.lit(100.0)
-    captured = F.col("captured") / F.lit(100.0)
-    return sums.select(
-        fees.alias("total_fees"),
-        captured.alias("total_captured"),
-        F.when(captured > 0, fees / F.nullif(captured, F.lit(0.0)))
-        .otherwise(F.lit(0.0))
-        .alias("avg_rate"),
+    return sums.selectExpr(
+        "fees / 100d as total_fees",
+        "captured / 100d as total_captured",
+        "case when captured > 0 then (fees / 100d) / nullif(captured / 100d, 0d) else 0d end"
+        " as avg_rate",
         "num_transactions",
     )

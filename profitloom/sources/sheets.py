@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom import config as C
-from profitloom.functions.money import MONEY, to_units, total
+from profitloom.functions.frames import grouped
+from profitloom.functions.money import MONEY, cast, to_units, total
 from profitloom.functions.text import (
     fee_fixed,
     fee_rate,
@@ -63,13 +64,16 @@ class CostLookup:
 
 def cost_lookup(costs: DataFrame, max_bytes: int = BROADCAST_BYTES) -> CostLookup:
     """Group the sheet by key and measure it: one aggregate, one row to the driver."""
-    weights = costs.groupBy("product_key").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.count("cost_price").alias("priced"),
-        to_units(total(F.col("cost_price")).cast(MONEY)).alias("cost_units"),
+    weights = grouped(
+        costs,
+        ["product_key"],
+        "count(1) as copies",
+        "count(cost_price) as priced",
+        f"{to_units(cast(total('cost_price'), MONEY))} as cost_units",
     )
-    size = F.sum(F.octet_length("product_key") + F.lit(_ROW_BYTES))
-    measured = weights.agg(size.alias("bytes"), F.max("copies").alias("copies")).first()
+    measured = weights.selectExpr(
+        f"sum(octet_length(product_key) + {_ROW_BYTES}) as bytes", "max(copies) as copies"
+    ).first()
     return CostLookup(
         weights,
         fits=(measured["bytes"] or 0) <= max_bytes,
@@ -134,4 +138,4 @@ def per_order_costs(rows: DataFrame) -> DataFrame:
 
 def total_amount(costs: DataFrame) -> DataFrame:
     """The one-row total of a (name, amount) table."""
-    return costs.agg(total(F.col("amount")).alias("total"))
+    return costs.selectExpr(f"{total('amount')} as total")

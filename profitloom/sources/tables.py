@@ -11,11 +11,12 @@ from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profitloom.config import ProfitConfig, UNFULFILLED, UNKNOWN
-from profitloom.functions.money import from_units, sum_units
+from profitloom.config import NO_DISCOUNT, UNFULFILLED, UNKNOWN, ProfitConfig
+from profitloom.functions.frames import grouped
+from profitloom.functions.money import MONEY, cast, from_units, sum_units
 from profitloom.functions.text import NBSP
 from profitloom.operators.lines import discount_code, product_key
 from profitloom.sources.orders import read_orders
@@ -34,6 +35,21 @@ WALLET_START, WALLET_END = date(2024, 1, 1), date(2024, 3, 31)
 # this) of them, so their list is small enough to broadcast.
 MAX_DOCUMENT_LINES = 100_000
 
+_URGENT = "o_orderpriority in ('1-URGENT', '2-HIGH')"
+
+# Only the columns the shop is made of.
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_discount double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "supplier": "s_suppkey bigint, s_name string, s_acctbal double",
+    "events": "ts timestamp_ntz, event_type string, value double",
+}
+
 _landed: dict[tuple[str, str, str], str] = {}
 _lookups: dict[str, CostLookup] = {}
 
@@ -45,148 +61,118 @@ class ShopTables:
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     # --- order headers and lines ---
 
     def headers(self, customer: bool = False) -> DataFrame:
         """One row per order; customer fields only when asked for, as they cost a join."""
-        key = F.col("o_orderkey")
-        refunded = F.col("o_orderstatus") == "P"
-        day = F.col("o_orderdate").cast("date")
-        hour = F.lpad((key * 7 % 24).cast("string"), 2, "0")
-        offset = F.when(F.month(day).between(4, 10), "+02:00").otherwise("+01:00")
-        open_order = (F.col("o_orderstatus") == "O") | (refunded & (key % 2 == 1))
-        urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+        day, key = "cast(o_orderdate as date)", "o_orderkey"
+        code = discount_code("nullif(c_mktsegment, 'HOUSEHOLD')", key, self.cfg)
         fields = [
-            key.alias("order_number"),
-            (key + 1000000).alias("order_id"),
-            day.alias("order_date"),
-            F.concat(day.cast("string"), F.lit("T"), hour, F.lit(":30:00"), offset).alias(
-                "order_created_at"
-            ),
-            F.lit("NOK").alias("currency"),
-            F.when(refunded, "refunded")
-            .when(key % 50 == 7, "partially_refunded")
-            .otherwise("paid")
-            .alias("financial_status"),
-            F.when(open_order, UNFULFILLED).otherwise("fulfilled").alias("fulfillment_status"),
-            F.when(key % 20 == 0, UNKNOWN)
-            .when(urgent, "Vipps/MobilePay Payments")
-            .otherwise("shopify_payments")
-            .alias("payment_method"),
-            F.when(key % 3 != 0, F.lit(Decimal(79)))
-            .otherwise(F.lit(Decimal(0)))
-            .cast("decimal(18,4)")
-            .alias("order_shipping"),
-            F.when(key % 4 == 1, F.lit(Decimal(50)))
-            .otherwise(F.lit(Decimal(0)))
-            .cast("decimal(18,4)")
-            .alias("undistributed_discount"),
+            f"{key} as order_number",
+            f"{key} + 1000000 as order_id",
+            f"{day} as order_date",
+            f"concat(cast({day} as string), 'T', lpad(cast({key} * 7 % 24 as string), 2, '0'), "
+            f"':30:00', if(month({day}) between 4 and 10, '+02:00', '+01:00')) "
+            "as order_created_at",
+            "'NOK' as currency",
+            "case when o_orderstatus = 'P' then 'refunded' "
+            f"when {key} % 50 = 7 then 'partially_refunded' else 'paid' end as financial_status",
+            f"case when o_orderstatus = 'O' or (o_orderstatus = 'P' and {key} % 2 = 1) "
+            f"then '{UNFULFILLED}' else 'fulfilled' end as fulfillment_status",
+            f"case when {key} % 20 = 0 then '{UNKNOWN}' when {_URGENT} "
+            "then 'Vipps/MobilePay Payments' else 'shopify_payments' end as payment_method",
+            f"{cast(f'if({key} % 3 <> 0, 79, 0)', MONEY)} as order_shipping",
+            f"{cast(f'if({key} % 4 = 1, 50, 0)', MONEY)} as undistributed_discount",
         ]
         orders = self.table("orders")
         if not customer:
-            return orders.select(*fields)
-        segment = F.col("c_mktsegment")
-        own_code = F.when(segment != "HOUSEHOLD", segment)
+            return orders.selectExpr(*fields)
         fields += [
-            F.when(F.col("o_custkey") % 10 == 3, "")
-            .when(F.col("o_custkey") % 10 != 4, F.concat("c_name", F.lit("@example.org")))
-            .alias("customer_email"),
-            discount_code(own_code, key, self.cfg).alias("discount_code"),
-            F.when(key % 70 == 0, UNKNOWN).otherwise(F.col("n_name")).alias("city"),
+            "case when o_custkey % 10 = 3 then '' when o_custkey % 10 <> 4 "
+            "then concat(c_name, '@example.org') end as customer_email",
+            f"{code} as discount_code",
+            f"case when {key} % 70 = 0 then '{UNKNOWN}' else n_name end as city",
         ]
         customers = self.table("customer").join(
-            self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+            self.table("nation"), F.expr("c_nationkey = n_nationkey")
         )
-        return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(*fields)
+        return orders.join(customers, F.expr("o_custkey = c_custkey")).selectExpr(*fields)
 
     def order_keys(self) -> DataFrame:
         """Order number of every line, for reports that need nothing else of it."""
-        return self.table("lineitem").select(F.col("l_orderkey").alias("order_number"))
+        return self.table("lineitem").selectExpr("l_orderkey as order_number")
 
     def lines(self) -> DataFrame:
         """One row per line, amounts in units. ``line_pos`` is any value that orders them."""
-        quantity = F.col("l_quantity").cast("int")
-        percent = F.rint(F.col("l_discount") * 100).cast("long")
-        joined = self.table("lineitem").join(
-            self._products(), F.col("l_partkey") == F.col("p_partkey")
-        )
-        return joined.select(
-            F.col("l_orderkey").alias("order_number"),
-            F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("line_pos"),
+        joined = self.table("lineitem").join(self._products(), F.expr("l_partkey = p_partkey"))
+        return joined.selectExpr(
+            "l_orderkey as order_number",
+            "struct(l_linenumber, l_partkey, l_suppkey) as line_pos",
             "product_key",
             "product_title",
             "variant_title",
-            quantity.alias("quantity"),
-            (F.col("price_cents") * 100).alias("price_units"),
-            (F.col("price_cents") * quantity * percent).alias("discount_units"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("variant_id"),
+            "cast(l_quantity as int) as quantity",
+            "price_cents * 100 as price_units",
+            "price_cents * cast(l_quantity as int) * cast(rint(l_discount * 100) as bigint)"
+            " as discount_units",
+            "l_partkey as product_id",
+            "l_suppkey as variant_id",
         )
 
     def _products(self) -> DataFrame:
-        variant = F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand"))
-        cents = F.col("p_retailprice").cast("decimal(10,2)") * 100
-        return self.table("part").select(
+        variant = "nullif(p_brand, if(p_partkey % 9 = 0, p_brand, ''))"
+        return self.table("part").selectExpr(
             "p_partkey",
             "p_retailprice",
             "p_brand",
-            cents.cast("long").alias("price_cents"),
-            F.col("p_name").alias("product_title"),
-            variant.alias("variant_title"),
-            product_key(F.col("p_name"), variant).alias("product_key"),
+            "cast(cast(p_retailprice as decimal(10,2)) * 100 as bigint) as price_cents",
+            "p_name as product_title",
+            f"{variant} as variant_title",
+            f"{product_key('p_name', variant)} as product_key",
         )
 
     # --- fees ---
 
     def card_transactions(self) -> DataFrame:
         """Up to three balance rows per order, made without leaving the order's row."""
-        key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
-        urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-        card = (~urgent) & (key % 5 != 0) & (key % 20 != 0)
-
-        def row(when: Column, kind: str, fee: Column) -> Column:
-            return F.when(
-                when, F.struct(F.lit(kind).alias("type"), fee.cast("string").alias("fee"))
-            )
-
-        rows = F.array_compact(
-            F.array(
-                row(card, "charge", (price * F.lit(Decimal("0.02"))).cast("decimal(18,4)")),
-                row(
-                    card & (key % 25 == 1),
-                    "charge",
-                    (price * F.lit(Decimal("0.015"))).cast("decimal(18,4)"),
-                ),
-                row(F.col("o_orderstatus") == "P", "refund", F.lit("9")),
-            )
+        price = "cast(o_totalprice as decimal(18,2))"
+        card = f"not {_URGENT} and o_orderkey % 5 <> 0"
+
+        def row(when: str, kind: str, fee: str) -> str:
+            return f"if({when}, struct('{kind}' as type, cast({fee} as string) as fee), null)"
+
+        rows = ", ".join(
+            [
+                row(card, "charge", cast(f"{price} * 0.02", MONEY)),
+                row(f"{card} and o_orderkey % 25 = 1", "charge", cast(f"{price} * 0.015", MONEY)),
+                row("o_orderstatus = 'P'", "refund", "9"),
+            ]
         )
         return (
             self.table("orders")
-            .select((key + 1000000).alias("source_order_id"), F.explode(rows).alias("row"))
-            .select("row.type", "source_order_id", "row.fee")
+            .selectExpr(
+                "o_orderkey + 1000000 as source_order_id",
+                f"inline(array_compact(array({rows})))",
+            )
+            .select("type", "source_order_id", "fee")
         )
 
     def wallet_ledger(self) -> DataFrame:
-        value = F.col("value").cast("decimal(18,2)")
-        capture = (value * 100).cast("long")
-        fee = -F.round(value * F.lit(Decimal("2.66")), 0).cast("long")
-        purchase = F.col("event_type") == "purchase"
-        rows = F.when(
-            purchase,
-            F.array(
-                F.struct(F.lit("capture").alias("entryType"), capture.alias("amount")),
-                F.struct(F.lit("capture-fee").alias("entryType"), fee.alias("amount")),
-            ),
-        ).otherwise(
-            F.array(F.struct(F.lit("payout").alias("entryType"), capture.alias("amount")))
-        )
+        value = "cast(value as decimal(18,2))"
+        capture = f"cast({value} * 100 as bigint)"
+        fee = f"-cast(round({value} * 2.66, 0) as bigint)"
+        entry = lambda kind, amount: f"struct('{kind}' as entryType, {amount} as amount)"
         return (
             self.table("events")
-            .filter(F.col("event_type").isin("purchase", "error"))
-            .select(F.col("ts").cast("date").alias("ledger_date"), F.explode(rows).alias("row"))
-            .select("ledger_date", "row.entryType", "row.amount")
+            .filter("event_type in ('purchase', 'error')")
+            .selectExpr(
+                "cast(ts as date) as ledger_date",
+                "inline(if(event_type = 'purchase', "
+                f"array({entry('capture', capture)}, {entry('capture-fee', fee)}), "
+                f"array({entry('payout', capture)})))",
+            )
         )
 
     # --- landed sheets and documents ---
@@ -231,21 +217,17 @@ class ShopTables:
 
     def price_list(self) -> DataFrame:
         """Cost and current price per product key."""
-        price = F.max("p_retailprice").cast("decimal(10,2)")
-        return (
-            self._products()
-            .groupBy("product_key")
-            .agg(price.cast("decimal(18,4)").alias("sell_price"))
-            .withColumn(
-                "cost_price",
-                (F.col("sell_price") * F.lit(Decimal("0.55"))).cast("decimal(18,4)"),
-            )
+        prices = grouped(
+            self._products(),
+            ["product_key"],
+            f"{cast('cast(max(p_retailprice) as decimal(10,2))', MONEY)} as sell_price",
         )
+        return prices.selectExpr("*", f"{cast('sell_price * 0.55', MONEY)} as cost_price")
 
     def listings(self) -> DataFrame:
         """A cost list nobody has cleaned: one row per part, so names repeat."""
-        return self._products().select(
-            "product_key", F.col("p_retailprice").cast("decimal(18,4)").alias("cost_price")
+        return self._products().selectExpr(
+            "product_key", f"{cast('p_retailprice', MONEY)} as cost_price"
         )
 
     def costs(self) -> DataFrame:
@@ -332,56 +314,43 @@ class ShopTables:
         """Order documents; only orders of bounded length are gathered into one row."""
         oversized = F.broadcast(self._oversized())
         fits = self.lines().join(oversized, "order_number", "left_anti")
-        line = F.struct(
-            "line_pos",
-            F.col("product_title").alias("title"),
-            "variant_title",
-            "quantity",
-            from_units(F.col("price_units")).cast("string").alias("price"),
-            from_units(F.col("discount_units")).cast("string").alias("total_discount"),
-            "product_id",
-            "variant_id",
+        line = (
+            "struct(line_pos, product_title as title, variant_title, quantity, "
+            f"cast({from_units('price_units')} as string) as price, "
+            f"cast({from_units('discount_units')} as string) as total_discount, "
+            "product_id, variant_id)"
         )
-        nested = fits.groupBy("order_number").agg(
-            F.sort_array(F.collect_list(line)).alias("items"),
-            sum_units(F.col("discount_units")).alias("own_discount"),
+        nested = grouped(
+            fits,
+            ["order_number"],
+            f"transform(sort_array(collect_list({line})), x -> struct(x.title, x.variant_title, "
+            "x.quantity, x.price, x.total_discount, x.product_id, x.variant_id)) as items",
+            f"{sum_units('discount_units')} as own_discount",
         )
-        number = F.col("order_number")
-        own = F.coalesce("own_discount", F.lit(0)).cast("decimal(18,4)")
-        city = F.struct(F.col("city"))
-        known_city = F.col("city") != UNKNOWN
         plain = ShopTables(
             self.spark, self.sf_dir, replace(self.cfg, discount_code_overrides={})
         )
         headers = plain.headers(customer=True).join(oversized, "order_number", "left_anti")
-        return headers.join(nested, "order_number", "left").select(
-            F.col("order_id").alias("id"),
+        known_city = f"city <> '{UNKNOWN}'"
+        return headers.join(nested, "order_number", "left").selectExpr(
+            "order_id as id",
             "order_number",
-            F.col("order_created_at").alias("created_at"),
+            "order_created_at as created_at",
             "currency",
             "financial_status",
-            F.when(F.col("fulfillment_status") != UNFULFILLED, F.col("fulfillment_status")).alias(
-                "fulfillment_status"
-            ),
-            F.col("customer_email").alias("email"),
-            F.when(F.col("payment_method") == UNKNOWN, F.array().cast("array<string>"))
-            .otherwise(F.array("payment_method"))
-            .alias("payment_gateway_names"),
-            F.when(known_city & (number % 7 != 0), city).alias("shipping_address"),
-            F.when(known_city & (number % 7 == 0), city).alias("billing_address"),
-            (own + F.col("undistributed_discount")).cast("string").alias("total_discounts"),
-            F.when(
-                F.col("discount_code") != "Ingen rabatt",
-                F.array(F.struct(F.col("discount_code").alias("code"))),
-            ).alias("discount_codes"),
-            F.when(
-                F.col("order_shipping") > 0,
-                F.array(F.struct(F.col("order_shipping").cast("string").alias("price"))),
-            ).alias("shipping_lines"),
-            F.transform(
-                F.coalesce("items", F.array().cast(nested.schema["items"].dataType)),
-                lambda li: li.dropFields("line_pos"),
-            ).alias("line_items"),
+            f"nullif(fulfillment_status, '{UNFULFILLED}') as fulfillment_status",
+            "customer_email as email",
+            f"if(payment_method = '{UNKNOWN}', cast(array() as array<string>), "
+            "array(payment_method)) as payment_gateway_names",
+            f"if({known_city} and order_number % 7 <> 0, struct(city), null) as shipping_address",
+            f"if({known_city} and order_number % 7 = 0, struct(city), null) as billing_address",
+            f"cast({cast('coalesce(own_discount, 0) + undistributed_discount', MONEY)} as string)"
+            " as total_discounts",
+            f"if(discount_code <> '{NO_DISCOUNT}', array(struct(discount_code as code)), null)"
+            " as discount_codes",
+            "if(order_shipping > 0, array(struct(cast(order_shipping as string) as price)), null)"
+            " as shipping_lines",
+            "if(items is null, filter(items, x -> false), items) as line_items",
         )
 
     def _land_documents(self) -> str:

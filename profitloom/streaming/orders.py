@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import AMOUNT, total, without_vat
+from profitloom.functions.money import AMOUNT, cast, total, without_vat
 from profitloom.functions.time import wall_seconds
 from profitloom.operators.lines import (
+    DOCUMENT_DISCOUNTS,
+    DOCUMENT_ITEMS_VALUE,
     active,
-    document_discounts,
-    document_items_value,
     order_headers,
 )
 from profitloom.schemas import ORDER
@@ -77,15 +77,16 @@ def _sales_schema() -> StructType:
 
 def sales_events(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Event time and revenue of each order that has lines; one row stays one row."""
-    headers = active(order_headers(docs, cfg), cfg).filter(F.size("line_items") > 0)
-    items = document_items_value()
-    spread = F.when(items > 0, F.col("undistributed_discount")).otherwise(F.lit(0))
-    shipping = F.greatest(F.col("order_shipping"), F.lit(0))
-    revenue = (items - document_discounts() - spread + shipping).cast(AMOUNT)
-    return headers.select(
-        F.timestamp_seconds(wall_seconds(F.col("order_created_at"))).alias("event_time"),
-        revenue.alias("revenue"),
-        without_vat(revenue, cfg.vat_rate).alias("revenue_excl_mva"),
+    headers = active(order_headers(docs, cfg), cfg).filter("size(line_items) > 0")
+    items = DOCUMENT_ITEMS_VALUE
+    revenue = (
+        f"{items} - {DOCUMENT_DISCOUNTS} - if({items} > 0, undistributed_discount, 0) "
+        "+ greatest(order_shipping, 0)"
+    )
+    return headers.selectExpr(
+        f"timestamp_seconds({wall_seconds('order_created_at')}) as event_time",
+        f"{cast(revenue, AMOUNT)} as revenue",
+        f"{without_vat('revenue', cfg.vat_rate)} as revenue_excl_mva",
     )
 
 
@@ -96,14 +97,15 @@ def sales_by_period(events: DataFrame, period: str, delay: str = "2 days") -> Da
         events.withWatermark("event_time", delay)
         .groupBy(window.alias("window"))
         .agg(
-            F.count(F.lit(1)).alias("orders"),
-            total(F.col("revenue")).cast(AMOUNT).alias("revenue"),
-            total(F.col("revenue_excl_mva")).cast(AMOUNT).alias("revenue_excl_mva"),
+            F.expr("count(1) as orders"),
+            F.expr(f"{cast(total('revenue'), AMOUNT)} as revenue"),
+            F.expr(f"{cast(total('revenue_excl_mva'), AMOUNT)} as revenue_excl_mva"),
         )
     )
-    day = F.floor(F.unix_seconds("window.start") / 86400).cast("int")
-    start = F.date_add(F.lit("1970-01-01").cast("date"), day)
-    return summed.select(start.alias("period_start"), "orders", "revenue", "revenue_excl_mva")
+    start = "date_add(date'1970-01-01', cast(unix_seconds(window.start) div 86400 as int))"
+    return summed.selectExpr(
+        f"{start} as period_start", "orders", "revenue", "revenue_excl_mva"
+    )
 
 
 def stream_sales(
