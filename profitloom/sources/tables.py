@@ -51,7 +51,7 @@ _SCHEMAS = {
 }
 
 _landed: dict[tuple[str, str, str], str] = {}
-_lookups: dict[str, CostLookup] = {}
+_lookups: dict[tuple[str, str], CostLookup] = {}
 
 
 class ShopTables:
@@ -186,9 +186,6 @@ class ShopTables:
             _landed[key] = path
         return _landed[key]
 
-    def _landed_path(self, name: str) -> str:
-        return _landed[(self.spark.conf.get("spark.app.id"), self.sf_dir, name)]
-
     def cost_sheet(self) -> DataFrame:
         """Cost sheet text with stray white space and cells that are no number."""
 
@@ -234,12 +231,11 @@ class ShopTables:
         return product_costs(self.cost_sheet())
 
     def cost_lookup(self) -> CostLookup:
-        """The cost sheet by key, measured once per landed sheet."""
-        costs = self.costs()
-        path = self._landed_path("cost-sheet")
-        if path not in _lookups:
-            _lookups[path] = cost_lookup(costs)
-        return _lookups[path]
+        """The cost sheet by key, measured once per session and directory."""
+        key = (self.spark.conf.get("spark.app.id"), self.sf_dir)
+        if key not in _lookups:
+            _lookups[key] = cost_lookup(self.costs())
+        return _lookups[key]
 
     def _write_rows(self, name, amount, path: str) -> None:
         self.table("supplier").select(
