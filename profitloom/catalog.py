@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom.functions.frames import grouped
@@ -274,11 +274,9 @@ def product_costs(shop: ShopTables) -> DataFrame:
     return shop.costs().selectExpr("product_key", *_doubles("cost_price"))
 
 
-def _parsed(rows: DataFrame, parse: Callable[[Column], Column]) -> DataFrame:
-    cell = F.coalesce(strip(F.col("amount")), F.lit(""))
-    return rows.select("row_pos", parse(cell).alias("amount")).selectExpr(
-        "row_pos", *_doubles("amount")
-    )
+def _parsed(rows: DataFrame, parse: Callable[[str], str]) -> DataFrame:
+    cell = f"coalesce({strip('amount')}, '')"
+    return rows.selectExpr("row_pos", f"{as_double(parse(cell))} as amount")
 
 
 def fee_rules(shop: ShopTables) -> DataFrame:

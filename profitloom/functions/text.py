@@ -1,46 +1,50 @@
-"""Text clean-up for hand-kept sheets, as column expressions."""
+"""Text clean-up for hand-kept sheets.
 
-from __future__ import annotations
+All helpers take and return SQL expression text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from profitloom.functions.money import MONEY, RATE
+from profitloom.functions.money import MONEY, RATE, cast, quote
 
 NBSP = "\u00a0"
 # White space as Unicode sees it, plus the four ASCII separators.
-_SPACE = "[\\s\\x1c-\\x1f]"
+_SPACE = r"[\s\x1c-\x1f]"
 
 
-def strip(col: Column) -> Column:
+def strip(x: str) -> str:
     """Trim every kind of white space, no-break space included."""
-    return F.regexp_replace(col, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    pattern = quote(f"(?U)^{_SPACE}+|{_SPACE}+$")
+    return f"regexp_replace({x}, {pattern}, '')"
+
+
+def _number(x: str, dtype: str) -> str:
+    return f"try_cast({strip(f'''replace({x}, ',', '.')''')} as {dtype})"
 
 
-def _number(col: Column, dtype: str) -> Column:
-    return strip(F.replace(col, F.lit(","), F.lit("."))).try_cast(dtype)
+def _or_zero(x: str, dtype: str) -> str:
+    return f"coalesce({x}, {cast('0', dtype)})"
 
 
-def parse_currency(col: Column) -> Column:
+def parse_currency(x: str) -> str:
     """``2 000,00 kr`` -> 2000.00; text that is no number counts as 0."""
-    bare = F.regexp_replace(col, f"kr|{NBSP}| ", "")
-    return F.coalesce(_number(bare, MONEY), F.lit(0).cast(MONEY))
+    bare = f"regexp_replace({x}, {quote(f'kr|{NBSP}| ')}, '')"
+    return _or_zero(_number(bare, MONEY), MONEY)
 
 
-def parse_fixed_amount(col: Column) -> Column:
+def parse_fixed_amount(x: str) -> str:
     """``12,50`` -> 12.50; anything else is missing."""
-    return _number(col, MONEY)
+    return _number(x, MONEY)
 
 
-def fee_rate(col: Column) -> Column:
+def fee_rate(x: str) -> str:
     """The percentage of a rule like ``5% av ordrepris + 2 kr`` as a fraction."""
-    percent = _number(F.split_part(col, F.lit("%"), F.lit(1)), RATE)
-    parsed = F.when(F.contains(col, F.lit("%")), percent)
-    return (F.coalesce(parsed, F.lit(0).cast(RATE)) / F.lit(100)).cast(RATE)
+    percent = _number(f"split_part({x}, '%', 1)", RATE)
+    parsed = f"if(contains({x}, '%'), {percent}, null)"
+    return cast(f"{_or_zero(parsed, RATE)} / 100", RATE)
 
 
-def fee_fixed(col: Column) -> Column:
+def fee_fixed(x: str) -> str:
     """The fixed part of a rule like ``5% av ordrepris + 2 kr``."""
-    part = F.replace(F.split_part(col, F.lit("+"), F.lit(2)), F.lit("kr"), F.lit(""))
-    parsed = F.when(F.contains(col, F.lit("+")), _number(part, MONEY))
-    return F.coalesce(parsed, F.lit(0).cast(MONEY))
+    part = f"replace(split_part({x}, '+', 2), 'kr', '')"
+    return _or_zero(f"if(contains({x}, '+'), {_number(part, MONEY)}, null)", MONEY)

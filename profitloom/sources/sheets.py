@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from profitloom import config as C
 from profitloom.functions.frames import grouped
-from profitloom.functions.money import MONEY, cast, to_units, total
+from profitloom.functions.money import MONEY, cast, quote, to_units, total
 from profitloom.functions.text import (
     fee_fixed,
     fee_rate,
@@ -42,10 +41,10 @@ def product_costs(sheet: DataFrame) -> DataFrame:
     named = sheet.withColumnsRenamed(C.COST_SHEET_HEADERS)
     if "cost_price" not in named.columns and len(named.columns) >= 2:
         named = named.toDF("product_key", "cost_price", *named.columns[2:])
-    return named.select(
-        strip(F.col("product_key")).alias("product_key"),
-        F.col("cost_price").try_cast(MONEY).alias("cost_price"),
-    ).filter(F.length("product_key") > 0)
+    return named.selectExpr(
+        f"{strip('product_key')} as product_key",
+        f"try_cast(cost_price as {MONEY}) as cost_price",
+    ).filter("length(product_key) > 0")
 
 
 @dataclass(frozen=True)
@@ -81,59 +80,58 @@ def cost_lookup(costs: DataFrame, max_bytes: int = BROADCAST_BYTES) -> CostLooku
     )
 
 
-def _last_per_name(rows: DataFrame, *values: str, key: str = "name") -> DataFrame:
+def _last_per_name(rows: DataFrame, key: str, *values: str) -> DataFrame:
     """Later rows of a sheet overwrite earlier ones with the same name."""
-    return rows.groupBy(key).agg(
-        *[F.max_by(value, "row_pos").alias(value) for value in values]
-    )
+    return grouped(rows, [key], *[f"max_by({value}, row_pos) as {value}" for value in values])
 
 
 def _cells(rows: DataFrame) -> DataFrame:
     """Trimmed cells of the rows that have both a name and a value."""
-    cells = rows.select(
-        F.coalesce(strip(F.col("name")), F.lit("")).alias("name"),
-        F.coalesce(strip(F.col("amount")), F.lit("")).alias("text"),
+    return rows.selectExpr(
+        f"coalesce({strip('name')}, '') as name",
+        f"coalesce({strip('amount')}, '') as text",
         "row_pos",
-    )
-    return cells.filter((F.col("name") != "") & (F.col("text") != ""))
+    ).filter("name <> '' and text <> ''")
 
 
 def fixed_monthly_costs(rows: DataFrame) -> DataFrame:
     """Monthly overhead per name (name, amount), the sheet's own total left out."""
-    kept = _cells(rows).filter(F.lower("name") != C.TOTAL_ROW_MARKER)
-    parsed = kept.select("name", parse_currency(F.col("text")).alias("amount"), "row_pos")
-    return _last_per_name(parsed, "amount")
+    parsed = (
+        _cells(rows)
+        .filter(f"lower(name) <> {quote(C.TOTAL_ROW_MARKER)}")
+        .selectExpr("name", f"{parse_currency('text')} as amount", "row_pos")
+    )
+    return _last_per_name(parsed, "name", "amount")
 
 
-def _is_fee_row() -> Column:
-    return F.contains(F.lower("name"), F.lit(C.FEE_ROW_MARKER))
+_IS_FEE_ROW = f"contains(lower(name), {quote(C.FEE_ROW_MARKER)})"
 
 
 def fee_rules(rows: DataFrame) -> DataFrame:
     """Fee rule per payment kind (method, rate, fixed)."""
-    method = F.when(F.contains(F.lower("name"), F.lit(C.WALLET_MARKER)), C.WALLET_MARKER)
+    wallet = quote(C.WALLET_MARKER)
     parsed = (
         _cells(rows)
-        .filter(_is_fee_row())
-        .select(
-            method.otherwise(C.CARD_METHOD).alias("method"),
-            fee_rate(F.col("text")).alias("rate"),
-            fee_fixed(F.col("text")).alias("fixed"),
+        .filter(_IS_FEE_ROW)
+        .selectExpr(
+            f"if(contains(lower(name), {wallet}), {wallet}, {quote(C.CARD_METHOD)}) as method",
+            f"{fee_rate('text')} as rate",
+            f"{fee_fixed('text')} as fixed",
             "row_pos",
         )
     )
-    return _last_per_name(parsed, "rate", "fixed", key="method")
+    return _last_per_name(parsed, "method", "rate", "fixed")
 
 
 def per_order_costs(rows: DataFrame) -> DataFrame:
     """Fixed cost per order and name (name, amount); rows that are no number drop out."""
     parsed = (
         _cells(rows)
-        .filter(~_is_fee_row())
-        .select("name", parse_fixed_amount(F.col("text")).alias("amount"), "row_pos")
-        .filter(F.col("amount").isNotNull())
+        .filter(f"not {_IS_FEE_ROW}")
+        .selectExpr("name", f"{parse_fixed_amount('text')} as amount", "row_pos")
+        .filter("amount is not null")
     )
-    return _last_per_name(parsed, "amount")
+    return _last_per_name(parsed, "name", "amount")
 
 
 def total_amount(costs: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +49,14 @@ _SCHEMAS = {
     "events": "ts timestamp_ntz, event_type string, value double",
 }
 
+_CSV = {
+    "header": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 _landed: dict[tuple[str, str, str], str] = {}
+_sheets: dict[str, DataFrame] = {}
 _lookups: dict[tuple[str, str], CostLookup] = {}
 
 
@@ -190,27 +196,27 @@ class ShopTables:
         """Cost sheet text with stray white space and cells that are no number."""
 
         def write(path: str) -> None:
-            own_brand = F.col("p_brand") == "Brand#5"
-            price = F.max("p_retailprice").cast("decimal(10,2)") * F.lit(Decimal("0.55"))
-            named = F.col("variant_title").isNotNull() & (F.length("product_key") % 2 == 0)
-            listed = self._products().filter(~own_brand | named)
-            costs = listed.groupBy("product_key").agg(
-                F.when(F.every(own_brand), "mangler")
-                .otherwise(price.cast("decimal(18,4)").cast("string"))
-                .alias("cost")
+            own_brand = "p_brand = 'Brand#5'"
+            named = "variant_title is not null and length(product_key) % 2 = 0"
+            price = f"cast(cast(max(p_retailprice) as decimal(10,2)) * 0.55 as {MONEY})"
+            listed = grouped(
+                self._products().filter(f"not {own_brand} or ({named})"),
+                ["product_key"],
+                f"if(every({own_brand}), 'mangler', cast({price} as string)) as cost",
             )
-            padded = F.when(
-                F.length("product_key") % 3 == 0,
-                F.concat(F.lit(NBSP), "product_key", F.lit(f" {NBSP}")),
-            ).otherwise(F.col("product_key"))
-            costs.select(
-                padded.alias("Produkt navn"),
-                F.col("cost").alias("Innkjøpspris pr. produkt i NOK uten MVA"),
-            ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-                "ignoreTrailingWhiteSpace", False
-            ).csv(path)
-
-        return read_sheet(self.spark, self._land("cost-sheet", write))
+            padded = (
+                "if(length(product_key) % 3 = 0, "
+                f"concat('{NBSP}', product_key, ' {NBSP}'), product_key)"
+            )
+            listed.selectExpr(
+                f"{padded} as `Produkt navn`",
+                "cost as `Innkjøpspris pr. produkt i NOK uten MVA`",
+            ).write.options(**_CSV).csv(path)
+
+        path = self._land("cost-sheet", write)
+        if path not in _sheets:
+            _sheets[path] = read_sheet(self.spark, path)
+        return _sheets[path]
 
     def price_list(self) -> DataFrame:
         """Cost and current price per product key."""
@@ -237,34 +243,27 @@ class ShopTables:
             _lookups[key] = cost_lookup(self.costs())
         return _lookups[key]
 
-    def _write_rows(self, name, amount, path: str) -> None:
-        self.table("supplier").select(
-            name.alias("name"), amount.alias("amount"), F.col("s_suppkey").alias("row_pos")
-        ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-            "ignoreTrailingWhiteSpace", False
-        ).option("emptyValue", "").csv(path)
+    def _write_rows(self, name: str, amount: str, path: str) -> None:
+        rows = self.table("supplier").selectExpr(
+            f"{name} as name", f"{amount} as amount", "s_suppkey as row_pos"
+        )
+        rows.write.options(**_CSV, emptyValue="").csv(path)
 
     def fixed_sheet(self) -> DataFrame:
         """Overhead sheet: one row per supplier, in the spellings people use."""
 
         def write(path: str) -> None:
-            kind, key = F.col("s_suppkey") % 10, F.col("s_suppkey")
-            plain = F.format_number(F.col("s_acctbal"), 2)
-            comma = F.translate(plain, ",.", "_,")
-            spaced = F.concat(F.replace(comma, F.lit("_"), F.lit(" ")), F.lit(" kr"))
-            hard = F.concat(F.replace(comma, F.lit("_"), F.lit(NBSP)), F.lit(f"{NBSP}kr"))
-            dotted = F.replace(comma, F.lit("_"), F.lit("."))
-            amount = (
-                F.when(kind == 7, "")
-                .when(kind == 3, dotted)
-                .when(key % 2 == 0, hard)
-                .otherwise(spaced)
-            )
-            repeated = F.concat(
-                F.lit("Supplier#"), F.lpad((key - 2).cast("string"), 9, "0"), F.lit(" ")
-            )
+            comma = "translate(format_number(s_acctbal, 2), ',.', '_,')"
             name = (
-                F.when(kind == 4, "Sum").when(kind == 8, repeated).otherwise(F.col("s_name"))
+                "case s_suppkey % 10 when 4 then 'Sum' when 8 then "
+                "concat('Supplier#', lpad(cast(s_suppkey - 2 as string), 9, '0'), ' ') "
+                "else s_name end"
+            )
+            amount = (
+                "case when s_suppkey % 10 = 7 then '' "
+                f"when s_suppkey % 10 = 3 then replace({comma}, '_', '.') "
+                f"when s_suppkey % 2 = 0 then concat(replace({comma}, '_', '{NBSP}'), '{NBSP}kr') "
+                f"else concat(replace({comma}, '_', ' '), ' kr') end"
             )
             self._write_rows(name, amount, path)
 
@@ -274,33 +273,26 @@ class ShopTables:
         """Per-order sheet: fee rules, fixed amounts and rows to be left out."""
 
         def write(path: str) -> None:
-            kind, key = F.col("s_suppkey") % 10, F.col("s_suppkey")
-            whole = F.floor(F.abs(F.col("s_acctbal"))).cast("decimal(12,0)")
-            small = (whole * F.lit(Decimal("0.0001"))).cast("decimal(12,4)").cast("string")
-            shipping = F.concat((key % 7 + 40).cast("string"), F.lit(",50"))
-            amount = (
-                F.when(
-                    kind == 0, F.concat((key % 3 + 2).cast("string"), F.lit(",5% av ordrepris"))
-                )
-                .when(kind == 5, "5% av ordrepris + 2 kr")
-                .when(kind == 3, "25 kr")
-                .when(kind == 6, "")
-                .when(kind == 9, shipping)
-                .otherwise(F.translate(small, ".", ","))
-            )
+            small = cast("cast(floor(abs(s_acctbal)) as decimal(12,0)) * 0.0001", "decimal(12,4)")
             name = (
-                F.when(kind == 0, "Transaksjonsgebyr Vipps")
-                .when(kind == 5, "Transaksjonsgebyr kort")
-                .when(kind == 9, "Ca fraktkostnad")
-                .otherwise(F.col("s_name"))
+                "case s_suppkey % 10 when 0 then 'Transaksjonsgebyr Vipps' "
+                "when 5 then 'Transaksjonsgebyr kort' when 9 then 'Ca fraktkostnad' "
+                "else s_name end"
+            )
+            amount = (
+                "case s_suppkey % 10 "
+                "when 0 then concat(cast(s_suppkey % 3 + 2 as string), ',5% av ordrepris') "
+                "when 5 then '5% av ordrepris + 2 kr' when 3 then '25 kr' when 6 then '' "
+                "when 9 then concat(cast(s_suppkey % 7 + 40 as string), ',50') "
+                f"else replace(cast({small} as string), '.', ',') end"
             )
             self._write_rows(name, amount, path)
 
         return read_cost_rows(self.spark, self._land("per-order-sheet", write))
 
     def _oversized(self) -> DataFrame:
-        counts = self.order_keys().groupBy("order_number").count()
-        return counts.filter(F.col("count") > MAX_DOCUMENT_LINES).select("order_number")
+        counts = grouped(self.order_keys(), ["order_number"], "count(1) as n_lines")
+        return counts.filter(f"n_lines > {MAX_DOCUMENT_LINES}").select("order_number")
 
     def oversized_lines(self) -> DataFrame:
         """Lines of the orders too long for one document; they stay flat."""
@@ -353,23 +345,13 @@ class ShopTables:
         """JSON pages: orders as they stand, and both states of the ones that changed."""
 
         def write(path: str) -> None:
-            changed = F.col("financial_status") == "refunded"
-            stages = F.when(changed, F.array(F.lit("before"), F.lit("after"))).otherwise(
-                F.array(F.lit("stable"))
-            )
-            before, created = F.col("stage") == "before", F.col("created_at")
-            later = F.concat(
-                F.date_add(F.left(created, F.lit(10)).cast("date"), 5).cast("string"),
-                F.substring(created, 11, 15),
-            )
-            staged = self._documents().withColumn("stage", F.explode(stages))
-            staged.withColumns(
-                {
-                    "financial_status": F.when(before, "paid").otherwise(
-                        F.col("financial_status")
-                    ),
-                    "updated_at": F.when(F.col("stage") == "after", later).otherwise(created),
-                }
+            stages = "if(financial_status = 'refunded', array('before', 'after'), array('stable'))"
+            later = "concat(date_add(to_date(left(created_at, 10)), 5), substring(created_at, 11, 15))"
+            staged = self._documents().selectExpr("*", f"explode({stages}) as stage")
+            staged.selectExpr(
+                "* except (financial_status)",
+                "if(stage = 'before', 'paid', financial_status) as financial_status",
+                f"if(stage = 'after', {later}, created_at) as updated_at",
             ).write.partitionBy("stage").option("compression", "gzip").json(path)
 
         return self._land("documents", write)
