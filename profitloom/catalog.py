@@ -81,7 +81,7 @@ def _forecast(shop: ShopTables) -> DataFrame:
 
 
 def _allocated(shop: ShopTables, customer: bool = False) -> DataFrame:
-    return L.allocate(shop.headers(customer), shop.lines(), shop.cfg)
+    return L.allocate(shop.headers(customer), shop.lines(), shop.huge_orders())
 
 
 def _priced(shop: ShopTables) -> DataFrame:
@@ -153,8 +153,8 @@ def line_items_nested(shop: ShopTables) -> DataFrame:
     """From documents; orders too long for a document come from the flat tables."""
     nested = _line_fields(L.line_items(shop.documents(), shop.cfg))
     headers = shop.headers(customer=True)
-    flat = _line_fields(L.line_table(L.allocate(headers, shop.oversized_lines(), shop.cfg)))
-    return nested.unionByName(flat)
+    flat = L.allocate(headers, shop.oversized_lines(), shop.huge_orders())
+    return nested.unionByName(_line_fields(L.line_table(flat)))
 
 
 def orders_source(shop: ShopTables) -> DataFrame:
@@ -445,7 +445,9 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "best_customer": lambda s: records.best_customer(_sold(s, True)),
         # lists
         "unfulfilled_count": lambda s: lists.unfulfilled_count(_placed(s)),
-        "unfulfilled_orders": lambda s: lists.unfulfilled_orders(_sold(s, True), s.lines(), s.cfg),
+        "unfulfilled_orders": lambda s: lists.unfulfilled_orders(
+            _sold(s, True), s.lines(), s.huge_orders()
+        ),
         "orders_summary": lambda s: lists.orders_summary(_earned(s)),
         "line_detail": lambda s: lists.line_detail(L.active(_lines(s), s.cfg)),
         # checks

@@ -135,29 +135,24 @@ def allocate_documents(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
 # --- flat header and line tables ----------------------------------------------
 
 
-def allocate(headers: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
+def allocate(
+    headers: DataFrame, lines: DataFrame, huge_orders: DataFrame | None = None
+) -> DataFrame:
     """Flat headers and lines to the same allocated lines.
 
     The order's item value and first line come from an aggregate that combines
     before the shuffle, joined back to the lines. Unlike a window over the order,
-    neither step needs all lines of a huge order in a single task.
+    neither step needs all lines of one of the ``huge_orders`` in a single task.
     """
     per_order = grouped(
         lines,
         ["order_number"],
         f"{sum_units(VALUE_UNITS)} as items_value",
         "min(line_pos) as first_pos",
-        "count(1) as n_lines",
-    )
-    joined = join_group_rows(
-        lines,
-        headers.join(per_order, "order_number"),
-        "order_number",
-        "line_pos",
-        "n_lines",
-        cfg.huge_order_lines,
     )
-    return _allocated(joined, "line_pos = first_pos").drop("first_pos", "n_lines", "salt")
+    orders = headers.join(per_order, "order_number")
+    joined = join_group_rows(lines, orders, "order_number", "line_pos", huge_orders)
+    return _allocated(joined, "line_pos = first_pos").drop("first_pos", "salt", "pieces")
 
 
 # --- shared steps ---------------------------------------------------------------

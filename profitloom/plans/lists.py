@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profitloom import config as C
-from profitloom.config import ProfitConfig
 from profitloom.functions.frames import grouped
 from profitloom.functions.money import as_double, margin_pct, money_out, rounded
 from profitloom.operators.skew import join_group_rows
@@ -20,31 +19,24 @@ def unfulfilled_count(orders: DataFrame) -> DataFrame:
     return open_orders(orders).selectExpr("count(1) as open_orders")
 
 
-def unfulfilled_orders(orders: DataFrame, lines: DataFrame, cfg: ProfitConfig) -> DataFrame:
+def unfulfilled_orders(
+    orders: DataFrame, lines: DataFrame, huge_orders: DataFrame | None = None
+) -> DataFrame:
     """Open orders with revenue and their products in line order, newest first.
 
-    An order above ``huge_order_lines`` has one row per line instead of one joined
-    text, so no product is left out and no text outgrows a task.
+    One of the ``huge_orders`` has one row per line instead of one joined text, so
+    no product is left out and no text outgrows a task.
     """
-    listed = open_orders(orders).select(
-        "order_number", "order_date", "city", "revenue_excl_mva", "n_lines"
-    )
-    limit = cfg.huge_order_lines
+    listed = open_orders(orders).select("order_number", "order_date", "city", "revenue_excl_mva")
     products = lines.select("order_number", "line_pos", "product_key")
-    joined = join_group_rows(products, listed, "order_number", "line_pos", "n_lines", limit)
+    joined = join_group_rows(products, listed, "order_number", "line_pos", huge_orders)
+    keys = ["order_number", "salt", "order_date", "city", "revenue_excl_mva"]
     texts = grouped(
         joined,
-        [
-            "order_number",
-            "salt",
-            "order_date",
-            "city",
-            "revenue_excl_mva",
-            f"if(n_lines > {limit}, line_pos, null) as piece",
-        ],
+        [*keys, "if(pieces > 1, line_pos, null) as own_row"],
         "listagg(product_key, ', ') within group (order by line_pos) as products",
     )
-    return texts.orderBy(F.col("order_date").desc(), "order_number", "piece").selectExpr(
+    return texts.orderBy(F.col("order_date").desc(), "order_number", "own_row").selectExpr(
         "order_number", "order_date", "city", *rounded("revenue_excl_mva"), "products"
     )
 

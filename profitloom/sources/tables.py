@@ -18,6 +18,7 @@ from profitloom.functions.frames import grouped
 from profitloom.functions.money import MONEY, cast, from_units, sum_units
 from profitloom.functions.text import NBSP
 from profitloom.operators.lines import discount_code, product_key
+from profitloom.operators.skew import huge_groups
 from profitloom.sources.orders import read_orders
 from profitloom.sources.sheets import (
     CostLookup,
@@ -57,6 +58,7 @@ _CSV = {
 
 _landed: dict[tuple[str, str, str], str] = {}
 _sheets: dict[str, DataFrame] = {}
+_huge: dict[tuple[str, str, int], DataFrame | None] = {}
 _lookups: dict[tuple[str, str], CostLookup] = {}
 
 
@@ -110,6 +112,13 @@ class ShopTables:
         """Order number of every line, for reports that need nothing else of it."""
         return self.table("lineitem").selectExpr("l_orderkey as order_number")
 
+    def huge_orders(self) -> DataFrame | None:
+        """Orders to split over several tasks, looked for once per session and directory."""
+        key = (self.spark.conf.get("spark.app.id"), self.sf_dir, self.cfg.huge_order_lines)
+        if key not in _huge:
+            _huge[key] = huge_groups(self.order_keys(), "order_number", key[2])
+        return _huge[key]
+
     def lines(self) -> DataFrame:
         """One row per line, amounts in units. ``line_pos`` is any value that orders them."""
         joined = self.table("lineitem").join(self._products(), F.expr("l_partkey = p_partkey"))

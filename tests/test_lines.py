@@ -170,7 +170,7 @@ def test_flat_and_nested_inputs_agree(spark):
         ],
     )
     headers = L.order_headers(docs, CFG)
-    flat = L.line_table(L.allocate(headers.drop("line_items"), L.raw_lines(headers), CFG))
+    flat = L.line_table(L.allocate(headers.drop("line_items"), L.raw_lines(headers)))
     nested = L.line_items(docs, CFG).select(*flat.columns)
     assert flat.exceptAll(nested).count() == nested.exceptAll(flat).count() == 0
     assert flat.count() == 87

@@ -10,6 +10,7 @@ from profitloom.config import ProfitConfig
 from profitloom.functions.money import AMOUNT
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
+from profitloom.operators.skew import huge_groups
 from profitloom.plans import checks, customers, discounts, lists, pnl, products, records, trends
 from profitloom.schemas import CARD_TRANSACTION, WALLET_ENTRY
 from profitloom.sources import fees, sheets
@@ -355,10 +356,13 @@ def test_records_prefer_the_smaller_key(spark, shop):
 
 @pytest.mark.parametrize("limit", [1000, 2])
 def test_open_orders_list_every_product(spark, shop, limit):
-    cfg = ProfitConfig(as_of=CFG.as_of, huge_order_lines=limit)
-    orders = L.active(table(spark, shop), cfg)
+    orders = L.active(table(spark, shop), CFG)
     assert one(lists.unfulfilled_count(orders))["open_orders"] == 2
-    rows = [(r.order_number, r.products) for r in lists.unfulfilled_orders(orders, shop[2], cfg).collect()]
+    huge = huge_groups(shop[2].select("order_number"), "order_number", limit)
+    rows = [
+        (r.order_number, r.products)
+        for r in lists.unfulfilled_orders(orders, shop[2], huge).collect()
+    ]
     # Above the limit an order is listed line by line, in line order.
     whole = [(4, "B, A, C")] if limit > 3 else [(4, "B"), (4, "A"), (4, "C")]
     assert rows == [*whole, (2, "C")]

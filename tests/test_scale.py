@@ -1,14 +1,12 @@
 """The paths taken for hot keys and for lookups too large to broadcast."""
 
-from dataclasses import replace
-
 import pytest
 from shop import CFG, costs, one
 
 from profitloom.functions.money import from_units, sum_units
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
-from profitloom.operators.skew import join_group_rows
+from profitloom.operators.skew import huge_groups, join_group_rows
 from profitloom.sources import sheets
 from profitloom.sources.tables import ShopTables
 
@@ -46,15 +44,20 @@ def hot(spark):
 
 
 def test_split_orders_give_the_same_lines(hot):
-    whole = L.allocate(*hot, CFG)
-    split = L.allocate(*hot, replace(CFG, huge_order_lines=100))
+    headers, lines = hot
+    assert huge_groups(lines, "order_number", 1_000_000) is None
+    huge = huge_groups(lines.select("order_number"), "order_number", 100)
+    assert one(huge) == {"order_number": 7, "pieces": 10}
+    whole = L.allocate(headers, lines)
     assert whole.count() == 3000
-    same(whole, split)
+    same(whole, L.allocate(headers, lines, huge))
 
 
-def test_pieces_of_a_huge_group_go_to_different_tasks(spark, hot):
-    groups = hot[1].groupBy("order_number").count().withColumnRenamed("count", "n")
-    joined = join_group_rows(hot[1], groups, "order_number", "line_pos", "n", 100)
+def test_pieces_of_a_huge_group_go_to_different_tasks(hot):
+    lines = hot[1]
+    huge = huge_groups(lines, "order_number", 100)
+    groups = lines.groupBy("order_number").count()
+    joined = join_group_rows(lines, groups, "order_number", "line_pos", huge)
     salts = joined.filter("order_number = 7").groupBy("salt").count().collect()
     assert len(salts) == 10 and max(r["count"] for r in salts) < 200
     assert joined.filter("order_number <> 7 and salt <> 0").count() == 0
