@@ -150,8 +150,7 @@ card_fees AS (
            CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.02 AS DECIMAL(18,4)) AS fee
     FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderkey % 5 <> 0
     UNION ALL
-    SELECT o_orderkey + 1000000,
-           CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.015 AS DECIMAL(18,4))
+    SELECT o_orderkey + 1000000, CAST(1.5 AS DECIMAL(18,4))
     FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderkey % 25 = 1)
   GROUP BY order_id)"""
 

@@ -22,6 +22,7 @@ from profitloom.storage import new_folder
 from profitloom.streaming import orders as S
 
 Query = Callable[[SparkSession, str], DataFrame]
+FILES_PER_BATCH = 1000
 SCENARIO_FACTORS = (Decimal("0.8"), Decimal("1"), Decimal("1.25"))
 
 
@@ -307,9 +308,8 @@ def sink_tables(shop: ShopTables) -> DataFrame:
 def incremental_orders(shop: ShopTables) -> DataFrame:
     """Weekly profit from the table kept up to date by the order feed."""
     table = new_folder(shop.spark, "order-versions")
-    S.ingest_orders(
-        shop.spark, shop.document_feed(), table, new_folder(shop.spark, "order-progress"), 8
-    )
+    progress = new_folder(shop.spark, "order-progress")
+    S.ingest_orders(shop.spark, shop.document_feed(), table, progress, FILES_PER_BATCH)
     docs = L.order_headers(S.current_orders(shop.spark, table), shop.cfg)
     costs = shop.cost_lookup()
     nested = O.order_table(docs.drop("line_items"), L.raw_lines(docs), shop.cfg, costs)

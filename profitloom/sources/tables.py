@@ -161,7 +161,7 @@ class ShopTables:
         rows = ", ".join(
             [
                 row(card, "charge", cast(f"{price} * 0.02", MONEY)),
-                row(f"{card} and o_orderkey % 25 = 1", "charge", cast(f"{price} * 0.015", MONEY)),
+                row(f"{card} and o_orderkey % 25 = 1", "charge", "1.5"),
                 row("o_orderstatus = 'P'", "refund", "9"),
             ]
         )
