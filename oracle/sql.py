@@ -39,11 +39,19 @@ products AS (
          CASE WHEN p_partkey % 9 <> 0 THEN p_name || ' ' || p_brand ELSE p_name END AS product_key
   FROM part)"""
 
+# Some products are listed twice, at another cost or at none.
 _COSTS = """
-costs AS (
+listed_once AS (
   SELECT product_key,
          CAST(CAST(max(p_retailprice) AS DECIMAL(10,2)) * 0.55 AS DECIMAL(18,4)) AS cost_price
-  FROM products WHERE p_brand <> 'Brand#5' GROUP BY product_key)"""
+  FROM products WHERE p_brand <> 'Brand#5' GROUP BY product_key),
+costs AS (
+  SELECT * FROM listed_once
+  UNION ALL
+  SELECT product_key, CAST(cost_price + 1.5 AS DECIMAL(18,4)) FROM listed_once
+  WHERE length(product_key) % 4 = 1
+  UNION ALL
+  SELECT product_key, NULL FROM listed_once WHERE length(product_key) % 4 = 2)"""
 
 _HEADERS = """
 headers AS (
@@ -64,15 +72,15 @@ headers AS (
               WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Vipps/MobilePay Payments'
               ELSE 'shopify_payments' END AS payment_method,
          CASE WHEN o_orderkey = 1019 THEN 'KIRA30'
-              WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Ingen rabatt' ELSE c_mktsegment END
-           AS discount_code,
-         CASE WHEN o_orderkey % 70 = 0 THEN 'Ukjent' ELSE n_name END AS city,
+              WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Ingen rabatt'
+              ELSE coalesce(c_mktsegment, 'Ingen rabatt') END AS discount_code,
+         CASE WHEN o_orderkey % 70 = 0 THEN 'Ukjent' ELSE coalesce(n_name, 'Ukjent') END AS city,
          CAST(CASE WHEN o_orderkey % 3 <> 0 THEN 79 ELSE 0 END AS DECIMAL(18,4)) AS order_shipping,
          CAST(CASE WHEN o_orderkey % 4 = 1 THEN 50 ELSE 0 END AS DECIMAL(18,4))
            AS undistributed_discount,
          o_orderstatus
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey)"""
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 
 _LINES = (
     _PRODUCTS
@@ -114,6 +122,7 @@ net AS (
   SELECT *, CAST(CAST(revenue AS DECIMAL(24,9)) * 0.8 AS DECIMAL(26,10)) AS revenue_excl_mva,
          CAST(shipping_revenue * 0.8 AS DECIMAL(26,10)) AS shipping_revenue_excl_mva
   FROM priced),
+sold AS (SELECT * FROM net WHERE financial_status <> 'refunded'),
 lines AS (
   SELECT n.*, revenue - revenue_excl_mva AS mva_collected, cost_price,
          CAST(cost_price * quantity AS DECIMAL(26,10)) AS total_cost,
@@ -139,7 +148,7 @@ all_orders AS (
          coalesce(sum(total_cost), 0) AS total_cost, coalesce(sum(profit), 0) AS profit,
          coalesce(sum(revenue_excl_mva) FILTER (WHERE cost_price IS NOT NULL), 0)
            AS priced_revenue,
-         sum(total_discount) FILTER (WHERE line_pos = 0) AS first_line_discount
+         any_value(total_discount) FILTER (WHERE line_pos = 0) AS first_line_discount
   FROM lines GROUP BY order_number),
 placed AS (SELECT * FROM all_orders WHERE NOT is_refunded)"""
 
@@ -283,7 +292,7 @@ SELECT order_number, order_id, order_date, order_created_at, product_key, produc
        {dbl("unit_price")} AS unit_price, {dbl("item_discount")} AS item_discount,
        {dbl("total_discount")} AS total_discount, {dbl("shipping_revenue")} AS shipping_revenue,
        {dbl("order_discount_share")} AS order_discount_share
-FROM lines"""
+FROM net"""
 _WEEKLY_PROFIT = f"""
 SELECT {_WEEK} AS week, {money("sum(revenue_excl_mva)")} AS revenue_excl_mva,
        {money("coalesce(sum(total_cost), 0)")} AS total_cost,
@@ -320,6 +329,10 @@ GROUP BY order_number""",
         + f"SELECT order_id, {money('actual_fee')} AS actual_fee FROM card_fees",
         "wallet_fee_summary": _with(_WALLET)
         + f"SELECT total_fees, total_captured, {dbl('avg_rate')} AS avg_rate, num_transactions FROM wallet",
+        "wallet_fee_default_window": _with(
+            _WALLET.replace("DATE '2024-01-01' AND DATE '2024-03-31'", "DATE '2023-10-17' AND DATE '2024-01-15'")
+        )
+        + f"SELECT total_fees, total_captured, {dbl('avg_rate')} AS avg_rate, num_transactions FROM wallet",
         "product_costs": _with(_PRODUCTS, _COSTS)
         + f"""
 SELECT product_key, {dbl("cost_price")} AS cost_price FROM costs
@@ -356,9 +369,14 @@ SELECT h.order_number, order_id, order_date, order_created_at, currency, financi
        {dbl("coalesce(items_value, 0)")} AS items_value
 FROM headers h LEFT JOIN (SELECT order_number, sum(item_value) AS items_value
                           FROM raw_lines GROUP BY 1) v USING (order_number)""",
-        "line_revenue": LINES + _line_amounts("lines", "item_revenue", "revenue"),
+        "line_revenue": LINES + _line_amounts("net", "item_revenue", "revenue"),
         "vat_split": LINES
-        + _line_amounts("lines", "revenue_excl_mva", "mva_collected", "shipping_revenue_excl_mva"),
+        + _line_amounts(
+            "(SELECT *, revenue - revenue_excl_mva AS mva_collected FROM net)",
+            "revenue_excl_mva",
+            "mva_collected",
+            "shipping_revenue_excl_mva",
+        ),
         "cost_join": LINES + f"SELECT {_KEY}, {dbl('cost_price')} AS cost_price FROM lines",
         "line_profit": LINES
         + f"""
@@ -366,7 +384,7 @@ SELECT {_KEY}, {money("total_cost")} AS total_cost, {money("profit")} AS profit,
        {margin("profit", "revenue_excl_mva")} AS margin_pct FROM lines""",
         "refund_flag": LINES
         + "SELECT DISTINCT order_number, financial_status, is_refunded FROM lines",
-        "active_lines": LINES + _line_amounts("active", "revenue_excl_mva"),
+        "active_lines": LINES + _line_amounts("sold", "revenue_excl_mva"),
     }
 
 
@@ -476,12 +494,16 @@ SELECT {money("gross_profit")} AS gross_profit, {money("fees")} AS total_txn_fee
 , by_source AS (
   SELECT CASE WHEN actual_fee IS NOT NULL THEN 'actual' ELSE 'estimated' END AS fee_source,
          count(*) AS orders, sum(txn_fee) AS fees, sum(revenue_excl_mva) AS sales
-  FROM fee_orders WHERE NOT is_refunded GROUP BY 1)
+  FROM fee_orders WHERE NOT is_refunded GROUP BY 1),
+both_sources AS (
+  SELECT fee_source, coalesce(orders, 0) AS orders, coalesce(fees, 0) AS fees,
+         coalesce(sales, 0) AS sales
+  FROM (VALUES ('actual'), ('estimated')) AS k(fee_source) LEFT JOIN by_source USING (fee_source))
 SELECT fee_source, orders, {money("fees")} AS fees, {money("sales")} AS revenue_excl_mva,
        {ratio("fees", "sales", "100")} AS measured_rate_pct,
        CASE WHEN fee_source = 'actual' THEN {ratio("fees", "sales", "100")}
             ELSE {dbl("(SELECT rate FROM wallet_rate) * 100")} END AS shown_rate_pct
-FROM by_source""",
+FROM both_sources""",
         "overall_fee_rate": PNL
         + f"""
 SELECT {money("txn_fee")} AS total_txn_fees,
@@ -682,14 +704,14 @@ def _discounts() -> dict[str, str]:
   FROM placed WHERE {plain})
 """
     return {
-        "discount_usage": LINES
+        "discount_usage": ORDERS
         + f"""
-SELECT discount_code, count(DISTINCT order_number) AS orders,
-       {money("sum(total_discount) FILTER (WHERE line_pos = 0)")} AS first_line_discount,
+SELECT discount_code, count(*) AS orders,
+       {money("sum(first_line_discount)")} AS first_line_discount,
        {money("sum(total_discount)")} AS all_line_discount,
        {money("sum(revenue_excl_mva)")} AS revenue_excl_mva,
        {money("coalesce(sum(profit), 0)")} AS profit
-FROM active GROUP BY 1""",
+FROM placed GROUP BY 1""",
         "discount_baseline": ORDERS
         + baseline
         + f"SELECT {money('mean')} AS baseline_aov FROM baseline",
@@ -783,9 +805,9 @@ SELECT CAST(sum(n_lines) AS BIGINT) AS n_lines,
        {money("sum(priced_revenue)")} AS priced_revenue_excl_mva,
        {ratio("sum(priced_revenue)", "sum(revenue_excl_mva)", "100")} AS revenue_pct
 FROM placed""",
-        "duplicate_cost_keys": _with(_PRODUCTS)
+        "duplicate_cost_keys": _with(_PRODUCTS, _COSTS)
         + """
-SELECT product_key, count(*) AS listings FROM products GROUP BY 1 HAVING count(*) > 1""",
+SELECT product_key, count(*) AS listings FROM costs GROUP BY 1 HAVING count(*) > 1""",
         "reconciliation": LINES
         + " UNION ALL ".join(
             f"""
@@ -799,7 +821,7 @@ SELECT '{name}' AS identity, {money(left)} AS left_side, {money("sum(revenue)")}
   SELECT order_number, sum(order_discount_share) AS share, sum(shipping_revenue) AS shipping,
          any_value(undistributed_discount) AS due, any_value(order_shipping) AS ship_due,
          sum(item_value) AS value, count(*) AS n
-  FROM lines GROUP BY 1)
+  FROM net GROUP BY 1)
 SELECT count(*) AS orders,
        count(*) FILTER (WHERE abs(share - CASE WHEN value > 0 THEN due ELSE 0 END) > n * 0.00001)
          AS orders_with_share_gap,
@@ -815,7 +837,7 @@ def _streaming() -> dict[str, str]:
             + f"""
 SELECT {period} AS period_start, count(DISTINCT order_number) AS orders,
        {money("sum(revenue)")} AS revenue, {money("sum(revenue_excl_mva)")} AS revenue_excl_mva
-FROM active GROUP BY 1"""
+FROM sold GROUP BY 1"""
         )
 
     return {

@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom.functions.frames import grouped
-from profitloom.functions.money import as_double, money_out, rounded, sum_units
+from profitloom.functions.money import as_double, rounded
 from profitloom.functions.text import parse_currency, parse_fixed_amount, strip
-from profitloom.functions.time import week_start
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
 from profitloom.plans import checks, customers, discounts, lists, pnl, products, records, trends
 from profitloom.sources import fees, sheets
+from profitloom.sources.orders import read_orders
 from profitloom.sources.sink import read_table, write_table
 from profitloom.sources.tables import WALLET_END, WALLET_START, ShopTables
 from profitloom.storage import new_folder
 from profitloom.streaming import orders as S
 
 Query = Callable[[SparkSession, str], DataFrame]
-FILES_PER_BATCH = 1000
+BATCHES = 8
+WALLET_DAY = date(2024, 1, 15)
 SCENARIO_FACTORS = (Decimal("0.8"), Decimal("1"), Decimal("1.25"))
 
 
@@ -34,11 +37,6 @@ def _placed(shop: ShopTables, customer: bool = False) -> DataFrame:
     return L.active(O.with_lines(shop.headers(customer), shop.order_keys()), shop.cfg)
 
 
-def _sold(shop: ShopTables, customer: bool = False) -> DataFrame:
-    """Active orders with revenue. The cost sheet lists no key twice, so it is not read."""
-    return L.active(O.order_table(shop.headers(customer), shop.lines(), shop.cfg), shop.cfg)
-
-
 def _all_orders(shop: ShopTables, customer: bool = False) -> DataFrame:
     return O.order_table(shop.headers(customer), shop.lines(), shop.cfg, shop.cost_lookup())
 
@@ -82,7 +80,7 @@ def _forecast(shop: ShopTables) -> DataFrame:
 
 
 def _allocated(shop: ShopTables, customer: bool = False) -> DataFrame:
-    return L.allocate(shop.headers(customer), shop.lines(), shop.huge_orders())
+    return L.allocate(shop.headers(customer), shop.lines())
 
 
 def _priced(shop: ShopTables) -> DataFrame:
@@ -151,16 +149,13 @@ def line_items(shop: ShopTables) -> DataFrame:
 
 
 def line_items_nested(shop: ShopTables) -> DataFrame:
-    """From documents; orders too long for a document come from the flat tables."""
-    nested = _line_fields(L.line_items(shop.documents(), shop.cfg))
-    headers = shop.headers(customer=True)
-    flat = L.allocate(headers, shop.oversized_lines(), shop.huge_orders())
-    return nested.unionByName(_line_fields(L.line_table(flat)))
+    """The same from order documents."""
+    return _line_fields(L.line_items(shop.documents(), shop.cfg))
 
 
 def orders_source(shop: ShopTables) -> DataFrame:
     """The landed documents as read, one row per order."""
-    listed = shop.documents().selectExpr(
+    return shop.documents().selectExpr(
         "order_number",
         "id as order_id",
         "created_at",
@@ -168,32 +163,12 @@ def orders_source(shop: ShopTables) -> DataFrame:
         "cast(total_discounts as double) as total_discounts",
         "cast(coalesce(size(line_items), 0) as bigint) as n_lines",
     )
-    own = grouped(
-        shop.oversized_lines(),
-        ["order_number"],
-        f"{sum_units('discount_units')} as own",
-        "count(1) as n_lines",
-    )
-    flat = shop.headers().join(own, "order_number").selectExpr(
-        "order_number",
-        "order_id",
-        "order_created_at as created_at",
-        "financial_status",
-        "cast(own + undistributed_discount as double) as total_discounts",
-        "n_lines",
-    )
-    return listed.unionByName(flat)
 
 
 def order_fields(shop: ShopTables) -> DataFrame:
     """Order-level fields taken from each document."""
     docs = L.order_headers(shop.documents(), shop.cfg)
-    docs = docs.selectExpr("*", f"{L.DOCUMENT_ITEMS_VALUE} as items_value").drop("line_items")
-    values = grouped(
-        shop.oversized_lines(), ["order_number"], f"{sum_units(L.VALUE_UNITS)} as items_value"
-    )
-    both = docs.unionByName(shop.headers(customer=True).join(values, "order_number"))
-    return both.selectExpr(
+    return docs.selectExpr("*", f"{L.DOCUMENT_ITEMS_VALUE} as items_value").selectExpr(
         "order_number",
         "order_id",
         "order_date",
@@ -247,7 +222,7 @@ def actual_fee_lookup(shop: ShopTables) -> DataFrame:
 
 
 def txn_fee(shop: ShopTables) -> DataFrame:
-    return _with_fee(shop, _sold(shop)).selectExpr(
+    return _with_fee(shop, _earned(shop)).selectExpr(
         "order_number", "payment_method", *rounded("txn_fee")
     )
 
@@ -267,6 +242,14 @@ def wallet_fee_summary(shop: ShopTables) -> DataFrame:
     )
 
 
+def wallet_fee_default_window(shop: ShopTables) -> DataFrame:
+    """The wallet summary over the default window before a given day."""
+    start, end = fees.wallet_window(replace(shop.cfg, as_of=WALLET_DAY))
+    return fees.wallet_fee_summary(shop.wallet_ledger(), start, end).selectExpr(
+        "total_fees", "total_captured", *_doubles("avg_rate"), "num_transactions"
+    )
+
+
 def _named_amounts(costs: DataFrame) -> DataFrame:
     return costs.selectExpr("name", *_doubles("amount"))
 
@@ -305,41 +288,37 @@ def sink_tables(shop: ShopTables) -> DataFrame:
 # --- streaming ----------------------------------------------------------------------
 
 
+def _files_per_batch(shop: ShopTables) -> int:
+    """Files of the feed in one micro-batch, so that a run takes about ``BATCHES``."""
+    files = len(read_orders(shop.spark, shop.document_feed()).inputFiles())
+    return max(1, -(-files // BATCHES))
+
+
 def incremental_orders(shop: ShopTables) -> DataFrame:
     """Weekly profit from the table kept up to date by the order feed."""
     table = new_folder(shop.spark, "order-versions")
     progress = new_folder(shop.spark, "order-progress")
-    S.ingest_orders(shop.spark, shop.document_feed(), table, progress, FILES_PER_BATCH)
-    docs = L.order_headers(S.current_orders(shop.spark, table), shop.cfg)
-    costs = shop.cost_lookup()
-    nested = O.order_table(docs.drop("line_items"), L.raw_lines(docs), shop.cfg, costs)
-    headers = shop.headers(customer=True)
-    flat = O.order_table(headers, shop.oversized_lines(), shop.cfg, costs)
-    return trends.weekly_profit(L.active(nested.unionByName(flat), shop.cfg))
+    S.ingest_orders(shop.spark, shop.document_feed(), table, progress, _files_per_batch(shop))
+    base = S.compact_orders(shop.spark, table)
+    docs = L.order_headers(S.current_orders(shop.spark, table, base), shop.cfg)
+    orders = O.order_table(docs.drop("line_items"), L.raw_lines(docs), shop.cfg, shop.cost_lookup())
+    return trends.weekly_profit(L.active(orders, shop.cfg))
 
 
 def _streaming_sales(shop: ShopTables, period: str) -> DataFrame:
+    """Sales from the whole feed, with every state an order went through."""
     table = new_folder(shop.spark, "sales")
     S.stream_sales(
         shop.spark,
-        f"{shop.document_feed()}/stage=stable",
+        shop.document_feed(),
         table,
         new_folder(shop.spark, "sales-progress"),
         shop.cfg,
         period,
+        _files_per_batch(shop),
     )
-    streamed = S.current_sales(shop.spark, table)
-    oversized = O.order_table(shop.headers(), shop.oversized_lines(), shop.cfg)
-    start = "order_date" if period == S.DAY else week_start("order_date")
-    flat = L.active(oversized, shop.cfg).selectExpr(
-        f"{start} as period_start", "1L as orders", "revenue", "revenue_excl_mva"
-    )
-    return grouped(
-        streamed.unionByName(flat),
-        ["period_start"],
-        "sum(orders) as orders",
-        f"{money_out('sum(revenue)')} as revenue",
-        f"{money_out('sum(revenue_excl_mva)')} as revenue_excl_mva",
+    return S.current_sales(shop.spark, table).selectExpr(
+        "period_start", "orders", *rounded("revenue", "revenue_excl_mva")
     )
 
 
@@ -358,6 +337,7 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "orders_source": orders_source,
         "card_fees_by_order": card_fees_by_order,
         "wallet_fee_summary": wallet_fee_summary,
+        "wallet_fee_default_window": wallet_fee_default_window,
         "product_costs": product_costs,
         "fixed_monthly_costs": lambda s: _named_amounts(_fixed(s)),
         "fixed_monthly_total": lambda s: _sheet_total(_fixed(s)),
@@ -397,9 +377,9 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
             _placed(s).withColumn("is_refunded", F.lit(False)), _fixed(s)
         ),
         "net_result": lambda s: pnl.net_result(_pnl(s)),
-        "fee_breakdown": lambda s: pnl.fee_breakdown(_with_fee(s, _sold(s)), rate(s)),
-        "overall_fee_rate": lambda s: pnl.overall_fee_rate(_with_fee(s, _sold(s))),
-        "pnl_statement": lambda s: pnl.pnl_statement(_pnl(s)),
+        "fee_breakdown": lambda s: pnl.fee_breakdown(_with_fee(s, _earned(s)), rate(s)),
+        "overall_fee_rate": lambda s: pnl.overall_fee_rate(_with_fee(s, _earned(s))),
+        "pnl_statement": lambda s: pnl.pnl_statement(_pnl(s), s.cfg),
         "fixed_cost_table": lambda s: pnl.fixed_cost_table(_fixed(s)),
         "order_cost_table": lambda s: pnl.order_cost_table(
             _per_order(s), _placed(s).withColumn("is_refunded", F.lit(False))
@@ -412,14 +392,14 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "price_scenario": lambda s: pnl.price_scenario(s.price_list(), SCENARIO_FACTORS, s.cfg),
         # time
         "weekly_profit": lambda s: trends.weekly_profit(_earned(s)),
-        "overall_aov": lambda s: trends.overall_aov(_sold(s)),
-        "weekly_aov": lambda s: trends.weekly_aov(_sold(s)),
+        "overall_aov": lambda s: trends.overall_aov(_earned(s)),
+        "weekly_aov": lambda s: trends.weekly_aov(_earned(s)),
         "daily_orders": lambda s: trends.daily_orders(_placed(s)),
         "orders_per_day": lambda s: trends.orders_per_day(_placed(s)),
         "weekday_pattern": lambda s: trends.weekday_pattern(_placed(s)),
         "hour_pattern": lambda s: trends.hour_pattern(_placed(s)),
         "peak_times": lambda s: trends.peak_times(_placed(s)),
-        "weekly_shipping": lambda s: trends.weekly_shipping(_sold(s), ship(s)),
+        "weekly_shipping": lambda s: trends.weekly_shipping(_earned(s), ship(s)),
         # products
         "top_products_profit": lambda s: products.top_products_profit(_titles(s), s.cfg),
         "product_margin": lambda s: products.product_margin(_titles(s)),
@@ -428,31 +408,31 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         # customers, payment, place
         "repeat_customers": lambda s: customers.repeat_customers(_placed(s, True)),
         "order_frequency": lambda s: customers.order_frequency(_placed(s, True)),
-        "payment_summary": lambda s: customers.payment_summary(_sold(s)),
-        "city_top": lambda s: customers.city_top(_sold(s, True), s.cfg),
+        "payment_summary": lambda s: customers.payment_summary(_earned(s)),
+        "city_top": lambda s: customers.city_top(_earned(s, True), s.cfg),
         # discounts and shipping
         "discount_usage": lambda s: discounts.discount_usage(
             L.active(_all_orders_and_first_line(s), s.cfg)
         ),
-        "discount_profitability": lambda s: discounts.discount_profitability(_sold(s, True)),
-        "discount_baseline": lambda s: discounts.discount_baseline(_sold(s, True)),
-        "shipping_result": lambda s: discounts.shipping_result(_sold(s), ship(s)),
+        "discount_profitability": lambda s: discounts.discount_profitability(_earned(s, True)),
+        "discount_baseline": lambda s: discounts.discount_baseline(_earned(s, True)),
+        "shipping_result": lambda s: discounts.shipping_result(_earned(s), ship(s)),
         # records
-        "best_day": lambda s: records.best_day(_sold(s)),
+        "best_day": lambda s: records.best_day(_earned(s)),
         "best_week": lambda s: records.best_week(_earned(s)),
         "best_product": lambda s: products.best_product(_titles(s)),
-        "biggest_order": lambda s: records.biggest_order(_sold(s)),
-        "best_customer": lambda s: records.best_customer(_sold(s, True)),
+        "biggest_order": lambda s: records.biggest_order(_earned(s)),
+        "best_customer": lambda s: records.best_customer(_earned(s, True)),
         # lists
         "unfulfilled_count": lambda s: lists.unfulfilled_count(_placed(s)),
         "unfulfilled_orders": lambda s: lists.unfulfilled_orders(
-            _sold(s, True), s.lines(), s.huge_orders()
+            _earned(s, True), s.lines(), s.cost_lookup()
         ),
         "orders_summary": lambda s: lists.orders_summary(_earned(s)),
         "line_detail": lambda s: lists.line_detail(L.active(_lines(s), s.cfg)),
         # checks
         "cost_coverage": lambda s: checks.cost_coverage(_earned(s)),
-        "duplicate_cost_keys": lambda s: checks.duplicate_cost_keys(s.listings()),
+        "duplicate_cost_keys": lambda s: checks.duplicate_cost_keys(s.costs()),
         "reconciliation": lambda s: checks.reconciliation(_all_orders(s)),
         "allocation_check": lambda s: checks.allocation_check(_allocated(s), s.headers()),
         # streaming

@@ -12,7 +12,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 MONEY = "decimal(18,4)"  # prices, discounts and costs as they arrive
-SHARE = "decimal(18,9)"  # a line's part of an order discount (does not terminate)
+SHARE = "decimal(19,9)"  # a line's part of an order discount (does not terminate)
 AMOUNT = "decimal(26,10)"  # any figure derived from the two above
 RATE = "decimal(12,8)"
 

@@ -7,7 +7,8 @@ line table is asked for, amounts are whole-number units (see functions.money).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
@@ -26,8 +27,8 @@ from profitloom.functions.money import (
     without_vat,
 )
 from profitloom.functions.time import wall_date
-from profitloom.operators.skew import join_group_rows, left_join_lookup
-from profitloom.sources.sheets import CostLookup
+from profitloom.operators.skew import left_join_lookup
+from profitloom.sources.sheets import BROADCAST_BYTES, CostLookup
 
 _SUM = "decimal(28,4)"
 VALUE_UNITS = "price_units * quantity"
@@ -43,16 +44,28 @@ def _sum_of(array: str, value: str) -> str:
     return f"coalesce(aggregate({array}, {zero}, (acc, x) -> cast(acc + {value} as {_SUM})), 0)"
 
 
-def discount_code(code: str, order_number: str, cfg: ProfitConfig) -> str:
-    """The code credited with an order: a set override, else its own, else none."""
-    own = f"coalesce({code}, {quote(C.NO_DISCOUNT)})"
-    if not cfg.discount_code_overrides:
-        return own
-    whens = " ".join(
-        f"when {int(number)} then {quote(override)}"
-        for number, override in cfg.discount_code_overrides.items()
-    )
-    return f"case {order_number} {whens} else {own} end"
+def discount_code(code: str) -> str:
+    """An order's own code, or the label for none."""
+    return f"coalesce({code}, {quote(C.NO_DISCOUNT)})"
+
+
+def override_table(spark: SparkSession, cfg: ProfitConfig) -> DataFrame | None:
+    """The shop's code overrides (order_number, override), one row per order."""
+    rows = [(int(number), code) for number, code in cfg.discount_code_overrides.items()]
+    return spark.createDataFrame(rows, "order_number bigint, override string") if rows else None
+
+
+def with_overrides(
+    orders: DataFrame, overrides: DataFrame | None, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Orders credited with the code set for them, if there is one; broadcast once measured."""
+    if overrides is None:
+        return orders
+    size = overrides.selectExpr("sum(octet_length(override) + 32) as bytes").first()["bytes"] or 0
+    listed = F.broadcast(overrides) if size <= max_bytes else overrides
+    code = "coalesce(override, discount_code) as discount_code"
+    columns = [code if c == "discount_code" else c for c in orders.columns]
+    return orders.join(listed, "order_number", "left").selectExpr(*columns)
 
 
 def is_refunded(cfg: ProfitConfig) -> str:
@@ -74,13 +87,16 @@ DOCUMENT_ITEMS_VALUE = _sum_of(
 )
 
 
-def order_headers(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    """One row per document: order fields, shipping and discount left to allocate."""
+def order_headers(docs: DataFrame, cfg: ProfitConfig, *keep: str) -> DataFrame:
+    """One row per document: order fields, shipping and discount left to allocate.
+
+    ``keep`` names further fields of the document to pass on.
+    """
     unknown = quote(C.UNKNOWN)
     shipping = _sum_of("shipping_lines", _text_money("x.price"))
     left_over = f"greatest(0, {_text_money('total_discounts')} - {DOCUMENT_DISCOUNTS})"
-    code = discount_code("get(discount_codes, 0).code", "order_number", cfg)
-    return docs.selectExpr(
+    headers = docs.selectExpr(
+        *keep,
         "order_number",
         "id as order_id",
         f"{wall_date('created_at')} as order_date",
@@ -92,11 +108,12 @@ def order_headers(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
         f"coalesce(get(payment_gateway_names, 0), {unknown}) as payment_method",
         "coalesce(nullif(shipping_address.city, ''), nullif(billing_address.city, ''), "
         f"{unknown}) as city",
-        f"{code} as discount_code",
+        f"{discount_code('get(discount_codes, 0).code')} as discount_code",
         f"{cast(shipping, MONEY)} as order_shipping",
         f"{cast(left_over, MONEY)} as undistributed_discount",
         "line_items",
     )
+    return with_overrides(headers, override_table(docs.sparkSession, cfg))
 
 
 def product_key(title: str, variant: str) -> str:
@@ -135,14 +152,13 @@ def allocate_documents(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
 # --- flat header and line tables ----------------------------------------------
 
 
-def allocate(
-    headers: DataFrame, lines: DataFrame, huge_orders: DataFrame | None = None
-) -> DataFrame:
+def allocate(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Flat headers and lines to the same allocated lines.
 
     The order's item value and first line come from an aggregate that combines
     before the shuffle, joined back to the lines. Unlike a window over the order,
-    neither step needs all lines of one of the ``huge_orders`` in a single task.
+    neither step needs all lines of an order in a single task: adaptive execution
+    splits the lines of a huge order over several tasks of the join.
     """
     per_order = grouped(
         lines,
@@ -151,8 +167,8 @@ def allocate(
         "min(line_pos) as first_pos",
     )
     orders = headers.join(per_order, "order_number")
-    joined = join_group_rows(lines, orders, "order_number", "line_pos", huge_orders)
-    return _allocated(joined, "line_pos = first_pos").drop("first_pos", "salt", "pieces")
+    joined = lines.join(orders, "order_number")
+    return _allocated(joined, "line_pos = first_pos").drop("first_pos")
 
 
 # --- shared steps ---------------------------------------------------------------
@@ -231,7 +247,8 @@ def cost_join(lines: DataFrame, costs: DataFrame, dedupe: bool = False) -> DataF
 
 def weigh_lines(lines: DataFrame, costs: CostLookup) -> DataFrame:
     """Add cost units and listing counts by product key, without repeating any line."""
-    weighed = left_join_lookup(lines, costs.weights, "product_key", "line_pos", costs.fits)
+    spread = "order_number, line_pos"
+    weighed = left_join_lookup(lines, costs.weights, "product_key", spread, costs.fits)
     return weighed.selectExpr(
         *lines.columns,
         "coalesce(copies, 1L) as copies",

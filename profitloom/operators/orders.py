@@ -146,8 +146,7 @@ def _line_sums(costs: CostLookup | None, first_line: bool) -> list[str]:
         ]
     else:
         sums.append("count(1) as n_lines")
-    # The smallest (position, values) pair is the first line with its values.
-    first = ["copies"] if repeats else []
+    # Values of the first line; whole numbers by position, so the aggregate hashes.
     if costs is not None:
         sums += [
             f"sum({'copies' if repeats else '1L'} - priced) as unpriced_lines",
@@ -155,18 +154,13 @@ def _line_sums(costs: CostLookup | None, first_line: bool) -> list[str]:
             f"{sum_units('discount_units * priced')} as priced_discount",
             f"{cast(sum_units('cost_units * quantity'), AMOUNT)} as total_cost",
         ]
-        first.append("priced")
-    if first_line:
-        first += ["value_units", "discount_units"]
-    pair = f"min(struct(line_pos, {', '.join(first)}))"
-    if "copies" in first:
-        sums.append(f"{pair}.copies as first_copies")
-    if "priced" in first:
-        sums.append(f"{pair}.priced as first_priced")
+        sums.append("min_by(priced, line_pos) as first_priced")
+    if repeats:
+        sums.append("min_by(copies, line_pos) as first_copies")
     if first_line:
         sums += [
-            f"{from_units(f'{pair}.value_units')} as first_value",
-            f"{from_units(f'{pair}.discount_units')} as first_discount",
+            f"{from_units('min_by(value_units, line_pos)')} as first_value",
+            f"{from_units('min_by(discount_units, line_pos)')} as first_discount",
         ]
     return sums
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profitloom.functions.frames import grouped
-from profitloom.storage import new_folder
-
 SALTS = 32
 
 
@@ -18,46 +15,10 @@ def left_join_lookup(
 
     A lookup measured to fit is broadcast. A larger one is repeated ``SALTS`` times
     and met by rows spread over the copies, so a hot key is shared by as many tasks.
+    ``spread_by`` names columns that tell the rows of one key apart.
     """
     if fits:
         return rows.join(F.broadcast(lookup), key, "left")
     copies = lookup.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as salt")
     salted = rows.selectExpr("*", f"cast(pmod(xxhash64({spread_by}), {SALTS}) as int) as salt")
     return salted.join(copies, [key, "salt"], "left").drop("salt")
-
-
-def huge_groups(keys: DataFrame, key: str, limit: int) -> DataFrame | None:
-    """Groups of more than ``limit`` rows and the number of tasks to split each over.
-
-    Run once per data set, over the key column alone. The list has at most
-    (all rows / limit) entries, so it can be broadcast; it is written to the shared
-    folder, so no later job counts again. None when no group is that large.
-    """
-    found = grouped(keys, [key], "count(1) as n").filter(f"n > {limit}")
-    path = new_folder(keys.sparkSession, "huge-groups")
-    listed = found.selectExpr(key, f"cast(ceil(n / {limit}) as int) as pieces")
-    listed.write.parquet(path)
-    table = keys.sparkSession.read.schema(listed.schema).parquet(path)
-    return None if table.isEmpty() else table
-
-
-def join_group_rows(
-    rows: DataFrame, groups: DataFrame, key: str, spread_by: str, huge: DataFrame | None
-) -> DataFrame:
-    """Inner join of rows with the one row their group was summed up to.
-
-    Groups listed in ``huge`` are split into salted pieces, so that their rows meet
-    copies of the group's row in several tasks. Adds ``salt`` and ``pieces``, 0 and
-    1 for ordinary groups.
-    """
-    if huge is None:
-        return rows.join(groups, key).selectExpr("*", "0 as salt", "1 as pieces")
-    huge = F.broadcast(huge)
-    salt = f"cast(coalesce(pmod(xxhash64({spread_by}), pieces), 0) as int) as salt"
-    salted = rows.join(huge, key, "left").selectExpr(*rows.columns, salt)
-    opened = groups.join(huge, key, "left").selectExpr(
-        *groups.columns,
-        "coalesce(pieces, 1) as pieces",
-        "explode(sequence(0, coalesce(pieces, 1) - 1)) as salt",
-    )
-    return salted.join(opened, [key, "salt"])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from profitloom import config as C
 from profitloom.functions.frames import grouped
 from profitloom.functions.money import as_double, margin_pct, money_out, rounded
-from profitloom.operators.skew import join_group_rows
+from profitloom.operators.lines import weigh_lines
+from profitloom.sources.sheets import CostLookup
 
 
 def open_orders(orders: DataFrame) -> DataFrame:
@@ -20,23 +21,24 @@ def unfulfilled_count(orders: DataFrame) -> DataFrame:
 
 
 def unfulfilled_orders(
-    orders: DataFrame, lines: DataFrame, huge_orders: DataFrame | None = None
+    orders: DataFrame, lines: DataFrame, costs: CostLookup | None = None
 ) -> DataFrame:
     """Open orders with revenue and their products in line order, newest first.
 
-    One of the ``huge_orders`` has one row per line instead of one joined text, so
-    no product is left out and no text outgrows a task.
+    One row per order, whatever its size. A product listed twice in the cost sheet is
+    named twice, as its line counts twice.
     """
-    listed = open_orders(orders).select("order_number", "order_date", "city", "revenue_excl_mva")
-    products = lines.select("order_number", "line_pos", "product_key")
-    joined = join_group_rows(products, listed, "order_number", "line_pos", huge_orders)
-    keys = ["order_number", "salt", "order_date", "city", "revenue_excl_mva"]
+    keys = ["order_number", "order_date", "city", "revenue_excl_mva"]
+    products, text = lines.select("order_number", "line_pos", "product_key"), "product_key"
+    if costs is not None and costs.repeats:
+        products = weigh_lines(products, costs)
+        text = "array_join(array_repeat(product_key, cast(copies as int)), ', ')"
     texts = grouped(
-        joined,
-        [*keys, "if(pieces > 1, line_pos, null) as own_row"],
-        "listagg(product_key, ', ') within group (order by line_pos) as products",
+        open_orders(orders).select(*keys).join(products, "order_number"),
+        keys,
+        f"listagg({text}, ', ') within group (order by line_pos) as products",
     )
-    return texts.orderBy(F.col("order_date").desc(), "order_number", "own_row").selectExpr(
+    return texts.orderBy(F.col("order_date").desc(), "order_number").selectExpr(
         "order_number", "order_date", "city", *rounded("revenue_excl_mva"), "products"
     )
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from profitloom import config as C
 from profitloom.config import ProfitConfig
-from profitloom.functions.frames import grouped
 from profitloom.functions.money import (
     as_double,
     cast,
@@ -132,13 +131,13 @@ def net_result(pnl: DataFrame) -> DataFrame:
     )
 
 
-# The statement's lines in order.
+# The statement's lines in order; the VAT rate is filled in.
 PNL_LINES = (
     ("Brutto varesalg (inkl. MVA)", "gross_sales", 1),
     ("Rabatter gitt", "total_discount", -1),
     ("Fraktinntekter", "shipping_revenue", 1),
     ("Total omsetning (inkl. MVA)", "revenue", 1),
-    ("MVA til staten (25%)", "mva_collected", -1),
+    ("MVA til staten ({vat}%)", "mva_collected", -1),
     ("Omsetning (eksl. MVA)", "revenue_excl_mva", 1),
     ("Varekostnad (COGS)", "total_cost", -1),
     ("Bruttofortjeneste", "gross_profit", 1),
@@ -149,23 +148,35 @@ PNL_LINES = (
 )
 
 
-def pnl_statement(pnl: DataFrame) -> DataFrame:
-    return _statement(pnl, PNL_LINES)
+def pnl_statement(pnl: DataFrame, cfg: ProfitConfig) -> DataFrame:
+    vat = f"{float(cfg.vat_rate * 100):g}"
+    return _statement(pnl, [(name.format(vat=vat), *rest) for name, *rest in PNL_LINES])
 
 
 def fee_breakdown(orders: DataFrame, rate: Column) -> DataFrame:
     """Fees and rates of orders with a charged fee and of those with an estimate.
 
+    Both rows are always there, with zeros where no order is of the kind.
     ``shown_rate_pct`` is the rate to report: measured for charged fees, the wallet
     rate itself for estimates.
     """
-    by_source = grouped(
-        orders,
-        ["if(actual_fee is not null, 'actual', 'estimated') as fee_source"],
-        "count(1) as orders",
-        f"{total('txn_fee')} as fee_sum",
-        f"{total('revenue_excl_mva')} as sales",
-    ).withColumn("wallet_rate", rate)
+    kinds = {"actual": "actual_fee is not null", "estimated": "actual_fee is null"}
+    sums = [
+        part
+        for kind, holds in kinds.items()
+        for part in (
+            f"count_if({holds}) as {kind}_orders",
+            f"{total(f'if({holds}, txn_fee, null)')} as {kind}_fees",
+            f"{total(f'if({holds}, revenue_excl_mva, null)')} as {kind}_sales",
+        )
+    ]
+    rows = ", ".join(
+        f"struct('{kind}' as fee_source, {kind}_orders as orders, {kind}_fees as fee_sum, "
+        f"{kind}_sales as sales)"
+        for kind in kinds
+    )
+    by_source = orders.selectExpr(*sums).selectExpr(f"inline(array({rows}))")
+    by_source = by_source.withColumn("wallet_rate", rate)
     return by_source.selectExpr(
         "fee_source",
         "orders",

@@ -22,7 +22,7 @@ def read_card_transactions(spark: SparkSession, path: str | None) -> DataFrame:
 def read_wallet_ledger(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return spark.createDataFrame([], WALLET_ENTRY)
-    return spark.read.schema(WALLET_ENTRY).json(path)
+    return spark.read.schema(WALLET_ENTRY).json(path)  # a folder per day, read by day
 
 
 def card_fees_by_order(transactions: DataFrame) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from profitloom.functions.frames import grouped
 from profitloom.schemas import ORDER
 
+# Instant of a document's last change, so that offsets don't decide which is newer.
+VERSION = "coalesce(unix_micros(try_cast(updated_at as timestamp)), 0L)"
+
 
 def read_orders(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All landed order pages as one set, one nested row per order."""
-    return spark.read.schema(ORDER).json(paths)
+    """All landed order pages below the paths as one set, one nested row per order."""
+    return spark.read.schema(ORDER).option("recursiveFileLookup", True).json(paths)
 
 
 def stream_orders(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -18,3 +22,16 @@ def stream_orders(spark: SparkSession, path: str, files_per_batch: int | None =
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)
+
+
+def newest_orders(docs: DataFrame, version: str = VERSION) -> DataFrame:
+    """The newest version of every order; ``version`` is a whole number or decimal.
+
+    The versions that are out of date are found on two narrow columns, and only their
+    list meets the documents. Versions must be distinct within an order.
+    """
+    versions = docs.selectExpr("id", f"{version} as version")
+    best = grouped(versions, ["id"], "max(version) as best")
+    old = versions.join(best, "id").filter("version < best").select("id", "version")
+    marked = docs.selectExpr("*", f"{version} as version")
+    return marked.join(old, ["id", "version"], "left_anti").select(*docs.columns)

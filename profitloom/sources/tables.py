@@ -17,9 +17,14 @@ from profitloom.config import NO_DISCOUNT, UNFULFILLED, UNKNOWN, ProfitConfig
 from profitloom.functions.frames import grouped
 from profitloom.functions.money import MONEY, cast, from_units, sum_units
 from profitloom.functions.text import NBSP
-from profitloom.operators.lines import discount_code, product_key
-from profitloom.operators.skew import huge_groups
-from profitloom.sources.orders import read_orders
+from profitloom.operators.lines import (
+    discount_code,
+    override_table,
+    product_key,
+    with_overrides,
+)
+from profitloom.sources.fees import read_card_transactions, read_wallet_ledger
+from profitloom.sources.orders import newest_orders, read_orders
 from profitloom.sources.sheets import (
     CostLookup,
     cost_lookup,
@@ -29,11 +34,11 @@ from profitloom.sources.sheets import (
 )
 from profitloom.storage import new_folder
 
-DEFAULT_CONFIG = ProfitConfig(as_of=date(2000, 7, 1))
+# The override is one of this shop's data, not a default of the package.
+DEFAULT_CONFIG = ProfitConfig(
+    as_of=date(2000, 7, 1), discount_code_overrides={1019: "KIRA30"}
+)
 WALLET_START, WALLET_END = date(2024, 1, 1), date(2024, 3, 31)
-# Longer orders are not gathered into one document. There are at most (all lines /
-# this) of them, so their list is small enough to broadcast.
-MAX_DOCUMENT_LINES = 100_000
 
 _URGENT = "o_orderpriority in ('1-URGENT', '2-HIGH')"
 
@@ -58,15 +63,24 @@ _CSV = {
 
 _landed: dict[tuple[str, str, str], str] = {}
 _sheets: dict[str, DataFrame] = {}
-_huge: dict[tuple[str, str, int], DataFrame | None] = {}
-_lookups: dict[tuple[str, str], CostLookup] = {}
+_lookups: dict[str, CostLookup] = {}
 
 
 class ShopTables:
-    """Shop inputs derived from the tables in one directory."""
+    """Shop inputs derived from the tables in one directory.
+
+    The cost sheet lists some products twice, as hand-kept sheets do, unless
+    ``clean_costs`` asks for one row per product.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg: ProfitConfig = DEFAULT_CONFIG):
-        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        cfg: ProfitConfig = DEFAULT_CONFIG,
+        clean_costs: bool = False,
+    ):
+        self.spark, self.sf_dir, self.cfg, self.clean_costs = spark, sf_dir, cfg, clean_costs
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
@@ -76,7 +90,7 @@ class ShopTables:
     def headers(self, customer: bool = False) -> DataFrame:
         """One row per order; customer fields only when asked for, as they cost a join."""
         day, key = "cast(o_orderdate as date)", "o_orderkey"
-        code = discount_code("nullif(c_mktsegment, 'HOUSEHOLD')", key, self.cfg)
+        code = discount_code("nullif(c_mktsegment, 'HOUSEHOLD')")
         fields = [
             f"{key} as order_number",
             f"{key} + 1000000 as order_id",
@@ -101,36 +115,41 @@ class ShopTables:
             "case when o_custkey % 10 = 3 then '' when o_custkey % 10 <> 4 "
             "then concat(c_name, '@example.org') end as customer_email",
             f"{code} as discount_code",
-            f"case when {key} % 70 = 0 then '{UNKNOWN}' else n_name end as city",
+            f"if({key} % 70 = 0, '{UNKNOWN}', coalesce(n_name, '{UNKNOWN}')) as city",
         ]
         customers = self.table("customer").join(
-            self.table("nation"), F.expr("c_nationkey = n_nationkey")
+            self.table("nation"), F.expr("c_nationkey = n_nationkey"), "left"
         )
-        return orders.join(customers, F.expr("o_custkey = c_custkey")).selectExpr(*fields)
+        known = orders.join(customers, F.expr("o_custkey = c_custkey"), "left").selectExpr(*fields)
+        return with_overrides(known, override_table(self.spark, self.cfg))
 
     def order_keys(self) -> DataFrame:
         """Order number of every line, for reports that need nothing else of it."""
         return self.table("lineitem").selectExpr("l_orderkey as order_number")
 
-    def huge_orders(self) -> DataFrame | None:
-        """Orders to split over several tasks, looked for once per session and directory."""
-        key = (self.spark.conf.get("spark.app.id"), self.sf_dir, self.cfg.huge_order_lines)
-        if key not in _huge:
-            _huge[key] = huge_groups(self.order_keys(), "order_number", key[2])
-        return _huge[key]
-
     def lines(self) -> DataFrame:
-        """One row per line, amounts in units. ``line_pos`` is any value that orders them."""
-        joined = self.table("lineitem").join(self._products(), F.expr("l_partkey = p_partkey"))
+        """One row per line, amounts in units.
+
+        ``line_pos`` orders an order's lines: line, part and supplier number side by side
+        in one whole number, so that aggregates over it hash instead of sorting.
+        """
+        joined = self.table("lineitem").join(
+            self._products(), F.expr("l_partkey = p_partkey"), "left"
+        )
+        place = [
+            f"cast({column} as decimal(12,0)) * {10**shift}BD"
+            for column, shift in (("l_linenumber", 24), ("l_partkey", 12), ("l_suppkey", 0))
+        ]
+        cents = "coalesce(price_cents, 0L)"
         return joined.selectExpr(
             "l_orderkey as order_number",
-            "struct(l_linenumber, l_partkey, l_suppkey) as line_pos",
-            "product_key",
-            "product_title",
+            f"cast({' + '.join(place)} as decimal(38,0)) as line_pos",
+            "coalesce(product_key, '') as product_key",
+            "coalesce(product_title, '') as product_title",
             "variant_title",
             "cast(l_quantity as int) as quantity",
-            "price_cents * 100 as price_units",
-            "price_cents * cast(l_quantity as int) * cast(rint(l_discount * 100) as bigint)"
+            f"{cents} * 100 as price_units",
+            f"{cents} * cast(l_quantity as int) * cast(rint(l_discount * 100) as bigint)"
             " as discount_units",
             "l_partkey as product_id",
             "l_suppkey as variant_id",
@@ -151,6 +170,22 @@ class ShopTables:
     # --- fees ---
 
     def card_transactions(self) -> DataFrame:
+        """Balance transactions, landed as JSON."""
+        path = self._land(
+            "card-transactions", lambda p: self._balance().write.option("compression", "gzip").json(p)
+        )
+        return read_card_transactions(self.spark, path)
+
+    def wallet_ledger(self) -> DataFrame:
+        """Ledger entries, landed as JSON in one folder per day."""
+
+        def write(path: str) -> None:
+            days = self._ledger().repartition("ledger_date")
+            days.write.partitionBy("ledger_date").option("compression", "gzip").json(path)
+
+        return read_wallet_ledger(self.spark, self._land("wallet-ledger", write))
+
+    def _balance(self) -> DataFrame:
         """Up to three balance rows per order, made without leaving the order's row."""
         price = "cast(o_totalprice as decimal(18,2))"
         card = f"not {_URGENT} and o_orderkey % 5 <> 0"
@@ -174,7 +209,7 @@ class ShopTables:
             .select("type", "source_order_id", "fee")
         )
 
-    def wallet_ledger(self) -> DataFrame:
+    def _ledger(self) -> DataFrame:
         value = "cast(value as decimal(18,2))"
         capture = f"cast({value} * 100 as bigint)"
         fee = f"-cast(round({value} * 2.66, 0) as bigint)"
@@ -193,8 +228,9 @@ class ShopTables:
     # --- landed sheets and documents ---
 
     def _land(self, name: str, write) -> str:
-        """Write a landed input once per session and directory; return its path."""
-        key = (self.spark.conf.get("spark.app.id"), self.sf_dir, name)
+        """Write a landed input once per session, directory and shop; return its path."""
+        shop = f"{name} {self.clean_costs} {self.cfg}"
+        key = (self.spark.conf.get("spark.app.id"), self.sf_dir, shop)
         if key not in _landed:
             path = new_folder(self.spark, name)
             write(path)
@@ -202,7 +238,8 @@ class ShopTables:
         return _landed[key]
 
     def cost_sheet(self) -> DataFrame:
-        """Cost sheet text with stray white space and cells that are no number."""
+        """Cost sheet text with stray white space, cells that are no number, and products
+        listed again at another cost or at none."""
 
         def write(path: str) -> None:
             own_brand = "p_brand = 'Brand#5'"
@@ -217,6 +254,15 @@ class ShopTables:
                 "if(length(product_key) % 3 = 0, "
                 f"concat('{NBSP}', product_key, ' {NBSP}'), product_key)"
             )
+            again = "length(product_key) % 4"
+            other = f"cast(try_cast(cost as {MONEY}) + 1.5 as string)"
+            rows = (
+                f"case when cost = 'mangler' then array(cost) when {again} = 1 "
+                f"then array(cost, {other}) when {again} = 2 then array(cost, 'mangler') "
+                "else array(cost) end"
+            )
+            if not self.clean_costs:
+                listed = listed.selectExpr("product_key", f"explode({rows}) as cost")
             listed.selectExpr(
                 f"{padded} as `Produkt navn`",
                 "cost as `Innkjøpspris pr. produkt i NOK uten MVA`",
@@ -236,18 +282,13 @@ class ShopTables:
         )
         return prices.selectExpr("*", f"{cast('sell_price * 0.55', MONEY)} as cost_price")
 
-    def listings(self) -> DataFrame:
-        """A cost list nobody has cleaned: one row per part, so names repeat."""
-        return self._products().selectExpr(
-            "product_key", f"{cast('p_retailprice', MONEY)} as cost_price"
-        )
-
     def costs(self) -> DataFrame:
         return product_costs(self.cost_sheet())
 
     def cost_lookup(self) -> CostLookup:
-        """The cost sheet by key, measured once per session and directory."""
-        key = (self.spark.conf.get("spark.app.id"), self.sf_dir)
+        """The cost sheet by key, measured once per landed sheet."""
+        self.cost_sheet()
+        key = self._land("cost-sheet", lambda path: None)
         if key not in _lookups:
             _lookups[key] = cost_lookup(self.costs())
         return _lookups[key]
@@ -299,18 +340,8 @@ class ShopTables:
 
         return read_cost_rows(self.spark, self._land("per-order-sheet", write))
 
-    def _oversized(self) -> DataFrame:
-        counts = grouped(self.order_keys(), ["order_number"], "count(1) as n_lines")
-        return counts.filter(f"n_lines > {MAX_DOCUMENT_LINES}").select("order_number")
-
-    def oversized_lines(self) -> DataFrame:
-        """Lines of the orders too long for one document; they stay flat."""
-        return self.lines().join(F.broadcast(self._oversized()), "order_number", "left_semi")
-
     def _documents(self) -> DataFrame:
-        """Order documents; only orders of bounded length are gathered into one row."""
-        oversized = F.broadcast(self._oversized())
-        fits = self.lines().join(oversized, "order_number", "left_anti")
+        """Order documents, one row per order with all its lines, as a shop delivers them."""
         line = (
             "struct(line_pos, product_title as title, variant_title, quantity, "
             f"cast({from_units('price_units')} as string) as price, "
@@ -318,7 +349,7 @@ class ShopTables:
             "product_id, variant_id)"
         )
         nested = grouped(
-            fits,
+            self.lines(),
             ["order_number"],
             f"transform(sort_array(collect_list({line})), x -> struct(x.title, x.variant_title, "
             "x.quantity, x.price, x.total_discount, x.product_id, x.variant_id)) as items",
@@ -327,7 +358,7 @@ class ShopTables:
         plain = ShopTables(
             self.spark, self.sf_dir, replace(self.cfg, discount_code_overrides={})
         )
-        headers = plain.headers(customer=True).join(oversized, "order_number", "left_anti")
+        headers = plain.headers(customer=True)
         known_city = f"city <> '{UNKNOWN}'"
         return headers.join(nested, "order_number", "left").selectExpr(
             "order_id as id",
@@ -357,7 +388,9 @@ class ShopTables:
             stages = "if(financial_status = 'refunded', array('before', 'after'), array('stable'))"
             later = "concat(date_add(to_date(left(created_at, 10)), 5), substring(created_at, 11, 15))"
             staged = self._documents().selectExpr("*", f"explode({stages}) as stage")
-            staged.selectExpr(
+            # Several files a stage, whatever the size, so that streams take several batches.
+            pages = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            staged.repartition(pages).selectExpr(
                 "* except (financial_status)",
                 "if(stage = 'before', 'paid', financial_status) as financial_status",
                 f"if(stage = 'after', {later}, created_at) as updated_at",
@@ -366,9 +399,8 @@ class ShopTables:
         return self._land("documents", write)
 
     def documents(self) -> DataFrame:
-        """Order documents in their latest state."""
-        path = self._land_documents()
-        return read_orders(self.spark, [f"{path}/stage=stable", f"{path}/stage=after"])
+        """Order documents in their latest state, by version, whatever folder holds it."""
+        return newest_orders(read_orders(self.spark, self._land_documents()))
 
     def document_feed(self) -> str:
         """Folder with every state of every order, as an incremental job sees it."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def newest(df: DataFrame, key: str | list[str], *version: Column) -> DataFrame:
@@ -36,4 +36,4 @@ def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame]):
 
 def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All rows of all batches, with their batch number; no rows before the first."""
-    return spark.read.schema(schema.add("batch", "long")).parquet(path)
+    return spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)

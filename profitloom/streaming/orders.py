@@ -1,28 +1,39 @@
-"""Incremental orders and running daily sales."""
+"""Incremental orders and running sales."""
 
 from __future__ import annotations
 
-from copy import deepcopy
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import AMOUNT, cast, total, without_vat
-from profitloom.functions.time import wall_seconds
+from profitloom.functions.money import AMOUNT, cast, without_vat
+from profitloom.functions.time import week_start
 from profitloom.operators.lines import (
     DOCUMENT_DISCOUNTS,
     DOCUMENT_ITEMS_VALUE,
-    active,
+    is_refunded,
     order_headers,
 )
 from profitloom.schemas import ORDER
-from profitloom.sources.orders import stream_orders
+from profitloom.sources.orders import VERSION, newest_orders, stream_orders
 from profitloom.storage import new_folder
 from profitloom.streaming.log import batch_writer, newest, read_log
 
 
+def _run(frame: DataFrame, write, checkpoint: str) -> None:
+    """Process what has landed since the last run, then stop."""
+    query = (
+        frame.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def ingest_orders(
     spark: SparkSession,
     source: str,
@@ -34,35 +45,48 @@ def ingest_orders(
 
     Each batch keeps the newest version of every order it holds.
     """
-    latest = lambda batch: newest(batch, "id", F.col("updated_at"))
-    query = (
-        stream_orders(spark, source, files_per_batch)
-        .writeStream.foreachBatch(batch_writer(table, latest))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    latest = lambda batch: newest(batch, "id", F.expr(VERSION))
+    _run(stream_orders(spark, source, files_per_batch), batch_writer(table, latest), checkpoint)
 
 
-def current_orders(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of every order taken in so far."""
-    versions = read_log(spark, table, deepcopy(ORDER))
-    return newest(versions, "id", F.col("updated_at"), F.col("batch")).select(
-        *ORDER.fieldNames()
-    )
+@dataclass(frozen=True)
+class Compacted:
+    """Current orders as of batch ``upto``."""
+
+    path: str
+    upto: int
+
+
+def _versions(spark: SparkSession, table: str, base: Compacted | None) -> DataFrame:
+    """The compacted table and the batches after it, or all batches."""
+    batches = read_log(spark, table, ORDER)
+    if base is None:
+        return batches
+    old = spark.read.schema(ORDER).parquet(base.path).selectExpr("*", "-1L as batch")
+    return old.unionByName(batches.filter(f"batch > {base.upto}"))
+
+
+def current_orders(
+    spark: SparkSession, table: str, base: Compacted | None = None
+) -> DataFrame:
+    """The newest version of every order taken in so far.
+
+    Versions are told apart by the instant of their change, then by batch. With a
+    compacted ``base`` only later batches are read besides it.
+    """
+    version = f"cast({VERSION} as decimal(20,0)) * 1000000000000BD + batch"
+    return newest_orders(_versions(spark, table, base), version).select(*ORDER.fieldNames())
 
 
-def compact_orders(spark: SparkSession, table: str) -> str:
-    """Write the current orders to a new table that later batches can be added to."""
+def compact_orders(spark: SparkSession, table: str, base: Compacted | None = None) -> Compacted:
+    """Write the current orders to a table that later batches are read on top of."""
     target = new_folder(spark, "orders-compacted")
-    current_orders(spark, table).write.parquet(f"{target}/batch=-1")
-    return target
+    upto = read_log(spark, table, ORDER).agg(F.max("batch")).first()[0]
+    current_orders(spark, table, base).write.parquet(target)
+    return Compacted(target, -1 if upto is None else upto)
 
 
 DAY, WEEK = "1 day", "7 days"
-# Event-time windows start at 1970-01-01, a Thursday; weeks start on Monday.
-_WINDOW_START = {DAY: "0 days", WEEK: "4 days"}
 
 
 def _sales_schema() -> StructType:
@@ -75,37 +99,73 @@ def _sales_schema() -> StructType:
     )
 
 
-def sales_events(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    """Event time and revenue of each order that has lines; one row stays one row."""
-    headers = active(order_headers(docs, cfg), cfg).filter("size(line_items) > 0")
+_FIELDS = _sales_schema().fieldNames()
+
+
+def order_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
+    """What each version of an order adds to its period; refunded or empty orders add 0."""
+    headers = order_headers(docs, cfg, "id", f"{VERSION} as version")
     items = DOCUMENT_ITEMS_VALUE
+    counts = f"(size(line_items) > 0 and not ({is_refunded(cfg)}))"
     revenue = (
         f"{items} - {DOCUMENT_DISCOUNTS} - if({items} > 0, undistributed_discount, 0) "
         "+ greatest(order_shipping, 0)"
     )
+    start = "order_date" if period == DAY else week_start("order_date")
     return headers.selectExpr(
-        f"timestamp_seconds({wall_seconds('order_created_at')}) as event_time",
-        f"{cast(revenue, AMOUNT)} as revenue",
+        "id",
+        "version",
+        f"{start} as period_start",
+        f"if({counts}, 1L, 0L) as orders",
+        f"{cast(f'if({counts}, {revenue}, 0)', AMOUNT)} as revenue",
         f"{without_vat('revenue', cfg.vat_rate)} as revenue_excl_mva",
     )
 
 
-def sales_by_period(events: DataFrame, period: str, delay: str = "2 days") -> DataFrame:
-    """Orders and revenue per day or week; rows later than ``delay`` are not waited for."""
-    window = F.window("event_time", period, startTime=_WINDOW_START[period])
-    summed = (
-        events.withWatermark("event_time", delay)
-        .groupBy(window.alias("window"))
-        .agg(
-            F.expr("count(1) as orders"),
-            F.expr(f"{cast(total('revenue'), AMOUNT)} as revenue"),
-            F.expr(f"{cast(total('revenue_excl_mva'), AMOUNT)} as revenue_excl_mva"),
+def _state_schema() -> StructType:
+    schema = StructType().add("id", "long").add("version", "long")
+    for side in ("new", "old"):
+        schema = schema.add(side, _sales_schema())
+    return schema
+
+
+def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str):
+    """A ``foreachBatch`` function that books what changed.
+
+    The newest version of each order in the batch is held against the version known so
+    far. Where it is newer, the batch's state keeps both, and the batch's changes take
+    the old amounts off their period and add the new ones. Both folders carry the batch
+    id and depend on earlier batches only, so a batch that is run again writes the same.
+    """
+    amounts = f"struct({', '.join(_FIELDS)})"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = order_sales(batch, cfg, period).selectExpr("id", "version", f"{amounts} as new")
+        rows = newest(rows, "id", F.col("version"))
+        none = f"cast(null as {_sales_schema().simpleString()}) as old"
+        if batch_id == 0:
+            kept = rows.selectExpr("*", none)
+        else:
+            state = read_log(spark, f"{table}/state", _state_schema())
+            state = state.filter(f"batch < {batch_id}").selectExpr(
+                "id", "version as known", "new as old", "batch"
+            )
+            state = state.join(rows.select("id"), "id", "left_semi")
+            known = newest(state, "id", F.col("known"), F.col("batch"))
+            kept = rows.join(known, "id", "left").filter("known is null or version >= known")
+            kept = kept.select("id", "version", "new", "old")
+        folder = f"{table}/state/batch={batch_id}"
+        kept.write.mode("overwrite").parquet(folder)
+        sides = spark.read.schema(_state_schema()).parquet(folder).selectExpr(
+            "inline(array_compact(array(struct(1 as sign, new as x), "
+            "if(old is null, null, struct(-1 as sign, old as x)))))"
         )
-    )
-    start = "date_add(date'1970-01-01', cast(unix_seconds(window.start) div 86400 as int))"
-    return summed.selectExpr(
-        f"{start} as period_start", "orders", "revenue", "revenue_excl_mva"
-    )
+        signed = [f"{cast(f'sum(sign * x.{c})', t)} as {c}" for c, t in
+                  (("orders", "bigint"), ("revenue", AMOUNT), ("revenue_excl_mva", AMOUNT))]
+        changes = sides.groupBy(F.expr("x.period_start as period_start")).agg(*map(F.expr, signed))
+        changes.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
+
+    return write
 
 
 def stream_sales(
@@ -115,24 +175,20 @@ def stream_sales(
     checkpoint: str,
     cfg: ProfitConfig,
     period: str = DAY,
-    delay: str = "2 days",
     files_per_batch: int | None = None,
 ) -> None:
-    """Update the running sales table with the files that are new, then stop."""
-    sales = sales_by_period(
-        sales_events(stream_orders(spark, source, files_per_batch), cfg), period, delay
-    )
-    query = (
-        sales.writeStream.outputMode("update")
-        .foreachBatch(batch_writer(table, lambda batch: batch))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Update the running sales table with the files that are new, then stop.
+
+    Every order counts however late it lands, and a later version of an order takes the
+    place of the earlier one.
+    """
+    orders = stream_orders(spark, source, files_per_batch)
+    _run(orders, sales_writer(spark, table, cfg, period), checkpoint)
 
 
 def current_sales(spark: SparkSession, table: str) -> DataFrame:
-    """The latest figures of every period."""
-    updates = read_log(spark, table, _sales_schema())
-    return newest(updates, "period_start", F.col("batch")).drop("batch")
+    """The figures of every period: the sum of all booked changes."""
+    changes = read_log(spark, f"{table}/changes", _sales_schema())
+    sums = [f"{cast(f'sum({c})', t)} as {c}" for c, t in
+            (("orders", "bigint"), ("revenue", AMOUNT), ("revenue_excl_mva", AMOUNT))]
+    return changes.groupBy("period_start").agg(*map(F.expr, sums)).filter("orders <> 0")

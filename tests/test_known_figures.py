@@ -4,6 +4,7 @@ import pytest
 from shop import one
 
 from profitloom import catalog
+from profitloom.sources.tables import ShopTables
 
 KNOWN = {
     "0.001": {
@@ -43,16 +44,18 @@ KNOWN = {
 
 @pytest.mark.parametrize("sf", sorted(KNOWN))
 def test_known_figures(spark, sf):
-    queries, known = catalog.all_queries(), KNOWN[sf]
-    sf_dir = f"/root/testdata/sf{sf}"
+    known = KNOWN[sf]
+    # The figures are those of a sheet that lists every product once.
+    shop = ShopTables(spark, f"/root/testdata/sf{sf}", clean_costs=True)
+    queries = {name: lambda build=build: build(shop) for name, build in catalog._shop_queries().items()}
     for name, figures in known.items():
         if name in ("fees", "sizes"):
             continue
-        row = one(queries[name](spark, sf_dir))
+        row = one(queries[name]())
         assert {k: row[k] for k in figures} == pytest.approx(figures, abs=0.011), name
     for name, size in known["sizes"].items():
-        assert queries[name](spark, sf_dir).count() == size
-    rows = queries["fee_breakdown"](spark, sf_dir).collect()
+        assert queries[name]().count() == size
+    rows = queries["fee_breakdown"]().collect()
     assert {r.fee_source: (r.orders, r.fees) for r in rows} == {
         k: pytest.approx(v, abs=0.011) for k, v in known["fees"].items()
     }

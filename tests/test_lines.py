@@ -1,5 +1,6 @@
 """Flattening, allocation, cost join and profit on hand-made documents."""
 
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -43,8 +44,17 @@ def test_order_fields_and_defaults(spark):
 
 
 def test_code_override_beats_the_orders_own_code(spark):
-    rows = table(spark, order(1019, [line("A")], discount_codes=[{"code": "X"}])).collect()
-    assert rows[0].discount_code == "KIRA30"
+    docs = documents(
+        spark,
+        order(1019, [line("A")], discount_codes=[{"code": "X"}]),
+        order(1020, [line("A")], discount_codes=[{"code": "Y"}]),
+    )
+    cfg = replace(CFG, discount_code_overrides={1019: "KIRA30", 7: "Z"})
+    for limit in (1 << 20, 0):
+        headers = L.with_overrides(L.order_headers(docs, CFG), L.override_table(spark, cfg), limit)
+        assert {r.order_number: r.discount_code for r in headers.collect()} == {1019: "KIRA30", 1020: "Y"}
+    assert {r.discount_code for r in L.line_items(docs, cfg).collect()} == {"KIRA30", "Y"}
+    assert {r.discount_code for r in L.line_items(docs, CFG).collect()} == {"X", "Y"}
 
 
 def test_key_is_not_stripped_on_the_line_side(spark):

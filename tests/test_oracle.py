@@ -4,9 +4,12 @@ import __spark_entry__ as entry_point
 import pytest
 from compare import connect, difference, type_gaps
 
+from oracle.sql import all_sql
+from profitloom.catalog import all_queries
+
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +19,7 @@ def duck():
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -10,7 +10,6 @@ from profitloom.config import ProfitConfig
 from profitloom.functions.money import AMOUNT
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
-from profitloom.operators.skew import huge_groups
 from profitloom.plans import checks, customers, discounts, lists, pnl, products, records, trends
 from profitloom.schemas import CARD_TRANSACTION, WALLET_ENTRY
 from profitloom.sources import fees, sheets
@@ -152,7 +151,7 @@ def test_net_result_adds_up(spark, shop):
 
 
 def test_statement_lines_add_up(spark, shop):
-    rows = pnl.pnl_statement(pnl.profit_and_loss(*result(spark, shop))).orderBy("line_no").collect()
+    rows = pnl.pnl_statement(pnl.profit_and_loss(*result(spark, shop)), CFG).orderBy("line_no").collect()
     amounts = [r.amount for r in rows]
     assert [r.line_no for r in rows] == list(range(1, 13))
     assert sum(amounts[:3]) == pytest.approx(amounts[3])
@@ -354,18 +353,37 @@ def test_records_prefer_the_smaller_key(spark, shop):
     assert str(week["profit_week"]) == "2024-07-01" and week["profit"] == 116
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_open_orders_list_every_product(spark, shop, limit):
+def test_open_orders_list_every_product(spark, shop):
     orders = L.active(table(spark, shop), CFG)
     assert one(lists.unfulfilled_count(orders))["open_orders"] == 2
-    huge = huge_groups(shop[2].select("order_number"), "order_number", limit)
-    rows = [
-        (r.order_number, r.products)
-        for r in lists.unfulfilled_orders(orders, shop[2], huge).collect()
-    ]
-    # Above the limit an order is listed line by line, in line order.
-    whole = [(4, "B, A, C")] if limit > 3 else [(4, "B"), (4, "A"), (4, "C")]
-    assert rows == [*whole, (2, "C")]
+    rows = lists.unfulfilled_orders(orders, shop[2]).collect()
+    assert [(r.order_number, r.products) for r in rows] == [(4, "B, A, C"), (2, "C")]
+    twice = sheets.cost_lookup(costs(spark, ("A", 1), ("A", 2), ("C", None), ("C", 3), ("C", 4)))
+    rows = lists.unfulfilled_orders(orders, shop[2], twice).collect()
+    assert [(r.order_number, r.products) for r in rows] == [(4, "B, A, A, C, C, C"), (2, "C, C, C")]
+
+
+def test_fee_breakdown_always_has_both_rows(spark, shop):
+    orders, wallet = with_fees(spark, table(spark, shop))
+    for kept, empty in (("actual_fee is not null", "estimated"), ("false", "actual")):
+        rows = by(pnl.fee_breakdown(orders.filter(kept), O.wallet_rate(wallet, CFG)), "fee_source")
+        assert set(rows) == {"actual", "estimated"}
+        assert (rows[empty]["orders"], rows[empty]["fees"], rows[empty]["measured_rate_pct"]) == (0, 0, 0)
+
+
+def test_statement_names_the_vat_rate(spark, shop):
+    cfg = ProfitConfig(as_of=CFG.as_of, vat_rate=Decimal("0.125"))
+    names = [r.post for r in pnl.pnl_statement(pnl.profit_and_loss(*result(spark, shop)), cfg).collect()]
+    assert "MVA til staten (12.5%)" in names
+
+
+def test_average_order_value_times_orders_is_headline_revenue(spark):
+    from profitloom import catalog
+
+    row = {n: one(catalog.all_queries()[n](spark, "/root/testdata/sf0.001")) for n in ("overall_aov", "headline_totals")}
+    total = row["headline_totals"]
+    assert row["overall_aov"]["aov"] * total["num_orders"] == pytest.approx(total["revenue_excl_mva"], abs=0.01 * total["num_orders"])
+    assert catalog.all_queries()["duplicate_cost_keys"](spark, "/root/testdata/sf0.001").count() > 0
 
 
 def test_order_and_line_lists(spark, shop):

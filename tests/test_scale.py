@@ -6,7 +6,7 @@ from shop import CFG, costs, one
 from profitloom.functions.money import from_units, sum_units
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
-from profitloom.operators.skew import huge_groups, join_group_rows
+from profitloom.operators.skew import SALTS, left_join_lookup
 from profitloom.sources import sheets
 from profitloom.sources.tables import ShopTables
 
@@ -43,24 +43,27 @@ def hot(spark):
     return headers, lines
 
 
-def test_split_orders_give_the_same_lines(hot):
-    headers, lines = hot
-    assert huge_groups(lines, "order_number", 1_000_000) is None
-    huge = huge_groups(lines.select("order_number"), "order_number", 100)
-    assert one(huge) == {"order_number": 7, "pieces": 10}
-    whole = L.allocate(headers, lines)
-    assert whole.count() == 3000
-    same(whole, L.allocate(headers, lines, huge))
+def test_a_product_on_every_first_line_uses_all_salts(spark):
+    for at in ("0", "cast(1000000 as decimal(38,0))"):
+        lines = spark.range(4000).selectExpr("id as order_number", f"{at} as line_pos", "'A' as product_key")
+        lookup = spark.createDataFrame([("A", 1)], "product_key string, copies long")
+        joined = left_join_lookup(lines, lookup, "product_key", "order_number, line_pos", False)
+        assert joined.filter("copies = 1").count() == 4000
+        salts = lines.selectExpr(f"pmod(xxhash64(order_number, line_pos), {SALTS}) as s").groupBy("s").count()
+        assert salts.count() == SALTS and max(r["count"] for r in salts.collect()) < 4000 / SALTS * 2
+    plan = L.weigh_lines(
+        lines.selectExpr("*"), sheets.cost_lookup(costs(spark, ("A", 5)), max_bytes=1)
+    )._jdf.queryExecution().toString()
+    assert "order_number" in plan.split("xxhash64(")[1][:40]
 
 
-def test_pieces_of_a_huge_group_go_to_different_tasks(hot):
-    lines = hot[1]
-    huge = huge_groups(lines, "order_number", 100)
-    groups = lines.groupBy("order_number").count()
-    joined = join_group_rows(lines, groups, "order_number", "line_pos", huge)
-    salts = joined.filter("order_number = 7").groupBy("salt").count().collect()
-    assert len(salts) == 10 and max(r["count"] for r in salts) < 200
-    assert joined.filter("order_number <> 7 and salt <> 0").count() == 0
+def test_line_sums_hash_and_do_not_sort(spark):
+    from profitloom import catalog
+
+    queries = catalog.all_queries()
+    for name in ("weekly_profit", "discount_usage", "line_items", "orders_summary"):
+        plan = queries[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan, name
 
 
 def test_salted_lookup_equals_broadcast(spark, hot):
@@ -102,16 +105,14 @@ def test_documents_and_flat_tables_give_the_same_orders(spark):
     same(flat, nested)
 
 
-def test_orders_too_long_for_a_document_stay_flat(spark, monkeypatch):
-    from profitloom import catalog
-    from profitloom.sources import tables
-
-    monkeypatch.setattr(tables, "MAX_DOCUMENT_LINES", 6)
-    monkeypatch.setattr(tables, "_landed", {})
+def test_documents_come_from_files_of_every_state(spark):
     shop = ShopTables(spark, SF_DIR)
-    assert 0 < shop.oversized_lines().count() < shop.lines().count()
-    same(catalog.line_items(shop), catalog.line_items_nested(shop))
-    same(catalog._shop_queries()["weekly_profit"](shop), catalog.incremental_orders(shop))
+    from profitloom.sources.orders import read_orders
+
+    landed = read_orders(spark, shop.document_feed())
+    newest = shop.documents()
+    assert landed.count() > newest.count() == newest.select("id").distinct().count()
+    assert len(landed.inputFiles()) >= 8
 
 
 def test_order_counts_read_only_order_keys(spark, capsys):
