@@ -20,7 +20,6 @@ item the most similar is returned, the first of equals.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations

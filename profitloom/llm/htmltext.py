@@ -2,8 +2,8 @@
 
 A page becomes a list of text blocks. A classifier gives each block a cost for calling it
 content and one for calling it boilerplate; these are the capacities of its edges to the two
-terminals. Neighbouring blocks, and blocks next to each other under one element, are joined by
-smoothness edges that grow with the share of the page tree they have in common. The minimum cut,
+terminals. Neighbouring blocks, and blocks of one kind that follow each other under one element,
+are joined by smoothness edges that grow with what they have in common in the page's tree. The minimum cut,
 found by maximum flow, is the labelling of least cost.
 
 The classifier adds the evidence of a block's elements, their class and id words, and a logistic
@@ -262,8 +262,13 @@ def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tu
             at = to[e]
 
 
-def label(blocks: list[Block], weights: np.ndarray, smooth: float = 0.6) -> list[bool]:
-    """Which blocks are content."""
+def label(blocks: list[Block], weights: np.ndarray, smooth: float = 1.5) -> list[bool]:
+    """Which blocks are content.
+
+    Neighbours of one kind under one element pull each other with ``smooth``; other neighbours
+    with a fifth of it, by the share of the tree above them that they have in common; and so do
+    blocks that only other elements part.
+    """
     n = len(blocks)
     w = weights.tolist()
     scores = [
@@ -271,19 +276,19 @@ def label(blocks: list[Block], weights: np.ndarray, smooth: float = 0.6) -> list
     ]
     edges, last_under = [], {}
     for i, b in enumerate(blocks):
-        if i:
+        under = (b.path[-2] if len(b.path) > 1 else 0, b.tag)
+        before = last_under.get(under)
+        if before is not None:
+            edges.append((before, i, smooth))
+        if i and before != i - 1:
             a = blocks[i - 1]
             shared = 0
             for x, y in zip(a.path, b.path):
                 if x != y:
                     break
                 shared += 1
-            edges.append((i - 1, i, smooth * shared / max(len(a.path), len(b.path))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        before = last_under.get(parent)
-        if before is not None and before < i - 1:
-            edges.append((before, i, smooth))
-        last_under[parent] = i
+            edges.append((i - 1, i, 0.2 * smooth * shared / max(len(a.path), len(b.path))))
+        last_under[under] = i
     return max_flow_side(n, [max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], edges)
 
 

@@ -64,7 +64,7 @@ def test_broken_archives_are_refused(harm):
         data = data[:-5]
     else:
         raw = gzip.decompress(data)
-        raw = raw.replace(b"two", b"tWo") if harm == "digest" else raw.replace(b"Content-Length: 64", b"Content-Length: 65")
+        raw = raw.replace(b"two", b"tWo") if harm == "digest" else re.sub(rb"Content-Length: (\d+)", lambda m: b"Content-Length: %d" % (int(m[1]) + 1), raw)
         parts = raw.split(b"WARC/1.1\r\n")[1:]
         data = b"".join(gzip.compress(b"WARC/1.1\r\n" + p) for p in parts)
         assert raw != gzip.decompress(archive(b"one", b"two"))
