@@ -1,10 +1,14 @@
 """N-gram Jaccard self-join with signature trees.
 
-A document is its set of word shingles; sets that are equal are one class. Two sets that reach the
-threshold share a token among the first few of each in any fixed order of tokens, so classes that
-share none can't link. That gives the top of the tree: clusters of classes tied by such tokens and
-by sizes near enough. The order puts tokens that many documents hold last, by a table of counts
-over all documents whose size is fixed, so that common passages tie nothing.
+A document is its set of word shingles; sets that are equal are one class. The top of the tree
+splits classes by what linked sets must share: sets that reach the threshold differ in k tokens
+at most, so if tokens are dealt by hash into more than k parts, some part is equal in both. Parts
+go by size range, ranges overlap as far as sizes can link, and a part's token is a hash of its
+content. Classes tied by equal parts, directly or through others, are a cluster; classes of
+different clusters can't link. Shared passages and chance repeats should tie nothing, so there are
+spare parts, and parts with too few rare shingles count only for sets that have more of them than
+there are spare ones. What is rare comes from a table of counts over all documents whose size is
+fixed; it decides how much is compared, never whether a link is found.
 
 Below, a cluster is one block of classes, or several of bounded size split by set size and hash.
 In each block, or pair of blocks, classes are the leaves of a tree whose nodes hold the OR of
@@ -35,9 +39,11 @@ from profitloom.llm.components import components
 
 _BYTES = 4 << 20
 _U = np.uint64
-#: Bits of a token's hash that pick its counter: 1 MB of counters whatever the corpus.
+#: Bits of a shingle's hash that pick its counter: 1 MB of counters whatever the corpus.
 COUNTER_BITS = 18
 _PIECE = 1 << 12
+#: Parts' tokens that a task holds at a time, before and after the exchange.
+PART_TOKENS = 4_000_000
 #: Bytes of row numbers up to which clustered documents are found by broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Shingles of a block.
@@ -89,8 +95,9 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(first.view(np.int64)), int(second.view(np.int64))
 
 
-def token_counts(docs: DataFrame, text: str, rule: JaccardRule) -> np.ndarray:
-    """How many shingles of the whole corpus fall on each counter."""
+def rare_cells(docs: DataFrame, rule: JaccardRule, text: str) -> np.ndarray:
+    """For each cell of shingle hashes, whether the corpus fills it no more than chance would."""
+    ship(docs.sparkSession)
     schema = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
     cells = 1 << COUNTER_BITS
 
@@ -98,12 +105,11 @@ def token_counts(docs: DataFrame, text: str, rule: JaccardRule) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for batch in batches(source, _BYTES):
             hashes, _ = shingle_hashes(batch.column(0), rule.words)
-            total += np.bincount((hashes >> _U(64 - COUNTER_BITS)).astype(np.int64), minlength=cells)
+            total += np.bincount(cell_of(hashes), minlength=cells)
         pieces = np.flatnonzero(total.reshape(-1, _PIECE).any(axis=1))
         small = np.uint32 if total.max(initial=0) < 1 << 32 else np.int64
-        yield record_batch(
-            schema, [pieces.astype(np.int32), [total[p * _PIECE : (p + 1) * _PIECE].astype(small).tobytes() for p in pieces]]
-        )
+        parts = [total[p * _PIECE : (p + 1) * _PIECE].astype(small).tobytes() for p in pieces]
+        yield record_batch(schema, [pieces.astype(np.int32), parts])
 
     def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -119,62 +125,223 @@ def token_counts(docs: DataFrame, text: str, rule: JaccardRule) -> np.ndarray:
     out = np.zeros(cells, np.int64)
     for row in pieces.collect():  # 2 MB at most
         out[row["piece"] * _PIECE : (row["piece"] + 1) * _PIECE] = np.frombuffer(bytes(row["counts"]), np.int64)
-    return out
+    mean = out.mean()
+    return out <= mean + 4 * np.sqrt(mean)
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, rule: JaccardRule) -> np.ndarray:
-    """The tokens of which a set that links must share one: the first by count, then hash."""
-    n = len(tokens)
-    keep = n - -(-rule.percent * n // 100) + 1
-    common = np.minimum(counts[(tokens >> _U(64 - COUNTER_BITS)).astype(np.int64)], (1 << 20) - 1).astype(_U)
-    order = (common << _U(44)) | (tokens & _U((1 << 44) - 1))
-    return np.partition(order, keep - 1)[:keep] if keep < n else order
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def summaries(docs: DataFrame, rule: JaccardRule, text: str, key: str) -> DataFrame:
-    """Set size, digest and prefix tokens of each document, written to the shared folder."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(token_counts(docs, text, rule))
+    """Set size and digest of each document, written to the shared folder."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, _BYTES):
-            n, first, second, tokens = [], [], [], []
-            for part in sets(batch.column(1), rule.words):
-                a, b = digest(part) if len(part) else (0, 0)
-                n.append(len(part))
-                first.append(a)
-                second.append(b)
-                tokens.append(prefix(part, counts.value, rule).view(np.int64) if len(part) else np.zeros(0, np.int64))
-            flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(t) for t in tokens]))), pa.int32())
-            schema = pa.schema(
-                [batch.schema.field(0), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))]
-            )
-            yield record_batch(schema, [batch.column(0), n, first, second, pa.ListArray.from_arrays(ends, flat)])
+            found = [(len(s), *(digest(s) if len(s) else (0, 0))) for s in sets(batch.column(1), rule.words)]
+            schema = pa.schema([batch.schema.field(0), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+            yield record_batch(schema, [batch.column(0), *map(list, zip(*found))])
 
     frame = docs.select(docs[key].alias("_id"), docs[text].alias("_text"))
     kind = frame.schema[0].dataType.simpleString()
-    return stored(
-        spark, frame.mapInArrow(run, f"_id {kind}, n long, d1 long, d2 long, tokens array<bigint>"), "shingle-sets"
-    )
+    return stored(docs.sparkSession, frame.mapInArrow(run, f"_id {kind}, n long, d1 long, d2 long"), "shingle-sets")
+
+
+class Ranges:
+    """Size ranges, and into how many parts the sets of a range are dealt.
+
+    A range spans one step of the smallest linking ratio. Sets of range r are compared there with
+    each other and with those sets of range r + 1 that are near enough in size. ``parts[r]``
+    exceeds what such a pair can differ in by one and by ``spare[r]``, which makes up for parts
+    with fewer than ``least[r]`` rare shingles: as many as a set of the range may have, if nine
+    tenths of its shingles are rare.
+    """
+
+    def __init__(self, percent: int, largest: int):
+        self.percent = percent
+        self.begin = [1]
+        while self.begin[-1] <= largest:
+            self.begin.append(100 * self.begin[-1] // percent + 1)
+        self.parts, self.spare, self.least = [], [], []
+        for first, after in zip(self.begin, self.begin[1:]):
+            most = after - 1
+            differ = (100 - percent) * (most + 100 * most // percent) // (100 + percent)
+            least, spare = next(x for x in ((2, self._spare(first, differ, 2)), (1, self._spare(first, differ, 1)), (1, 2)) if x[1] is not None)
+            self.parts.append(differ + 1 + spare if differ else 0)
+            self.spare.append(spare)
+            self.least.append(least)
+
+    @staticmethod
+    def _spare(first: int, differ: int, least: int) -> int | None:
+        """Parts with fewer than ``least`` rare shingles that sets may have; None if too many."""
+        spare = 0
+        for _ in range(12):
+            parts = differ + 1 + spare
+            rate = 0.9 * first / parts
+            mean = parts * np.exp(-rate) * (1 if least == 1 else 1 + rate)
+            spare = int(np.ceil(mean + 3 * np.sqrt(mean)))
+            if spare > 0.5 * (differ + 1) + 3:
+                return None
+        return spare
+
+    def entries(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, ranges) under which sets of these sizes are entered: their own, and the one
+        below if sets there are near enough."""
+        begin = np.array(self.begin)
+        own = np.searchsorted(begin, sizes, "right") - 1
+        below = own - 1
+        near = (own > 0) & (sizes > 0) & (self.percent * sizes <= 100 * (begin[own] - 1))
+        parts = np.array(self.parts)
+        out = []
+        for rows, ranges in ((np.flatnonzero(sizes > 0), own), (np.flatnonzero(near), below)):
+            rows = rows[parts[ranges[rows]] > 0]
+            out.append((rows, ranges[rows]))
+        return out
 
 
-def coarse_edges(rows: DataFrame, rule: JaccardRule) -> DataFrame:
-    """Edges between digests that share a prefix token and whose sizes are near, or tied by sizes between."""
-    spark = rows.sparkSession
-    postings = rows.where("n > 0").select(F.explode("tokens").alias("token"), "n", "d1")
-    shared = postings.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high")
-    tied = stored(spark, postings.join(shared.select("token"), "token", "left_semi").distinct(), "postings")
-    # Sets of one size under one token are tied to the first of them, sizes in order to each other.
-    first = tied.groupBy("token", "n").agg(F.min("d1").alias("m"))
-    equal = tied.join(first, ["token", "n"]).where("d1 != m").select(F.col("d1").alias("a"), F.col("m").alias("b"))
-    steps = first.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("sizes")).where("size(sizes) > 1")
-    next_to = "zip_with(slice(sizes, 1, size(sizes) - 1), slice(sizes, 2, size(sizes)), (x, y) -> struct(x, y))"
-    pairs = steps.select(F.explode(F.expr(next_to)).alias("p"))
-    near = pairs.where(F.col("p.x.n") * 100 >= F.col("p.y.n") * rule.percent).select(
-        F.col("p.x.m").alias("a"), F.col("p.y.m").alias("b")
+def part_tokens(flat: np.ndarray, sizes: np.ndarray, ranges: Ranges, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the parts of the sets that lie one after the other in ``flat``, and their rows."""
+    spread = ragged.mix(flat ^ _U(0xC2B2AE3D27D4EB4F))
+    seldom = rare[cell_of(flat)]
+    begin = np.cumsum(sizes) - sizes
+    tokens, owners = [], []
+    low, high = spread & _U((1 << 26) - 1), (spread >> _U(26)) & _U((1 << 26) - 1)
+    for rows, where in ranges.entries(sizes):
+        if not len(rows):
+            continue
+        parts = np.array(ranges.parts)[where]
+        at = np.repeat(begin[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())
+        first = np.cumsum(parts) - parts
+        dealt = ((spread[at] >> _U(32)) * np.repeat(parts, sizes[rows]).astype(_U)) >> _U(32)
+        place = np.repeat(first, sizes[rows]) + dealt.astype(np.int64)
+        total = int(parts.sum())
+        # Sums of 26-bit numbers are exact in doubles.
+        one = np.bincount(place, low[at], total).astype(_U)
+        two = np.bincount(place, high[at], total).astype(_U)
+        strong = np.bincount(place, seldom[at], total) >= np.repeat(np.array(ranges.least)[where], parts)
+        owner = np.repeat(rows, parts)
+        weak = np.bincount(owner[~strong], minlength=len(sizes))
+        many = np.zeros(len(sizes), bool)
+        many[rows] = weak[rows] > np.array(ranges.spare)[where]
+        part = np.arange(total) - np.repeat(first, parts)
+        name = (np.repeat(where, parts).astype(_U) << _U(40)) | part.astype(_U)
+        token = ragged.mix(ragged.mix(one * _U(ragged.BASE_A) + two) ^ ragged.mix(name + _U(1)))
+        kept = strong | many[owner]
+        tokens.append(token[kept])
+        owners.append(owner[kept])
+    if not tokens:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(tokens), np.concatenate(owners)
+
+
+def tie(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Tie nodes that share a token: each token once with the first of its nodes' components, and
+    edges that span the components."""
+    order = np.lexsort((nodes, tokens))
+    tokens, nodes = tokens[order], nodes[order]
+    same = np.flatnonzero((tokens[1:] == tokens[:-1]) & (nodes[1:] != nodes[:-1]))
+    pairs = np.unique(np.stack((nodes[same], nodes[same + 1]), axis=1), axis=0)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    edges = []
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            edges.append((x, y))
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    tokens, nodes = tokens[first], nodes[first]
+    if root:
+        seen, inverse = np.unique(nodes, return_inverse=True)
+        nodes = np.array([find(x) for x in seen.tolist()], np.int64)[inverse]
+    return tokens, nodes, edges
+
+
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def coarse_edges(docs: DataFrame, rows: DataFrame, rule: JaccardRule, text: str) -> DataFrame:
+    """Edges between the digests (d1) of sets that have an equal part.
+
+    Tokens travel as arrays, one for each bucket of tokens and about ``PART_TOKENS`` of them: a
+    task ties what it holds first, and sends each token once.
+    """
+    ship(docs.sparkSession)
+    seen = rows.agg(F.max("n").alias("largest"), F.sum("n").alias("tokens")).first()
+    ranges = Ranges(rule.percent, seen["largest"] or 1)
+    rare = docs.sparkSession.sparkContext.broadcast(rare_cells(docs, rule, text))
+    buckets = 1 << max(6, int(np.ceil(np.log2((seen["tokens"] or 1) / PART_TOKENS + 1))))
+    shift = _U(64 - int(np.log2(buckets)))
+    blob = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), *_EDGE])
+
+    def deal(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush():
+            tokens, nodes, edges = tie(*(np.concatenate(x) for x in zip(*held)))
+            cut = np.flatnonzero(np.diff((tokens >> shift).astype(np.int64))) + 1
+            ends = np.concatenate(([0], cut, [len(tokens)]))
+            out = []
+            for a, b in zip(ends[:-1], ends[1:]):
+                if b > a:
+                    # Six bytes of a token besides its bucket are enough to tell a bucket's tokens apart.
+                    out.append((int(tokens[a] >> shift), _six(tokens[a:b] << (_U(64) - shift) >> _U(16)), nodes[a:b].tobytes(), None, None))
+            out += [(None, None, None, a, b) for a, b in edges]
+            if out:
+                yield record_batch(blob, [list(c) for c in zip(*out)])
+
+        for batch in batches(source, _BYTES):
+            found = [s for s in sets(batch.column(0), rule.words) if len(s)]
+            if not found:
+                continue
+            nodes = np.array([digest(s)[0] for s in found], np.int64)
+            tokens, owner = part_tokens(np.concatenate(found), np.array([len(s) for s in found]), ranges, rare.value)
+            held.append((tokens, nodes[owner]))
+            count += len(tokens)
+            if count >= PART_TOKENS:
+                yield from flush()
+                held, count = [], 0
+        if held:
+            yield from flush()
+
+    def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        out = []
+        for batch in source:
+            for bucket, tokens, nodes, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket is None:
+                    out.append((a, b))
+                else:
+                    held.setdefault(bucket, []).append((_wide(tokens), np.frombuffer(nodes, np.int64)))
+        for arrays in held.values():
+            out += tie(*(np.concatenate(x) for x in zip(*arrays)))[2]
+        if out:
+            yield record_batch(_EDGE, [list(c) for c in zip(*out)])
+
+    dealt = docs.select(docs[text].alias("_text")).mapInArrow(
+        deal, "bucket long, tokens binary, nodes binary, a long, b long"
     )
-    return equal.union(near).where("a != b").distinct()
+    # Edges found before the exchange spread by their vertex.
+    where = F.coalesce("bucket", F.col("a"))
+    return dealt.repartition(buckets, where).mapInArrow(meet, "a long, b long")
+
+
+def _six(values: np.ndarray) -> bytes:
+    """The low six bytes of each value."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 class Tree:
@@ -410,7 +577,7 @@ def join(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text",
     # A class of rows without id gets a node beyond all ids.
     node = F.coalesce(F.col("rep").cast("long"), F.shiftrightunsigned("d1", 1).bitwiseOR(F.lit(1 << 62)))
     classes = stored(spark, classes.withColumn("node", node), "classes")
-    clusters = components(coarse_edges(rows, rule))
+    clusters = components(coarse_edges(docs, rows, rule, text))
     edges = link_edges(docs, classes, clusters, rule, text, key, block)
     # Rows with one id are one vertex, whatever their texts.
     some = rows.where("n > 0 and _id is not null")
