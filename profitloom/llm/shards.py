@@ -87,9 +87,13 @@ def shuffle_into_shards(
     total = rows.count()
     n_parts = max(least_parts, math.ceil(total / part_rows))
     cells = max(1, math.ceil(total / shards / cell_rows))
-    mark = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in identity]
-    plain = rows.withColumn("_mark", F.xxhash64(F.lit(seed), *mark))
-    parted = plain.withColumn("_part", F.pmod("_mark", F.lit(n_parts)).cast("int"))
+    # Columns go by place here, whatever their names.
+    names = [f"_c{i}" for i in range(len(rows.columns))]
+    by_name = dict(zip(rows.columns, names))
+    known = [by_name[c] for c in identity]
+    mark = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in known]
+    parted = rows.toDF(*names).withColumn("_mark", F.xxhash64(F.lit(seed), *mark))
+    parted = parted.withColumn("_part", F.pmod("_mark", F.lit(n_parts)).cast("int"))
     found = {r["_part"]: r["count"] for r in parted.groupBy("_part").count().collect()}
     part_sizes = np.array([found.get(i, 0) for i in range(n_parts)], np.int64)
     sizes = cell_sizes(total, shards, cells)
@@ -140,7 +144,7 @@ def shuffle_into_shards(
 
     dealt = (
         parted.repartition(part_name)
-        .sortWithinPartitions(part_name, "_mark", *[f"`{c}`" for c in identity])
+        .sortWithinPartitions(part_name, "_mark", *known)
         .mapInArrow(deal, f"{fields}, _cell long, _order long")
     )
     before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

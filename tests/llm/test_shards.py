@@ -27,6 +27,13 @@ def test_same_rows_same_shards(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_other_columns_stay_whatever_their_names(spark):
+    df = spark.range(40).selectExpr("id as doc_id", "null as _mark", "id % 2 as _part", "'x' as _c0", "id as _cell")
+    got = shards.shuffle_into_shards(df, ["doc_id"], 3, 1, 10, 5, 2)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(map(tuple, df.collect()))
+
+
 def test_matrix_has_the_given_sums_and_a_fair_mean():
     parts, cells = np.array([30, 0, 50, 20]), np.array([25, 25, 40, 10])
     total = np.zeros((4, 4))
