@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from profitloom import storage
 
 _shipped: set[str] = set()
+#: Size of the Arrow batches between the JVM and tasks in Python, where the session keeps Spark's default.
+ARROW_BYTES = 8 << 20
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python once a session, so that tasks can import it."""
+    """Hand this package to the executors' Python once an application, so that tasks can import it.
+
+    Batches of texts are kept small on the way there, however long the texts are.
+    """
+    if _ARROW_KEY not in spark.conf.getAll:
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
     app = spark.conf.get("spark.app.id")
     if app in _shipped:
         return
@@ -32,7 +40,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
         for path in package.rglob("*.py"):
             bundle.write(path, path.relative_to(package.parent))
-    spark.addArtifacts(target, pyfile=True)
+    spark.sparkContext.addPyFile(target)
     _shipped.add(app)
 
 
