@@ -43,7 +43,7 @@ _U = np.uint64
 COUNTER_BITS = 18
 _PIECE = 1 << 12
 #: Parts' tokens that a task holds at a time, before and after the exchange.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 1_000_000
 #: Bytes of row numbers up to which clustered documents are found by broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Shingles of a block.
