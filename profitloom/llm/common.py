@@ -64,6 +64,9 @@ def batches(source: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
                 yield part.slice(0, half)
                 part = part.slice(half)
             yield part
+        batch = part = None
+    # The worker lives on between tasks; what Arrow holds back goes to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

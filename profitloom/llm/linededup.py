@@ -26,7 +26,7 @@ from profitloom import storage
 from profitloom.llm import ragged
 from profitloom.llm.common import batches, record_batch, ship
 
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 #: Bytes of common hashes up to which they are handed to every task; beyond it they are joined.
 BROADCAST_BYTES = 64 << 20
 KEYS = ["_h1", "_h2"]

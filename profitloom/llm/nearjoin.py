@@ -37,7 +37,7 @@ from profitloom.llm import ragged
 from profitloom.llm.common import batches, record_batch, ship, stored
 from profitloom.llm.components import components
 
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 _U = np.uint64
 #: Bits of a shingle's hash that pick its counter: 1 MB of counters whatever the corpus.
 COUNTER_BITS = 18

@@ -23,7 +23,7 @@ from profitloom.llm.common import batches, record_batch, ship
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

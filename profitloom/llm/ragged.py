@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xD1342543DE82EF95
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -104,7 +104,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     """64-bit hash of the bytes of each span; spans are in order and don't overlap.
 
     A polynomial over the bytes, taken from running sums, so that the cost is a pass over the
-    bytes. Works through about a megabyte at a time.
+    bytes. Works through ``_CHUNK`` bytes at a time.
     """
     out = np.zeros(len(starts), _U)
     a = 0

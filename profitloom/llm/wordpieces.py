@@ -10,7 +10,8 @@ read backwards are the library's own result.
 
 Null and empty texts have no pieces and decode to the empty text. A text that holds the letter
 U+2581 decodes to spaces there, as in the library, so its round trip is false. Equal rows encode
-alike; other columns aren't read. Segments' results are kept between batches, ``_KEPT`` at most.
+alike; other columns aren't read. Segments' results are kept between a task's batches, ``_KEPT`` at
+most, and checked pairs of pieces between tasks, ``_PAIRS`` at most, as arrays.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 from profitloom.llm.common import batches, record_batch, ship
 
 SPACE = "▁"
-_BYTES = 3 << 20
-_KEPT = 1_000_000
+_BYTES = 2 << 20
+_KEPT = 250_000
+_PAIRS = 2_000_000
 _UNKNOWN = -2
 _START = -1
 _loaded: dict[str, Pieces] = {}
@@ -91,7 +93,8 @@ class Pieces:
         self.low = self._key(codes)
         codes[np.arange(self.longest) >= self.piece_size[:, None]] = 0xFFFF
         self.high = self._key(codes)
-        self.apart: dict[int, bool] = {}
+        self.pair = np.zeros(1, np.int64) - 1
+        self.pair_apart = np.zeros(1, bool)
         self.segments = self._segments([names[i].replace(SPACE, " ") for i in reached])
         self.reset()
 
@@ -194,6 +197,7 @@ class Pieces:
         last = np.full(len(codes) + 1, _UNKNOWN, np.int64)
         back = np.zeros(len(codes) + 1, np.int64)
         last[begin] = _START
+        fresh: dict[int, bool] = {}
         cut = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
         for a, b in zip(cut[:-1], cut[1:]):
             before, here = last[start[a:b]], piece[a:b]
@@ -201,21 +205,36 @@ class Pieces:
             doubt = np.flatnonzero(~held)
             if len(doubt):
                 pairs, inverse = np.unique(before[doubt] * self.size + here[doubt], return_inverse=True)
-                held[doubt] = np.array([self._apart(p) for p in pairs.tolist()], bool)[inverse]
+                held[doubt] = self._apart(pairs, fresh)[inverse]
             at = np.flatnonzero(held)
             last[end[a:b][at]] = here[at]
             back[end[a:b][at]] = start[a:b][at]
-        self._read_back(codes, points, begin, sizes, last, back, segments)
+        self._keep(fresh)
+        self._read_back(points, begin, sizes, last, back, segments)
+
+    def _apart(self, pairs: np.ndarray, fresh: dict[int, bool]) -> np.ndarray:
+        """Whether the two pieces of each pair stay apart; pairs not seen before go to ``fresh``."""
+        at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+        out = self.pair_apart[at]
+        for i in np.flatnonzero(self.pair[at] != pairs).tolist():
+            pair = int(pairs[i])
+            held = fresh.get(pair)
+            if held is None:
+                held = fresh[pair] = self._stay_apart(*divmod(pair, self.size))
+            out[i] = held
+        return out
 
-    def _apart(self, pair: int) -> bool:
-        held = self.apart.get(pair)
-        if held is None:
-            if len(self.apart) > 4 * _KEPT:
-                self.apart.clear()
-            held = self.apart[pair] = self._stay_apart(*divmod(pair, self.size))
-        return held
+    def _keep(self, fresh: dict[int, bool]) -> None:
+        """Add checked pairs to the sorted arrays, or begin these anew when they are full."""
+        if not fresh:
+            return
+        keys, values = np.array(list(fresh), np.int64), np.array(list(fresh.values()), bool)
+        if len(self.pair) + len(keys) <= _PAIRS:
+            keys, values = np.concatenate((self.pair, keys)), np.concatenate((self.pair_apart, values))
+        order = np.argsort(keys, kind="stable")
+        self.pair, self.pair_apart = keys[order], values[order]
 
-    def _read_back(self, codes, points, begin, sizes, last, back, segments) -> None:
+    def _read_back(self, points, begin, sizes, last, back, segments) -> None:
         """Follow the last pieces from each segment's end; unknown letters become their bytes."""
         at = begin + sizes
         live = np.flatnonzero(sizes > 0)
@@ -320,6 +339,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
                     [d == t.encode() for d, t in zip(decoded, texts)],
                 ],
             )
+        pieces.reset()
 
     kind = frame.schema[0].dataType.simpleString()
     return frame.mapInArrow(
