@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from profitloom.llm.common import batches, record_batch, ship
 
 SPACE = "▁"
-_BYTES = 2 << 20
+_BYTES = 1 << 20
 _KEPT = 250_000
 _PAIRS = 2_000_000
 _UNKNOWN = -2
