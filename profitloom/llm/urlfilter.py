@@ -154,7 +154,7 @@ def judge(pages: DataFrame, rules: UrlRules, url: str = "url", key: str = "page_
     universe = rows.select(F.explode(tagged).alias("_key")).distinct()
     named = [(f"{t} {r}",) for t, rs in kinds.items() for r in rs]
     words = "|".join(rules.blocked_words)
-    spam = universe.where(F.col("_key").rlike(rf"^w (?:.*[.-])?(?:{words})[.-]")) if words else universe.limit(0)
+    spam = universe.where(F.col("_key").rlike(rf"(?s)^w (?:.*[.-])?(?:{words})[./-]")) if words else universe.limit(0)
     # The rules themselves are keys too, so that the cascade answers for each of them.
     listed = spark.createDataFrame(named, "_key string").union(spam).distinct()
     cascade = build_cascade(spark, universe.union(spark.createDataFrame(named, "_key string")).distinct(), listed)

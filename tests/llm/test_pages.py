@@ -104,6 +104,15 @@ def test_urls_are_judged_by_the_longest_rule(spark):
     assert urlfilter.judge(pages(spark, []), RULES).count() == 0
 
 
+def test_a_listed_word_counts_in_every_label(spark):
+    hosts = {
+        "a.spam": True, "spam": True, "x-spam": True, "b.spam-x": True, "spam.org": True, "a.x-spam.org": True,
+        "x\n.spam": True, "spam.": True, "a.antispam": False, "spams": False, "a.spam8": False, "-": False, ".": False,
+    }
+    got = urlfilter.judge(pages(spark, [(i, f"x://{h}", "") for i, h in enumerate(hosts)]), RULES).collect()
+    assert {r["host"]: r["verdict"] == "block" for r in got} == hosts
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(60_000).selectExpr("concat('k', id) as _key")
     listed = spark.range(0, 60_000, 3).selectExpr("concat('k', id) as _key")
