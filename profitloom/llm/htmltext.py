@@ -32,6 +32,8 @@ _BYTES = 8 << 20
 #: Pages, and blocks of each, from which the classifier is trained.
 TRAIN_PAGES = 400
 TRAIN_BLOCKS = 64
+#: Most that the model adds to a block's evidence; blocks with less evidence than that train nothing.
+MODEL_BOUND = 2.0
 
 #: Elements that begin and end a block of text; fixed values.
 BLOCK_TAGS = frozenset(
@@ -66,20 +68,33 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-def _evidence(tag: str, attributes: str, inside: bool) -> float:
-    """How much an element speaks for content (above 0) or boilerplate."""
-    if tag in BOILER_TAGS or tag == "header" and not inside:
-        return -8.0
-    score = 5.0 if tag in CONTENT_TAGS else 0.0
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return -8.0
+#: Evidence of a boilerplate element, and of elements that hold the article or are named for it.
+BOILER, ARTICLE, NAMED = -8.0, 5.0, 3.0
+
+
+class Element:
+    """An element of the page: the number of the one above, whether it belongs to the page's frame,
+    whether only its name speaks for boilerplate, and its evidence for content."""
+
+    __slots__ = ("above", "tag", "frame", "named", "lift")
+
+    def __init__(self, above: int, tag: str, attributes: str):
+        self.above, self.tag = above, tag
+        # A form may hold the whole page.
+        self.frame, self.named = tag in BOILER_TAGS and tag != "form", tag == "form"
+        self.lift = ARTICLE if tag in CONTENT_TAGS else 0.0
+        if not attributes or self.frame:
+            return
+        self.frame = bool(_HIDDEN.search(attributes))
         words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+        if self.named:
+            return
         if words & CONTENT_WORDS:
-            score = max(score, 3.0)
+            self.lift = max(self.lift, NAMED)
         elif words & BOILER_WORDS and tag not in CONTENT_TAGS and tag not in ("body", "html"):
-            return -8.0
-    return score
+            self.named = True
+        if words & BOILER_WORDS and tag in CONTENT_TAGS:
+            self.tag = ""  # a comment, say: not the page's article
 
 
 class Block:
@@ -94,8 +109,9 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # element, its number, evidence so far
-    number, links, position, end = 0, 0, 0, len(page)
+    elements = [Element(0, "", "")]
+    stack: list[tuple[str, int]] = [("", 0)]  # element and its number
+    links, position, end = 0, 0, len(page)
     parts: list[str] = []
     linked = 0
 
@@ -105,8 +121,7 @@ def blocks_of(page: str) -> list[Block]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                tag, _, score = stack[-1]
-                out.append(Block(text, [e[1] for e in stack], score, tag, min(linked, len(text))))
+                out.append(Block(text, [e[1] for e in stack], 0.0, stack[-1][0], min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -157,15 +172,55 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name in VOID_TAGS:
             continue
-        number += 1
-        above = stack[-1][2]
-        own = _evidence(name, found[3].rstrip(">"), above > 0)
-        # Boilerplate stays so below; an article inside a page's frame does not lift it again.
-        stack.append((name, number, own if own < 0 or above >= 0 and own > above else above))
+        elements.append(Element(stack[-1][1], name, found[3].rstrip(">")))
+        stack.append((name, len(elements) - 1))
     close_block()
+    weigh(out, elements)
     return out
 
 
+def weigh(blocks: list[Block], elements: list[Element]) -> None:
+    """Give each block the evidence of its elements, from the root down.
+
+    The page's frame (nav, footer, hidden elements and so on) stays boilerplate all the way down.
+    Names and forms may as well be a wrapper's: of their evidence only the part reaches the elements
+    below that corresponds to the text they leave out, of the page's articles (else of its main
+    element, else of its text without the frame), and content below adds its own evidence again.
+    """
+    n = len(elements)
+    framed, inside = [False] * n, [False] * n
+    kinds = [e.tag if e.tag in CONTENT_TAGS else "" for e in elements]
+    for i, e in enumerate(elements[1:], 1):
+        inside[i] = inside[e.above] or e.lift > 0
+        framed[i] = framed[e.above] or e.frame or e.tag == "header" and not inside[e.above]
+        if kinds[e.above] == "article" or not kinds[i]:
+            kinds[i] = kinds[e.above]
+    texts = {kind: [0] * n for kind in ("article", "main", "")}
+    for b in blocks:
+        at = b.path[-1]
+        if not framed[at]:
+            texts[kinds[at]][at] += len(b.text)
+    for text in texts.values():
+        for i in range(n - 1, 0, -1):
+            text[elements[i].above] += text[i]
+    text = texts["article"]
+    if not text[0]:
+        text = texts["main"] if texts["main"][0] else texts[""]
+    # Evidence for text that stands right in the element, and for the elements below it.
+    own, below = [0.0] * n, [0.0] * n
+    for i, e in enumerate(elements[1:], 1):
+        above = below[e.above]
+        if framed[i]:
+            own[i] = below[i] = BOILER
+        elif e.named:
+            share = text[i] / max(text[0], 1)
+            own[i], below[i] = BOILER, share * above + (1 - share) * BOILER
+        else:
+            own[i] = below[i] = above + e.lift if above < 0 else max(above, e.lift)
+    for b in blocks:
+        b.score = own[b.path[-1]]
+
+
 FEATURES = 5
 
 
@@ -272,7 +327,7 @@ def label(blocks: list[Block], weights: np.ndarray, smooth: float = 1.5) -> list
     n = len(blocks)
     w = weights.tolist()
     scores = [
-        b.score + max(-2.0, min(2.0, sum(x * y for x, y in zip(features(b), w)))) for b in blocks
+        b.score + max(-MODEL_BOUND, min(MODEL_BOUND, sum(x * y for x, y in zip(features(b), w)))) for b in blocks
     ]
     edges, last_under = [], {}
     for i, b in enumerate(blocks):
@@ -315,7 +370,7 @@ def fit(pages: DataFrame, column: str = "html") -> np.ndarray:
                     continue
                 step = max(1, -(-len(blocks) // TRAIN_BLOCKS))
                 for i in range(0, len(blocks), step):
-                    if blocks[i].score:
+                    if abs(blocks[i].score) > MODEL_BOUND:
                         x.append(features(blocks[i]))
                         y.append(float(blocks[i].score > 0))
             if x:

@@ -162,6 +162,24 @@ def test_page_text(page, text):
     assert htmltext.main_text(page, WEIGHTS) == text
 
 
+SIDE = f"<div class=sidebar><p>{PARA}</p></div>"
+LINKS = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='page has-sidebar'>{LINKS}<article><h1>T</h1><p>{PARA}</p></article>{SIDE}</div><footer>{PARA}</footer>", f"T\n{PARA}"),
+    (f"<div id='with-nav'><main><h1>T</h1><p>{PARA}</p></main>{SIDE}</div><p>short</p>", f"T\n{PARA}"),
+    (f"<body><form action=x>{LINKS}<div id=wrap><article><header>By me</header><h1>T</h1><p>{PARA}</p></article></div>{SIDE}</form>", f"By me\nT\n{PARA}"),
+    (f"<form><div class='with-nav'><div class=content><h2>T</h2><p>{PARA}</p></div></div>{LINKS}</form>", f"T\n{PARA}"),
+    (f"<form>{LINKS}<p>{PARA}</p><p>{PARA}</p></form>", f"{PARA}\n{PARA}"),
+    (f"<main><article><p>{PARA}</p></article><div id=comments><article class=comment-body><p>{PARA} {PARA}</p></article></div></main>", PARA),
+    (f"<article><p>{PARA}</p><p>{PARA}</p></article><div class=comments><p>{PARA} {PARA}</p><p>{PARA}</p></div>", f"{PARA}\n{PARA}"),
+    (f"<div class=related>{PARA}</div><form><p>Your mail</p></form><div hidden><article>{PARA}</article></div>", ""),
+])
+def test_a_wrapper_does_not_decide(page, text):
+    assert htmltext.main_text(page, WEIGHTS) == text
+
+
 def test_rows_of_every_kind(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", f"<article>{PARA}</article>"), (3, "u", f"<article>{PARA}</article>"), (None, "u", "<p>" + "word " * 50_000)]
     got = htmltext.extract(pages(spark, rows)).collect()
