@@ -17,7 +17,7 @@ from profitloom.operators import lines as L
 from profitloom.operators import orders as O
 from profitloom.plans import checks, customers, discounts, lists, pnl, products, records, trends
 from profitloom.sources import fees, sheets
-from profitloom.sources.orders import read_orders
+from profitloom.sources.orders import FIRST_LINE, read_orders
 from profitloom.sources.sink import read_table, write_table
 from profitloom.sources.tables import WALLET_END, WALLET_START, ShopTables
 from profitloom.storage import new_folder
@@ -155,20 +155,21 @@ def line_items_nested(shop: ShopTables) -> DataFrame:
 
 def orders_source(shop: ShopTables) -> DataFrame:
     """The landed documents as read, one row per order."""
-    return shop.documents().selectExpr(
+    first = shop.documents().filter(f"{FIRST_LINE} = 0")
+    return first.selectExpr(
         "order_number",
         "id as order_id",
         "created_at",
         "financial_status",
         "cast(total_discounts as double) as total_discounts",
-        "cast(coalesce(size(line_items), 0) as bigint) as n_lines",
+        "n_lines",
     )
 
 
 def order_fields(shop: ShopTables) -> DataFrame:
     """Order-level fields taken from each document."""
-    docs = L.order_headers(shop.documents(), shop.cfg)
-    return docs.selectExpr("*", f"{L.DOCUMENT_ITEMS_VALUE} as items_value").selectExpr(
+    docs = L.order_headers(shop.documents(), shop.cfg, "items_value")
+    return L.order_rows(docs).selectExpr(
         "order_number",
         "order_id",
         "order_date",
@@ -300,8 +301,9 @@ def incremental_orders(shop: ShopTables) -> DataFrame:
     progress = new_folder(shop.spark, "order-progress")
     S.ingest_orders(shop.spark, shop.document_feed(), table, progress, _files_per_batch(shop))
     base = S.compact_orders(shop.spark, table)
-    docs = L.order_headers(S.current_orders(shop.spark, table, base), shop.cfg)
-    orders = O.order_table(docs.drop("line_items"), L.raw_lines(docs), shop.cfg, shop.cost_lookup())
+    pages = L.with_order_sums(S.current_orders(shop.spark, table, base))
+    docs = L.order_headers(pages, shop.cfg)
+    orders = O.order_table(L.order_rows(docs), L.raw_lines(docs), shop.cfg, shop.cost_lookup())
     return trends.weekly_profit(L.active(orders, shop.cfg))
 
 

@@ -1,8 +1,8 @@
 """Order documents to priced, costed lines.
 
-Two inputs lead to the same lines: nested order documents, flattened row by row
-without a shuffle, and flat header and line tables, joined on the order. Until a
-line table is asked for, amounts are whole-number units (see functions.money).
+Two inputs lead to the same lines: pages of nested order documents, which meet their
+order's sums and are flattened row by row without a shuffle, and flat header and line tables, joined on
+the order. Until a line table is asked for, amounts are whole-number units (see functions.money).
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from profitloom.functions.money import (
 )
 from profitloom.functions.time import wall_date
 from profitloom.operators.skew import left_join_lookup
+from profitloom.sources.orders import FIRST_LINE, VERSION
 from profitloom.sources.sheets import BROADCAST_BYTES, CostLookup
 
 _SUM = "decimal(28,4)"
 VALUE_UNITS = "price_units * quantity"
 
 
-def _text_money(x: str) -> str:
+def text_money(x: str) -> str:
     return cast(f"coalesce({x}, '0')", MONEY)
 
 
@@ -80,22 +81,49 @@ def active(df: DataFrame, cfg: ProfitConfig) -> DataFrame:
 
 # --- nested order documents ---------------------------------------------------
 
-# Sums over one document's lines.
-DOCUMENT_DISCOUNTS = _sum_of("line_items", _text_money("x.total_discount"))
+# Sums over one page's lines.
+DOCUMENT_DISCOUNTS = _sum_of("line_items", text_money("x.total_discount"))
 DOCUMENT_ITEMS_VALUE = _sum_of(
-    "line_items", cast(f"{_text_money('x.price')} * coalesce(x.quantity, 0)", MONEY)
+    "line_items", cast(f"{text_money('x.price')} * coalesce(x.quantity, 0)", MONEY)
 )
+DOCUMENT_SHIPPING = cast(_sum_of("shipping_lines", text_money("x.price")), MONEY)
+
+
+_PAGE_SUMS = {
+    "n_lines": "cast(coalesce(size(line_items), 0) as bigint)",
+    "items_value": DOCUMENT_ITEMS_VALUE,
+    "own_discount": DOCUMENT_DISCOUNTS,
+}
+_OWN_SUMS = [f"{value} as {name}" for name, value in _PAGE_SUMS.items()]
+
+
+def with_order_sums(docs: DataFrame) -> DataFrame:
+    """Pages with their order's ``n_lines``, ``items_value`` and ``own_discount``, summed over all
+    pages of the version before they meet a page."""
+    pages = docs.selectExpr("*", f"{VERSION} as version")
+    sums = grouped(
+        pages.selectExpr("id", "version", *_OWN_SUMS),
+        ["id", "version"],
+        "sum(n_lines) as n_lines",
+        f"{cast('sum(items_value)', _SUM)} as items_value",
+        f"{cast('sum(own_discount)', _SUM)} as own_discount",
+    )
+    # A document without an id is an order by itself.
+    return pages.join(sums, ["id", "version"], "left").selectExpr(
+        *docs.columns, *[f"coalesce({name}, {value}) as {name}" for name, value in _PAGE_SUMS.items()]
+    )
 
 
 def order_headers(docs: DataFrame, cfg: ProfitConfig, *keep: str) -> DataFrame:
-    """One row per document: order fields, shipping and discount left to allocate.
+    """One row per page: order fields, shipping and discount left to allocate.
 
-    ``keep`` names further fields of the document to pass on.
+    Pages come from ``with_order_sums``; without its sums every document is an order by
+    itself, and no shuffle is needed. ``keep`` names further fields or sums to pass on.
     """
+    summed = docs if "own_discount" in docs.columns else docs.selectExpr("*", *_OWN_SUMS)
     unknown = quote(C.UNKNOWN)
-    shipping = _sum_of("shipping_lines", _text_money("x.price"))
-    left_over = f"greatest(0, {_text_money('total_discounts')} - {DOCUMENT_DISCOUNTS})"
-    headers = docs.selectExpr(
+    left_over = f"greatest(0, {text_money('total_discounts')} - own_discount)"
+    headers = summed.selectExpr(
         *keep,
         "order_number",
         "id as order_id",
@@ -109,34 +137,40 @@ def order_headers(docs: DataFrame, cfg: ProfitConfig, *keep: str) -> DataFrame:
         "coalesce(nullif(shipping_address.city, ''), nullif(billing_address.city, ''), "
         f"{unknown}) as city",
         f"{discount_code('get(discount_codes, 0).code')} as discount_code",
-        f"{cast(shipping, MONEY)} as order_shipping",
+        f"{DOCUMENT_SHIPPING} as order_shipping",
         f"{cast(left_over, MONEY)} as undistributed_discount",
+        f"{FIRST_LINE} as first_line",
         "line_items",
     )
     return with_overrides(headers, override_table(docs.sparkSession, cfg))
 
 
+def order_rows(headers: DataFrame) -> DataFrame:
+    """One row per order: its first page, without lines."""
+    return headers.filter("first_line = 0").drop("first_line", "line_items")
+
+
 def product_key(title: str, variant: str) -> str:
     """Name under which the cost sheet lists a product."""
     return f"case when {variant} <> '' then concat_ws(' ', {title}, {variant}) else {title} end"
 
 
 def raw_lines(headers: DataFrame, *keep: str) -> DataFrame:
-    """One row per line of each document, in document order."""
+    """One row per line of each page; ``line_pos`` is the line's place in its order."""
     opened = headers.selectExpr(
-        "order_number", *keep, "posexplode(line_items) as (line_pos, li)"
+        "order_number", *keep, "first_line as page_start", "posexplode(line_items) as (page_pos, li)"
     )
     title = "coalesce(li.title, '')"
     return opened.selectExpr(
         "order_number",
         *keep,
-        "line_pos",
+        "page_start + page_pos as line_pos",
         f"{product_key(title, 'li.variant_title')} as product_key",
         f"{title} as product_title",
         "li.variant_title as variant_title",
         "coalesce(li.quantity, 0) as quantity",
-        f"{to_units(_text_money('li.price'))} as price_units",
-        f"{to_units(_text_money('li.total_discount'))} as discount_units",
+        f"{to_units(text_money('li.price'))} as price_units",
+        f"{to_units(text_money('li.total_discount'))} as discount_units",
         "li.product_id as product_id",
         "li.variant_id as variant_id",
     )
@@ -144,7 +178,7 @@ def raw_lines(headers: DataFrame, *keep: str) -> DataFrame:
 
 def allocate_documents(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
     """Lines of documents with allocated discount and shipping; narrow, no shuffle."""
-    headers = order_headers(docs, cfg).selectExpr("*", f"{DOCUMENT_ITEMS_VALUE} as items_value")
+    headers = order_headers(docs, cfg, "items_value")
     fields = [c for c in headers.columns if c not in ("order_number", "line_items")]
     return _allocated(raw_lines(headers, *fields), "line_pos = 0")
 

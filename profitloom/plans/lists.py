@@ -25,19 +25,27 @@ def unfulfilled_orders(
 ) -> DataFrame:
     """Open orders with revenue and their products in line order, newest first.
 
-    One row per order, whatever its size. A product listed twice in the cost sheet is
-    named twice, as its line counts twice.
+    One row per order. Lines are ranged over tasks by order and position; each part of an
+    order becomes a text, and an order's texts are joined by part. A product listed twice in
+    the cost sheet is named twice, as its line counts twice.
     """
     keys = ["order_number", "order_date", "city", "revenue_excl_mva"]
     products, text = lines.select("order_number", "line_pos", "product_key"), "product_key"
     if costs is not None and costs.repeats:
         products = weigh_lines(products, costs)
         text = "array_join(array_repeat(product_key, cast(copies as int)), ', ')"
-    texts = grouped(
-        open_orders(orders).select(*keys).join(products, "order_number"),
-        keys,
-        f"listagg({text}, ', ') within group (order by line_pos) as products",
+    ranged = (
+        open_orders(orders)
+        .select(*keys)
+        .join(products, "order_number")
+        .selectExpr(*keys, "line_pos", f"{text} as product")
+        .repartitionByRange("order_number", "line_pos")
+        .selectExpr("*", "spark_partition_id() as part")
     )
+    pieces = grouped(
+        ranged, [*keys, "part"], "listagg(product, ', ') within group (order by line_pos) as piece"
+    )
+    texts = grouped(pieces, keys, "listagg(piece, ', ') within group (order by part) as products")
     return texts.orderBy(F.col("order_date").desc(), "order_number").selectExpr(
         "order_number", "order_date", "city", *rounded("revenue_excl_mva"), "products"
     )

@@ -37,6 +37,8 @@ ORDER = T.StructType(
             "shipping_lines",
             T.ArrayType(T.StructType([T.StructField("price", T.StringType())])),
         ),
+        # Place of the page's first line in its order; missing where one page holds the order.
+        T.StructField("first_line", T.LongType()),
         T.StructField("line_items", T.ArrayType(_LINE)),
     ]
 )

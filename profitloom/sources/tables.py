@@ -21,6 +21,7 @@ from profitloom.operators.lines import (
     discount_code,
     override_table,
     product_key,
+    with_order_sums,
     with_overrides,
 )
 from profitloom.sources.fees import read_card_transactions, read_wallet_ledger
@@ -38,6 +39,8 @@ from profitloom.storage import new_folder
 DEFAULT_CONFIG = ProfitConfig(
     as_of=date(2000, 7, 1), discount_code_overrides={1019: "KIRA30"}
 )
+#: Lines of an order that one page document holds at most.
+PAGE_LINES = 1000
 WALLET_START, WALLET_END = date(2024, 1, 1), date(2024, 3, 31)
 
 _URGENT = "o_orderpriority in ('1-URGENT', '2-HIGH')"
@@ -229,7 +232,7 @@ class ShopTables:
 
     def _land(self, name: str, write) -> str:
         """Write a landed input once per session, directory and shop; return its path."""
-        shop = f"{name} {self.clean_costs} {self.cfg}"
+        shop = f"{name} {self.clean_costs} {self.cfg} {PAGE_LINES}"
         key = (self.spark.conf.get("spark.app.id"), self.sf_dir, shop)
         if key not in _landed:
             path = new_folder(self.spark, name)
@@ -340,27 +343,48 @@ class ShopTables:
 
         return read_cost_rows(self.spark, self._land("per-order-sheet", write))
 
+    def _numbered_lines(self) -> DataFrame:
+        """Lines with their place in the order as ``place``, 0 and up without gaps.
+
+        Lines are ranged over tasks by order and position, so that no task has an order to
+        itself; an order's parts are numbered from the lines in its earlier parts.
+        """
+        path = new_folder(self.spark, "numbered-lines")
+        ranged = self.lines().repartitionByRange("order_number", "line_pos", "quantity", "discount_units")
+        ranged.sortWithinPartitions("order_number", "line_pos").selectExpr(
+            "*", "spark_partition_id() as part", "monotonically_increasing_id() as row"
+        ).write.parquet(path)
+        rows = self.spark.read.parquet(path)
+        parts = grouped(rows, ["order_number", "part"], "min(row) as first_row", "count(1) as n")
+        earlier = "sum(n) over (partition by order_number order by part) - n"
+        starts = parts.selectExpr("order_number", "part", f"{earlier} - first_row as shift")
+        numbered = rows.join(starts, ["order_number", "part"])
+        return numbered.selectExpr("*", "row + shift as place").drop("part", "row", "shift")
+
     def _documents(self) -> DataFrame:
-        """Order documents, one row per order with all its lines, as a shop delivers them."""
+        """Order documents, every order as pages of ``PAGE_LINES`` lines."""
         line = (
-            "struct(line_pos, product_title as title, variant_title, quantity, "
+            "struct(place, product_title as title, variant_title, quantity, "
             f"cast({from_units('price_units')} as string) as price, "
             f"cast({from_units('discount_units')} as string) as total_discount, "
             "product_id, variant_id)"
         )
-        nested = grouped(
-            self.lines(),
-            ["order_number"],
+        pages = grouped(
+            self._numbered_lines(),
+            ["order_number", f"place div {PAGE_LINES} * {PAGE_LINES} as first_line"],
             f"transform(sort_array(collect_list({line})), x -> struct(x.title, x.variant_title, "
             "x.quantity, x.price, x.total_discount, x.product_id, x.variant_id)) as items",
-            f"{sum_units('discount_units')} as own_discount",
+        )
+        discounts = grouped(
+            self.lines(), ["order_number"], f"{sum_units('discount_units')} as own_discount"
         )
         plain = ShopTables(
             self.spark, self.sf_dir, replace(self.cfg, discount_code_overrides={})
         )
         headers = plain.headers(customer=True)
         known_city = f"city <> '{UNKNOWN}'"
-        return headers.join(nested, "order_number", "left").selectExpr(
+        orders = headers.join(discounts, "order_number", "left")
+        return orders.join(pages, "order_number", "left").selectExpr(
             "order_id as id",
             "order_number",
             "order_created_at as created_at",
@@ -378,19 +402,20 @@ class ShopTables:
             " as discount_codes",
             "if(order_shipping > 0, array(struct(cast(order_shipping as string) as price)), null)"
             " as shipping_lines",
+            "coalesce(first_line, 0L) as first_line",
             "if(items is null, filter(items, x -> false), items) as line_items",
         )
 
     def _land_documents(self) -> str:
-        """JSON pages: orders as they stand, and both states of the ones that changed."""
+        """JSON pages of orders: as they stand, and both states of the ones that changed."""
 
         def write(path: str) -> None:
             stages = "if(financial_status = 'refunded', array('before', 'after'), array('stable'))"
             later = "concat(date_add(to_date(left(created_at, 10)), 5), substring(created_at, 11, 15))"
             staged = self._documents().selectExpr("*", f"explode({stages}) as stage")
             # Several files a stage, whatever the size, so that streams take several batches.
-            pages = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            staged.repartition(pages).selectExpr(
+            files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            staged.repartition(files).selectExpr(
                 "* except (financial_status)",
                 "if(stage = 'before', 'paid', financial_status) as financial_status",
                 f"if(stage = 'after', {later}, created_at) as updated_at",
@@ -399,8 +424,9 @@ class ShopTables:
         return self._land("documents", write)
 
     def documents(self) -> DataFrame:
-        """Order documents in their latest state, by version, whatever folder holds it."""
-        return newest_orders(read_orders(self.spark, self._land_documents()))
+        """Pages of orders in their latest state, by version, whatever folder holds it, with
+        their order's sums."""
+        return with_order_sums(newest_orders(read_orders(self.spark, self._land_documents())))
 
     def document_feed(self) -> str:
         """Folder with every state of every order, as an incremental job sees it."""

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from profitloom.config import ProfitConfig
-from profitloom.functions.money import AMOUNT, cast, without_vat
-from profitloom.functions.time import week_start
+from profitloom.functions.money import AMOUNT, MONEY, cast, without_vat
+from profitloom.functions.time import wall_date, week_start
 from profitloom.operators.lines import (
     DOCUMENT_DISCOUNTS,
     DOCUMENT_ITEMS_VALUE,
+    DOCUMENT_SHIPPING,
     is_refunded,
-    order_headers,
+    text_money,
 )
 from profitloom.schemas import ORDER
-from profitloom.sources.orders import VERSION, newest_orders, stream_orders
+from profitloom.sources.orders import FIRST_LINE, VERSION, newest_orders, stream_orders
 from profitloom.storage import new_folder
 from profitloom.streaming.log import batch_writer, newest, read_log
 
@@ -43,9 +44,10 @@ def ingest_orders(
 ) -> None:
     """Take in the order files that are new since the last run, then stop.
 
-    Each batch keeps the newest version of every order it holds.
+    Each batch keeps the newest version of every page it holds; reading tells which pages
+    are of an order's newest version.
     """
-    latest = lambda batch: newest(batch, "id", F.expr(VERSION))
+    latest = lambda batch: newest(batch, ["id", "first_line"], F.expr(VERSION))
     _run(stream_orders(spark, source, files_per_batch), batch_writer(table, latest), checkpoint)
 
 
@@ -69,13 +71,14 @@ def _versions(spark: SparkSession, table: str, base: Compacted | None) -> DataFr
 def current_orders(
     spark: SparkSession, table: str, base: Compacted | None = None
 ) -> DataFrame:
-    """The newest version of every order taken in so far.
+    """The pages of the newest version of every order taken in so far.
 
-    Versions are told apart by the instant of their change, then by batch. With a
-    compacted ``base`` only later batches are read besides it.
+    Versions are told apart by the instant of their change; of a page that came again in
+    the same version the later batch counts. With a compacted ``base`` only later batches
+    are read besides it.
     """
-    version = f"cast({VERSION} as decimal(20,0)) * 1000000000000BD + batch"
-    return newest_orders(_versions(spark, table, base), version).select(*ORDER.fieldNames())
+    latest = newest_orders(_versions(spark, table, base))
+    return newest_orders(latest, "batch", FIRST_LINE).select(*ORDER.fieldNames())
 
 
 def compact_orders(spark: SparkSession, table: str, base: Compacted | None = None) -> Compacted:
@@ -102,67 +105,74 @@ def _sales_schema() -> StructType:
 _FIELDS = _sales_schema().fieldNames()
 
 
-def order_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
-    """What each version of an order adds to its period; refunded or empty orders add 0."""
-    headers = order_headers(docs, cfg, "id", f"{VERSION} as version")
-    items = DOCUMENT_ITEMS_VALUE
-    counts = f"(size(line_items) > 0 and not ({is_refunded(cfg)}))"
-    revenue = (
-        f"{items} - {DOCUMENT_DISCOUNTS} - if({items} > 0, undistributed_discount, 0) "
-        "+ greatest(order_shipping, 0)"
+def page_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
+    """What each page adds to its order's version, and the order's fields."""
+    start = wall_date("created_at")
+    return docs.selectExpr(
+        "id",
+        f"{VERSION} as version",
+        f"{FIRST_LINE} as first_line",
+        f"{start if period == DAY else week_start(start)} as period_start",
+        f"coalesce(not ({is_refunded(cfg)}), true) as counts",
+        "cast(coalesce(size(line_items), 0) as bigint) as n_lines",
+        f"{DOCUMENT_ITEMS_VALUE} as items",
+        f"{DOCUMENT_DISCOUNTS} as discounts",
+        f"{text_money('total_discounts')} as total_discounts",
+        f"{DOCUMENT_SHIPPING} as shipping",
+    )
+
+
+def order_sales(pages: DataFrame, cfg: ProfitConfig) -> DataFrame:
+    """What the newest version of each order adds to its period; refunded or empty orders add 0."""
+    sums = pages.groupBy("id", "version").agg(
+        *[F.expr(f"max({c}) as {c}") for c in ("period_start", "counts", "total_discounts", "shipping")],
+        *[F.expr(f"sum({c}) as {c}") for c in ("n_lines", "items", "discounts")],
     )
-    start = "order_date" if period == DAY else week_start("order_date")
-    return headers.selectExpr(
+    counts = "(n_lines > 0 and counts)"
+    left_over = "greatest(0, total_discounts - discounts)"
+    revenue = f"items - discounts - if(items > 0, {left_over}, 0) + greatest(shipping, 0)"
+    sales = newest(sums, "id", F.col("version")).selectExpr(
         "id",
-        "version",
-        f"{start} as period_start",
+        "period_start",
         f"if({counts}, 1L, 0L) as orders",
         f"{cast(f'if({counts}, {revenue}, 0)', AMOUNT)} as revenue",
-        f"{without_vat('revenue', cfg.vat_rate)} as revenue_excl_mva",
     )
+    return sales.selectExpr("*", f"{without_vat('revenue', cfg.vat_rate)} as revenue_excl_mva")
 
 
 def _state_schema() -> StructType:
-    schema = StructType().add("id", "long").add("version", "long")
-    for side in ("new", "old"):
-        schema = schema.add(side, _sales_schema())
+    money = {"items": "decimal(28,4)", "discounts": "decimal(28,4)", "total_discounts": MONEY, "shipping": MONEY}
+    schema = StructType().add("id", "long").add("version", "long").add("first_line", "long")
+    schema = schema.add("period_start", "date").add("counts", "boolean").add("n_lines", "long")
+    for name, kind in money.items():
+        schema = schema.add(name, kind)
     return schema
 
 
 def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str):
     """A ``foreachBatch`` function that books what changed.
 
-    The newest version of each order in the batch is held against the version known so
-    far. Where it is newer, the batch's state keeps both, and the batch's changes take
-    the old amounts off their period and add the new ones. Both folders carry the batch
-    id and depend on earlier batches only, so a batch that is run again writes the same.
+    The batch's state keeps the amounts of each page, without lines. Orders with a page in
+    the batch are summed twice, from the pages known before and from all pages, and the
+    batch's changes take the old amounts off their period and add the new ones. So pages of
+    an order may come in any batches. Both folders carry the batch id and depend on earlier
+    batches only, so a batch that is run again writes the same.
     """
-    amounts = f"struct({', '.join(_FIELDS)})"
+    page = ["id", "version", "first_line"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = order_sales(batch, cfg, period).selectExpr("id", "version", f"{amounts} as new")
-        rows = newest(rows, "id", F.col("version"))
-        none = f"cast(null as {_sales_schema().simpleString()}) as old"
-        if batch_id == 0:
-            kept = rows.selectExpr("*", none)
-        else:
-            state = read_log(spark, f"{table}/state", _state_schema())
-            state = state.filter(f"batch < {batch_id}").selectExpr(
-                "id", "version as known", "new as old", "batch"
-            )
-            state = state.join(rows.select("id"), "id", "left_semi")
-            known = newest(state, "id", F.col("known"), F.col("batch"))
-            kept = rows.join(known, "id", "left").filter("known is null or version >= known")
-            kept = kept.select("id", "version", "new", "old")
         folder = f"{table}/state/batch={batch_id}"
-        kept.write.mode("overwrite").parquet(folder)
-        sides = spark.read.schema(_state_schema()).parquet(folder).selectExpr(
-            "inline(array_compact(array(struct(1 as sign, new as x), "
-            "if(old is null, null, struct(-1 as sign, old as x)))))"
-        )
-        signed = [f"{cast(f'sum(sign * x.{c})', t)} as {c}" for c, t in
+        rows = page_sales(batch, cfg, period).dropDuplicates(page)
+        rows.write.mode("overwrite").parquet(folder)
+        here = spark.read.schema(_state_schema()).parquet(folder).select("id").distinct()
+        state = read_log(spark, f"{table}/state", _state_schema())
+        state = state.filter(f"batch <= {batch_id}").join(here, "id", "left_semi")
+        after = order_sales(newest(state, page, F.col("batch")), cfg)
+        before = order_sales(newest(state.filter(f"batch < {batch_id}"), page, F.col("batch")), cfg)
+        sides = after.selectExpr("1 as sign", *_FIELDS).unionByName(before.selectExpr("-1 as sign", *_FIELDS))
+        signed = [f"{cast(f'sum(sign * {c})', t)} as {c}" for c, t in
                   (("orders", "bigint"), ("revenue", AMOUNT), ("revenue_excl_mva", AMOUNT))]
-        changes = sides.groupBy(F.expr("x.period_start as period_start")).agg(*map(F.expr, signed))
+        changes = sides.groupBy("period_start").agg(*map(F.expr, signed))
         changes.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
 
     return write

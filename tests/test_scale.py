@@ -123,3 +123,59 @@ def test_order_counts_read_only_order_keys(spark, capsys):
     # One column of the line table; products and customers are not read at all.
     assert "ReadSchema: struct<l_orderkey:bigint>" in plan
     assert "p_partkey" not in plan and "c_custkey" not in plan
+
+
+@pytest.fixture
+def small_pages(monkeypatch):
+    from profitloom.sources import tables
+
+    monkeypatch.setattr(tables, "PAGE_LINES", 2)
+
+
+PAGED = (
+    "orders_source order_fields line_items_nested incremental_orders streaming_daily_sales streaming_weekly_sales"
+).split()
+
+
+@pytest.mark.parametrize("name", PAGED)
+def test_orders_of_several_pages_change_no_row(spark, small_pages, name):
+    from compare import connect, difference
+
+    from oracle.sql import all_sql
+    from profitloom import catalog
+
+    got = catalog.all_queries()[name](spark, SF_DIR)
+    assert difference(got, connect(SF_DIR), all_sql()[name]) is None
+
+
+def test_no_page_holds_more_lines_however_long_the_order(spark, small_pages, hot):
+    from profitloom.sources.orders import read_orders
+
+    class Hot(ShopTables):
+        def lines(self):
+            # Positions repeat and have gaps.
+            odd = hot[1].selectExpr("* except (line_pos)", "cast(line_pos div 3 * 5 as decimal(38,0)) as line_pos")
+            return odd.selectExpr("*", "product_key as variant_title", "1L as product_id", "cast(line_pos as long) as variant_id")
+
+    shop = Hot(spark, SF_DIR, L.ProfitConfig(as_of=CFG.as_of, discount_code_overrides={2: "hot"}))
+    pages = read_orders(spark, shop.document_feed()).filter("order_number = 7").dropDuplicates(["first_line"])
+    got = pages.selectExpr("first_line", "size(line_items) as n", "line_items.variant_id as at").orderBy("first_line").collect()
+    assert [(r["first_line"], r["n"]) for r in got] == [(i, 2) for i in range(0, 1000, 2)]
+    assert [v for r in got for v in r["at"]] == [i // 3 * 5 for i in range(1000)]
+    lines = L.line_items(shop.documents(), shop.cfg).filter("order_number = 7")
+    assert lines.count() == 1000 and lines.filter("shipping_revenue > 0").count() <= 1
+
+
+def test_the_text_of_a_long_order_is_made_in_pieces(spark, hot):
+    from profitloom.plans import lists
+
+    cfg, (headers, lines) = CFG, hot
+    orders = O.order_table(headers, lines, cfg)
+    report = lists.unfulfilled_orders(orders, lines)
+    got = {r["order_number"]: r["products"] for r in report.collect()}
+    want = {}
+    for r in lines.orderBy("line_pos").collect():
+        want.setdefault(r["order_number"], []).append(r["product_key"])
+    assert got == {k: ", ".join(v) for k, v in want.items()}
+    plan = report._jdf.queryExecution().toString()
+    assert "rangepartitioning(order_number" in plan and "SPARK_PARTITION_ID" in plan
