@@ -38,7 +38,8 @@ _LOW = (1 << 32) - 1
 @dataclass(frozen=True)
 class Contamination:
     """Similarity is ``percent`` of the union; a radius of 20 of 64 bits finds all but a few
-    in ten thousand windows at that similarity, and an item has several such windows."""
+    in ten thousand windows at that similarity. A longer text has several such windows for an
+    item; a text shorter than the item has one, and the fewer its shingles the more are lost."""
 
     shingle: int = 5
     percent: int = 80
