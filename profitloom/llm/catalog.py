@@ -14,6 +14,7 @@ from profitloom.llm import (
     linededup,
     nearjoin,
     quality,
+    secretscan,
     shards,
     tokens,
     urlfilter,
@@ -83,8 +84,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("found")
+    known = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def of(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secretscan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", of("assign"), of("access"), of("hex"),
+        F.sha2(secretscan.written(known).cast("binary"), 256).alias("base_sha256"),
+        secretscan.written(spans).alias("spans"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_warc, op3_sentencepiece, op4_quality, op5_url_filter,
-        op6_line_dedup, op7_token_counts, op8_sharding, op9_jaccard_join, op10_html_text,
+        op6_line_dedup, op7_token_counts, op8_sharding, op9_jaccard_join, op10_html_text, op11_secret_scan,
     )}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from profitloom.llm.secretscan import ACCESS, ASSIGN, HEX, SecretRules
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP2 = """
@@ -113,6 +115,67 @@ GROUP BY d.doc_id
 """
 
 
+def _op11() -> str:
+    """Known shapes and hot windows by counting every window's characters anew."""
+    rules = SecretRules()
+    shapes = [(k, p.replace("(?<![0-9a-f])", ""), n) for k, p, n in (
+        ("assign", ASSIGN, rules.assigned), ("access", ACCESS, rules.access), ("hex", HEX, rules.hexes))]
+    shapes += [(c.kind, f"({c.pattern}{{{c.window},}})", c.window) for c in rules.classes]
+    found = " UNION ALL ".join(
+        f"""SELECT {i} AS o, '{k}' AS kind, {n} AS least, r, regexp_extract_all(text, '{p.replace("'", "''")}', 0) AS v,
+        regexp_extract_all(text, '{p.replace("'", "''")}', 1) AS g, string_split_regex(text, '{p.replace("'", "''")}') AS gap FROM d"""
+        for i, (k, p, n) in enumerate(shapes)
+    )
+    windows = " ".join(f"WHEN '{c.kind}' THEN {c.window}" for c in rules.classes)
+    limits = " ".join(f"WHEN '{c.kind}' THEN {c.limit()}" for c in rules.classes)
+    allow = rules.allow
+    before, inside, whole = (x.replace("'", "''") for x in (allow.before, allow.inside, allow.whole))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+m AS (
+  SELECT o, kind, least, r, i, v[i] AS v, length(g[i]) AS part, right(gap[i], 16) AS before,
+         sum(length(gap[i]) + length(v[i])) OVER (PARTITION BY o, r ORDER BY i) AS stop
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM found)
+), known AS (
+  SELECT o, kind, r, CAST(stop - length(v) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop
+  FROM m WHERE o < 3 AND part >= least
+), c AS (
+  SELECT o, kind, r, i, v, CAST(stop - length(v) AS BIGINT) AS start, CASE kind {windows} END AS w,
+         CASE kind {limits} END AS most
+  FROM m WHERE o >= 3 AND NOT regexp_matches(v, '{whole}') AND NOT regexp_matches(before, '{before}')
+), ch AS (
+  SELECT o, r, i, p, CASE WHEN kind = 'entropy16' THEN lower(x) ELSE x END AS x, count(*) AS n,
+         sum(CASE WHEN x BETWEEN '0' AND '9' THEN 1 ELSE 0 END) AS digits
+  FROM (SELECT *, substr(v, CAST(p + j + 1 AS BIGINT), 1) AS x
+        FROM (SELECT *, unnest(range(0, w)) AS j FROM (SELECT *, unnest(range(0, length(v) - w + 1)) AS p FROM c)))
+  GROUP BY ALL
+), hot AS (
+  SELECT o, r, i, p, c.w
+  FROM (SELECT o, r, i, p, sum(CASE WHEN n < 2 THEN 0 ELSE CAST(round(n * log2(n) * 1048576) AS BIGINT) END) AS s,
+               sum(digits) AS digits FROM ch GROUP BY ALL) JOIN c USING (o, r, i)
+  WHERE s <= c.most AND digits BETWEEN 1 AND c.w - 1
+), island AS (
+  SELECT o, r, i, min(p) AS a, max(p) + any_value(w) AS b
+  FROM (SELECT *, sum(apart) OVER (PARTITION BY o, r, i ORDER BY p) AS nr
+        FROM (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY o, r, i ORDER BY p) + w THEN 1 ELSE 0 END AS apart FROM hot))
+  GROUP BY o, r, i, nr
+), spans AS (
+  SELECT * FROM known UNION ALL
+  SELECT o, kind, r, start + a, start + b FROM island JOIN c USING (o, r, i)
+  WHERE NOT regexp_matches(substr(v, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '{inside}')
+), t AS (
+  SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (o < 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (r)
+"""
+
+
 def llm_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2,
@@ -120,4 +183,5 @@ def llm_sql() -> dict[str, str]:
         "op5_url_filter": OP5,
         "op6_line_dedup": OP6,
         "op9_jaccard_join": OP9,
+        "op11_secret_scan": _op11(),
     }
