@@ -12,6 +12,7 @@ from profitloom.llm import (
     decontam,
     htmltext,
     linededup,
+    merkle,
     nearjoin,
     quality,
     secretscan,
@@ -98,8 +99,13 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_warc, op3_sentencepiece, op4_quality, op5_url_filter,
         op6_line_dedup, op7_token_counts, op8_sharding, op9_jaccard_join, op10_html_text, op11_secret_scan,
+        op12_merkle_manifest,
     )}

@@ -176,6 +176,61 @@ FROM d LEFT JOIN t USING (r)
 """
 
 
+def _levels(t: str, group: str, count: int) -> str:
+    """Nodes of each level, ``t0`` (group, n, i, d) given; ``tsK`` has what stands left and right of each."""
+    out = []
+    for k in range(count):
+        run = f"PARTITION BY {group}, i // 8 ORDER BY i ROWS BETWEEN"
+        out.append(f"""{t}s{k} AS (
+  SELECT {group}, i, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {t}{k} WHERE n > 1
+), {t}{k + 1} AS (
+  SELECT {group}, (n + 7) // 8 AS n, i // 8 AS i, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d
+  FROM {t}{k} GROUP BY {group}, n, i // 8
+)""")
+    return ", ".join(out)
+
+
+def _op12(levels: int = 7, tops: int = 3) -> str:
+    """Level by level: for up to 8**7 documents a language and 8**3 languages."""
+
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda a, b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(a, b)),
+      4294967295), 4294967295)"""
+    folds, now = [], "f0"
+    for side, k in [("g", k) for k in range(levels)] + [("t", k) for k in range(tops)]:
+        at = f"{now}.i // {8**k}" if side == "g" else f"{now}.lang_i // {8**k}"
+        same = f"{side}s{k}.lang = {now}.lang AND " if side == "g" else ""
+        following = f"f{len(folds) + 1}"
+        folds.append(f"""{following} AS (
+  SELECT {now}.* EXCLUDE (h, proof), proof || coalesce(l || r, '') AS proof, CASE WHEN l IS NULL THEN h ELSE sha256(l || h || r) END AS h
+  FROM {now} LEFT JOIN {side}s{k} ON {same}{side}s{k}.i = {at}
+)""")
+        now = following
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS lang, {leaf("text")} AS leaf,
+         CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS claim
+  FROM documents
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+), g0 AS (SELECT lang, n, i, leaf AS d FROM g), {_levels("g", "lang", levels)},
+t AS (SELECT 0 AS one, lang, d, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS n FROM g{levels}),
+t0 AS (SELECT one, n, i, d FROM t), {_levels("t", "one", tops)},
+f0 AS (
+  SELECT g.doc_id, g.lang, g.leaf, g.i, t.i AS lang_i, t.d AS subroot, '' AS proof, g.claim AS h FROM g JOIN t ON g.lang = t.lang
+), {", ".join(folds)}
+SELECT doc_id, leaf, subroot, t{tops}.d AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = t{tops}.d AS verified
+FROM {now}, t{tops}
+"""
+
+
 def llm_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2,
@@ -184,4 +239,5 @@ def llm_sql() -> dict[str, str]:
         "op6_line_dedup": OP6,
         "op9_jaccard_join": OP9,
         "op11_secret_scan": _op11(),
+        "op12_merkle_manifest": _op12(),
     }
