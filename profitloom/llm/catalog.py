@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from profitloom.llm import (
     decontam,
     htmltext,
+    lexical,
     linededup,
     merkle,
     nearjoin,
@@ -103,9 +104,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_warc, op3_sentencepiece, op4_quality, op5_url_filter,
         op6_line_dedup, op7_token_counts, op8_sharding, op9_jaccard_join, op10_html_text, op11_secret_scan,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_ranked_search,
     )}

@@ -231,6 +231,29 @@ FROM {now}, t{tops}
 """
 
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP13 = f"""
+WITH t AS (
+  SELECT r, doc_id, unnest(w) AS term, len(w) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents)
+), q AS (
+  SELECT q, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)
+), a AS (SELECT count(DISTINCT r) AS docs, count(*) AS terms FROM t),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, a GROUP BY term, docs
+), s AS (
+  SELECT q.q, q.item_id, tf.r, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf ON q.term = tf.term JOIN w ON w.term = q.term, a GROUP BY ALL
+), k AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def llm_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2,
@@ -240,4 +263,5 @@ def llm_sql() -> dict[str, str]:
         "op9_jaccard_join": OP9,
         "op11_secret_scan": _op11(),
         "op12_merkle_manifest": _op12(),
+        "op13_ranked_search": OP13,
     }

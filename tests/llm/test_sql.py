@@ -25,5 +25,5 @@ def test_all_are_registered():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert {n.split("_")[0] for n in llm_queries()} == {f"op{i}" for i in range(1, 13)}
+    assert {n.split("_")[0] for n in llm_queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(llm_queries()) <= set(names) and "pipeline" in __spark_entry__.queries()
