@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from profitloom.config import ProfitConfig
+from profitloom.functions.frames import grouped
 from profitloom.functions.money import AMOUNT, MONEY, cast, without_vat
 from profitloom.functions.time import wall_date, week_start
 from profitloom.operators.lines import (
@@ -21,6 +22,7 @@ from profitloom.operators.lines import (
 from profitloom.schemas import ORDER
 from profitloom.sources.orders import FIRST_LINE, VERSION, newest_orders, stream_orders
 from profitloom.storage import new_folder
+from profitloom.streaming.buckets import SPAN, BucketLog
 from profitloom.streaming.log import batch_writer, newest, read_log
 
 
@@ -93,16 +95,18 @@ DAY, WEEK = "1 day", "7 days"
 
 
 def _sales_schema() -> StructType:
-    return (
-        StructType()
-        .add("period_start", "date")
-        .add("orders", "long")
-        .add("revenue", AMOUNT)
-        .add("revenue_excl_mva", AMOUNT)
-    )
+    schema = StructType().add("period_start", "date")
+    for name, kind in _SUMS.items():
+        schema = schema.add(name, kind)
+    return schema
 
 
-_FIELDS = _sales_schema().fieldNames()
+_SUMS = {"orders": "long", "revenue": AMOUNT, "revenue_excl_mva": AMOUNT}
+
+
+def _summed(factor: str = "", **names: str) -> list[str]:
+    """Sums of the sales columns, each times ``factor``."""
+    return [f"{cast(f'sum({factor}{c})', t)} as {names.get(c, c)}" for c, t in _SUMS.items()]
 
 
 def page_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
@@ -122,16 +126,18 @@ def page_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
     )
 
 
-def order_sales(pages: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    """What the newest version of each order adds to its period; refunded or empty orders add 0."""
-    sums = pages.groupBy("id", "version").agg(
+def order_sales(pages: DataFrame, cfg: ProfitConfig, *by: str) -> DataFrame:
+    """What the newest version of each order adds to its period, apart for each of ``by``; refunded or
+    empty orders add 0."""
+    sums = pages.groupBy(*by, "id", "version").agg(
         *[F.expr(f"max({c}) as {c}") for c in ("period_start", "counts", "total_discounts", "shipping")],
         *[F.expr(f"sum({c}) as {c}") for c in ("n_lines", "items", "discounts")],
     )
     counts = "(n_lines > 0 and counts)"
     left_over = "greatest(0, total_discounts - discounts)"
     revenue = f"items - discounts - if(items > 0, {left_over}, 0) + greatest(shipping, 0)"
-    sales = newest(sums, "id", F.col("version")).selectExpr(
+    sales = newest(sums, [*by, "id"], F.col("version")).selectExpr(
+        *by,
         "id",
         "period_start",
         f"if({counts}, 1L, 0L) as orders",
@@ -149,31 +155,39 @@ def _state_schema() -> StructType:
     return schema
 
 
-def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str):
+_PAGE = ["id", "version", "first_line"]
+
+
+def _live_pages(state: DataFrame) -> DataFrame:
+    """Of each order the pages of its newest version, of each page what came last."""
+    pages = newest(state, _PAGE, F.col("batch"))
+    best = pages.groupBy("id").agg(F.max("version").alias("version"))
+    return pages.join(best, ["id", "version"], "left_semi").select(*state.columns)
+
+
+def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str, span: int = SPAN):
     """A ``foreachBatch`` function that books what changed.
 
-    The batch's state keeps the amounts of each page, without lines. Orders with a page in
-    the batch are summed twice, from the pages known before and from all pages, and the
-    batch's changes take the old amounts off their period and add the new ones. So pages of
-    an order may come in any batches. Both folders carry the batch id and depend on earlier
-    batches only, so a batch that is run again writes the same.
+    The state keeps the amounts of each page, without lines, in buckets of order ids. A batch logs
+    its pages and reads the buckets that they fall into, no other. Its orders are summed from the
+    pages known before and from all pages, and the batch's changes take the old amounts off their
+    period and add the new ones. So pages of an order may come in any batches. All folders carry
+    the batch id and depend on earlier batches only, so a batch that is run again writes the same.
     """
-    page = ["id", "version", "first_line"]
+    state = BucketLog(spark, f"{table}/state", _state_schema())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{table}/state/batch={batch_id}"
-        rows = page_sales(batch, cfg, period).dropDuplicates(page)
-        rows.write.mode("overwrite").parquet(folder)
-        here = spark.read.schema(_state_schema()).parquet(folder).select("id").distinct()
-        state = read_log(spark, f"{table}/state", _state_schema())
-        state = state.filter(f"batch <= {batch_id}").join(here, "id", "left_semi")
-        after = order_sales(newest(state, page, F.col("batch")), cfg)
-        before = order_sales(newest(state.filter(f"batch < {batch_id}"), page, F.col("batch")), cfg)
-        sides = after.selectExpr("1 as sign", *_FIELDS).unionByName(before.selectExpr("-1 as sign", *_FIELDS))
-        signed = [f"{cast(f'sum(sign * {c})', t)} as {c}" for c, t in
-                  (("orders", "bigint"), ("revenue", AMOUNT), ("revenue_excl_mva", AMOUNT))]
-        changes = sides.groupBy("period_start").agg(*map(F.expr, signed))
-        changes.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
+        touched = state.append(page_sales(batch, cfg, period).filter("id is not null"), batch_id, "id", span)
+        if not touched:
+            return
+        rows = state.read(touched, batch_id)
+        here = rows.filter(f"batch = {batch_id}").select("id").distinct()
+        # Each row as it counts now and, if it was there before, as it counted then.
+        sides = f"explode(if(batch < {batch_id}, array(1, -1), array(1))) as sign"
+        known = newest(rows.join(here, "id", "left_semi").selectExpr("*", sides), ["sign", *_PAGE], F.col("batch"))
+        changes = grouped(order_sales(known, cfg, "sign"), ["period_start"], *_summed("sign * "))
+        changes.coalesce(1).write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
+        state.merge(touched, batch_id, _live_pages, "id", span)
 
     return write
 
@@ -186,19 +200,83 @@ def stream_sales(
     cfg: ProfitConfig,
     period: str = DAY,
     files_per_batch: int | None = None,
+    span: int = SPAN,
 ) -> None:
     """Update the running sales table with the files that are new, then stop.
 
     Every order counts however late it lands, and a later version of an order takes the
-    place of the earlier one.
+    place of the earlier one. Pages without an order id have no version and are left out.
     """
     orders = stream_orders(spark, source, files_per_batch)
-    _run(orders, sales_writer(spark, table, cfg, period), checkpoint)
+    _run(orders, sales_writer(spark, table, cfg, period, span), checkpoint)
 
 
 def current_sales(spark: SparkSession, table: str) -> DataFrame:
     """The figures of every period: the sum of all booked changes."""
     changes = read_log(spark, f"{table}/changes", _sales_schema())
-    sums = [f"{cast(f'sum({c})', t)} as {c}" for c, t in
-            (("orders", "bigint"), ("revenue", AMOUNT), ("revenue_excl_mva", AMOUNT))]
-    return changes.groupBy("period_start").agg(*map(F.expr, sums)).filter("orders <> 0")
+    return grouped(changes, ["period_start"], *_summed()).filter("orders <> 0")
+
+
+# --- periods that are final -------------------------------------------------------
+
+
+def finalize_sales(
+    spark: SparkSession, table: str, checkpoint: str, period: str = DAY, delay: str = "2 days", bookings_per_batch: int = 1
+) -> None:
+    """Publish the periods that are over, then stop.
+
+    The booked changes are a stream of their own: a watermark ``delay`` behind the newest period
+    closes the windows before it, and each is published once, with its figures as they stood then.
+    Changes that come for a closed window are no part of it; they stay booked, and are the
+    period's corrections, also where nothing had come in time. Runs after ``stream_sales``, of which
+    it takes in what is new.
+    """
+    days = "datediff(period_start, date'1970-01-01')"
+    # A file per booking. Windows follow the epoch, whose fifth day was a Monday; no session zone plays a part.
+    changes = (
+        spark.readStream.schema(_sales_schema())
+        .option("maxFilesPerTrigger", bookings_per_batch)
+        .parquet(f"{table}/changes")
+        .selectExpr("*", f"timestamp_seconds(cast({days} as bigint) * 86400) as at")
+        .withWatermark("at", delay)
+    )
+    window = F.window("at", period, startTime="4 days" if period == WEEK else "0 days").alias("window")
+    start = "date_add(date'1970-01-01', cast(unix_seconds(window.start) div 86400 as int)) as period_start"
+    closed = changes.groupBy(window).agg(*map(F.expr, _summed())).selectExpr(start, *_SUMS)
+    write = batch_writer(f"{table}/final", lambda batch: batch)
+    query = (
+        closed.writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    progress = query.lastProgress
+    if progress is not None and "watermark" in progress["eventTime"]:
+        # Periods that start no later are closed.
+        last = progress["eventTime"]["watermark"][:10]
+        closed = spark.range(1).selectExpr(f"date_sub(date'{last}', {7 if period == WEEK else 1}) as closed")
+        closed.write.mode("overwrite").parquet(f"{table}/closed/batch={progress['batchId']}")
+
+
+def final_sales(spark: SparkSession, table: str) -> DataFrame:
+    """Every period's figures with all changes; ``is_final`` if the period is closed, then ``final_*``
+    as it was published, and ``corrected_*``, what came later."""
+    closed = read_log(spark, f"{table}/closed", StructType().add("closed", "date")).agg(F.max("closed"))
+    published = read_log(spark, f"{table}/final", _sales_schema())
+    booked = read_log(spark, f"{table}/changes", _sales_schema())
+    both = booked.selectExpr("period_start", "1 as now", *_SUMS).unionByName(
+        published.selectExpr("period_start", "0 as now", *_SUMS)
+    )
+    sums = []
+    for c, kind in _SUMS.items():
+        sums.append(f"{cast(f'sum({c} * now)', kind)} as {c}")
+        sums.append(f"{cast(f'sum({c} * (1 - now))', kind)} as published_{c}")
+    totals = grouped(both, ["period_start"], *sums).withColumn("upto", closed.scalar())
+    totals = totals.selectExpr("*", "coalesce(period_start <= upto, false) as is_final")
+    parts = []
+    for c, kind in _SUMS.items():
+        parts.append(f"if(is_final, published_{c}, null) as final_{c}")
+        parts.append(f"{cast(f'if(is_final, {c} - published_{c}, null)', kind)} as corrected_{c}")
+    return totals.selectExpr("period_start", "is_final", *_SUMS, *parts)
