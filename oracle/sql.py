@@ -844,6 +844,10 @@ FROM sold GROUP BY 1"""
         "incremental_orders": LINES + _WEEKLY_PROFIT,
         "streaming_daily_sales": sales("order_date"),
         "streaming_weekly_sales": sales(_WEEK),
+        # A week is closed once its end lies two weeks before the newest order's week.
+        "streaming_final_sales": f"""
+SELECT period_start, period_start + 7 <= last - 14 AS is_final, orders, revenue, revenue_excl_mva
+FROM ({sales(_WEEK)}), (SELECT max({_WEEK}) AS last FROM (SELECT CAST(o_orderdate AS DATE) AS order_date FROM orders))""",
     }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profitloom.functions.frames import grouped
-from profitloom.functions.money import as_double, rounded
+from profitloom.functions.money import AMOUNT, as_double, cast, rounded
 from profitloom.functions.text import parse_currency, parse_fixed_amount, strip
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
@@ -22,6 +22,7 @@ from profitloom.sources.sink import read_table, write_table
 from profitloom.sources.tables import WALLET_END, WALLET_START, ShopTables
 from profitloom.storage import new_folder
 from profitloom.streaming import orders as S
+from profitloom.streaming.store import OrderStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 BATCHES = 8
@@ -297,18 +298,17 @@ def _files_per_batch(shop: ShopTables) -> int:
 
 def incremental_orders(shop: ShopTables) -> DataFrame:
     """Weekly profit from the table kept up to date by the order feed."""
-    table = new_folder(shop.spark, "order-versions")
+    store = OrderStore(shop.spark, new_folder(shop.spark, "orders"))
     progress = new_folder(shop.spark, "order-progress")
-    S.ingest_orders(shop.spark, shop.document_feed(), table, progress, _files_per_batch(shop))
-    base = S.compact_orders(shop.spark, table)
-    pages = L.with_order_sums(S.current_orders(shop.spark, table, base))
-    docs = L.order_headers(pages, shop.cfg)
+    # Merged midway; the batches after that are read on top, as between two refreshes.
+    S.store_orders(shop.spark, shop.document_feed(), store, progress, _files_per_batch(shop), refresh_every=5)
+    docs = L.order_headers(store.read(), shop.cfg)
     orders = O.order_table(L.order_rows(docs), L.raw_lines(docs), shop.cfg, shop.cost_lookup())
     return trends.weekly_profit(L.active(orders, shop.cfg))
 
 
-def _streaming_sales(shop: ShopTables, period: str) -> DataFrame:
-    """Sales from the whole feed, with every state an order went through."""
+def _booked_sales(shop: ShopTables, period: str) -> str:
+    """Table of sales booked from the whole feed, with every state an order went through."""
     table = new_folder(shop.spark, "sales")
     S.stream_sales(
         shop.spark,
@@ -319,11 +319,25 @@ def _streaming_sales(shop: ShopTables, period: str) -> DataFrame:
         period,
         _files_per_batch(shop),
     )
-    return S.current_sales(shop.spark, table).selectExpr(
+    return table
+
+
+def _streaming_sales(shop: ShopTables, period: str) -> DataFrame:
+    return S.current_sales(shop.spark, _booked_sales(shop, period)).selectExpr(
         "period_start", "orders", *rounded("revenue", "revenue_excl_mva")
     )
 
 
+def streaming_final_sales(shop: ShopTables) -> DataFrame:
+    """Weekly figures, those published when the week was over plus their corrections, and whether it is."""
+    table = _booked_sales(shop, S.WEEK)
+    S.finalize_sales(shop.spark, table, new_folder(shop.spark, "final-progress"), S.WEEK, "14 days")
+    sums = ("revenue", "revenue_excl_mva")
+    whole = [f"if(is_final, {cast(f'final_{c} + corrected_{c}', AMOUNT)}, {c}) as {c}" for c in sums]
+    found = S.final_sales(shop.spark, table).filter("orders <> 0").selectExpr("period_start", "is_final", "orders", *whole)
+    return found.selectExpr("period_start", "is_final", "orders", *rounded(*sums))
+
+
 # --- the catalogue --------------------------------------------------------------------
 
 
@@ -441,6 +455,7 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "incremental_orders": incremental_orders,
         "streaming_daily_sales": lambda s: _streaming_sales(s, S.DAY),
         "streaming_weekly_sales": lambda s: _streaming_sales(s, S.WEEK),
+        "streaming_final_sales": streaming_final_sales,
     }
 
 

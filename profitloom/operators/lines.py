@@ -31,7 +31,7 @@ from profitloom.operators.skew import left_join_lookup
 from profitloom.sources.orders import FIRST_LINE, VERSION
 from profitloom.sources.sheets import BROADCAST_BYTES, CostLookup
 
-_SUM = "decimal(28,4)"
+SUM_TYPE = "decimal(28,4)"
 VALUE_UNITS = "price_units * quantity"
 
 
@@ -41,8 +41,8 @@ def text_money(x: str) -> str:
 
 def _sum_of(array: str, value: str) -> str:
     """Sum of an expression over the items ``x`` of an array; a missing array sums to 0."""
-    zero = f"cast(0 as {_SUM})"
-    return f"coalesce(aggregate({array}, {zero}, (acc, x) -> cast(acc + {value} as {_SUM})), 0)"
+    zero = f"cast(0 as {SUM_TYPE})"
+    return f"coalesce(aggregate({array}, {zero}, (acc, x) -> cast(acc + {value} as {SUM_TYPE})), 0)"
 
 
 def discount_code(code: str) -> str:
@@ -89,12 +89,13 @@ DOCUMENT_ITEMS_VALUE = _sum_of(
 DOCUMENT_SHIPPING = cast(_sum_of("shipping_lines", text_money("x.price")), MONEY)
 
 
-_PAGE_SUMS = {
+# The same sums by name.
+PAGE_SUMS = {
     "n_lines": "cast(coalesce(size(line_items), 0) as bigint)",
     "items_value": DOCUMENT_ITEMS_VALUE,
     "own_discount": DOCUMENT_DISCOUNTS,
 }
-_OWN_SUMS = [f"{value} as {name}" for name, value in _PAGE_SUMS.items()]
+_OWN_SUMS = [f"{value} as {name}" for name, value in PAGE_SUMS.items()]
 
 
 def with_order_sums(docs: DataFrame) -> DataFrame:
@@ -105,12 +106,12 @@ def with_order_sums(docs: DataFrame) -> DataFrame:
         pages.selectExpr("id", "version", *_OWN_SUMS),
         ["id", "version"],
         "sum(n_lines) as n_lines",
-        f"{cast('sum(items_value)', _SUM)} as items_value",
-        f"{cast('sum(own_discount)', _SUM)} as own_discount",
+        f"{cast('sum(items_value)', SUM_TYPE)} as items_value",
+        f"{cast('sum(own_discount)', SUM_TYPE)} as own_discount",
     )
     # A document without an id is an order by itself.
     return pages.join(sums, ["id", "version"], "left").selectExpr(
-        *docs.columns, *[f"coalesce({name}, {value}) as {name}" for name, value in _PAGE_SUMS.items()]
+        *docs.columns, *[f"coalesce({name}, {value}) as {name}" for name, value in PAGE_SUMS.items()]
     )
 
 

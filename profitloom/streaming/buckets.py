@@ -39,6 +39,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file as a mark."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()
+
+
 def in_buckets(rows: DataFrame) -> DataFrame:
     """Rows dealt to tasks by ``bucket`` for writing; adaptive execution splits a large bucket."""
     return rows.hint("rebalance", "bucket")

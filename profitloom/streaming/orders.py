@@ -24,6 +24,7 @@ from profitloom.sources.orders import FIRST_LINE, VERSION, newest_orders, stream
 from profitloom.storage import new_folder
 from profitloom.streaming.buckets import SPAN, BucketLog
 from profitloom.streaming.log import batch_writer, newest, read_log
+from profitloom.streaming.store import OrderStore
 
 
 def _run(frame: DataFrame, write, checkpoint: str) -> None:
@@ -91,6 +92,28 @@ def compact_orders(spark: SparkSession, table: str, base: Compacted | None = Non
     return Compacted(target, -1 if upto is None else upto)
 
 
+def store_orders(
+    spark: SparkSession,
+    source: str,
+    store: OrderStore,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+    refresh_every: int = 4,
+) -> None:
+    """Take the order files that are new into a store, then stop.
+
+    The store's table is refreshed after every so many batches; a refresh writes only the buckets that
+    these batches touch, and what came after it is read on top.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.append(batch, batch_id)
+        if (batch_id + 1) % refresh_every == 0:
+            store.refresh()
+
+    _run(stream_orders(spark, source, files_per_batch), write, checkpoint)
+
+
 DAY, WEEK = "1 day", "7 days"
 
 
