@@ -831,6 +831,26 @@ FROM per_order""",
 
 
 def _streaming() -> dict[str, str]:
+    def best(record: str, table: str, key: str, metric: str) -> str:
+        return f"(SELECT '{record}' AS record, {key} AS key, {money(metric)} AS value FROM {table} ORDER BY {metric} DESC, key LIMIT 1)"
+
+    def per(key: str) -> str:
+        return f"(SELECT {key} AS k, count(*) AS n, sum(sales) AS sales FROM o GROUP BY 1)"
+
+    day, week = per("CAST(order_date AS VARCHAR)"), per(f"CAST({_WEEK} AS VARCHAR)")
+    customers = "(SELECT customer_email AS k, count(*) AS n FROM o WHERE coalesce(customer_email, '') <> '' GROUP BY 1)"
+    records = [
+        best("day_revenue_excl_mva", day, "k", "sales"),
+        best("day_orders", day, "k", "n"),
+        best("week_revenue_excl_mva", week, "k", "sales"),
+        best("week_orders", week, "k", "n"),
+        best("order_revenue_excl_mva", "o", "lpad(CAST(order_number AS VARCHAR), 20, '0')", "sales"),
+        best("customer_orders", customers, "k", "n"),
+        best("weekday_orders", per("CAST(isodow(order_date) - 1 AS VARCHAR)"), "k", "n"),
+        best("hour_orders", per("substr(order_created_at, 12, 2)"), "k", "n"),
+        f"SELECT 'customers', CAST(least(n, 3) AS VARCHAR), {money('count(*)')} FROM {customers} GROUP BY 2",
+    ]
+
     def sales(period: str) -> str:
         return (
             LINES
@@ -844,6 +864,13 @@ FROM sold GROUP BY 1"""
         "incremental_orders": LINES + _WEEKLY_PROFIT,
         "streaming_daily_sales": sales("order_date"),
         "streaming_weekly_sales": sales(_WEEK),
+        "streaming_records": LINES
+        + """
+, o AS (
+  SELECT order_number, any_value(order_date) AS order_date, any_value(order_created_at) AS order_created_at,
+         any_value(customer_email) AS customer_email, sum(revenue_excl_mva) AS sales FROM sold GROUP BY 1)
+"""
+        + " UNION ALL ".join(records),
         # A week is closed once its end lies two weeks before the newest order's week.
         "streaming_final_sales": f"""
 SELECT period_start, period_start + 7 <= last - 14 AS is_final, orders, revenue, revenue_excl_mva

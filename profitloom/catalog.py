@@ -338,6 +338,21 @@ def streaming_final_sales(shop: ShopTables) -> DataFrame:
     return found.selectExpr("period_start", "is_final", "orders", *rounded(*sums))
 
 
+def streaming_records(shop: ShopTables) -> DataFrame:
+    """Records and customer counts kept up to date by the feed, refunds taken off again."""
+    table = new_folder(shop.spark, "records")
+    progress = new_folder(shop.spark, "records-progress")
+    S.stream_records(shop.spark, shop.document_feed(), table, progress, shop.cfg, _files_per_batch(shop))
+    totals = S.order_records(shop.spark, table)
+    wanted = ("day_revenue_excl_mva", "day_orders", "week_revenue_excl_mva", "week_orders", "order_revenue_excl_mva",
+              "customer_orders", "weekday_orders", "hour_orders")
+    records = S.current_records(totals).filter(F.col("record").isin(*wanted))
+    counts = S.customer_frequency(totals).selectExpr("'customers' as record", "cast(orders as string) as key", "customers as value")
+    return records.selectExpr("record", "key", *rounded("value")).unionByName(
+        counts.selectExpr("record", "key", f"{as_double('value')} as value")
+    )
+
+
 # --- the catalogue --------------------------------------------------------------------
 
 
@@ -456,6 +471,7 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "streaming_daily_sales": lambda s: _streaming_sales(s, S.DAY),
         "streaming_weekly_sales": lambda s: _streaming_sales(s, S.WEEK),
         "streaming_final_sales": streaming_final_sales,
+        "streaming_records": streaming_records,
     }
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StructType
 #: Keys in a bucket.
 SPAN = 1 << 16
 #: Pieces of a bucket that are merged into one.
-FAN = 8
+FAN = 16
 
 
 def bucket_of(key: str, span: int = SPAN) -> str:
@@ -55,11 +55,10 @@ def write_buckets(rows: DataFrame, path: str) -> None:
 
 
 class BucketLog:
-    """Rows with the columns ``schema`` and their ``batch``, by batch and bucket."""
+    """Rows with the columns ``schema``, by batch and bucket; reading adds their ``batch``."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path = spark, path
-        self.schema = StructType([*schema]).add("batch", LongType())
+        self.spark, self.path, self.schema = spark, path, schema
         self.logged, self.merged = self._listed("log"), self._listed("merged")
 
     def _listed(self, kind: str) -> dict[int, set[int]]:
@@ -84,38 +83,63 @@ class BucketLog:
         """Log a batch's rows; the buckets they touch. What the same batch wrote before no longer counts."""
         for batches in self.merged.values():
             batches.difference_update([b for b in batches if b >= batch])
-        marked = rows.selectExpr("*", f"{batch}L as batch", f"{bucket_of(key, span)} as bucket")
-        write_buckets(marked, f"{self.path}/log/batch={batch}")
+        write_buckets(rows.selectExpr("*", f"{bucket_of(key, span)} as bucket"), f"{self.path}/log/batch={batch}")
         return self._note("log", batch, self.logged)
 
-    def pieces(self, bucket: int, upto: int) -> list[str]:
-        """Folders that hold a bucket as of batch ``upto``: its last merged piece and what came after it."""
+    def _pieces(self, bucket: int, upto: int) -> tuple[int | None, list[int]]:
+        """The last merged piece of a bucket as of batch ``upto``, and the batches after it."""
         base = max((b for b in self.merged.get(bucket, ()) if b <= upto), default=None)
-        out = [] if base is None else [f"{self.path}/merged/batch={base}/bucket={bucket}"]
-        later = sorted(b for b in self.logged.get(bucket, ()) if (base is None or b > base) and b <= upto)
-        return out + [f"{self.path}/log/batch={b}/bucket={bucket}" for b in later]
+        return base, sorted(b for b in self.logged.get(bucket, ()) if (base is None or b > base) and b <= upto)
+
+    def pieces(self, bucket: int, upto: int) -> list[str]:
+        """The folders that hold a bucket as of batch ``upto``."""
+        base, later = self._pieces(bucket, upto)
+        return [self._folder("merged", base, bucket)] * (base is not None) + [self._folder("log", b, bucket) for b in later]
+
+    def _folder(self, kind: str, batch: int, bucket: int) -> str:
+        return f"{self.path}/{kind}/batch={batch}/bucket={bucket}"
+
+    def _open(self, kind: str, pieces: list[tuple[int, int]]) -> DataFrame:
+        paths = [self._folder(kind, batch, bucket) for batch, bucket in pieces]
+        names = [*self.schema.names, "batch"]
+        if not paths:
+            return self.spark.createDataFrame([], StructType([*self.schema]).add("batch", LongType()))
+        reader = self.spark.read.schema(StructType([*self.schema]).add("batch", LongType()).add("bucket", LongType()))
+        return reader.option("basePath", f"{self.path}/{kind}").parquet(*paths).select(*names)
+
+    def folder(self, batch: int, bucket: int) -> str:
+        """Where a batch logged a bucket's rows."""
+        return self._folder("log", batch, bucket)
+
+    def open(self, pieces: list[tuple[int, int]]) -> DataFrame:
+        """What was logged, by (batch, bucket)."""
+        return self._open("log", pieces)
+
+    def of_batch(self, buckets: list[int], batch: int) -> DataFrame:
+        """What a batch logged in the buckets."""
+        return self.open([(batch, b) for b in buckets if batch in self.logged.get(b, ())])
 
     def read(self, buckets: list[int], upto: int) -> DataFrame:
         """All rows of the buckets as of batch ``upto``; no other folder is opened."""
-        paths = [path for bucket in buckets for path in self.pieces(bucket, upto)]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        found = {bucket: self._pieces(bucket, upto) for bucket in buckets}
+        merged = [(base, bucket) for bucket, (base, _) in found.items() if base is not None]
+        logged = self._open("log", [(b, bucket) for bucket, (_, later) in found.items() for b in later])
+        return self._open("merged", merged).unionByName(logged) if merged else logged
 
     def merge(self, buckets: list[int], batch: int, keep: Callable[[DataFrame], DataFrame], key: str, span: int = SPAN) -> None:
         """Write buckets of ``FAN`` pieces or more as one, with the rows that ``keep`` leaves of them."""
         full = [b for b in buckets if len(self.pieces(b, batch)) >= FAN]
         if not full:
             return
-        rows = keep(self.read(full, batch)).selectExpr("*", f"{bucket_of(key, span)} as bucket")
+        rows = keep(self.read(full, batch)).select(*self.schema.names).selectExpr("*", f"{bucket_of(key, span)} as bucket")
         write_buckets(rows, f"{self.path}/merged/batch={batch}")
         self._note("merged", batch, self.merged)
 
     def vacuum(self, upto: int) -> None:
         """Delete the pieces that no batch after ``upto`` reads; that batch must be over."""
-        for kind, held in (("log", self.logged), ("merged", self.merged)):
-            for bucket, batches in held.items():
-                live = {int(re.search(r"batch=(\d+)", p)[1]) for p in self.pieces(bucket, upto) if f"/{kind}/" in p}
-                for batch in [b for b in batches if b <= upto and b not in live]:
-                    remove(self.spark, f"{self.path}/{kind}/batch={batch}/bucket={bucket}")
-                    batches.discard(batch)
+        for bucket in sorted({*self.logged, *self.merged}):
+            base, later = self._pieces(bucket, upto)
+            for kind, held, live in (("log", self.logged, later), ("merged", self.merged, [base])):
+                for batch in [b for b in held.get(bucket, ()) if b <= upto and b not in live]:
+                    remove(self.spark, self._folder(kind, batch, bucket))
+                    held[bucket].discard(batch)

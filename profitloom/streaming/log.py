@@ -25,6 +25,12 @@ def newest(df: DataFrame, key: str | list[str], *version: Column) -> DataFrame:
     return df.groupBy(*keys).agg(row).select(*keys, "row.*")
 
 
+def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The same for numbers, days and flags, without ``order``: such an aggregate hashes instead of sorting."""
+    others = [c for c in df.columns if c not in keys and c != order]
+    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in others])
+
+
 def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame]):
     """A ``foreachBatch`` function that appends ``shape(batch)`` under its batch id."""
 

@@ -10,8 +10,8 @@ from pyspark.sql.types import StructType
 
 from profitloom.config import ProfitConfig
 from profitloom.functions.frames import grouped
-from profitloom.functions.money import AMOUNT, MONEY, cast, without_vat
-from profitloom.functions.time import wall_date, week_start
+from profitloom.functions.money import AMOUNT, MONEY, cast, quote, without_vat
+from profitloom.functions.time import wall_date, wall_hour, week_start
 from profitloom.operators.lines import (
     DOCUMENT_DISCOUNTS,
     DOCUMENT_ITEMS_VALUE,
@@ -23,7 +23,8 @@ from profitloom.schemas import ORDER
 from profitloom.sources.orders import FIRST_LINE, VERSION, newest_orders, stream_orders
 from profitloom.storage import new_folder
 from profitloom.streaming.buckets import SPAN, BucketLog
-from profitloom.streaming.log import batch_writer, newest, read_log
+from profitloom.streaming.keyed import KEEP, KeyedTotals
+from profitloom.streaming.log import batch_writer, latest, newest, read_log
 from profitloom.streaming.store import OrderStore
 
 
@@ -132,10 +133,11 @@ def _summed(factor: str = "", **names: str) -> list[str]:
     return [f"{cast(f'sum({factor}{c})', t)} as {names.get(c, c)}" for c, t in _SUMS.items()]
 
 
-def page_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
-    """What each page adds to its order's version, and the order's fields."""
+def page_sales(docs: DataFrame, cfg: ProfitConfig, period: str, *also: str) -> DataFrame:
+    """What each page adds to its order's version, and the order's fields; ``also`` are further ones."""
     start = wall_date("created_at")
     return docs.selectExpr(
+        *also,
         "id",
         f"{VERSION} as version",
         f"{FIRST_LINE} as first_line",
@@ -149,19 +151,20 @@ def page_sales(docs: DataFrame, cfg: ProfitConfig, period: str) -> DataFrame:
     )
 
 
-def order_sales(pages: DataFrame, cfg: ProfitConfig, *by: str) -> DataFrame:
+def order_sales(pages: DataFrame, cfg: ProfitConfig, *by: str, also: tuple[str, ...] = ()) -> DataFrame:
     """What the newest version of each order adds to its period, apart for each of ``by``; refunded or
-    empty orders add 0."""
+    empty orders add 0. ``also`` are further fields of the order."""
     sums = pages.groupBy(*by, "id", "version").agg(
-        *[F.expr(f"max({c}) as {c}") for c in ("period_start", "counts", "total_discounts", "shipping")],
+        *[F.expr(f"max({c}) as {c}") for c in ("period_start", "counts", "total_discounts", "shipping", *also)],
         *[F.expr(f"sum({c}) as {c}") for c in ("n_lines", "items", "discounts")],
     )
     counts = "(n_lines > 0 and counts)"
     left_over = "greatest(0, total_discounts - discounts)"
     revenue = f"items - discounts - if(items > 0, {left_over}, 0) + greatest(shipping, 0)"
-    sales = newest(sums, [*by, "id"], F.col("version")).selectExpr(
+    sales = latest(sums, [*by, "id"], "version").selectExpr(
         *by,
         "id",
+        *also,
         "period_start",
         f"if({counts}, 1L, 0L) as orders",
         f"{cast(f'if({counts}, {revenue}, 0)', AMOUNT)} as revenue",
@@ -183,9 +186,16 @@ _PAGE = ["id", "version", "first_line"]
 
 def _live_pages(state: DataFrame) -> DataFrame:
     """Of each order the pages of its newest version, of each page what came last."""
-    pages = newest(state, _PAGE, F.col("batch"))
+    pages = latest(state, _PAGE, "batch")
     best = pages.groupBy("id").agg(F.max("version").alias("version"))
-    return pages.join(best, ["id", "version"], "left_semi").select(*state.columns)
+    return pages.join(best, ["id", "version"], "left_semi")
+
+
+def _both_sides(state: BucketLog, touched: list[int], batch_id: int) -> DataFrame:
+    """Pages of a batch's orders: with ``sign`` 1 as they are known now, with -1 as they were before."""
+    fresh, known = state.of_batch(touched, batch_id), state.read(touched, batch_id - 1)
+    known = known.join(fresh.select("id"), "id", "left_semi").selectExpr("*", "explode(array(1, -1)) as sign")
+    return latest(known.unionByName(fresh.selectExpr("*", "1 as sign")), ["sign", *_PAGE], "batch")
 
 
 def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str, span: int = SPAN):
@@ -203,12 +213,8 @@ def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str
         touched = state.append(page_sales(batch, cfg, period).filter("id is not null"), batch_id, "id", span)
         if not touched:
             return
-        rows = state.read(touched, batch_id)
-        here = rows.filter(f"batch = {batch_id}").select("id").distinct()
-        # Each row as it counts now and, if it was there before, as it counted then.
-        sides = f"explode(if(batch < {batch_id}, array(1, -1), array(1))) as sign"
-        known = newest(rows.join(here, "id", "left_semi").selectExpr("*", sides), ["sign", *_PAGE], F.col("batch"))
-        changes = grouped(order_sales(known, cfg, "sign"), ["period_start"], *_summed("sign * "))
+        both = _both_sides(state, touched, batch_id)
+        changes = grouped(order_sales(both, cfg, "sign"), ["period_start"], *_summed("sign * "))
         changes.coalesce(1).write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
         state.merge(touched, batch_id, _live_pages, "id", span)
 
@@ -303,3 +309,75 @@ def final_sales(spark: SparkSession, table: str) -> DataFrame:
         parts.append(f"if(is_final, published_{c}, null) as final_{c}")
         parts.append(f"{cast(f'if(is_final, {c} - published_{c}, null)', kind)} as corrected_{c}")
     return totals.selectExpr("period_start", "is_final", *_SUMS, *parts)
+
+
+# --- records and customers under change ---------------------------------------------
+
+
+# Kinds of keys that records are kept by, and each order's key; texts sort as the values do.
+_KINDS = {
+    "day": "cast(period_start as string)",
+    "week": f"cast({week_start('period_start')} as string)",
+    "order": "lpad(cast(order_number as string), 20, '0')",
+    "customer": "nullif(email, '')",
+    "weekday": "cast(weekday(period_start) as string)",
+    "hour": "lpad(cast(hour as string), 2, '0')",
+}
+_FIELDS = {"order_number": "long", "email": "string", "hour": "integer"}
+
+
+#: Buckets of orders and of customers; the other kinds have few keys.
+RECORD_BUCKETS = 8
+
+
+def order_records(spark: SparkSession, table: str, buckets: int = RECORD_BUCKETS, keep: int = KEEP) -> KeyedTotals:
+    """The totals by day, week, order, customer, weekday and hour below ``table``."""
+    sizes = [buckets if kind in ("order", "customer") else 1 for kind in _KINDS]
+    return KeyedTotals(spark, f"{table}/records", _SUMS, ["revenue_excl_mva", "orders"], sizes, keep=keep)
+
+
+def records_writer(spark: SparkSession, table: str, cfg: ProfitConfig, totals: KeyedTotals, span: int = SPAN):
+    """A ``foreachBatch`` function that keeps records and customer counts by what changed."""
+    schema = _state_schema()
+    for name, kind in _FIELDS.items():
+        schema = schema.add(name, kind)
+    state = BucketLog(spark, f"{table}/orders", schema)
+    also = ["order_number", "email", f"{wall_hour('created_at')} as hour"]
+    keys = ", ".join(f"struct({i} as kind, {key} as key)" for i, key in enumerate(_KINDS.values()))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        pages = page_sales(batch, cfg, DAY, *also).filter("id is not null")
+        touched = state.append(pages, batch_id, "id", span)
+        if not touched:
+            return
+        sales = order_sales(_both_sides(state, touched, batch_id), cfg, "sign", also=tuple(_FIELDS))
+        signed = [f"{cast(f'sign * {c}', kind)} as {c}" for c, kind in _SUMS.items()]
+        totals.apply(sales.selectExpr(f"inline(array({keys}))", *signed), batch_id)
+        state.merge(touched, batch_id, _live_pages, "id", span)
+
+    return write
+
+
+def stream_records(
+    spark: SparkSession, source: str, table: str, checkpoint: str, cfg: ProfitConfig, files_per_batch: int | None = None
+) -> None:
+    """Bring records and customer counts up to date with the files that are new, then stop."""
+    write = records_writer(spark, table, cfg, order_records(spark, table))
+    _run(stream_orders(spark, source, files_per_batch), write, checkpoint)
+
+
+def current_records(totals: KeyedTotals) -> DataFrame:
+    """(record, key, value): per kind the key with most revenue and the one with most orders."""
+    names = F.expr(f"array({', '.join(map(quote, _KINDS))})[kind] as kind")
+    parts = [
+        totals.largest(rank).select(names, F.lit(rank).alias("rank"), "key", F.col(rank).cast(AMOUNT).alias("value"))
+        for rank in totals.ranks
+    ]
+    return parts[0].unionByName(parts[1]).selectExpr("concat(kind, '_', rank) as record", "key", "value")
+
+
+def customer_frequency(totals: KeyedTotals) -> DataFrame:
+    """How many customers have one, two, and three or more orders: (orders, customers)."""
+    kind = list(_KINDS).index("customer")
+    sizes = totals.sizes().filter(f"kind = {kind}")
+    return grouped(sizes, ["least(size, 3L) as orders"], "sum(n) as customers")

@@ -105,10 +105,9 @@ class OrderStore:
 
     def _versions(self, held: list[str], new: dict[int, list[int]]) -> DataFrame:
         """Pages of the table's folders and of the log's batches."""
-        paths = [f"{self.log.path}/log/batch={n}/bucket={b}" for b, batches in new.items() for n in batches]
-        rows = self.spark.read.schema(self.log.schema).parquet(*paths)
+        rows = self.log.open([(n, bucket) for bucket, batches in new.items() for n in batches])
         if held:
-            old = self.spark.read.schema(ORDER).parquet(*held).selectExpr("*", "-1L as batch")
+            old = self.spark.read.schema(ORDER).parquet(*held).select(*ORDER.names).selectExpr("*", "-1L as batch")
             rows = old.unionByName(rows)
         return rows
 
@@ -140,5 +139,5 @@ class OrderStore:
         done = self.merged_upto()
         for bucket, batches in self.log.logged.items():
             for n in [n for n in batches if n <= done]:
-                remove(self.spark, f"{self.log.path}/log/batch={n}/bucket={bucket}")
+                remove(self.spark, self.log.folder(n, bucket))
                 batches.discard(n)

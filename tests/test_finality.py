@@ -78,7 +78,7 @@ def test_pieces_are_merged_and_old_ones_can_go(spark, feed):
     write = S.sales_writer(spark, feed.table, CFG, S.DAY, span=10**6)
     rows = lambda ds: spark.read.schema(S.ORDER).json(spark.sparkContext.parallelize([json.dumps(d) for d in ds], 1))
     for n in range(2 * FAN + 3):
-        new = [on(1 + n, n), {**on(1, 0), "updated_at": f"2024-08-{n + 1:02d}T00:00:00+02:00"}]
+        new = [on(1 + n % 28, n), {**on(1, 0), "updated_at": f"2024-08-01T00:{n:02d}:00+02:00"}]
         docs += new
         write(rows(new), n)
     state = BucketLog(spark, f"{feed.table}/state", S._state_schema())
