@@ -24,6 +24,8 @@ from profitloom.llm.common import batches, record_batch, ship
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _BYTES = 2 << 20
+#: Symbols up to which common prefixes are measured on Python lists.
+_AS_LIST = 1 << 20
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -57,33 +59,49 @@ class QualityRules:
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes, and the longest common prefix of each with the one before it.
 
-    Prefix doubling: the ranks of twice as long prefixes come from pairs of ranks. The ranks of
-    all lengths are kept, so prefixes are measured from the longest length down.
+    Prefix doubling: the ranks of twice as long prefixes come from pairs of ranks, and only the last
+    ranks are kept. Common prefixes are measured in text order afterwards: the one at a place is
+    shorter than the one before it by one symbol at most, so the work and the memory grow with the text.
     """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    levels, step = [rank], 1
+    symbols = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
+    rank, step = symbols + np.int32(1), 1
     order = np.argsort(rank, kind="stable")
     while n and rank.max() < n:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 1) + after
+        key = rank.astype(np.int64) * (n + 1)
+        if step < n:
+            key[: n - step] += rank[step:]
         order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], (ranked[1:] != ranked[:-1]).astype(np.int64))))
-        levels.append(rank)
+        key = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.concatenate(([1], (key[1:] != key[:-1]).astype(np.int32))), dtype=np.int32)
+        del key
         step *= 2
-    lcp = np.zeros(n, np.int64)
-    if n > 1:
-        a, b = order[:-1].copy(), order[1:].copy()
-        for k in range(len(levels) - 1, -1, -1):
-            inside = np.flatnonzero((a < n) & (b < n))
-            same = inside[levels[k][a[inside]] == levels[k][b[inside]]]
-            a[same] += 1 << k
-            b[same] += 1 << k
-            lcp[1 + same] += 1 << k
-    return order, lcp
+    return order, _common_prefixes(symbols, order)
+
+
+def _common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each suffix in order with the one before it."""
+    n = len(order)
+    before = np.full(n, -1, np.int32)
+    before[order[1:]] = order[:-1]
+    length = np.zeros(n, np.int32)
+    # Small texts as lists, which are faster, large ones where they lie.
+    small = n <= _AS_LIST
+    text, earlier = (symbols.tolist(), before.tolist()) if small else (memoryview(symbols), memoryview(before))
+    out, common = memoryview(length), 0
+    for place in range(n):
+        other = earlier[place]
+        if other < 0:
+            common = 0
+            continue
+        end = n - (place if place > other else other)
+        while common < end and text[place + common] == text[other + common]:
+            common += 1
+        out[place] = common
+        if common:
+            common -= 1
+    return length[order].astype(np.int64)
 
 
 def repeats(hashes: np.ndarray, rows: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +118,12 @@ def repeats(hashes: np.ndarray, rows: np.ndarray, n: int, least: int) -> tuple[n
     twice[order[:-1][same]] = True
     if not twice.any():
         return none, none, none
+    del window, key, order, same
     cover = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + least, -1)
     place = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    del at, twice, cover
     # The gathered words, with a sign of its own after each run of neighbours in a row.
     gap = np.flatnonzero((np.diff(place) > 1) | (np.diff(rows[place]) > 0)) + 1
     word = np.unique(
@@ -112,10 +132,12 @@ def repeats(hashes: np.ndarray, rows: np.ndarray, n: int, least: int) -> tuple[n
     end = np.append(gap, len(place))
     symbols = np.insert(word.astype(np.int64), end, -1 - np.arange(len(end)))
     owner = np.insert(rows[place], end, rows[place[end - 1]])
+    del word, place, gap
     order, lcp = suffix_array(symbols)
     # The deepest common-prefix interval a suffix lies in is the longest run repeated from there.
     deep = np.zeros(len(symbols), np.int64)
     deep[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+    del order, lcp
     deep[deep < least] = 0
     maximal = (deep > 0) & (deep > np.append(0, deep[:-1]) - 1)
     start = np.flatnonzero(maximal)
@@ -128,6 +150,13 @@ def repeats(hashes: np.ndarray, rows: np.ndarray, n: int, least: int) -> tuple[n
     return ragged.counts(owner[covered], n), ragged.counts(owner[start], n), longest
 
 
+def _per_row(inside: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are inside."""
+    total = np.zeros(len(inside) + 1, np.int32)
+    np.cumsum(inside, out=total[1:])
+    return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64)
+
+
 def measure(texts: pa.Array, rules: QualityRules) -> list:
     """The columns of ``COLUMNS`` for a batch of texts."""
     data, offsets = ragged.text_buffers(texts)
@@ -135,8 +164,7 @@ def measure(texts: pa.Array, rules: QualityRules) -> list:
     starts, ends, rows = ragged.words(data, offsets)
     hashes = ragged.hash_spans(data, starts, ends)
     n_words = ragged.counts(rows, n)
-    head = np.concatenate(([0], np.cumsum(~SPACE_OR_TAIL[data])))
-    symbol = np.concatenate(([0], np.cumsum(SYMBOLS[data])))
+    word_chars, n_symbols = (_per_row(inside[data], offsets) for inside in (~SPACE_OR_TAIL, SYMBOLS))
     line_start, line_end, line_row = ragged.lines(data, offsets)
     worded = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_row = line_row[worded]
@@ -144,13 +172,15 @@ def measure(texts: pa.Array, rules: QualityRules) -> list:
     other = ragged.hash_spans(data, line_start[worded], line_end[worded], ragged.BASE_B)
     line = ragged.mix(line ^ ragged.mix(other + line_row.astype(np.uint64)))
     first = np.unique(line, return_index=True)[1]
+    n_lines = ragged.counts(line_row, n) - ragged.counts(line_row[first], n)
+    del starts, ends, line_start, line_end, worded, line, other, line_row, first
     covered, n_repeats, longest = repeats(hashes, rows, n, rules.min_repeat)
     failed = (n_words < rules.min_words) | (100 * covered > rules.covered_percent * n_words)
     return [
         n_words,
-        head[offsets[1:]] - head[offsets[:-1]],
-        symbol[offsets[1:]] - symbol[offsets[:-1]],
-        ragged.counts(line_row, n) - ragged.counts(line_row[first], n),
+        word_chars,
+        n_symbols,
+        n_lines,
         covered,
         failed,
         n_repeats,

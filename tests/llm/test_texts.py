@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -110,3 +112,28 @@ def test_state_kept_between_batches_is_bounded(monkeypatch):
     monkeypatch.setattr(wordpieces, "_KEPT", 3)
     once = [pieces.encode([t])[0].tolist() for t in ("one two three four", "five six seven")]
     assert once == [pieces.encode([t])[0].tolist() for t in ("one two three four", "five six seven")]
+
+
+def test_suffix_array_equals_sorting(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 2, 5, 50, 300):
+        for kinds in (1, 2, 5):
+            text = [rng.randrange(kinds) for _ in range(n)]
+            order, common = quality.suffix_array(np.array(text, np.int64))
+            want = sorted(range(n), key=lambda i: text[i:])
+            assert order.tolist() == want
+            for at in range(1, n):
+                a, b = text[want[at - 1] :], text[want[at] :]
+                assert common[at] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_memory_of_a_long_repetitive_text_grows_with_it():
+    def peak(size):
+        tracemalloc.start()
+        quality.measure(pa.array(["a b " * (size // 4)]), quality.QualityRules())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(1 << 20) < 80 << 20
+    assert peak(2 << 20) < 160 << 20
