@@ -5,6 +5,7 @@ import hashlib
 import html
 import io
 import re
+import time
 
 import numpy as np
 import pytest
@@ -124,6 +125,22 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert universe.where(nothing.holds(F.col("_key"))).count() == 0
 
 
+def test_slices_of_keys_change_no_row(spark, monkeypatch):
+    rows = [(i, u, "") for i, u in enumerate([*URLS, *URLS])] + [(None, "http://x-spam.net/es/1", "")] * 3
+    rows += [(1000 + i, f"http://h{i}.p{i % 9}.example.com/en/{i}", "") for i in range(500)]
+    want = sorted(map(str, urlfilter.judge(pages(spark, rows), RULES).collect()))
+    monkeypatch.setattr(urlfilter, "LEVEL_BYTES", 1 << 10)
+    assert sorted(map(str, urlfilter.judge(pages(spark, rows), RULES).collect())) == want
+
+
+def test_a_host_of_very_many_labels(spark):
+    long = "a." * 5_000 + "b.spam.example.com"
+    start = time.time()
+    got = urlfilter.judge(pages(spark, [(1, f"http://{long}/en/x", ""), (2, f"http://{'c.' * 5_000}spam.d/", "")]), RULES)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: (None, "block")} and time.time() - start < 150
+
+
 def article(page: str) -> str:
     found = re.search(r"<article>(.*?)(</article>|$)", page, re.S)
     out = []
