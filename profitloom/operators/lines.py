@@ -115,6 +115,30 @@ def with_order_sums(docs: DataFrame) -> DataFrame:
     )
 
 
+def current_pages(docs: DataFrame) -> DataFrame:
+    """The pages of every order's newest version with the order's sums, as ``newest_orders`` and
+    ``with_order_sums`` give them, from one narrow and one wide pass over the documents.
+
+    Version and sums are settled on narrow columns, first per version, then per order, so a huge order
+    is summed by many tasks; its pages then meet one row. A document without an id is an order by itself.
+    """
+    keyed = docs.selectExpr("*", f"{VERSION} as _version")
+    versions = grouped(
+        keyed.filter("id is not null").selectExpr("id", "_version", *_OWN_SUMS),
+        ["id", "_version"],
+        "sum(n_lines) as n_lines",
+        f"{cast('sum(items_value)', SUM_TYPE)} as items_value",
+        f"{cast('sum(own_discount)', SUM_TYPE)} as own_discount",
+    )
+    best = grouped(
+        versions, ["id"], *[f"max_by({name}, _version) as {name}" for name in PAGE_SUMS], "max(_version) as _version"
+    )
+    pages = keyed.join(best, ["id", "_version"], "left").filter("id is null or n_lines is not null")
+    return pages.selectExpr(
+        *docs.columns, *[f"coalesce({name}, {value}) as {name}" for name, value in PAGE_SUMS.items()]
+    )
+
+
 def order_headers(docs: DataFrame, cfg: ProfitConfig, *keep: str) -> DataFrame:
     """One row per page: order fields, shipping and discount left to allocate.
 
@@ -178,7 +202,8 @@ def raw_lines(headers: DataFrame, *keep: str) -> DataFrame:
 
 
 def allocate_documents(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
-    """Lines of documents with allocated discount and shipping; narrow, no shuffle."""
+    """Lines of documents with allocated discount and shipping; a page that has its order's sums meets
+    no other row."""
     headers = order_headers(docs, cfg, "items_value")
     fields = [c for c in headers.columns if c not in ("order_number", "line_items")]
     return _allocated(raw_lines(headers, *fields), "line_pos = 0")

@@ -18,14 +18,14 @@ from profitloom.functions.frames import grouped
 from profitloom.functions.money import MONEY, cast, from_units, sum_units
 from profitloom.functions.text import NBSP
 from profitloom.operators.lines import (
+    current_pages,
     discount_code,
     override_table,
     product_key,
-    with_order_sums,
     with_overrides,
 )
 from profitloom.sources.fees import read_card_transactions, read_wallet_ledger
-from profitloom.sources.orders import newest_orders, read_orders
+from profitloom.sources.orders import read_orders
 from profitloom.sources.sheets import (
     CostLookup,
     cost_lookup,
@@ -426,7 +426,7 @@ class ShopTables:
     def documents(self) -> DataFrame:
         """Pages of orders in their latest state, by version, whatever folder holds it, with
         their order's sums."""
-        return with_order_sums(newest_orders(read_orders(self.spark, self._land_documents())))
+        return current_pages(read_orders(self.spark, self._land_documents()))
 
     def document_feed(self) -> str:
         """Folder with every state of every order, as an incremental job sees it."""

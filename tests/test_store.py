@@ -114,6 +114,23 @@ def test_a_refresh_that_breaks_off_is_taken_up(spark, feed, monkeypatch):
     assert rows(later.read()) == rows(in_batch(spark, feed))
 
 
+def test_documents_are_parsed_twice_at_most(spark):
+    from profitloom.catalog import all_queries
+
+    for name in ("line_items_nested", "order_fields", "orders_source"):
+        frame = all_queries()[name](spark, "/root/testdata/sf0.001")
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= plan.count("FileScan json") <= 2, name
+
+
+def test_current_pages_equal_the_two_steps(spark, feed):
+    docs = [version(n, day, n % 4) for n in range(12) for day in (1, 3, 2)]
+    docs += [{**version(7, 9, 2), "first_line": 0}, {**version(7, 9, 5), "first_line": 2}]
+    docs += [{**version(90 + k, 1, k), "id": None} for k in range(3)]
+    feed("a", *docs)
+    assert rows(L.current_pages(read_orders(spark, feed.path))) == rows(in_batch(spark, feed))
+
+
 def test_an_empty_store(spark, feed):
     assert OrderStore(spark, feed.store).read().count() == 0
     assert OrderStore(spark, feed.store).refresh().upto == -1
