@@ -885,6 +885,10 @@ WITH d AS (
 SELECT kind, name, CAST(sum(documents) AS BIGINT) AS documents FROM known GROUP BY 1, 2"""
 
     return {
+        "order_differences": """
+SELECT order_number, CASE WHEN order_number % 997 = 5 THEN 'missing right' ELSE 'changed' END AS difference
+FROM (SELECT DISTINCT l_orderkey AS order_number FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+WHERE order_number % 997 = 5 OR order_number % 499 = 3""",
         "orders_quarantine": quarantine,
         "incremental_orders": LINES + _WEEKLY_PROFIT,
         "streaming_daily_sales": sales("order_date"),

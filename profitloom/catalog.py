@@ -15,7 +15,7 @@ from profitloom.functions.money import AMOUNT, as_double, cast, rounded
 from profitloom.functions.text import parse_currency, parse_fixed_amount, strip
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
-from profitloom.plans import checks, customers, discounts, lists, onepass, pnl, products, records, trends
+from profitloom.plans import checks, customers, digests, discounts, lists, onepass, pnl, products, records, trends
 from profitloom.sources import fees, sheets
 from profitloom.sources.orders import FIRST_LINE, read_orders
 from profitloom.sources.quarantine import check_orders
@@ -310,6 +310,21 @@ def one_pass_reports(shop: ShopTables) -> DataFrame:
     return sums.selectExpr("report", key, "orders", *rounded(*onepass.SUMS[:-1]))
 
 
+def order_differences(shop: ShopTables) -> DataFrame:
+    """Orders that differ between the stored order table and the one made anew, with some altered on disk."""
+    made = _all_orders(shop)
+    columns = ["order_date", "financial_status", "n_lines", "revenue_excl_mva", "total_cost"]
+    path = new_folder(shop.spark, "orders")
+    altered = made.filter("order_number % 997 <> 5").withColumn(
+        "n_lines", F.expr("if(order_number % 499 = 3, n_lines + 1, n_lines)")
+    )
+    write_table(altered, path, "order_number")
+    stored = read_table(shop.spark, path)
+    ranges = digests.differing_ranges(*(digests.build_tree(t, "order_number", columns) for t in (made, stored)))
+    found = digests.differing_rows(made, stored, ranges, "order_number", columns)
+    return found.selectExpr("key as order_number", "difference")
+
+
 # --- streaming ----------------------------------------------------------------------
 
 
@@ -490,6 +505,7 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         # checks
         "cost_coverage": lambda s: checks.cost_coverage(_earned(s)),
         "duplicate_cost_keys": lambda s: checks.duplicate_cost_keys(s.costs()),
+        "order_differences": order_differences,
         "reconciliation": lambda s: checks.reconciliation(_all_orders(s)),
         "allocation_check": lambda s: checks.allocation_check(_allocated(s), s.headers()),
         # streaming
