@@ -1,6 +1,7 @@
 """Sharding by a uniform shuffle with exact sizes.
 
-Rows are dealt into source parts by hash. How many rows of each part go to each cell (a slice of a
+Rows are dealt into source parts by hash, equal rows by their number too: they are counted first and
+numbered when they are written out again, so copies of one row spread over all parts. How many rows of each part go to each cell (a slice of a
 shard) is drawn exactly: the matrix of a uniform shuffle has multivariate hypergeometric rows for
 fixed part and cell sizes. It is drawn by halving the parts again and again, each halving from its
 own seed, so a task draws only the row it needs and nothing but the part sizes is shared. Each
@@ -73,13 +74,26 @@ def cell_sizes(rows: int, shards: int, cells: int) -> np.ndarray:
     return (shard[:, None] // cells + (np.arange(cells) < shard[:, None] % cells)).ravel()
 
 
+def _numbered(rows: DataFrame, known: list[str], most: int) -> DataFrame:
+    """The rows with ``_copy``, which numbers equal rows from 0 on; no task holds all copies of one."""
+    others = [F.first(c).alias(c) for c in rows.columns if c not in known]
+    counted = rows.groupBy(*known).agg(F.count(F.lit(1)).alias("_copies"), *others)
+    # Many copies are written out in runs, and each run by a task of its own.
+    runs = counted.select("*", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {most})")).alias("_run"))
+    largest = rows.groupBy(*known).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        runs = runs.repartition(*known, "_run")
+    places = F.expr(f"sequence(_run * {most}, least((_run + 1) * {most}, _copies) - 1)")
+    return runs.select(*rows.columns, F.explode(places).alias("_copy"))
+
+
 def shuffle_into_shards(
     rows: DataFrame, identity: list[str], shards: int, seed: int = 0, part_rows: int = 1_000_000, cell_rows: int = 1_000_000, least_parts: int = 32
 ) -> DataFrame:
     """The rows with ``shard`` and ``slot``.
 
     ``identity`` names the columns that put the rows of a part in a fixed order; they must tell
-    all rows that differ apart. ``part_rows`` and ``cell_rows`` bound what a task permutes: it
+    all rows that differ apart, so rows equal in them are one row and its count. ``part_rows`` and ``cell_rows`` bound what a task permutes: it
     holds that many whole numbers, rows stream by.
     """
     spark = rows.sparkSession
@@ -92,7 +106,8 @@ def shuffle_into_shards(
     by_name = dict(zip(rows.columns, names))
     known = [by_name[c] for c in identity]
     mark = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in known]
-    parted = rows.toDF(*names).withColumn("_mark", F.xxhash64(F.lit(seed), *mark))
+    numbered = _numbered(rows.toDF(*names), known, part_rows)
+    parted = numbered.select(*names, F.xxhash64(F.lit(seed), *mark, "_copy").alias("_mark"))
     parted = parted.withColumn("_part", F.pmod("_mark", F.lit(n_parts)).cast("int"))
     found = {r["_part"]: r["count"] for r in parted.groupBy("_part").count().collect()}
     part_sizes = np.array([found.get(i, 0) for i in range(n_parts)], np.int64)

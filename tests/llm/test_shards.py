@@ -1,10 +1,14 @@
 """The uniform shuffle: exact sizes, whole rows, fair draws."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 from profitloom.llm import shards
+from profitloom.llm.catalog import op8_sharding
 
+SF_DIR = "/root/testdata/sf0.001"
 ROWS = "doc_id long, size long, text_crc32 long"
 
 
@@ -19,6 +23,33 @@ def test_sizes_are_exact_and_rows_whole(spark, n, part_rows, cell_rows):
     assert max(map(len, sizes)) - min(map(len, sizes)) <= 1
 
 
+def test_copies_of_one_row_spread_over_parts_and_shards(spark, monkeypatch):
+    rows = [(7, 1, 1)] * 600 + [(None, 0, 0)] * 300 + [(1000 + i, 2, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, ROWS)
+    key = ["doc_id", "size", "text_crc32"]
+    parts = shards._numbered(df, key, 100).selectExpr("pmod(xxhash64(doc_id, _copy), 8) as p", "doc_id", "_copy")
+    assert parts.where("doc_id = 7").groupBy("p").count().agg({"count": "max"}).first()[0] < 120
+    assert parts.distinct().count() == len(rows)
+    got = shards.shuffle_into_shards(df, key, 24, 3, 100, 10, 3).collect()
+    assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, rows))
+    hot = np.bincount([r["shard"] for r in got if r["doc_id"] == 7], minlength=24)
+    assert hot.min() > 8 and hot.max() < 42
+    again = shards.shuffle_into_shards(df.repartition(5), key, 24, 3, 100, 10, 3).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_query_against_its_law(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    got = op8_sharding(spark, SF_DIR).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {
+        i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in docs.items()
+    }
+    assert len(got) == len(docs) and {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    slots = [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(24)]
+    assert all(s == list(range(len(s))) for s in slots) and sum(map(len, slots)) == len(docs)
+    assert max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
 def test_same_rows_same_shards(spark):
     df = spark.range(500).selectExpr("id as doc_id", "id as size", "id as text_crc32")
     key = ["doc_id", "size", "text_crc32"]
