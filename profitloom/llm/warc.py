@@ -123,6 +123,24 @@ def verify(header: dict[str, str], block: bytes) -> None:
             raise ValueError(f"{name} of {header['warc-record-id']} differs from its content")
 
 
+# Spellings of Spark's file systems, and how Arrow names or mounts the same place.
+_PLACES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "/dbfs/"}
+
+
+def arrow_path(path: str) -> str:
+    """A path as Spark's readers take it, as Arrow's file systems do."""
+    for spelling, other in _PLACES.items():
+        if path.startswith(spelling):
+            rest = path[len(spelling) :]
+            return other + (rest.lstrip("/") if other.startswith("/") else rest)
+    return path
+
+
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system that holds a path, and the path within it."""
+    return pyarrow.fs.FileSystem.from_uri(arrow_path(path))
+
+
 def write_archives(pages: DataFrame, least: int = 100) -> DataFrame:
     """Write a record for each page; returns the archives' paths, record counts and sizes."""
     spark = pages.sparkSession
@@ -147,7 +165,7 @@ def write_archives(pages: DataFrame, least: int = 100) -> DataFrame:
     folder = storage.new_folder(spark, "warc")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         out, path, done = None, "", []
 
@@ -203,7 +221,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, name = pyarrow.fs.FileSystem.from_uri(path)
+                store, name = file_system(path)
                 rows, size, n = [], 0, 0
                 with store.open_input_stream(name, compression=None) as stream:
                     for header, block in records(stream):

@@ -27,6 +27,15 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, 1, "d") for r in rows], PAGES)
 
 
+def test_paths_as_spark_spells_them():
+    same = ["/tmp/x", "file:///tmp/x", "hdfs://host:9000/x", "gs://b/x", "s3://b/x"]
+    assert [warc.arrow_path(p) for p in same] == same
+    assert warc.arrow_path("s3a://bucket/a/b.gz") == "s3://bucket/a/b.gz"
+    assert warc.arrow_path("dbfs:/a/b") == warc.arrow_path("dbfs:///a/b") == "/dbfs/a/b"
+    store, name = warc.file_system("s3a://bucket/a/b.gz?region=eu-west-1")
+    assert store.type_name == "s3" and name == "bucket/a/b.gz"
+
+
 def test_archives_come_back(spark):
     manifest = warc.write_archives(pages(spark, ROWS).repartition(3))
     got = warc.read_archives(spark, manifest).collect()
