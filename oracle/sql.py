@@ -360,6 +360,7 @@ def _lines() -> dict[str, str]:
     return {
         "line_items": LINES + _LINE_FIELDS,
         "line_items_nested": LINES + _LINE_FIELDS,
+        "line_items_aligned": LINES + _LINE_FIELDS,
         "order_fields": LINES
         + f"""
 SELECT h.order_number, order_id, order_date, order_created_at, currency, financial_status,
@@ -403,6 +404,10 @@ FROM placed LEFT JOIN card_fees USING (order_id)""",
         "txn_fee": FEES
         + f"""
 SELECT order_number, payment_method, {money("txn_fee")} AS txn_fee
+FROM fee_orders WHERE NOT is_refunded""",
+        "txn_fee_aligned": FEES
+        + f"""
+SELECT order_number, payment_method, {money("txn_fee")} AS txn_fee
 FROM fee_orders WHERE NOT is_refunded""",
         "order_totals": ORDERS
         + f"SELECT order_number, order_date, discount_code, customer_email, {total_cols} FROM placed",
@@ -533,6 +538,38 @@ FROM active WHERE cost_price IS NULL""",
         "year_forecast": forecast
         + f"""
 SELECT first_order_date, last_order_date, CAST(days_with_data AS BIGINT) AS days_with_data,
+       {dbl("daily_orders")} AS daily_orders, {money("daily_revenue")} AS daily_revenue,
+       {money("revenue")} AS projected_revenue, {money(net)} AS projected_net,
+       {ratio(net, "revenue", "100")} AS projected_margin_pct FROM forecast""",
+        "forecast_by_day": FEES
+        + f"""
+, day_sums AS (
+  SELECT order_date, count(*) AS orders, sum(revenue_excl_mva) AS sales, sum(total_cost) AS cost,
+         sum(txn_fee) AS fees
+  FROM fee_orders WHERE NOT is_refunded GROUP BY order_date),
+known AS (
+  SELECT a.order_date AS as_of, year(a.order_date) = year(b.order_date) AS in_year, b.*
+  FROM day_sums a JOIN day_sums b ON b.order_date <= a.order_date),
+sums AS (
+  SELECT as_of, min(order_date) FILTER (WHERE in_year) AS first_order_date,
+         max(order_date) FILTER (WHERE in_year) AS last_order_date,
+         sum(orders) FILTER (WHERE in_year) AS orders, {dbl("sum(sales) FILTER (WHERE in_year)")} AS sales,
+         {dbl("sum(cost) FILTER (WHERE in_year)")} AS cost, {dbl("sum(fees)")} AS all_fees,
+         {dbl("sum(sales)")} AS all_sales
+  FROM known GROUP BY as_of),
+daily AS (
+  SELECT *, datediff('day', first_order_date, last_order_date) + 1 AS days_with_data,
+         sales / CAST(days_with_data AS DOUBLE) AS daily_revenue,
+         cost / CAST(days_with_data AS DOUBLE) AS daily_cost,
+         CAST(orders AS DOUBLE) / CAST(days_with_data AS DOUBLE) AS daily_orders,
+         CAST(dayofyear(make_date(year(as_of), 12, 31)) AS DOUBLE) AS days
+  FROM sums),
+forecast AS (
+  SELECT d.* EXCLUDE (cost), daily_revenue * days AS revenue, daily_cost * days AS cost,
+         daily_revenue * days * (CASE WHEN all_sales > 0 THEN all_fees / all_sales ELSE 0 END) AS fees,
+         cost_per_order * (daily_orders * days) AS order_costs, monthly * 12 AS overhead
+  FROM daily d CROSS JOIN sheet_totals)
+SELECT as_of, first_order_date, last_order_date, CAST(days_with_data AS BIGINT) AS days_with_data,
        {dbl("daily_orders")} AS daily_orders, {money("daily_revenue")} AS daily_revenue,
        {money("revenue")} AS projected_revenue, {money(net)} AS projected_net,
        {ratio(net, "revenue", "100")} AS projected_margin_pct FROM forecast""",

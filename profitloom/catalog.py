@@ -15,8 +15,9 @@ from profitloom.functions.money import AMOUNT, as_double, cast, rounded
 from profitloom.functions.text import parse_currency, parse_fixed_amount, strip
 from profitloom.operators import lines as L
 from profitloom.operators import orders as O
-from profitloom.plans import checks, customers, digests, discounts, lists, onepass, pnl, products, records, trends
+from profitloom.plans import checks, customers, digests, discounts, forecast, lists, onepass, pnl, products, records, trends
 from profitloom.sources import fees, sheets
+from profitloom.sources.aligned import AlignedTables, write_aligned
 from profitloom.sources.orders import FIRST_LINE, read_orders
 from profitloom.sources.quarantine import check_orders
 from profitloom.sources.sink import read_table, write_table
@@ -303,6 +304,35 @@ def sink_tables(shop: ShopTables) -> DataFrame:
     return trends.weekly_profit(orders).join(per_week, "week")
 
 
+def _aligned(shop: ShopTables) -> AlignedTables:
+    card_fees = fees.card_fees_by_order(shop.card_transactions())
+    folder = new_folder(shop.spark, "aligned")
+    return write_aligned(shop.headers(True), shop.lines(), card_fees, shop.cfg, shop.cost_lookup(), folder)
+
+
+def line_items_aligned(shop: ShopTables) -> DataFrame:
+    """The line table from lines and order pages that lie in the same buckets."""
+    return _line_fields(L.line_table(_aligned(shop).allocated()))
+
+
+def txn_fee_aligned(shop: ShopTables) -> DataFrame:
+    """Fees per order from orders and charges that lie in the same buckets."""
+    rules = sheets.fee_rules(shop.per_order_sheet())
+    orders = L.active(_aligned(shop).with_fee(_wallet(shop), rules, shop.cfg), shop.cfg)
+    return orders.selectExpr("order_number", "payment_method", *rounded("txn_fee"))
+
+
+def forecast_by_day(shop: ShopTables) -> DataFrame:
+    """The forecast as of every day with orders; refunds are booked after the orders, as changes."""
+    orders = _with_fee(shop, _all_orders(shop))
+    days = forecast.DaySums(shop.spark, new_folder(shop.spark, "day-sums"))
+    placed = orders.withColumn("is_refunded", F.lit(False))
+    days.book(forecast.day_sums(placed), 0)
+    refunded = orders.filter("is_refunded")
+    days.book(forecast.day_changes(refunded.withColumn("is_refunded", F.lit(False)), refunded), 1)
+    return forecast.forecast_by_day(days.days(), _fixed(shop), _per_order(shop))
+
+
 def one_pass_reports(shop: ShopTables) -> DataFrame:
     """The sums behind six reports in one table, a row per week, day, method, city and code."""
     sums = onepass.report_sums(L.active(_all_orders_and_first_line(shop), shop.cfg))
@@ -417,6 +447,8 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "parse_fee_rule": fee_rules,
         "parse_fixed_amount": lambda s: _parsed(s.per_order_sheet(), parse_fixed_amount),
         "sink_tables": sink_tables,
+        "line_items_aligned": line_items_aligned,
+        "txn_fee_aligned": txn_fee_aligned,
         # lines
         "line_items": line_items,
         "line_items_nested": line_items_nested,
@@ -457,6 +489,7 @@ def _shop_queries() -> dict[str, Callable[[ShopTables], DataFrame]]:
         "unmatched_products": lambda s: products.unmatched_products(_product_sums(s)),
         "unmatched_headline": lambda s: products.unmatched_headline(_product_sums(s)),
         "year_forecast": lambda s: pnl.forecast_figures(_forecast(s)),
+        "forecast_by_day": forecast_by_day,
         "forecast_statement": lambda s: pnl.forecast_statement(_forecast(s)),
         "break_even": lambda s: pnl.break_even(_pnl(s)),
         "price_scenario": lambda s: pnl.price_scenario(s.price_list(), SCENARIO_FACTORS, s.cfg),
