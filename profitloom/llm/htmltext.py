@@ -3,8 +3,8 @@
 A page becomes a list of text blocks. A classifier gives each block a cost for calling it
 content and one for calling it boilerplate; these are the capacities of its edges to the two
 terminals. Neighbouring blocks, and blocks of one kind that follow each other under one element,
-are joined by smoothness edges that grow with what they have in common in the page's tree. The minimum cut,
-found by maximum flow, is the labelling of least cost.
+are joined by smoothness edges that grow with what they have in common in the page's tree; a heading is
+tied to the block that follows it. The minimum cut, found by maximum flow, is the labelling of least cost.
 
 The classifier adds the evidence of a block's elements, their class and id words, and a logistic
 model over the block's words and links. The model is trained on blocks of ``TRAIN_PAGES`` pages at
@@ -42,8 +42,9 @@ BLOCK_TAGS = frozenset(
     "option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose content is no text of the page; fixed values.
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg object canvas audio video math xmp".split())
+RAW_TAGS = frozenset("script style template textarea iframe svg object canvas audio video".split())
 #: Elements that hold boilerplate, and those that hold the article; fixed values.
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav footer aside form button select menu dialog head title fieldset option legend search".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 #: Words of classes and ids; fixed values.
@@ -68,15 +69,19 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+#: The model is for running text and adds this to a heading at most; the edge to the next block under
+#: the heading's element is stronger, so that without other evidence the block decides for both.
+HEADING_BOUND, HEADING = 0.5, 1.0
 #: Evidence of a boilerplate element, and of elements that hold the article or are named for it.
 BOILER, ARTICLE, NAMED = -8.0, 5.0, 3.0
 
 
 class Element:
     """An element of the page: the number of the one above, whether it belongs to the page's frame,
-    whether only its name speaks for boilerplate, and its evidence for content."""
+    whether only its name speaks for boilerplate, its evidence for content, and whether it is or
+    lies in an element with such evidence."""
 
-    __slots__ = ("above", "tag", "frame", "named", "lift")
+    __slots__ = ("above", "tag", "frame", "named", "lift", "inside")
 
     def __init__(self, above: int, tag: str, attributes: str):
         self.above, self.tag = above, tag
@@ -98,30 +103,43 @@ class Element:
 
 
 class Block:
-    """A run of text: its elements' numbers from the root, their evidence, words and link letters."""
+    """A run of text: the numbers of its element and of the one above, how deep it lies, how many of its
+    elements hold the block before it too, the elements' evidence, their tag and its link letters."""
 
-    __slots__ = ("text", "path", "score", "tag", "linked")
+    __slots__ = ("text", "at", "above", "depth", "shared", "score", "tag", "linked")
 
-    def __init__(self, text, path, score, tag, linked):
-        self.text, self.path, self.score, self.tag, self.linked = text, path, score, tag, linked
+    def __init__(self, text, at, above, depth, shared, tag, linked):
+        self.text, self.at, self.above, self.depth, self.shared = text, at, above, depth, shared
+        self.score, self.tag, self.linked = 0.0, tag, linked
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
+    """The text blocks of a page in order, in time and memory linear in its length, however deep it is."""
     out: list[Block] = []
     elements = [Element(0, "", "")]
+    elements[0].inside = False
     stack: list[tuple[str, int]] = [("", 0)]  # element and its number
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a tag are
+    shared = 1  # how much of the stack is as it was at the last block
     links, position, end = 0, 0, len(page)
     parts: list[str] = []
     linked = 0
 
+    def cut_to(size):
+        nonlocal shared
+        while len(stack) > size:
+            places[stack.pop()[0]].pop()
+        shared = min(shared, size)
+
     def close_block():
-        nonlocal linked
+        nonlocal linked, shared
         if parts:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(text, [e[1] for e in stack], 0.0, stack[-1][0], min(linked, len(text))))
+                tag, at = stack[-1]
+                out.append(Block(text, at, elements[at].above, len(stack), shared, tag, min(linked, len(text))))
+                shared = len(stack)
             parts.clear()
         linked = 0
 
@@ -141,7 +159,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         closing = found[1] == "/"
-        if name in RAW_TAGS:
+        # What is for readers without scripts counts within content only.
+        if name in RAW_TAGS or name == "noscript" and not elements[stack[-1][1]].inside:
             if not closing and not found[0].endswith("/>"):
                 shut = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, position)
                 position = shut.end() if shut else end
@@ -155,24 +174,21 @@ def blocks_of(page: str) -> list[Block]:
         close_block()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if places.get(name):
+                cut_to(places[name][-1])
             continue
         if stack[-1][0] == "p":
-            stack.pop()
-        if name in _CLOSED_BY_SAME:
-            stop = _CLOSED_BY_SAME[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            cut_to(len(stack) - 1)
+        if name in _CLOSED_BY_SAME and places.get(name):
+            stops = [places[t][-1] for t in _CLOSED_BY_SAME[name] if places.get(t)]
+            if places[name][-1] > max(stops, default=0):
+                cut_to(places[name][-1])
         if name in VOID_TAGS:
             continue
-        elements.append(Element(stack[-1][1], name, found[3].rstrip(">")))
+        above = stack[-1][1]
+        elements.append(Element(above, name, found[3].rstrip(">")))
+        elements[-1].inside = elements[above].inside or elements[-1].lift > 0
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, len(elements) - 1))
     close_block()
     weigh(out, elements)
@@ -188,18 +204,16 @@ def weigh(blocks: list[Block], elements: list[Element]) -> None:
     element, else of its text without the frame), and content below adds its own evidence again.
     """
     n = len(elements)
-    framed, inside = [False] * n, [False] * n
+    framed = [False] * n
     kinds = [e.tag if e.tag in CONTENT_TAGS else "" for e in elements]
     for i, e in enumerate(elements[1:], 1):
-        inside[i] = inside[e.above] or e.lift > 0
-        framed[i] = framed[e.above] or e.frame or e.tag == "header" and not inside[e.above]
+        framed[i] = framed[e.above] or e.frame or e.tag == "header" and not elements[e.above].inside
         if kinds[e.above] == "article" or not kinds[i]:
             kinds[i] = kinds[e.above]
     texts = {kind: [0] * n for kind in ("article", "main", "")}
     for b in blocks:
-        at = b.path[-1]
-        if not framed[at]:
-            texts[kinds[at]][at] += len(b.text)
+        if not framed[b.at]:
+            texts[kinds[b.at]][b.at] += len(b.text)
     for text in texts.values():
         for i in range(n - 1, 0, -1):
             text[elements[i].above] += text[i]
@@ -218,7 +232,7 @@ def weigh(blocks: list[Block], elements: list[Element]) -> None:
         else:
             own[i] = below[i] = above + e.lift if above < 0 else max(above, e.lift)
     for b in blocks:
-        b.score = own[b.path[-1]]
+        b.score = own[b.at]
 
 
 FEATURES = 5
@@ -320,29 +334,26 @@ def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tu
 def label(blocks: list[Block], weights: np.ndarray, smooth: float = 1.5) -> list[bool]:
     """Which blocks are content.
 
-    Neighbours of one kind under one element pull each other with ``smooth``; other neighbours
-    with a fifth of it, by the share of the tree above them that they have in common; and so do
-    blocks that only other elements part.
+    Neighbours of one kind under one element pull each other with ``smooth``, and so do blocks that only
+    other elements part; a heading and the block after it under its element with ``HEADING``; other
+    neighbours with a fifth of ``smooth``, by the share of the tree above them that they have in common.
     """
     n = len(blocks)
     w = weights.tolist()
-    scores = [
-        b.score + max(-MODEL_BOUND, min(MODEL_BOUND, sum(x * y for x, y in zip(features(b), w)))) for b in blocks
-    ]
+    scores = []
+    for b in blocks:
+        bound = HEADING_BOUND if b.tag in HEADING_TAGS else MODEL_BOUND
+        scores.append(b.score + max(-bound, min(bound, sum(x * y for x, y in zip(features(b), w)))))
     edges, last_under = [], {}
     for i, b in enumerate(blocks):
-        under = (b.path[-2] if len(b.path) > 1 else 0, b.tag)
+        under = (b.above, b.tag)
         before = last_under.get(under)
         if before is not None:
             edges.append((before, i, smooth))
         if i and before != i - 1:
             a = blocks[i - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, 0.2 * smooth * shared / max(len(a.path), len(b.path))))
+            title = a.tag in HEADING_TAGS and b.tag not in HEADING_TAGS and a.above == b.above
+            edges.append((i - 1, i, HEADING if title else 0.2 * smooth * b.shared / max(a.depth, b.depth)))
         last_under[under] = i
     return max_flow_side(n, [max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], edges)
 

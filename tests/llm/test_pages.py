@@ -182,6 +182,7 @@ PARA = "A sentence of a good many words stands here, long enough to read as pros
     (f"<article><p>{PARA}</p><div class=ad>Buy</div><p>1 < 2 and <b>bold</b>text &am", f"{PARA}\n1 < 2 and boldtext &am"),
     ("<p" * 3000, ""),
     ("<article>" + "<div>" * 3000 + "deep", "deep"),
+    (f"<article><p>{PARA} <math><mi>x</mi></math> end</p><noscript>kept</noscript></article><noscript>Switch scripts on</noscript>", f"{PARA} x end\nkept"),
     ("<article><p hidden>no</p><p>yes &nbsp; it\tis</p>", "yes it is"),
 ])
 def test_page_text(page, text):
@@ -225,3 +226,34 @@ def test_cut_is_the_smallest():
 
         best = min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n))
         assert cost(htmltext.max_flow_side(n, source.tolist(), sink.tolist(), edges)) == best
+
+
+MENU = "<p><a href=x>Home</a></p><p><a href=y>News</a></p><p><a href=z>More</a></p>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div><h1>Title</h1><p>{PARA}</p></div>", f"Title\n{PARA}"),
+    (f"<body><div><h1>Title</h1><p>{PARA}</p><p>{PARA}</p></div>", f"Title\n{PARA}\n{PARA}"),
+    (f"<body><div>{MENU}</div><div><h2>Title</h2><p>{PARA}</p><p>So.</p><p>{PARA}</p></div><div><h2>More</h2>{MENU}</div>", f"Title\n{PARA}\nSo.\n{PARA}"),
+])
+def test_the_cut_labels_blocks_of_pages_whose_tags_say_nothing(page, text):
+    assert htmltext.main_text(page, WEIGHTS) == text
+    blocks = htmltext.blocks_of(page)
+    assert all(b.score == 0 for b in blocks)
+    # The model alone calls the title and the short paragraph boilerplate.
+    model = [b.text for b in blocks if np.dot(htmltext.features(b), WEIGHTS) > 0]
+    assert set(model) == {PARA}
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    seconds = []
+    for size in (4_000, 32_000):
+        deep = "<div>word here" * size
+        lists = "<article><ul>" + "<div>" * size + "<li>a" * size + "</p></b></td>" * size
+        flat = f"<div><h1>T</h1><p>{PARA}</p><p>{PARA}</p></div>" * (size // 4)
+        start = time.time()
+        assert htmltext.main_text(f"<article>{deep}", WEIGHTS).count("\n") == size - 1
+        assert htmltext.main_text(lists, WEIGHTS).count("a") == size
+        assert htmltext.main_text(flat, WEIGHTS).count(PARA) == size // 2
+        seconds.append(time.time() - start)
+    assert seconds[1] < 20 * seconds[0] + 2
