@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,10 @@ SPACE = "▁"
 _BYTES = 1 << 20
 _KEPT = 250_000
 _PAIRS = 2_000_000
+#: Suffixes in one index; places that at most ``_FEW`` segments have are relaxed edge by edge, ``_EDGES`` at a time.
+_SUFFIXES = 1 << 20
+_FEW = 24
+_EDGES = 1 << 18
 _UNKNOWN = -2
 _START = -1
 _loaded: dict[str, Pieces] = {}
@@ -166,15 +172,19 @@ class Pieces:
 
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start of and piece of every occurrence of a piece in the text."""
-        n = len(codes)
         padded = np.concatenate((codes, np.zeros(self.longest, np.uint16))).astype(">u2")
-        suffixes = np.lib.stride_tricks.as_strided(padded, (n, self.longest), (2, 2))
-        keys = self._key(suffixes)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        low = np.searchsorted(keys, self.low, "left")
-        sizes = np.searchsorted(keys, self.high, "right") - low
-        return ragged_take(order, low, sizes), np.repeat(np.arange(len(self.piece)), sizes)
+        starts, pieces = [], []
+        # A suffix is laid out with as many letters as the longest piece has, so the index is by block.
+        for first in range(0, len(codes), _SUFFIXES):
+            n = min(_SUFFIXES, len(codes) - first)
+            keys = self._key(np.lib.stride_tricks.as_strided(padded[first:], (n, self.longest), (2, 2)))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            low = np.searchsorted(keys, self.low, "left")
+            sizes = np.searchsorted(keys, self.high, "right") - low
+            starts.append(ragged_take(order, low, sizes) + first)
+            pieces.append(np.repeat(np.arange(len(self.piece)), sizes))
+        return np.concatenate(starts), np.concatenate(pieces)
 
     def learn(self, segments: list[str]) -> None:
         """Encode new segments and keep the results."""
@@ -198,7 +208,10 @@ class Pieces:
         back = np.zeros(len(codes) + 1, np.int64)
         last[begin] = _START
         fresh: dict[int, bool] = {}
-        cut = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
+        # Places that most segments have are relaxed for all of them at once, those of few long ones edge by edge.
+        ranked = np.sort(sizes)[::-1]
+        many = int(ranked[_FEW]) if len(ranked) > _FEW else 0
+        cut = np.searchsorted(depth, np.arange(1, many + 2))
         for a, b in zip(cut[:-1], cut[1:]):
             before, here = last[start[a:b]], piece[a:b]
             held = (before < 0) | (here < 0)
@@ -209,9 +222,34 @@ class Pieces:
             at = np.flatnonzero(held)
             last[end[a:b][at]] = here[at]
             back[end[a:b][at]] = start[a:b][at]
+        for a in range(int(cut[-1]), len(start), _EDGES):
+            self._relax(start[a : a + _EDGES], end[a : a + _EDGES], piece[a : a + _EDGES], last, back, fresh)
         self._keep(fresh)
         self._read_back(points, begin, sizes, last, back, segments)
 
+    def _relax(self, start, end, piece, last, back, fresh: dict[int, bool]) -> None:
+        """Relax edges one by one in their order, which is by place."""
+        seen: dict[int, bool] = {}
+        lasts, backs, pairs, size = memoryview(last), memoryview(back), memoryview(self.pair), self.size
+        for a, b, here in zip(start.tolist(), end.tolist(), piece.tolist()):
+            before = lasts[a]
+            if before >= 0 and here >= 0:
+                pair = before * size + here
+                held = seen.get(pair)
+                if held is None:
+                    held = fresh.get(pair)
+                    if held is None:
+                        i = bisect_left(pairs, pair)
+                        if i < len(pairs) and pairs[i] == pair:
+                            held = bool(self.pair_apart[i])
+                        else:
+                            held = fresh[pair] = self._stay_apart(before, here)
+                    seen[pair] = held
+                if not held:
+                    continue
+            lasts[b] = here
+            backs[b] = a
+
     def _apart(self, pairs: np.ndarray, fresh: dict[int, bool]) -> np.ndarray:
         """Whether the two pieces of each pair stay apart; pairs not seen before go to ``fresh``."""
         at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
@@ -239,11 +277,19 @@ class Pieces:
         at = begin + sizes
         live = np.flatnonzero(sizes > 0)
         rows, marks = [], []
-        while len(live):
+        while len(live) > _FEW:
             rows.append(live)
             marks.append(at[live])
             at[live] = back[at[live]]
             live = live[at[live] > begin[live]]
+        backs = memoryview(back)
+        for row in live.tolist():
+            mark, first, ends = int(at[row]), int(begin[row]), array("q")
+            while mark > first:
+                ends.append(mark)
+                mark = backs[mark]
+            rows.append(np.full(len(ends), row))
+            marks.append(np.array(ends, np.int64))
         if not rows:
             return
         rows, marks = np.concatenate(rows), np.concatenate(marks)
@@ -286,7 +332,7 @@ class Pieces:
         ).astype(np.int64)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """The text of each run of ids, as bytes; bytes that are no UTF-8 become U+FFFD."""
+        """The text of each run of ids, as bytes, also where these are no UTF-8."""
         width = self.raw_size[ids]
         flat = ragged_take(self.raw, self.raw_start[ids], width)
         ends = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(sizes)))]

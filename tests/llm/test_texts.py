@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -137,3 +138,35 @@ def test_memory_of_a_long_repetitive_text_grows_with_it():
 
     assert peak(1 << 20) < 80 << 20
     assert peak(2 << 20) < 160 << 20
+
+
+def test_relaxing_by_place_by_edge_and_in_small_indexes_is_the_same(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", *mixed(7, 60, 90, LETTERS), *mixed(8, 30, 300, "abcdefghijklmnop"), "ab" * 700, "e" * 999]
+    want = [library.encode(t) for t in texts]
+    for few, suffixes, edges in ((0, 64, 1), (3, 7, 5), (10**6, 1 << 20, 100)):
+        for name, value in (("_FEW", few), ("_SUFFIXES", suffixes), ("_EDGES", edges)):
+            monkeypatch.setattr(wordpieces, name, value)
+        pieces = wordpieces.load(path)
+        pieces.reset()
+        ids, sizes = pieces.encode(texts)
+        ends = np.cumsum(sizes)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes)] == want
+    pieces.reset()
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "a", "the"])
+def test_a_word_of_a_megabyte(letters):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    word = "".join(rng.choice(letters) for _ in range(1 << 20)) if len(letters) > 3 else letters * ((1 << 20) // len(letters))
+    pieces = wordpieces.load(path)
+    pieces.reset()
+    start = time.time()
+    ids, _ = pieces.encode([word])
+    print(f"{letters}: {time.time() - start:.1f} s")
+    assert time.time() - start < 60
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(word)
+    pieces.reset()
+
