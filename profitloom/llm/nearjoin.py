@@ -568,8 +568,9 @@ def link_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule: J
     return edges.union(first).union(linked(stored(spark, rest.select("left", "right"), "block-pairs")))
 
 
-def join(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text", key: str = "doc_id", block: int = BLOCK_SHINGLES) -> DataFrame:
-    """``key``, n_shingles and component_id (smallest id that links reach) of every document."""
+def _roots(docs: DataFrame, rule: JaccardRule, text: str, key: str, block: int) -> DataFrame:
+    """_id, set size n and root of every document: the smallest id its links reach, a number beyond
+    all ids (from 1 << 62) for a component without ids, null for an empty set."""
     spark = docs.sparkSession
     ship(spark)
     rows = summaries(docs, rule, text, key)
@@ -588,16 +589,39 @@ def join(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text",
     roots = components(edges)
     known = classes.join(roots.withColumnRenamed("v", "node"), "node", "left")
     known = known.select("d1", "d2", "n", F.coalesce("root", "node").alias("root"))
-    found = rows.select("_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
+    return rows.select("_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left").select("_id", "n", "root")
+
+
+def join(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text", key: str = "doc_id", block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``key``, n_shingles and component_id (smallest id that links reach) of every document."""
+    found = _roots(docs, rule, text, key, block)
     component = F.when(F.col("n") == 0, F.col("_id").cast("long")).when(F.col("root") < (1 << 62), F.col("root"))
     return found.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, whole, of which each component keeps the one with the smallest id; rows
-    without shingles or without a component id stay."""
-    found = join(docs, rule, text, key)
-    later = found.where(f"`{key}` != component_id").select(F.col(key).alias("_later"))
-    later = stored(docs.sparkSession, later.distinct(), "later-copies")
-    few = later.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(later) if few else later, docs[key] == later["_later"], "left_anti")
+    """The documents, whole, of which each component keeps one row, of those with the smallest id.
+
+    Rows without an id come after all ids, and are told apart by a hash of the text of 62 bits. Of several rows
+    with the smallest id the one with the smallest hash of all its columns stays. Rows without shingles stay.
+    """
+    spark = docs.sparkSession
+    by_text = F.shiftrightunsigned(F.xxhash64(docs[text]), 1).bitwiseOR(F.lit(1 << 62))
+    vertex = F.coalesce(docs[key].cast("long"), by_text).alias("_vertex")
+    found = _roots(docs.select(vertex, docs[text].alias("_text")), rule, "_text", "_vertex", BLOCK_SHINGLES).where("n > 0")
+    later = stored(spark, found.where("_id != root").select(F.col("_id").alias("_later")).distinct(), "later-copies")
+    twice = found.where("_id = root").groupBy(F.col("_id").alias("_twice")).agg(F.count(F.lit(1)).alias("copies"))
+    twice = stored(spark, twice.where("copies > 1").select("_twice"), "repeated-ids")
+    has_words = F.coalesce(docs[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words")
+    rows = docs.select(F.struct("*").alias("_row"), vertex, has_words)
+
+    def listed(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+
+    kept = rows.join(listed(later), F.expr("_words and _vertex = _later"), "left_anti")
+    if not twice.isEmpty():
+        ids, same = listed(twice), F.expr("_words and _vertex = _twice")
+        # Each task keeps one row per id before rows are exchanged.
+        one = kept.join(ids, same, "left_semi").groupBy("_vertex").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        kept = kept.join(ids, same, "left_anti").select("_row").union(one.select("_row"))
+    return kept.select("_row.*")

@@ -41,5 +41,22 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
             assert out.count() <= frame.count()
         corpus_pipeline.STAGES[-1][1](spark, frame, SF_DIR).count()
     kept = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
     assert corpus_pipeline.line_dedup(spark, docs, SF_DIR).where("doc_id = 5").first()["n_chars"] == len(rows[5][1])
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    good, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [
+        (7, good, "x"), (7, good, "y"), (7, good, "x"), (9, good + " more", "x"), (None, good, "x"),
+        (None, other, "x"), (None, other, "x"), (None, other + " more", "y"), (5, third, "x"), (None, None, "x"), (None, "", "x"),
+        (5, " \n", "x"), (5, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _vertex string")
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(5), SF_DIR)
+    assert got.columns == docs.columns
+    out = [tuple(r) for r in got.collect()]
+    assert sorted(r[0] for r in out if r[1] == good) == [7] and (5, third, "x") in out
+    assert len([r for r in out if r[1] and r[1].startswith("b0")]) == 1
+    assert sorted(map(str, (r for r in out if not (r[1] or "").strip()))) == sorted(map(str, (r for r in rows if not (r[1] or "").strip())))
+    assert len(out) == 7
