@@ -36,7 +36,7 @@ _PAIRS = 2_000_000
 #: Suffixes in one index; places that at most ``_FEW`` segments have are relaxed edge by edge, ``_EDGES`` at a time.
 _SUFFIXES = 1 << 20
 _FEW = 24
-_EDGES = 1 << 18
+_EDGES = 1 << 14
 _UNKNOWN = -2
 _START = -1
 _loaded: dict[str, Pieces] = {}
