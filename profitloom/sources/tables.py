@@ -343,14 +343,26 @@ class ShopTables:
 
         return read_cost_rows(self.spark, self._land("per-order-sheet", write))
 
-    def _numbered_lines(self) -> DataFrame:
+    def _long_orders(self, lines: DataFrame) -> DataFrame | None:
+        """Numbers of orders that don't fit one page, at most one in ``PAGE_LINES`` lines; none in most shops.
+
+        Stored, so that Spark knows its size and broadcasts a short list.
+        """
+        path = new_folder(self.spark, "long-orders")
+        counts = grouped(lines, ["order_number"], "count(1) as n")
+        listed = counts.filter(f"n > {PAGE_LINES}").select("order_number")
+        listed.write.parquet(path)
+        found = self.spark.read.schema(listed.schema).parquet(path)
+        return None if found.isEmpty() else found
+
+    def _numbered_lines(self, lines: DataFrame) -> DataFrame:
         """Lines with their place in the order as ``place``, 0 and up without gaps.
 
         Lines are ranged over tasks by order and position, so that no task has an order to
         itself; an order's parts are numbered from the lines in its earlier parts.
         """
         path = new_folder(self.spark, "numbered-lines")
-        ranged = self.lines().repartitionByRange("order_number", "line_pos", "quantity", "discount_units")
+        ranged = lines.repartitionByRange("order_number", "line_pos", "quantity", "discount_units")
         ranged.sortWithinPartitions("order_number", "line_pos").selectExpr(
             "*", "spark_partition_id() as part", "monotonically_increasing_id() as row"
         ).write.parquet(path)
@@ -361,30 +373,53 @@ class ShopTables:
         numbered = rows.join(starts, ["order_number", "part"])
         return numbered.selectExpr("*", "row + shift as place").drop("part", "row", "shift")
 
-    def _documents(self) -> DataFrame:
-        """Order documents, every order as pages of ``PAGE_LINES`` lines."""
-        line = (
-            "struct(place, product_title as title, variant_title, quantity, "
+    def _paged_orders(self, headers: DataFrame) -> DataFrame:
+        """Orders with ``first_line``, ``items`` and the order's ``own_discount``, a row per page.
+
+        Orders and their lines are each dealt once by order number, and pages are made, met by their
+        order and written where they lie. Only long orders are numbered and dealt by page.
+        """
+        # Several files a stage, whatever the size, so that streams take several batches.
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        fields = (
+            "product_title as title, variant_title, quantity, "
             f"cast({from_units('price_units')} as string) as price, "
-            f"cast({from_units('discount_units')} as string) as total_discount, "
-            "product_id, variant_id)"
-        )
-        pages = grouped(
-            self._numbered_lines(),
-            ["order_number", f"place div {PAGE_LINES} * {PAGE_LINES} as first_line"],
-            f"transform(sort_array(collect_list({line})), x -> struct(x.title, x.variant_title, "
-            "x.quantity, x.price, x.total_discount, x.product_id, x.variant_id)) as items",
-        )
-        discounts = grouped(
-            self.lines(), ["order_number"], f"{sum_units('discount_units')} as own_discount"
+            f"cast({from_units('discount_units')} as string) as total_discount, product_id, variant_id"
         )
+        bare = "x.title, x.variant_title, x.quantity, x.price, x.total_discount, x.product_id, x.variant_id"
+
+        def items(place: str) -> str:
+            return f"transform(sort_array(collect_list(struct({place}, {fields}))), x -> struct({bare})) as items"
+
+        def discount(rows: DataFrame, *also: str) -> DataFrame:
+            return grouped(rows, ["order_number"], f"{sum_units('discount_units')} as own_discount", *also)
+
+        lines, orders = self.lines().filter("order_number is not null"), headers
+        found = self._long_orders(lines)
+        if found is not None:
+            lines = lines.join(found, "order_number", "left_anti")
+            orders = headers.join(found, "order_number", "left_anti")
+        short = discount(lines.repartition(files, "order_number"), items("line_pos, discount_units as d"))
+        # Pages are wide: the orders are the hashed side, so that no page is sorted.
+        dealt = orders.repartition(files, "order_number").hint("shuffle_hash")
+        paged = dealt.join(short.selectExpr("*", "0L as first_line"), "order_number", "left")
+        if found is None:
+            return paged
+        numbered = self._numbered_lines(self.lines().join(found, "order_number", "left_semi"))
+        first = f"place div {PAGE_LINES} * {PAGE_LINES} as first_line"
+        pages = grouped(numbered, ["order_number", first], items("place"))
+        known = headers.join(found, "order_number", "left_semi").join(discount(numbered), "order_number")
+        long = known.join(pages, "order_number").repartition(files, "order_number", "first_line")
+        return paged.unionByName(long)
+
+    def _documents(self) -> DataFrame:
+        """Order documents, every order as pages of ``PAGE_LINES`` lines."""
         plain = ShopTables(
             self.spark, self.sf_dir, replace(self.cfg, discount_code_overrides={})
         )
         headers = plain.headers(customer=True)
         known_city = f"city <> '{UNKNOWN}'"
-        orders = headers.join(discounts, "order_number", "left")
-        return orders.join(pages, "order_number", "left").selectExpr(
+        return self._paged_orders(headers).selectExpr(
             "order_id as id",
             "order_number",
             "order_created_at as created_at",
@@ -413,9 +448,7 @@ class ShopTables:
             stages = "if(financial_status = 'refunded', array('before', 'after'), array('stable'))"
             later = "concat(date_add(to_date(left(created_at, 10)), 5), substring(created_at, 11, 15))"
             staged = self._documents().selectExpr("*", f"explode({stages}) as stage")
-            # Several files a stage, whatever the size, so that streams take several batches.
-            files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            staged.repartition(files).selectExpr(
+            staged.selectExpr(
                 "* except (financial_status)",
                 "if(stage = 'before', 'paid', financial_status) as financial_status",
                 f"if(stage = 'after', {later}, created_at) as updated_at",

@@ -179,3 +179,30 @@ def test_the_text_of_a_long_order_is_made_in_pieces(spark, hot):
     assert got == {k: ", ".join(v) for k, v in want.items()}
     plan = report._jdf.queryExecution().toString()
     assert "rangepartitioning(order_number" in plan and "SPARK_PARTITION_ID" in plan
+
+
+def test_lines_of_documents_are_dealt_once_unless_an_order_is_long(spark, monkeypatch):
+    from profitloom.sources import tables
+
+    def landed():
+        names = []
+        monkeypatch.setattr(tables, "new_folder", lambda s, name: names.append(name) or new_folder(s, name))
+        plan = ShopTables(spark, SF_DIR)._documents()._jdf.queryExecution().executedPlan().toString()
+        return names, plan
+
+    new_folder = tables.new_folder
+    names, plan = landed()
+    assert "numbered-lines" not in names and "rangepartitioning" not in plan and "ShuffledHashJoin" in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    monkeypatch.setattr(tables, "PAGE_LINES", 2)
+    assert "numbered-lines" in landed()[0]
+
+
+def test_pages_travel_without_lines_that_nobody_asks_for(spark):
+    from profitloom import catalog
+
+    node = catalog.all_queries()["orders_source"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    columns = node.children().apply(0).output().toString()
+    assert "order_number" in columns and "line_items" not in columns
