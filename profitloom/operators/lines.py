@@ -120,9 +120,12 @@ def current_pages(docs: DataFrame) -> DataFrame:
     ``with_order_sums`` give them, from one narrow and one wide pass over the documents.
 
     Version and sums are settled on narrow columns, first per version, then per order, so a huge order
-    is summed by many tasks; its pages then meet one row. A document without an id is an order by itself.
+    is summed by many tasks; its pages then meet one row. That side is the hashed one, so that no page is
+    sorted, and pages travel without their lines where nobody asks for them. A document without an id is
+    an order by itself.
     """
-    keyed = docs.selectExpr("*", f"{VERSION} as _version")
+    alone = [f"if(id is null, {value}, null) as _{name}" for name, value in PAGE_SUMS.items()]
+    keyed = docs.selectExpr("*", f"{VERSION} as _version", *alone)
     versions = grouped(
         keyed.filter("id is not null").selectExpr("id", "_version", *_OWN_SUMS),
         ["id", "_version"],
@@ -131,12 +134,10 @@ def current_pages(docs: DataFrame) -> DataFrame:
         f"{cast('sum(own_discount)', SUM_TYPE)} as own_discount",
     )
     best = grouped(
-        versions, ["id"], *[f"max_by({name}, _version) as {name}" for name in PAGE_SUMS], "max(_version) as _version"
-    )
-    pages = keyed.join(best, ["id", "_version"], "left").filter("id is null or n_lines is not null")
-    return pages.selectExpr(
-        *docs.columns, *[f"coalesce({name}, {value}) as {name}" for name, value in PAGE_SUMS.items()]
+        versions, ["id"], *[f"max_by({name}, _version) as {name}" for name in PAGE_SUMS], "max(_version) as _best"
     )
+    pages = keyed.join(best.hint("shuffle_hash"), "id", "left").filter("id is null or _version = _best")
+    return pages.selectExpr(*docs.columns, *[f"coalesce({name}, _{name}) as {name}" for name in PAGE_SUMS])
 
 
 def order_headers(docs: DataFrame, cfg: ProfitConfig, *keep: str) -> DataFrame:
