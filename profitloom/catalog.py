@@ -296,7 +296,14 @@ def sink_tables(shop: ShopTables) -> DataFrame:
     """Write line and order tables, then report from the files alone."""
     line_path = new_folder(shop.spark, "lines")
     order_path = new_folder(shop.spark, "orders")
-    write_table(_lines(shop), line_path, "order_number", "line_pos")
+    costs, fits = shop.costs(), shop.cost_lookup().fits
+
+    def enriched(allocated: DataFrame) -> DataFrame:
+        return L.enriched_lines(L.line_table(allocated), F.broadcast(costs) if fits else costs, shop.cfg)
+
+    # With a cost sheet that fits, lines travel without costs and amounts.
+    lines = _allocated(shop) if fits else enriched(_allocated(shop))
+    write_table(lines, line_path, "order_number", "line_pos", shape=enriched if fits else None)
     write_table(_all_orders(shop), order_path, "order_number")
     orders = L.active(read_table(shop.spark, order_path), shop.cfg)
     lines = L.active(read_table(shop.spark, line_path), shop.cfg)
