@@ -62,23 +62,41 @@ class AlignedTables:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
 
 
-def _paged(headers: DataFrame, lines: DataFrame, page_lines: int) -> tuple[DataFrame, DataFrame]:
-    """Lines with their page, and one row per page with the order's fields and sums."""
-    sums = grouped(
-        lines,
-        ["order_number"],
-        f"{sum_units(L.VALUE_UNITS)} as items_value",
-        "min(line_pos) as first_pos",
-        f"cast(ceil(count(1) / {page_lines}) as bigint) as n_pages",
-    )
-    # Only orders of several pages, at most one in page_lines lines, meet the lines.
-    several = sums.filter("n_pages > 1").select("order_number", "n_pages")
+def _several(lines: DataFrame, page_lines: int, folder: str) -> DataFrame:
+    """Orders of several pages, at most one in ``page_lines`` lines, with ``n_pages``; stored, so that
+    Spark knows the list's size and a short one moves neither lines nor headers."""
+    counts = grouped(lines, ["order_number"], f"cast(ceil(count(1) / {page_lines}) as bigint) as n_pages")
+    listed = counts.filter("n_pages > 1")
+    listed.write.parquet(f"{folder}/several")
+    return lines.sparkSession.read.schema(listed.schema).parquet(f"{folder}/several")
+
+
+def _paged(lines: DataFrame, several: DataFrame) -> DataFrame:
+    """Lines with their page in the order."""
     place = "if(n_pages is null, 0L, pmod(xxhash64(line_pos, quantity, price_units, discount_units), n_pages)) as page"
-    paged = lines.join(several, "order_number", "left").selectExpr(*lines.columns, place)
-    pages = headers.join(sums, "order_number").selectExpr(
-        *headers.columns, "items_value", "first_pos", "explode(sequence(0L, n_pages - 1)) as page"
-    )
-    return paged, pages
+    return lines.join(several, "order_number", "left").selectExpr(*lines.columns, place)
+
+
+def _pages(headers: DataFrame, paged: DataFrame, several: DataFrame, buckets: int) -> DataFrame:
+    """One row per page that has lines, with the fields and sums of its order, dealt by page.
+
+    ``paged`` are the stored lines, which are summed where they lie; an order of one page is dealt
+    there and meets its sums. Only orders of several pages exchange sums.
+    """
+    dealt = [F.col(k) for k in _LINE_KEY]
+    sums = f"{sum_units(L.VALUE_UNITS)} as items_value", "min(line_pos) as first_pos"
+    own = grouped(paged, [*_LINE_KEY], *sums)
+    columns = [*headers.columns, "items_value", "first_pos", "page"]
+    # Always 0, but no literal: Spark would take that out of the exchange's key, and exchange again.
+    first = "pmod(xxhash64(order_number), 1L) as page"
+    alone = headers.join(several, "order_number", "left_anti").selectExpr("*", first)
+    pages = alone.repartition(buckets, *dealt).join(own, [*_LINE_KEY]).select(*columns)
+    if several.isEmpty():
+        return pages
+    whole = grouped(paged.join(several, "order_number", "left_semi"), ["order_number"], *sums)
+    long = headers.join(several, "order_number").join(whole, "order_number")
+    long = long.selectExpr(*columns[:-1], "explode(sequence(0L, n_pages - 1)) as page")
+    return pages.unionByName(long.repartition(buckets, *dealt))
 
 
 def write_aligned(
@@ -95,16 +113,20 @@ def write_aligned(
     spark = headers.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = AlignedTables(spark, f"aligned_{uuid.uuid4().hex}")
-    paged, pages = _paged(headers, lines, page_lines)
-    contents = {
-        "lines": (paged, _LINE_KEY, ("order_number", "page", "line_pos")),
-        "pages": (pages, _LINE_KEY, _LINE_KEY),
-        "orders": (O.order_table(headers, lines, cfg, costs), _ORDER_KEY, _ORDER_KEY),
-        "fees": (card_fees, _ORDER_KEY, _ORDER_KEY),
-    }
-    for name, (frame, keys, order) in contents.items():
-        # The exchange deals rows as buckets do, so each bucket is one file.
-        dealt = frame.repartition(buckets, *[F.col(k) for k in keys])
-        writer = dealt.write.bucketBy(buckets, *keys).sortBy(*order).format("parquet")
+
+    def write(name: str, dealt: DataFrame, keys: tuple[str, ...], *order: str) -> None:
+        writer = dealt.write.bucketBy(buckets, *keys).sortBy(*keys, *order).format("parquet")
         writer.option("path", f"{folder}/{name}").saveAsTable(f"{stored.prefix}_{name}")
+
+    def dealt(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """The exchange deals rows as buckets do, so a task writes one bucket."""
+        return frame.repartition(buckets, *[F.col(k) for k in keys])
+
+    several = _several(lines, page_lines, folder)
+    write("lines", dealt(_paged(lines, several), _LINE_KEY), _LINE_KEY, "line_pos")
+    # The rest is made from the stored lines: an order's lines lie together, so few rows are exchanged.
+    paged = stored.table("lines")
+    write("pages", _pages(headers, paged, several, buckets), _LINE_KEY)
+    write("orders", dealt(O.order_table(headers, paged.drop("page"), cfg, costs), _ORDER_KEY), _ORDER_KEY)
+    write("fees", dealt(card_fees, _ORDER_KEY), _ORDER_KEY)
     return stored

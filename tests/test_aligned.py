@@ -83,3 +83,12 @@ def test_empty_tables_and_drop(spark, shop):
     assert tables.allocated().isEmpty() and tables.orders().isEmpty()
     tables.drop()
     assert not spark.catalog.tableExists(f"{tables.prefix}_lines")
+
+
+def test_lines_are_dealt_without_another_exchange(spark, shop):
+    from profitloom.sources.aligned import _paged, _several
+
+    lines = shop.lines()
+    paged = _paged(lines, _several(lines, 1 << 16, new_folder(spark, "aligned")))
+    found = paged._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in found and "SortMergeJoin" not in found
