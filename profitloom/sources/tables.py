@@ -399,7 +399,9 @@ class ShopTables:
         if found is not None:
             lines = lines.join(found, "order_number", "left_anti")
             orders = headers.join(found, "order_number", "left_anti")
-        short = discount(lines.repartition(files, "order_number"), items("line_pos, discount_units as d"))
+        # Lines of equal or unknown position stay as they come.
+        arrived = lines.selectExpr("*", "monotonically_increasing_id() as arrival")
+        short = discount(arrived.repartition(files, "order_number"), items("line_pos, arrival"))
         # Pages are wide: the orders are the hashed side, so that no page is sorted.
         dealt = orders.repartition(files, "order_number").hint("shuffle_hash")
         paged = dealt.join(short.selectExpr("*", "0L as first_line"), "order_number", "left")
