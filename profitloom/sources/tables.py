@@ -41,6 +41,8 @@ DEFAULT_CONFIG = ProfitConfig(
 )
 #: Lines of an order that one page document holds at most.
 PAGE_LINES = 1000
+#: Pages in a landed file at most.
+FILE_PAGES = 50_000
 WALLET_START, WALLET_END = date(2024, 1, 1), date(2024, 3, 31)
 
 _URGENT = "o_orderpriority in ('1-URGENT', '2-HIGH')"
@@ -450,11 +452,14 @@ class ShopTables:
             stages = "if(financial_status = 'refunded', array('before', 'after'), array('stable'))"
             later = "concat(date_add(to_date(left(created_at, 10)), 5), substring(created_at, 11, 15))"
             staged = self._documents().selectExpr("*", f"explode({stages}) as stage")
-            staged.selectExpr(
+            pages = staged.selectExpr(
                 "* except (financial_status)",
                 "if(stage = 'before', 'paid', financial_status) as financial_status",
                 f"if(stage = 'after', {later}, created_at) as updated_at",
-            ).write.partitionBy("stage").option("compression", "gzip").json(path)
+            )
+            # Files are bounded, as none can be split: their number, and the tasks that read a batch of them,
+            # grow with the input.
+            pages.write.partitionBy("stage").options(compression="gzip", maxRecordsPerFile=FILE_PAGES).json(path)
 
         return self._land("documents", write)
 

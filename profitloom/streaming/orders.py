@@ -192,10 +192,21 @@ def _live_pages(state: DataFrame) -> DataFrame:
 
 
 def _both_sides(state: BucketLog, touched: list[int], batch_id: int) -> DataFrame:
-    """Pages of a batch's orders: with ``sign`` 1 as they are known now, with -1 as they were before."""
+    """Pages of a batch's orders: with ``sign`` 1 as they are known now, with -1 as they were before.
+
+    Just ids are compared to find the orders that came before. Their list is stored, so that Spark knows its
+    size: a short one is broadcast, and known pages of other orders travel nowhere. All pages of an order
+    are dealt by its id, so that they are summed without another exchange.
+    """
     fresh, known = state.of_batch(touched, batch_id), state.read(touched, batch_id - 1)
-    known = known.join(fresh.select("id"), "id", "left_semi").selectExpr("*", "explode(array(1, -1)) as sign")
-    return latest(known.unionByName(fresh.selectExpr("*", "1 as sign")), ["sign", *_PAGE], "batch")
+    both = fresh.selectExpr("*", "1 as sign")
+    again = known.select("id").join(fresh.select("id"), "id", "left_semi").distinct()
+    again.write.mode("overwrite").parquet(f"{state.path}/again")
+    again = state.spark.read.schema(again.schema).parquet(f"{state.path}/again")
+    if not again.isEmpty():
+        old = known.join(again, "id", "left_semi").selectExpr("*", "explode(array(1, -1)) as sign")
+        both = old.unionByName(both)
+    return latest(both.repartition("id"), ["sign", *_PAGE], "batch")
 
 
 def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str, span: int = SPAN):
@@ -207,10 +218,16 @@ def sales_writer(spark: SparkSession, table: str, cfg: ProfitConfig, period: str
     period and add the new ones. So pages of an order may come in any batches. All folders carry
     the batch id and depend on earlier batches only, so a batch that is run again writes the same.
     """
+    book = _pages_writer(spark, table, cfg, span)
+    return lambda batch, batch_id: book(page_sales(batch, cfg, period), batch_id)
+
+
+def _pages_writer(spark: SparkSession, table: str, cfg: ProfitConfig, span: int):
+    """The same for what ``page_sales`` makes of a batch."""
     state = BucketLog(spark, f"{table}/state", _state_schema())
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        touched = state.append(page_sales(batch, cfg, period).filter("id is not null"), batch_id, "id", span)
+    def write(pages: DataFrame, batch_id: int) -> None:
+        touched = state.append(pages.filter("id is not null"), batch_id, "id", span)
         if not touched:
             return
         both = _both_sides(state, touched, batch_id)
@@ -236,8 +253,9 @@ def stream_sales(
     Every order counts however late it lands, and a later version of an order takes the
     place of the earlier one. Pages without an order id have no version and are left out.
     """
-    orders = stream_orders(spark, source, files_per_batch)
-    _run(orders, sales_writer(spark, table, cfg, period, span), checkpoint)
+    # Pages are made in the stream itself: a batch is rows by then, and fields unused would be parsed and copied.
+    pages = page_sales(stream_orders(spark, source, files_per_batch), cfg, period)
+    _run(pages, _pages_writer(spark, table, cfg, span), checkpoint)
 
 
 def current_sales(spark: SparkSession, table: str) -> DataFrame:

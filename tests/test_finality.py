@@ -105,6 +105,32 @@ def test_a_batch_run_again_after_its_merge_books_the_same(spark, feed):
         assert sales(S.current_sales(spark, feed.table)) == {}
 
 
+def test_known_pages_of_other_orders_stay_and_a_batch_is_dealt_once(spark, feed):
+    state = BucketLog(spark, f"{feed.table}/state", S._state_schema())
+    rows = lambda *ds: spark.read.schema(S.ORDER).json(spark.sparkContext.parallelize([json.dumps(d) for d in ds], 1))
+    log = lambda batch, n: state.append(S.page_sales(batch, CFG, S.DAY), n, "id")
+    log(rows(*[on(1, k) for k in range(40)]), 0)
+    exchanges = lambda both: S.order_sales(both, CFG, "sign")._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+    # None of the orders came before: their pages alone are read, and dealt once, by id.
+    both = S._both_sides(state, log(rows(*[on(2, k) for k in range(90, 99)]), 1), 1)
+    assert exchanges(both) == 1 and both._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+    assert "batch=0" not in " ".join(both.inputFiles())
+    assert [(r["sign"], r["count"]) for r in both.groupBy("sign").count().collect()] == [(1, 9)]
+    # One came before, and is summed from both versions; the others are not.
+    both = S._both_sides(state, log(rows(on(2, 3, version=1, financial_status="refunded"), on(2, 70)), 2), 2)
+    got = S.order_sales(both, CFG, "sign").collect()
+    assert sorted((r["sign"], r["id"], r["orders"]) for r in got) == [(-1, 5003, 1), (1, 5003, 0), (1, 5070, 1)]
+
+
+def test_only_fields_in_use_are_parsed_from_the_feed(spark, feed, monkeypatch):
+    plans, run = [], S._run
+    monkeypatch.setattr(S, "_run", lambda frame, *rest: plans.append(frame.columns) or run(frame, *rest))
+    feed("a", on(1, 1), on(2, 2))
+    S.stream_sales(spark, feed.path, feed.table, feed.progress, CFG)
+    assert "email" not in plans[0] and "line_items" not in plans[0] and "n_lines" in plans[0]
+    assert sales(S.current_sales(spark, feed.table)) == {"2024-07-01": (1, 100.0), "2024-07-02": (1, 100.0)}
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_final_figures_and_corrections_add_up_in_any_order(spark, feed, seed):
     docs = [on(d, 100 * d + k) for d in range(1, 25) for k in range(2)]

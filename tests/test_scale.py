@@ -115,6 +115,17 @@ def test_documents_come_from_files_of_every_state(spark):
     assert len(landed.inputFiles()) >= 8
 
 
+def test_landed_files_hold_a_bounded_number_of_pages(spark, monkeypatch):
+    from profitloom.sources import tables
+
+    feed = ShopTables(spark, SF_DIR, L.ProfitConfig(as_of=CFG.as_of, vat_rate=CFG.vat_rate)).document_feed()
+    monkeypatch.setattr(tables, "FILE_PAGES", 50)
+    bounded = ShopTables(spark, SF_DIR, L.ProfitConfig(as_of=CFG.as_of, discount_code_overrides={3: "x"})).document_feed()
+    read = lambda path: spark.read.option("recursiveFileLookup", True).text(path)
+    assert max(r["count"] for r in read(bounded).groupBy("_metadata.file_path").count().collect()) == 50
+    same(read(feed), read(bounded))
+
+
 def test_order_counts_read_only_order_keys(spark, capsys):
     from profitloom import catalog
 
