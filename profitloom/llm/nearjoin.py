@@ -10,6 +10,11 @@ spare parts, and parts with too few rare shingles count only for sets that have
 there are spare ones. What is rare comes from a table of counts over all documents whose size is
 fixed; it decides how much is compared, never whether a link is found.
 
+Chance ties grow with the square of the corpus, and passages that many texts share can tie texts that have
+nothing else in common. So clusters too large for a block are dealt again, each by itself and by another
+hash, with counts of their own texts, for as long as that splits them: sets that link stay together under
+every dealing.
+
 Below, a cluster is one block of classes, or several of bounded size split by set size and hash.
 In each block, or pair of blocks, classes are the leaves of a tree whose nodes hold the OR of
 their token bitmaps and their range of sizes. A dual traversal from the root drops pairs of nodes
@@ -42,6 +47,12 @@ _U = np.uint64
 #: Bits of a shingle's hash that pick its counter: 1 MB of counters whatever the corpus.
 COUNTER_BITS = 18
 _PIECE = 1 << 12
+#: Bits of a digest that name a class between parts; classes that share them are one vertex there, which loses no link.
+NODE_MASK = (1 << 40) - 1
+#: Bytes of a token, besides its bucket, and of a node as they travel.
+_TRAVEL = 5
+#: How often large clusters are dealt again, and the share of their shingles that has to fall out for another time.
+ROUNDS, WORTH = 4, 0.1
 #: Parts' tokens that a task holds at a time, before and after the exchange.
 PART_TOKENS = 1_000_000
 #: Bytes of row numbers up to which clustered documents are found by broadcast.
@@ -126,7 +137,7 @@ def rare_cells(docs: DataFrame, rule: JaccardRule, text: str) -> np.ndarray:
     for row in pieces.collect():  # 2 MB at most
         out[row["piece"] * _PIECE : (row["piece"] + 1) * _PIECE] = np.frombuffer(bytes(row["counts"]), np.int64)
     mean = out.mean()
-    return out <= mean + 4 * np.sqrt(mean)
+    return out <= mean + 4 * np.sqrt(mean) + 4  # few counts spread wider than their root
 
 
 def cell_of(hashes: np.ndarray) -> np.ndarray:
@@ -199,9 +210,11 @@ class Ranges:
         return out
 
 
-def part_tokens(flat: np.ndarray, sizes: np.ndarray, ranges: Ranges, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_tokens(
+    flat: np.ndarray, sizes: np.ndarray, ranges: Ranges, rare: np.ndarray, dealing: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the parts of the sets that lie one after the other in ``flat``, and their rows."""
-    spread = ragged.mix(flat ^ _U(0xC2B2AE3D27D4EB4F))
+    spread = ragged.mix(flat ^ _U((0xC2B2AE3D27D4EB4F + dealing * ragged.BASE_A) & ((1 << 64) - 1)))
     seldom = rare[cell_of(flat)]
     begin = np.cumsum(sizes) - sizes
     tokens, owners = [], []
@@ -267,11 +280,14 @@ def tie(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def coarse_edges(docs: DataFrame, rows: DataFrame, rule: JaccardRule, text: str) -> DataFrame:
-    """Edges between the digests (d1) of sets that have an equal part.
+def coarse_edges(
+    docs: DataFrame, rows: DataFrame, rule: JaccardRule, text: str, dealing: int = 0, apart: str | None = None
+) -> DataFrame:
+    """Edges between the nodes (d1 & ``NODE_MASK``) of sets that have an equal part.
 
     Tokens travel as arrays, one for each bucket of tokens and about ``PART_TOKENS`` of them: a
-    task ties what it holds first, and sends each token once.
+    task ties what it holds first, and sends each token once. ``rows`` have the set sizes n. Only texts
+    with one value of the whole number ``apart`` are tied, if it is given.
     """
     ship(docs.sparkSession)
     seen = rows.agg(F.max("n").alias("largest"), F.sum("n").alias("tokens")).first()
@@ -291,18 +307,26 @@ def coarse_edges(docs: DataFrame, rows: DataFrame, rule: JaccardRule, text: str)
             out = []
             for a, b in zip(ends[:-1], ends[1:]):
                 if b > a:
-                    # Six bytes of a token besides its bucket are enough to tell a bucket's tokens apart.
-                    out.append((int(tokens[a] >> shift), _six(tokens[a:b] << (_U(64) - shift) >> _U(16)), nodes[a:b].tobytes(), None, None))
+                    # Some bytes of a token besides its bucket are enough to tell a bucket's tokens apart.
+                    rest = tokens[a:b] << (_U(64) - shift) >> _U(64 - 8 * _TRAVEL)
+                    out.append((int(tokens[a] >> shift), _low(rest), _low(nodes[a:b].view(_U)), None, None))
             out += [(None, None, None, a, b) for a, b in edges]
             if out:
                 yield record_batch(blob, [list(c) for c in zip(*out)])
 
         for batch in batches(source, _BYTES):
-            found = [s for s in sets(batch.column(0), rule.words) if len(s)]
+            found, groups = [], []
+            for s, group in zip(sets(batch.column(0), rule.words), batch.column(1).to_pylist()):
+                if len(s):
+                    found.append(s)
+                    groups.append(group)
             if not found:
                 continue
-            nodes = np.array([digest(s)[0] for s in found], np.int64)
-            tokens, owner = part_tokens(np.concatenate(found), np.array([len(s) for s in found]), ranges, rare.value)
+            nodes = np.array([digest(s)[0] & NODE_MASK for s in found], np.int64)
+            sizes = np.array([len(s) for s in found])
+            tokens, owner = part_tokens(np.concatenate(found), sizes, ranges, rare.value, dealing)
+            if apart:
+                tokens = ragged.mix(tokens ^ ragged.mix(np.array(groups, np.int64).view(_U))[owner])
             held.append((tokens, nodes[owner]))
             count += len(tokens)
             if count >= PART_TOKENS:
@@ -319,13 +343,14 @@ def coarse_edges(docs: DataFrame, rows: DataFrame, rule: JaccardRule, text: str)
                 if bucket is None:
                     out.append((a, b))
                 else:
-                    held.setdefault(bucket, []).append((_wide(tokens), np.frombuffer(nodes, np.int64)))
+                    held.setdefault(bucket, []).append((_wide(tokens), _wide(nodes).view(np.int64)))
         for arrays in held.values():
             out += tie(*(np.concatenate(x) for x in zip(*arrays)))[2]
         if out:
             yield record_batch(_EDGE, [list(c) for c in zip(*out)])
 
-    dealt = docs.select(docs[text].alias("_text")).mapInArrow(
+    groups = F.col(apart) if apart else F.lit(None).cast("long")
+    dealt = docs.select(docs[text].alias("_text"), groups.alias("_apart")).mapInArrow(
         deal, "bucket long, tokens binary, nodes binary, a long, b long"
     )
     # Edges found before the exchange spread by their vertex.
@@ -333,14 +358,14 @@ def coarse_edges(docs: DataFrame, rows: DataFrame, rule: JaccardRule, text: str)
     return dealt.repartition(buckets, where).mapInArrow(meet, "a long, b long")
 
 
-def _six(values: np.ndarray) -> bytes:
-    """The low six bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _low(values: np.ndarray) -> bytes:
+    """The low bytes of each value, place by place: the highest of sorted values compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TRAVEL].T.tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw) // _TRAVEL, 8), np.uint8)
+    out[:, :_TRAVEL] = np.frombuffer(raw, np.uint8).reshape(_TRAVEL, -1).T
     return out.view("<u8").ravel()
 
 
@@ -503,12 +528,22 @@ def _link_groups(rows: DataFrame, rule: JaccardRule) -> DataFrame:
     return rows.repartition("pair").sortWithinPartitions("pair", "node").select("pair", "node", "tokens").mapInArrow(run, "a long, b long")
 
 
-def contents(docs: DataFrame, members: DataFrame, rule: JaccardRule, text: str, key: str) -> DataFrame:
-    """The whole shingle sets of the classes ``members`` (d1, d2, rep, ...), one row each."""
+def _represented(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame:
+    """The texts (_text) of the rows that have the ids of the classes ``members``."""
     wanted = members.select(F.col("rep").alias("_id")).distinct()
     few = wanted.count() * 16 <= BROADCAST_BYTES
     rows = docs.select(docs[key].alias("_id"), docs[text].alias("_text"))
-    rows = rows.join(F.broadcast(wanted) if few else wanted, rows["_id"].eqNullSafe(wanted["_id"]), "left_semi")
+    return rows.join(F.broadcast(wanted) if few else wanted, rows["_id"].eqNullSafe(wanted["_id"]), "left_semi")
+
+
+def _few(members: DataFrame) -> DataFrame:
+    """Classes for a join, broadcast up to a bound."""
+    return F.broadcast(members) if members.count() * 80 <= BROADCAST_BYTES else members
+
+
+def contents(docs: DataFrame, members: DataFrame, rule: JaccardRule, text: str, key: str) -> DataFrame:
+    """The whole shingle sets of the classes ``members`` (d1, d2, rep, ...), one row each."""
+    rows = _represented(docs, members, text, key)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.binary())])
@@ -519,13 +554,64 @@ def contents(docs: DataFrame, members: DataFrame, rule: JaccardRule, text: str,
                 yield record_batch(schema, [list(first), list(second), [s.tobytes() for s in found]])
 
     whole = rows.select("_text").mapInArrow(run, "d1 long, d2 long, tokens binary")
-    return whole.join(F.broadcast(members) if members.count() * 80 <= BROADCAST_BYTES else members, ["d1", "d2"])
+    return whole.join(_few(members), ["d1", "d2"])
+
+
+def split_large(
+    docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule: JaccardRule, text: str, key: str, block: int
+) -> DataFrame:
+    """Classes (d1, d2, n, rep, node) with their ``cluster``; those larger than a block are dealt again.
+
+    A class that is tied to no other drops out. A large cluster of texts that do link stays as it is.
+    """
+    spark = docs.sparkSession
+    named = clusters.select(F.col("v").alias("vertex"), F.col("root").alias("cluster"))
+    members = stored(spark, _in_clusters(classes, named), "tied-classes")
+    done, before, texts = None, None, None
+    for dealing in range(1, ROUNDS + 1):
+        weights = members.groupBy("cluster").agg(F.sum("n").alias("all"))
+        large = weights.where(F.col("all") > block)
+        total = large.agg(F.sum("all")).first()[0]
+        if total is None or before is not None and total > (1 - WORTH) * before:
+            break
+        before = total
+        small = members.join(large, "cluster", "left_anti")
+        done = small if done is None else done.union(small)
+        again = stored(spark, members.join(large.select("cluster"), "cluster", "left_semi"), "large-clusters")
+        if texts is None:
+            texts = stored(spark, _texts_of(docs, again, rule, text, key), "large-texts")
+        named = _few(again.select("d1", "d2", "cluster"))
+        edges = coarse_edges(texts.join(named, ["d1", "d2"]), again, rule, "_text", dealing, "cluster")
+        named = components(edges).select(F.col("v").alias("vertex"), F.col("root").alias("part"))
+        # A vertex may stand for classes of several clusters.
+        parts = _in_clusters(again.withColumnRenamed("cluster", "old"), named.withColumnRenamed("part", "cluster"))
+        members = stored(spark, parts.withColumn("cluster", F.xxhash64("old", "cluster", F.lit(dealing))).drop("old"), "tied-classes")
+    return members if done is None else done.unionByName(members)
+
+
+def _in_clusters(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """Classes with the ``cluster`` of their vertex; those without one drop out."""
+    return classes.join(named, F.col("d1").bitwiseAND(F.lit(NODE_MASK)) == F.col("vertex")).drop("vertex")
+
+
+def _texts_of(docs: DataFrame, members: DataFrame, rule: JaccardRule, text: str, key: str) -> DataFrame:
+    """The texts (_text) of the classes, with their digests."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("_text", pa.string()), ("d1", pa.int64()), ("d2", pa.int64())])
+        for batch in batches(source, _BYTES):
+            texts = batch.column(0)
+            found = [digest(s) if len(s) else (0, 0) for s in sets(texts, rule.words)]
+            yield record_batch(schema, [texts.cast(pa.string()), *map(list, zip(*found))])
+
+    texts = _represented(docs, members, text, key).select("_text").mapInArrow(run, "_text string, d1 long, d2 long")
+    return texts.join(_few(members.select("d1", "d2")), ["d1", "d2"], "left_semi")
 
 
 def link_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule: JaccardRule, text: str, key: str, block: int) -> DataFrame:
     """Edges between nodes whose sets link, enough to connect each component."""
     spark = docs.sparkSession
-    members = classes.join(clusters.select(F.col("v").alias("d1"), F.col("root").alias("cluster")), "d1")
+    members = split_large(docs, classes, clusters, rule, text, key, block)
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(rule.percent / 100))).cast("int")
     members = members.withColumn("band", band)
     weights = members.groupBy("cluster", "band").agg(F.sum("n").alias("w"))

@@ -98,3 +98,24 @@ def test_components_of_paths_and_stars(spark):
     got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 400: 400, 500: 400}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_tied_by_a_passage_alone_are_not_compared_block_by_block(spark, monkeypatch):
+    """The large cluster that a common passage makes is dealt again; texts that link stay together."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(24)]
+    texts = [" ".join([word() for _ in range(40)] + passage) for _ in range(60)]
+    texts += [" ".join([word(), *texts[0].split()[1:]]), " ".join([*texts[7].split()[:-1], word()])]
+    travelled, link = [], nearjoin._link_groups
+    monkeypatch.setattr(nearjoin, "_link_groups", lambda rows, rule: travelled.append(rows.count()) or link(rows, rule))
+    got = nearjoin.join(docs_of(spark, texts), nearjoin.JaccardRule(5, 80), block=300).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain.components(list(enumerate(texts)), 5, 80)
+    assert sum(r["component_id"] != r["doc_id"] for r in got) == 2
+    assert 4 <= sum(travelled) < len(texts)
+
+
+def test_tokens_and_nodes_travel_in_few_bytes():
+    values = np.array([0, 1, 255, 256, nearjoin.NODE_MASK, 12345678901], np.uint64)
+    assert nearjoin._wide(nearjoin._low(values)).tolist() == values.tolist()
+    assert len(nearjoin._low(values)) == 5 * len(values)
