@@ -65,6 +65,9 @@ class KeyedTotals:
         sides = known.selectExpr("*", "1 as was").unionByName(changed.selectExpr("*", "0 as was"))
         both = [f"{cast(f'sum({c})', kind)} as {c}" for c, kind in self.sums.items()]
         moved = grouped(sides, ["slot", "key"], *both, "coalesce(sum(orders) filter (where was = 1), 0L) as old_orders")
+        # Sizes and the list of each rank are made of the same rows, so the old totals are looked up once.
+        moved.write.mode("overwrite").parquet(f"{self.path}/moved")
+        moved = self.spark.read.schema(moved.schema).parquet(f"{self.path}/moved")
         steps = self._kind, "inline(array(struct(old_orders as size, -1L as n), struct(orders as size, 1L as n)))"
         sizes = grouped(moved.selectExpr(*steps).filter("size > 0"), ["kind", "size"], "sum(n) as n").filter("n <> 0")
         sizes.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sizes/batch={batch}")
@@ -78,7 +81,7 @@ class KeyedTotals:
         if floors is None:
             rows = rows.selectExpr("*", f"cast(null as {_RANK}) as old_rank", "cast(null as string) as old_key")
         else:
-            rows = rows.join(floors, "slot", "left").filter(
+            rows = rows.join(F.broadcast(floors), "slot", "left").filter(
                 "old_rank is null or rank > old_rank or (rank = old_rank and key < old_key)"
             )
         placed = rows.selectExpr("*", f"row_number() over ({_BEST_FIRST}) as place").filter(f"place <= {self.keep + 1}")
@@ -94,11 +97,17 @@ class KeyedTotals:
         top = self.tops[rank]
         held = self._lists(top, touched, batch - 1)
         floors = held.filter("floor_rank is not null").selectExpr("slot", "floor_rank as old_rank", "floor_key as old_key").distinct()
-        kept = held.select("slot", "key", *self.sums).join(now.select("slot", "key"), ["slot", "key"], "left_anti")
+        # Lists are short, whatever the batch: only the listed keys that changed meet them.
+        listed = held.select("slot", "key", *self.sums)
+        again = now.select("slot", "key").join(F.broadcast(listed.select("slot", "key")), ["slot", "key"], "left_semi")
+        kept = listed.join(again, ["slot", "key"], "left_anti")
         lists = self._listed(kept.unionByName(now), rank, floors)
-        used_up = floors.select("slot").join(lists.select("slot"), "slot", "left_anti")
-        everything = self._summed(self.log.read(touched, batch).join(used_up, "slot", "left_semi"))
-        lists = lists.unionByName(self._listed(everything, rank, None))
+        lists.write.mode("overwrite").parquet(f"{self.path}/lists")
+        lists = self.spark.read.schema(lists.schema).parquet(f"{self.path}/lists")
+        # Just the buckets whose list is used up are filled again; their numbers are few.
+        used_up = sorted(r["slot"] for r in floors.select("slot").join(lists.select("slot"), "slot", "left_anti").collect())
+        if used_up:
+            lists = lists.unionByName(self._listed(self._summed(self.log.read(used_up, batch)), rank, None))
         # A row without a key stands for every touched bucket, so that one without live keys has an empty list.
         marks = self.spark.range(1).selectExpr(f"explode(array({', '.join(f'{b}L' for b in touched)})) as slot")
         top.append(lists.unionByName(marks, allowMissingColumns=True), batch, "slot", 1)

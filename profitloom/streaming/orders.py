@@ -354,18 +354,27 @@ def order_records(spark: SparkSession, table: str, buckets: int = RECORD_BUCKETS
     return KeyedTotals(spark, f"{table}/records", _SUMS, ["revenue_excl_mva", "orders"], sizes, keep=keep)
 
 
+def _record_pages(docs: DataFrame, cfg: ProfitConfig) -> DataFrame:
+    """What each page adds to its order's version, with the fields that records are kept by."""
+    return page_sales(docs, cfg, DAY, "order_number", "email", f"{wall_hour('created_at')} as hour")
+
+
 def records_writer(spark: SparkSession, table: str, cfg: ProfitConfig, totals: KeyedTotals, span: int = SPAN):
     """A ``foreachBatch`` function that keeps records and customer counts by what changed."""
+    keep = _record_pages_writer(spark, table, cfg, totals, span)
+    return lambda batch, batch_id: keep(_record_pages(batch, cfg), batch_id)
+
+
+def _record_pages_writer(spark: SparkSession, table: str, cfg: ProfitConfig, totals: KeyedTotals, span: int = SPAN):
+    """The same for what ``_record_pages`` makes of a batch."""
     schema = _state_schema()
     for name, kind in _FIELDS.items():
         schema = schema.add(name, kind)
     state = BucketLog(spark, f"{table}/orders", schema)
-    also = ["order_number", "email", f"{wall_hour('created_at')} as hour"]
     keys = ", ".join(f"struct({i} as kind, {key} as key)" for i, key in enumerate(_KINDS.values()))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        pages = page_sales(batch, cfg, DAY, *also).filter("id is not null")
-        touched = state.append(pages, batch_id, "id", span)
+    def write(pages: DataFrame, batch_id: int) -> None:
+        touched = state.append(pages.filter("id is not null"), batch_id, "id", span)
         if not touched:
             return
         sales = order_sales(_both_sides(state, touched, batch_id), cfg, "sign", also=tuple(_FIELDS))
@@ -380,8 +389,9 @@ def stream_records(
     spark: SparkSession, source: str, table: str, checkpoint: str, cfg: ProfitConfig, files_per_batch: int | None = None
 ) -> None:
     """Bring records and customer counts up to date with the files that are new, then stop."""
-    write = records_writer(spark, table, cfg, order_records(spark, table))
-    _run(stream_orders(spark, source, files_per_batch), write, checkpoint)
+    # Pages are made in the stream itself, as for sales.
+    pages = _record_pages(stream_orders(spark, source, files_per_batch), cfg)
+    _run(pages, _record_pages_writer(spark, table, cfg, order_records(spark, table)), checkpoint)
 
 
 def current_records(totals: KeyedTotals) -> DataFrame:

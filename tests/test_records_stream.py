@@ -71,3 +71,21 @@ def test_records_equal_a_fresh_count_after_every_batch(spark, tmp_path, buckets,
     # Another process takes the same lists from the folders.
     again = S.order_records(spark, str(tmp_path), buckets, keep)
     assert {r["record"] for r in S.current_records(again).collect()} >= set(records)
+
+
+def test_a_batch_looks_old_totals_up_once(spark, tmp_path, monkeypatch):
+    """Lists are filled again from all totals only where retractions used them up."""
+    totals = S.order_records(spark, str(tmp_path), 2, 2)
+    write, read, reads = S.records_writer(spark, str(tmp_path), CFG, totals, span=8), totals.log.read, []
+    monkeypatch.setattr(totals.log, "read", lambda buckets, upto: reads.append(list(buckets)) or read(buckets, upto))
+    batches = [
+        [doc(n, 1 + n % 3, 100 + n, f"c{n % 4}@x") for n in range(12)],
+        [doc(n, 1 + n % 3, 100 + n, f"c{n % 4}@x") for n in range(12, 16)],
+        [doc(n, 1 + n % 3, 100 + n, f"c{n % 4}@x", 2, "refunded") for n in range(16)],
+    ]
+    counts = []
+    for n, docs in enumerate(batches):
+        write(spark.read.schema(S.ORDER).json(spark.sparkContext.parallelize([json.dumps(d) for d in docs], 1)), n)
+        counts.append(len(reads))
+    assert counts[:2] == [1, 2] and counts[2] > 3
+    assert S.current_records(totals).count() == 0
