@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from profitloom.sources import fees, sheets
 from profitloom.sources.aligned import AlignedTables, write_aligned
 from profitloom.sources.orders import FIRST_LINE, read_orders
 from profitloom.sources.quarantine import check_orders
-from profitloom.sources.sink import read_table, write_table
+from profitloom.sources.sink import lines_by_order, read_table, write_table
 from profitloom.sources.tables import WALLET_END, WALLET_START, ShopTables
 from profitloom.storage import new_folder
 from profitloom.streaming import orders as S
@@ -301,10 +302,15 @@ def sink_tables(shop: ShopTables) -> DataFrame:
     def enriched(allocated: DataFrame) -> DataFrame:
         return L.enriched_lines(L.line_table(allocated), F.broadcast(costs) if fits else costs, shop.cfg)
 
-    # With a cost sheet that fits, lines travel without costs and amounts.
-    lines = _allocated(shop) if fits else enriched(_allocated(shop))
-    write_table(lines, line_path, "order_number", "line_pos", shape=enriched if fits else None)
-    write_table(_all_orders(shop), order_path, "order_number")
+    # Both tables are made of the same stored lines, which meet their products and are dealt by order once.
+    folder = new_folder(shop.spark, "lines-by-order")
+    with lines_by_order(shop.headers(), shop.lines(), shop.order_keys(), folder) as pairs:
+        allocated = reduce(DataFrame.unionByName, [L.allocate(headers, lines) for headers, lines in pairs])
+        # With a cost sheet that fits, lines travel without costs and amounts.
+        lines = allocated if fits else enriched(allocated)
+        write_table(lines, line_path, "order_number", "line_pos", shape=enriched if fits else None)
+        tables = [O.order_table(headers, lines, shop.cfg, shop.cost_lookup()) for headers, lines in pairs]
+        write_table(reduce(DataFrame.unionByName, tables), order_path, "order_number")
     orders = L.active(read_table(shop.spark, order_path), shop.cfg)
     lines = L.active(read_table(shop.spark, line_path), shop.cfg)
     per_week = grouped(lines, [trends.WEEK], "count(1) as n_lines")
